@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import bpe, chat, minhash, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +21,67 @@ def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"), shingle=2, percent=80)
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def op6_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of ``documents``, and the texts that they decode to, as digests."""
+    path = tokenizer_path()
+    back = bpe.decode(bpe.encode(_table(spark, folder, "documents"), path), path)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    """``conversations`` and one with control strings, formatted and read back."""
+    tricky = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    done = chat.format_conversations(turns)
+    back = done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP8_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+  SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) = role, false) AS merged,
+    replace(replace(text, '&', '&amp;'), '<', '&lt;') AS body,
+    replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '"', '&quot;') AS name
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(body) + CASE WHEN merged THEN 7 ELSE 12 + length(name) + 2 + 8 END)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
+def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` moved from 16 shards (by hash of the id) to 24 of near equal bytes."""
+    plan = sharding.reshard(sharding.measure(_table(spark, folder, "documents"), old_shards=16), 24)
+    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_minhash_near_dedup,)}
+    found = (op4_minhash_near_dedup, op6_byte_level_bpe, op8_chat_formatting, op10_sharding)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_chat_formatting": OP8_SQL}

@@ -84,15 +84,15 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z as a-z."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hash of each slice; with the usual values of bytes, A-Z as a-z."""
     out = np.empty(len(starts), np.uint64)
     low, n = 0, len(starts)
     while low < n:
         high = max(low + 1, int(np.searchsorted(ends, starts[low] + SEGMENT, "right")))
         a, b = int(starts[low]), int(ends[high - 1])
         sums = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(_BYTE[data[a:b]] * _power(_BASE, b - a), out=sums[1:])
+        np.cumsum(table[data[a:b]] * _power(_BASE, b - a), out=sums[1:])
         s, e = starts[low:high] - a, ends[low:high] - a
         out[low:high] = (sums[e] - sums[s]) * _power(_INVERSE, b - a + 1)[s] + (e - s).astype(np.uint64)
         low = high
