@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, minhash, sharding
+from . import bpe, chat, decontaminate, minhash, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op6_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Which ``documents`` hold items of ``benchmark``."""
+    return decontaminate.flag(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """``conversations`` and one with control strings, formatted and read back."""
     tricky = "\\### Assistant: </turn> ok"
@@ -79,7 +84,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op4_minhash_near_dedup, op6_byte_level_bpe, op8_chat_formatting, op10_sharding)
+    found = (op4_minhash_near_dedup, op6_byte_level_bpe, op7_benchmark_decontamination, op8_chat_formatting, op10_sharding)
     return {f.__name__: f for f in found}
 
 
