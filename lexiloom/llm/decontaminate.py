@@ -34,6 +34,7 @@ SIMILARITY = 0.8
 RADIUS = 15
 BLOCKS = 8
 FILTER_BITS = 1 << 24
+ANY_SIZE = 0
 _TABLES = 8  # partial bitmaps that reach the driver, 2 MiB each
 
 _PROFILE = "id long, size int, start long, content long, fingerprint long, shingles binary, weights binary"
@@ -44,6 +45,13 @@ def _slots(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (a & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((a >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
+def _marked(bits: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    a, b = _slots(h, size)
+    hit = bits[a]
+    hit[hit] = bits[b[hit]]
+    return hit
+
+
 def _features(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingle hashes in text order, their rows and weights, and the number of words of each row."""
     n = len(offsets) - 1
@@ -102,13 +110,14 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
-    """Which (item size, shingle) pairs occur: ``FILTER_BITS`` bits."""
+    """Which (item size, shingle) pairs occur, and which shingles at all: ``FILTER_BITS`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
             for size, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for slot in _slots(np.frombuffer(raw, np.uint64), size):
+                h = np.frombuffer(raw, np.uint64)
+                for slot in (*_slots(h, size), *_slots(h, ANY_SIZE)):
                     bits[slot] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
@@ -136,6 +145,14 @@ def _windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], id_col: str,
                     yield from scan(batch.column(0).slice(low, high - low), h, at, weight, own, bits)
 
     def scan(ids: pa.Array, h: np.ndarray, at: np.ndarray, weight: np.ndarray, own: list[int], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(h):
+            return
+        # Only rows with a shingle of some item go on; most have none.
+        some = _marked(bits, h, ANY_SIZE)
+        rows = np.zeros(len(ids), bool)
+        rows[at[some]] = True
+        keep = rows[at]
+        h, at, weight = h[keep], at[keep], weight[keep]
         if not len(h):
             return
         first = np.searchsorted(at, at, "left")
@@ -143,9 +160,7 @@ def _windows(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], id_col: str,
         place = np.arange(len(h))
         total = np.r_[0, np.cumsum(weight)]
         for size in own:
-            a, b = _slots(h, size)
-            hit = bits[a]
-            hit[hit] = bits[b[hit]]
+            hit = _marked(bits, h, size)
             if not hit.any():
                 continue
             n = max(1, size - SHINGLE + 1)
