@@ -11,9 +11,10 @@
    pair is dropped when the chance that it reaches the threshold is below
    ``miss_probability``.  What is left is verified on full shingle sets.
 4. Verified links are contracted to components.  Only buckets that still hold
-   several components can hide further links.  Their members are dealt into
-   blocks, pairs of blocks are compared by the same Bayesian test inside a
-   task, and survivors are verified on full sets.  No bucket is capped.
+   several components can hide further links.  The documents that such buckets
+   connect are dealt into blocks; a task takes a pair of blocks, drops pairs by
+   the same Bayesian test, verifies the others on full sets and returns links
+   only.  No bucket is capped and no pairs of a group are emitted.
 5. The components of all verified links are the groups.
 """
 
@@ -35,6 +36,7 @@ BANDS, ROWS = 25, 5
 BATCH = 25
 MISS_PROBABILITY = 1e-6
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
 SEED = 91
 
 
@@ -106,7 +108,7 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profile(docs: DataFrame, shingle: int, values: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, seq_a, seq_b, sig`` of every document."""
+    """``doc_id, n_shingles, seq_a, seq_b, sig, n_bytes`` of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,13 +128,14 @@ def profile(docs: DataFrame, shingle: int, values: int, id_col: str = "doc_id",
                         pa.array(seq_a.view(np.int64)),
                         pa.array(seq_b.view(np.int64)),
                         pa.array([x.tobytes() for x in sig], pa.binary()),
+                        pa.array(np.diff(o)),
                     ],
-                    ["doc_id", "n_shingles", "seq_a", "seq_b", "sig"],
+                    ["doc_id", "n_shingles", "seq_a", "seq_b", "sig", "n_bytes"],
                 )
 
     bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, seq_a long, seq_b long, sig binary")
+    return narrow.mapInArrow(run, "doc_id long, n_shingles long, seq_a long, seq_b long, sig binary, n_bytes long")
 
 
 def _bands(rows: DataFrame, bands: int, per_band: int) -> DataFrame:
@@ -167,25 +170,27 @@ def _bayes(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float, val
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
+def _sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The sorted shingle set of each text."""
+    out = []
+    data, offsets = ta.utf8(column)
+    for low, high in ta.chunks(offsets):
+        d, o = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+        starts, ends, row = ta.words(d, o)
+        h, at = ta.distinct(*ta.shingles(ta.word_hashes(d, starts, ends), row, high - low, shingle))
+        out += np.split(h, np.searchsorted(at, np.arange(1, high - low)))
+    return out
+
+
 def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Pairs whose full sets reach the threshold: 100 * |A and B| >= percent * |A or B|."""
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        out = []
-        data, offsets = ta.utf8(column)
-        for low, high in ta.chunks(offsets):
-            d, o = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
-            starts, ends, row = ta.words(d, o)
-            h, at = ta.distinct(*ta.shingles(ta.word_hashes(d, starts, ends), row, high - low, shingle))
-            out += np.split(h, np.searchsorted(at, np.arange(1, high - low)))
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             keep = []
-            for k, (x, y) in enumerate(zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)):
+            for k, (x, y) in enumerate(zip(_sets(batch.column(2), shingle), _sets(batch.column(3), shingle), strict=True)):
                 both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
@@ -200,16 +205,41 @@ def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _mixed(members: DataFrame, threshold: float, miss: float, values: int) -> DataFrame:
-    """Surviving pairs of different components within blocks of mixed buckets.
+def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of sets reach the threshold; each left set meets all its partners at once."""
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], right[order]
+    good = np.zeros(len(left), bool)
+    for low, high in zip(*_runs(left)):
+        mine = sets[left[low]]
+        for at in range(low, high, 512):
+            others = [sets[k] for k in right[at : min(at + 512, high)]]
+            sizes = np.array([len(x) for x in others])
+            joined = np.concatenate(others)
+            found = mine[np.minimum(np.searchsorted(mine, joined), len(mine) - 1)] == joined
+            common = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+            good[at : at + len(others)] = 100 * common >= percent * (len(mine) + sizes - common)
+    return order[good]
+
+
+def _runs(sorted_values: np.ndarray) -> tuple[list[int], list[int]]:
+    cuts = np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1
+    return [0, *cuts.tolist()] if len(sorted_values) else [], [*cuts.tolist(), len(sorted_values)] if len(sorted_values) else []
+
 
-    ``members``: bucket, i, j, side, doc_id, component_id, sig.  A group
-    (bucket, i, j) holds two blocks of about ``BLOCK`` members; only pairs
-    across the blocks count, or within the one block where i = j.
+_UNIT = ["kind", "unit", "i", "j"]
+
+
+def _within(members: DataFrame, shingle: int, threshold: float, percent: int, miss: float, values: int) -> DataFrame:
+    """Links between different components among the members of each unit.
+
+    ``members``: kind, unit, i, j, side, doc_id, component_id, sig, text.  A
+    group (kind, unit, i, j) holds two blocks; only pairs across the blocks
+    count, or within the one block where i = j.  Only links leave the task.
     """
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
-        group = np.stack([rows.column(k).to_numpy() for k in ("bucket", "i", "j")])
+        group = np.stack([rows.column(k).to_numpy() for k in _UNIT])
         side, doc, comp = (rows.column(k).to_numpy() for k in ("side", "doc_id", "component_id"))
         sig = _matrix(rows.column("sig").combine_chunks(), values)
         a, b = [], []
@@ -217,13 +247,18 @@ def _mixed(members: DataFrame, threshold: float, miss: float, values: int) -> Da
             same = (group[:, step:] == group[:, :-step]).all(0)
             if not same.any():
                 break
-            at = np.flatnonzero(same & (comp[step:] != comp[:-step]) & ((side[step:] != side[:-step]) | (group[1, step:] == group[2, step:])))
+            at = np.flatnonzero(same & (comp[step:] != comp[:-step]) & ((side[step:] != side[:-step]) | (group[2, step:] == group[3, step:])))
             if len(at):
                 at = at[survivors(sig[at], sig[at + step], threshold, miss, BATCH)]
-                a.append(doc[at])
-                b.append(doc[at + step])
+                a.append(at)
+                b.append(at + step)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        if len(a):
+            needed, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            sets = _sets(rows.column("text").take(pa.array(needed)), shingle)
+            good = _linked(sets, place[: len(a)], place[len(a) :], percent)
+            a, b = doc[a[good]], doc[b[good]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None
@@ -232,21 +267,48 @@ def _mixed(members: DataFrame, threshold: float, miss: float, values: int) -> Da
                 continue
             rows = pa.Table.from_batches([batch])
             rows = pa.concat_tables([kept, rows]) if kept is not None else rows
-            keys = np.stack([rows.column(k).to_numpy() for k in ("bucket", "i", "j")])
-            open_from = int(np.flatnonzero((keys != keys[:, -1:]).any(0))[-1]) + 1 if (keys != keys[:, -1:]).any() else 0
-            if open_from:
-                yield compare(rows.slice(0, open_from).combine_chunks())
-            kept = rows.slice(open_from)
+            keys = np.stack([rows.column(k).to_numpy() for k in _UNIT])
+            other = np.flatnonzero((keys != keys[:, -1:]).any(0))
+            if len(other):
+                yield compare(rows.slice(0, int(other[-1]) + 1).combine_chunks())
+                rows = rows.slice(int(other[-1]) + 1)
+            kept = rows
         if kept is not None:
             yield compare(kept.combine_chunks())
 
-    keys = ["bucket", "i", "j"]
     return (
-        members.repartition(*keys)
-        .sortWithinPartitions(*keys)
-        .select(*keys, "side", "doc_id", "component_id", "sig")
-        .mapInArrow(run, "a long, b long")
-        .distinct()
+        members.repartition(*_UNIT).sortWithinPartitions(*_UNIT).select(*_UNIT, "side", "doc_id", "component_id", "sig", "text").mapInArrow(run, "a long, b long")
+    )
+
+
+def _residual(crowded: DataFrame, first: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members of the units within which further links may hide, for :func:`_within`.
+
+    A unit is a set of documents that buckets with several components connect.
+    Where such a set is far larger than its largest bucket, each bucket is a
+    unit instead.  Units are dealt into blocks of about ``BLOCK`` documents and
+    ``BLOCK_BYTES`` of text.
+    """
+    labelled = crowded.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    labelled = materialize(labelled, "minhash-labelled")
+    spread = labelled.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("bucket")
+    mixed = materialize(labelled.join(spread, "bucket"), "minhash-mixed")
+    clusters = connected_components(mixed, "leader", "doc_id").select(F.col("node").alias("doc_id"), F.col("component_id").alias("cluster"))
+    placed = materialize(mixed.join(clusters, "doc_id"), "minhash-clusters")
+    sizes = placed.select("cluster", "doc_id").distinct().groupBy("cluster").agg(F.count("*").alias("docs"))
+    loose = sizes.join(placed.groupBy("cluster").agg(F.max("n").alias("most")), "cluster").where(f"docs > 4 * most and docs > {BLOCK}").select("cluster", F.lit(True).alias("loose"))
+    kinds = placed.join(loose, "cluster", "left").select(
+        F.when(F.col("loose"), 1).otherwise(0).cast("int").alias("kind"), F.when(F.col("loose"), F.col("bucket")).otherwise(F.col("cluster")).alias("unit"), "doc_id", "component_id"
+    )
+    units = materialize(kinds.distinct().join(reps.select("doc_id", "n_bytes"), "doc_id"), "minhash-units")
+    parts = units.groupBy("kind", "unit").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("parts"))
+    return (
+        units.join(parts, ["kind", "unit"])
+        .join(reps.select("doc_id", "sig"), "doc_id")
+        .join(texts, "doc_id")
+        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("kind", "unit", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "doc_id", "component_id", "sig", "text")
     )
 
 
@@ -282,7 +344,7 @@ def near_duplicates(
     with_set = base.where("n_shingles > 0 and doc_id is not null")
     classes = with_set.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("rep"))
     reps = materialize(
-        with_set.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"]),
+        with_set.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", "n_bytes").dropDuplicates(["doc_id"]),
         "minhash-classes",
     )
     members = materialize(_bands(reps, bands, rows), "minhash-bands")
@@ -295,28 +357,9 @@ def near_duplicates(
     links = materialize(_exact(kept, _only(rep_texts, kept), shingle, percent), "minhash-links")
     first = materialize(connected_components(links, "a", "b"), "minhash-first")
 
-    labelled = crowded.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    labelled = materialize(labelled, "minhash-labelled")
-    spread = labelled.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("bucket")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        labelled.join(spread, "bucket")
-        .withColumn("parts", parts)
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select(
-            "bucket",
-            F.least("own", "other").alias("i"),
-            F.greatest("own", "other").alias("j"),
-            F.col("own").alias("side"),
-            "doc_id",
-            "component_id",
-        )
-        .join(reps, "doc_id")
-    )
-    more = materialize(_mixed(dealt, threshold, miss_probability, values), "minhash-more")
-    further = _exact(more, _only(rep_texts, more), shingle, percent)
-    links = materialize(links.unionByName(further), "minhash-all-links")
+    inside = _residual(crowded, first, reps, rep_texts)
+    more = _within(inside, shingle, threshold, percent, miss_probability, values)
+    links = materialize(links.unionByName(more), "minhash-all-links")
     groups = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component_id")
 
     of_class = materialize(
