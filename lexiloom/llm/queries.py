@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, sharding
+from . import bpe, chat, decontaminate, embedding_dedup, minhash, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of ``embeddings`` of one label with a cosine of 0.93 or more."""
+    return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"), cosine=0.93)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of ``documents`` whose two-word shingle sets have a similarity of 0.8 or more."""
     return minhash.near_duplicates(_table(spark, folder, "documents"), shingle=2, percent=80)
@@ -84,7 +89,7 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op4_minhash_near_dedup, op6_byte_level_bpe, op7_benchmark_decontamination, op8_chat_formatting, op10_sharding)
+    found = (op2_embedding_near_dedup, op4_minhash_near_dedup, op6_byte_level_bpe, op7_benchmark_decontamination, op8_chat_formatting, op10_sharding)
     return {f.__name__: f for f in found}
 
 
