@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embedding_dedup, minhash, sharding
+from . import bpe, chat, decontaminate, embedding_dedup, minhash, quality, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality scores of ``documents`` as ``labels.quality`` marks it."""
+    return quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), threshold=0.3)
+
+
 def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of ``embeddings`` of one label with a cosine of 0.93 or more."""
     return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"), cosine=0.93)
@@ -82,6 +87,12 @@ FROM marked GROUP BY conv_id
 """
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity grades of ``documents``, learned from ``labels.toxic``."""
+    docs = _table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, folder, "labels")))
+
+
 def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` moved from 16 shards (by hash of the id) to 24 of near equal bytes."""
     plan = sharding.reshard(sharding.measure(_table(spark, folder, "documents"), old_shards=16), 24)
@@ -89,7 +100,16 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op2_embedding_near_dedup, op4_minhash_near_dedup, op6_byte_level_bpe, op7_benchmark_decontamination, op8_chat_formatting, op10_sharding)
+    found = (
+        op1_quality_classifier,
+        op2_embedding_near_dedup,
+        op4_minhash_near_dedup,
+        op6_byte_level_bpe,
+        op7_benchmark_decontamination,
+        op8_chat_formatting,
+        op9_toxicity,
+        op10_sharding,
+    )
     return {f.__name__: f for f in found}
 
 
