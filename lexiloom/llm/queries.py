@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embedding_dedup, minhash, quality, sharding, toxicity
+from . import bpe, chat, decontaminate, embedding_dedup, minhash, pii, quality, secret_scan, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,11 +26,34 @@ def op2_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, folder, "embeddings"), cosine=0.93)
 
 
+def _span_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def _digest(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    """Counts of the kinds, digest of their spans, and all spans."""
+    base = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return [*counts, F.sha2(_span_text(base), 256).alias("base_sha256"), _span_text(spans).alias("spans")]
+
+
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in ``documents``, and the words next to it that reveal it."""
+    found = pii.detect(_table(spark, folder, "documents"))
+    return found.select("doc_id", *_digest(F.col("spans"), pii.KINDS))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of ``documents`` whose two-word shingle sets have a similarity of 0.8 or more."""
     return minhash.near_duplicates(_table(spark, folder, "documents"), shingle=2, percent=80)
 
 
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in ``documents``, weak parts only where complementary ones are near."""
+    found = secret_scan.scan(_table(spark, folder, "documents"))
+    return found.select("doc_id", *_digest(F.col("spans"), secret_scan.KINDS[:3]))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -103,7 +126,9 @@ def queries() -> dict[str, Query]:
     found = (
         op1_quality_classifier,
         op2_embedding_near_dedup,
+        op3_pii,
         op4_minhash_near_dedup,
+        op5_secret_scan,
         op6_byte_level_bpe,
         op7_benchmark_decontamination,
         op8_chat_formatting,
