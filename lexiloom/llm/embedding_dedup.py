@@ -86,7 +86,7 @@ def _keys(reps: DataFrame, passes: int) -> DataFrame:
                 x = np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), dim)
                 ids, label, unit = (batch.column(c).take(pa.array(at)) for c in (0, 1, 2))
                 for number in range(passes):
-                    signs = (x @ _directions(number, dim)) > 0
+                    signs = np.einsum("nd,db->nb", x, _directions(number, dim)) > 0
                     key = (signs.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(1)
                     n = len(at)
                     yield pa.RecordBatch.from_arrays(
@@ -187,15 +187,15 @@ def _counts(members: DataFrame, cosine: float) -> DataFrame:
             if not left or not right:
                 continue
             x, y = (np.frombuffer(b"".join(r[3] for r in part), np.float64).reshape(len(part), -1) for part in (left, right))
-            near = (x @ y.T) >= cosine
+            near = np.einsum("ik,jk->ij", x, y) >= cosine
             if within:
                 np.fill_diagonal(near, False)
             copies_left, copies_right = (np.array([r[5] for r in part]) for part in (left, right))
             ids += [r[4] for r in left]
-            links += (near @ copies_right).tolist()
+            links += np.einsum("ij,j->i", near.astype(np.int64), copies_right).tolist()
             if not within:
                 ids += [r[4] for r in right]
-                links += (near.T @ copies_left).tolist()
+                links += np.einsum("ij,i->j", near.astype(np.int64), copies_left).tolist()
         return ids, links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

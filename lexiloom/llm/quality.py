@@ -97,6 +97,18 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _forward(factor: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Solutions z of factor z = row for all rows, by forward substitution.
+
+    Sums over rows go through einsum, here and below: the threads of a BLAS
+    library can hang in a process that shares its cores with Spark's.
+    """
+    z = np.empty_like(rows)
+    for k in range(len(factor)):
+        z[:, k] = (rows[:, k] - np.einsum("nj,j->n", z[:, :k], factor[k, :k])) / factor[k, k]
+    return z
+
+
 @dataclass
 class Discriminant:
     """Means, Cholesky factors and their log determinants of classes 0 and 1, and the calibration."""
@@ -113,7 +125,10 @@ class Discriminant:
 
         ``x`` must have rows of both classes.
         """
-        scatter = [np.cov(x[y == k].T, bias=True).reshape(x.shape[1], -1) for k in (0, 1)]
+        scatter = []
+        for k in (0, 1):
+            z = x[y == k] - x[y == k].mean(0)
+            scatter.append(np.einsum("ni,nj->ij", z, z) / len(z))
         pooled = sum(s * (y == k).mean() for k, s in enumerate(scatter))
         means, factors, offsets = [], [], []
         for k in (0, 1):
@@ -131,8 +146,7 @@ class Discriminant:
         """Log density of class 1 minus that of class 0."""
         logs = []
         for mean, factor, offset in zip(self.means, self.factors, self.offsets):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(-0.5 * (z * z).sum(0) - offset)
+            logs.append(-0.5 * (_forward(factor, x - mean) ** 2).sum(1) - offset)
         return logs[1] - logs[0]
 
     def _calibrate(self, d: np.ndarray, y: np.ndarray) -> None:
@@ -140,9 +154,9 @@ class Discriminant:
         z = np.stack([np.arcsinh(d), np.ones(len(d))], 1)
         w = np.zeros(2)
         for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            gradient = z.T @ (y - p) - 1e-3 * w
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), gradient)
+            p = 1 / (1 + np.exp(-np.clip(z[:, 0] * w[0] + w[1], -30, 30)))
+            gradient = np.einsum("nk,n->k", z, y - p) - 1e-3 * w
+            step = np.linalg.solve(np.einsum("nj,nk,n->jk", z, z, p * (1 - p)) + 1e-3 * np.eye(2), gradient)
             w = w + np.clip(step, -1, 1)
             if np.abs(step).max() < 1e-9:
                 break

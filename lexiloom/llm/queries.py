@@ -30,10 +30,15 @@ def _span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda x: x == kind
+
+
 def _digest(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
     """Counts of the kinds, digest of their spans, and all spans."""
     base = F.filter(spans, lambda s: s["kind"].isin(*kinds))
-    counts = [F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    of = F.transform(spans, lambda s: s["kind"])
+    counts = [F.size(F.filter(of, _is(k))).cast("long").alias(f"n_{k}") for k in kinds]
     return [*counts, F.sha2(_span_text(base), 256).alias("base_sha256"), _span_text(spans).alias("spans")]
 
 

@@ -106,14 +106,17 @@ class Ordinal:
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """P(grade = k) of each row."""
-        below = 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - (x @ self.weights)[:, None], -40, 40)))
+        below = 1 / (1 + np.exp(-np.clip(self.thresholds[None, :] - np.einsum("nd,d->n", x, self.weights)[:, None], -40, 40)))
         below = np.hstack([np.zeros((len(x), 1)), below, np.ones((len(x), 1))])
         return np.diff(below, axis=1)
 
     def severity(self, x: np.ndarray) -> np.ndarray:
         """Expected grade."""
-        p = self.probabilities(x)
-        return p @ np.arange(p.shape[1])
+        return expected(self.probabilities(x))
+
+
+def expected(p: np.ndarray) -> np.ndarray:
+    return (p * np.arange(p.shape[1])).sum(1)
 
 
 def fit_ordinal(x: np.ndarray, grade: np.ndarray, *, ridge: float = 1e-3, steps: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
@@ -124,18 +127,20 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, *, ridge: float = 1e-3, steps:
     # Thresholds are the first one plus positive steps, so they stay in order.
     free = np.concatenate([np.zeros(x.shape[1]), base[:1], np.log(np.maximum(np.diff(base), 1e-2))])
     m, v = np.zeros_like(free), np.zeros_like(free)
-    d = x.shape[1]
+    n, d = x.shape
+    at, column = np.nonzero(x)
+    value = x[at, column]
     for t in range(1, steps + 1):
         gaps = np.exp(np.clip(free[d + 1 :], -20, 20))
         cuts = free[d] + np.r_[0.0, np.cumsum(gaps)]
-        eta = x @ free[:d]
+        eta = np.bincount(at, value * free[column], n)
         padded = np.r_[-np.inf, cuts, np.inf]
         upper = 1 / (1 + np.exp(-np.clip(padded[grade + 1] - eta, -40, 40)))
         lower = 1 / (1 + np.exp(-np.clip(padded[grade] - eta, -40, 40)))
         p = np.maximum(upper - lower, 1e-12)
         du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
         g_cut = np.array([dl[grade == j + 1].sum() - du[grade == j].sum() for j in range(k)]) / len(grade)
-        g = np.concatenate([x.T @ (du - dl) / len(grade) + ridge * free[:d], [g_cut.sum()], [g_cut[j:].sum() * gaps[j - 1] for j in range(1, k)]])
+        g = np.concatenate([np.bincount(column, value * (du - dl)[at], d) / n + ridge * free[:d], [g_cut.sum()], [g_cut[j:].sum() * gaps[j - 1] for j in range(1, k)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         free = free - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
     return free[:d], free[d] + np.r_[0.0, np.cumsum(np.exp(np.clip(free[d + 1 :], -20, 20)))]
@@ -199,7 +204,7 @@ def score(docs: DataFrame, model: Ordinal | None, *, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(low, n),
-                        pa.array(p @ np.arange(p.shape[1])),
+                        pa.array(expected(p)),
                         pa.array(p.argmax(1).astype(np.int32)),
                         pa.array((1 - p[:, 0] >= threshold).astype(np.int32)),
                     ],
