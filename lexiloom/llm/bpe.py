@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .storage import bounded_batches
 
-CACHE_ENTRIES = 1 << 19  # per Python worker
+CACHE_ENTRIES = 1 << 18  # per Python worker
 MAX_VOCABULARY_BYTES = 64 << 20  # what may be sent to every executor
 LONG_PIECE = 96  # bytes from which merging uses a heap
 
@@ -284,3 +284,29 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     bounded_batches(encoded.sparkSession)
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded``: :func:`encode` and, from its ids alone, :func:`decode` in one pass.
+
+    One Python worker does both, where the two functions in a row would hold
+    two for each task.
+    """
+    content = docs.sparkSession.sparkContext.broadcast(_content(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _vocabulary(content.value)
+        for batch in batches:
+            data, offsets = ta.utf8(batch.column(1))
+            for low, high in ta.chunks(offsets):
+                ids, at = known.encode(data[offsets[low] : offsets[high]].tobytes(), offsets[low : high + 1] - offsets[low])
+                back, begins = known.decode(ids)
+                packed = ids.astype("<u4").tobytes()
+                cells = [packed[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                texts = [back[a:b].tobytes() for a, b in zip(begins[at[:-1]].tolist(), begins[at[1:]].tolist())]
+                columns = [batch.column(0).slice(low, high - low), pa.array(np.diff(at)), pa.array(cells, pa.binary()), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
+
+    bounded_batches(docs.sparkSession)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

@@ -67,8 +67,7 @@ def tokenizer_path() -> str:
 
 def op6_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of ``documents``, and the texts that they decode to, as digests."""
-    path = tokenizer_path()
-    back = bpe.decode(bpe.encode(_table(spark, folder, "documents"), path), path)
+    back = bpe.round_trip(_table(spark, folder, "documents"), tokenizer_path())
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

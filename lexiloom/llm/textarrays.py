@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SEGMENT = 1 << 20  # bytes hashed at once; longer only if a single word is
+SEGMENT = 1 << 19  # bytes hashed at once; longer only if a single word is
 _rng = np.random.default_rng(20_240_607)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
