@@ -42,8 +42,7 @@ def pii_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts (little-endian 32-bit integers), digests of them and of the texts they decode to."""
-    path = tokenizer_path()
-    back = bpe.decode(bpe.encode(docs, path), path)
+    back = bpe.round_trip(docs, tokenizer_path())
     return back.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
