@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; where that is unset (tests on
-    one machine), a temporary folder that is then set for the session."""
+    one machine), a temporary folder that lasts as long as the application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="lexiloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = tempfile.mkdtemp(prefix="lexiloom-")
+        folder = _own[application]
     return folder.rstrip("/")
 
 
