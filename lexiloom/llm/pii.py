@@ -236,6 +236,7 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = detect(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0)
     found = materialize(found.select("row_a", "row_b", F.col("spans").alias("_spans")).dropDuplicates(["row_a", "row_b"]), "pii-spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumn("row_a", F.xxhash64(id_col, text)).withColumn("row_b", F.xxhash64(text, id_col, F.length(text)))
-    done = keyed.join(found, ["row_a", "row_b"], "left")
-    return done.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("_spans")))).select(*docs.columns)
+    keys = (F.xxhash64(id_col, text).alias("row_a"), F.xxhash64(text, id_col, F.length(text)).alias("row_b"))
+    done = docs.select(F.struct("*").alias("_doc"), *keys).join(found, ["row_a", "row_b"], "left")
+    clean = F.when(F.col("_spans").isNull(), F.col("_doc")[text_col]).otherwise(redact(F.col("_doc")[text_col], F.col("_spans")))
+    return done.select(*(clean.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns))

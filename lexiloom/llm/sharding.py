@@ -157,10 +157,11 @@ def rewrite(docs: DataFrame, plan: DataFrame, folder: str, *, id_col: str = "doc
     """Write the shards that changed to ``folder``/shard=N, in slot order, and
     leave the files of all others alone; returns the shards written.
 
-    ``id_col`` must tell rows apart.  Only the named partitions are replaced.
+    ``id_col`` must tell rows apart.  Only the named partitions are replaced;
+    columns ``shard`` and ``slot`` of ``docs`` give way to the plan's.
     """
     shards = affected(plan)
-    rows = docs.join(plan.select(F.col("doc_id").alias(id_col), "shard", "slot").where(F.col("shard").isin(shards)), id_col)
+    rows = docs.drop("shard", "slot").join(plan.select(F.col("doc_id").alias(id_col), "shard", "slot").where(F.col("shard").isin(shards)), id_col)
     spread = rows.repartition("shard").sortWithinPartitions("shard", "slot")
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
     return shards

@@ -1,0 +1,215 @@
+"""Operators on single texts against brute force, with nulls, empty and long texts, ties and clashing columns."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from lexiloom.llm import bpe, chat, pii, queries, secret_scan
+from lexiloom.llm import textarrays as ta
+
+tiktoken = pytest.importorskip("tiktoken")
+P = pytest.importorskip("public_tokenizers")
+
+
+def frame(spark, texts):
+    """Documents with null and repeated rows and columns that clash with inner names."""
+    rows = [(i, t, 1, 2, "x", None) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, row_a int, unit int, spans string, sig string")
+
+
+# --- words -------------------------------------------------------------------
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbB \t\né", max_size=25)), max_size=6), st.integers(1, 5))
+def test_shingle_sets(texts, size):
+    data, offsets = ta.utf8(pa.array(texts, pa.string()))
+    starts, ends, row = ta.words(data, offsets)
+    hashes = ta.word_hashes(data, starts, ends)
+    h, at = ta.distinct(*ta.shingles(hashes, row, len(texts), size))
+    for k, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        want = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+        assert (at == k).sum() == len(want)
+
+
+def test_long_words_span_segments():
+    text = "x" * (ta.SEGMENT + 10) + " y " + "x" * (ta.SEGMENT + 10)
+    data, offsets = ta.utf8(pa.array([text]))
+    h = ta.word_hashes(data, *ta.words(data, offsets)[:2])
+    assert h[0] == h[2] != h[1]
+
+
+# --- BPE ----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def coder():
+    known = bpe.Vocabulary(open(queries.tokenizer_path(), "rb").read())
+    return known, tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=known.ranks, special_tokens={})
+
+
+def same(coder, texts):
+    known, theirs = coder
+    data, offsets = ta.utf8(pa.array(texts, pa.string()))
+    ids, at = known.encode(data.tobytes(), offsets)
+    for k, t in enumerate(texts):
+        own = ids[at[k] : at[k + 1]]
+        assert own.tolist() == theirs.encode_ordinary(t), repr(t)
+        assert known.decode(own)[0].tobytes().decode() == t
+
+
+def test_bpe_all_code_points(coder):
+    same(coder, [f"x{chr(c)}x1{chr(c)}1 {chr(c)}{chr(c)}!{chr(c)}" for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000])
+
+
+def test_bpe_cases(coder):
+    same(coder, ["", "a" * 3000, " " * 500, "!" * 400, "x'll've 're", "'", "a'", "''s", " 's", "\n's  t\t", "中文" * 300, "<|endoftext|>"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aB1 \n\t'srtelvdm.!é ½²中", max_size=40), max_size=4))
+def test_bpe_fuzz(coder, texts):
+    same(coder, texts)
+
+
+def test_bpe_frames(spark, coder):
+    texts = ["it's 1 test", None, "", "a  b", "a  b", "é" * 5000]
+    path = queries.tokenizer_path()
+    done = bpe.decode(bpe.encode(frame(spark, texts), path), path).orderBy("doc_id").collect()
+    both = bpe.round_trip(frame(spark, texts), path).orderBy("doc_id").collect()
+    assert [tuple(r) for r in done] == [tuple(r) for r in both]
+    for r, t in zip(done, texts):
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert ids == coder[1].encode_ordinary(t or "") and bytes(r["decoded"]).decode() == (t or "") and r["n_tokens"] == len(ids)
+    offsets = np.frombuffer(bpe.encode(frame(spark, ["ab cd"]), path).first()["offsets"], "<u4").tolist()
+    assert offsets[0] == 0 and offsets == sorted(offsets)
+    assert bpe.round_trip(frame(spark, texts).limit(0), path).count() == 0
+    with pytest.raises(ValueError):
+        coder[0].decode(np.array([60_000]))
+
+
+# --- PII -----------------------------------------------------------------------
+
+
+def luhn(d):
+    return sum(int(c) if k % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for k, c in enumerate(reversed(d))) % 10 == 0
+
+
+def personal(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_pii_base(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aB1205.@-+ %_()é😀.@1") for _ in range(rng.randrange(60))) for _ in range(1500)]
+    texts += ["1.2.3.4.5.6.7.8", "a@b.c+d@e.f", "000255.1.2.0003", "4111 1111 1111 1111 x", "+1 (017) 555-7713", None, "", "x@y.co " * 700, "1.2.3.4 " * 700]
+    found = pii.detect(frame(spark, texts), min_contexts=10**9).orderBy("doc_id").collect()
+    for r, t in zip(found, texts):
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"]] == personal(t or ""), repr(t)[:80]
+
+
+def test_pii_long_runs(spark):
+    texts = ["a" * 100_000, "9" * 20_000, "a." * 3000 + "@b" + ".c" * 4000, "1 " * 5000 + "2", "+1" + "(" * 3000, "1." * 5000]
+    found = pii.detect(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [s["kind"] for s in found[2]["spans"]] == ["email"] and all(not found[k]["spans"] for k in (0, 1, 3, 4))
+
+
+def test_pii_terms_that_tell(spark):
+    """"zanzibar" stands only next to one address, in four contexts; "and" stands everywhere."""
+    near = [f"{w} and zanzibar bob@corp.example and {w} {w}" for w in ("alpha", "bravo", "carol", "delta")]
+    texts = near + [near[0]] + [f"plain words and nothing {k}" for k in range(40)] + [None, ""]
+    found = pii.detect(frame(spark, texts)).orderBy("doc_id").collect()
+    for r, t in zip(found, texts):
+        added = [t[s["start"] : s["end"]] for s in r["spans"] if s["kind"] in pii.ADDED]
+        assert added == (["zanzibar"] if t and "zanzibar" in t else [])
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["kind"] in pii.KINDS] == personal(t or "")
+    clean = pii.sanitise(frame(spark, texts)).orderBy("doc_id").collect()
+    assert clean[0]["text"] == "alpha and  <EMAIL> and alpha alpha"
+    assert clean[5]["text"] == texts[5] and clean[-2]["text"] is None and clean[-1]["text"] == ""
+    assert clean[0]["row_a"] == 1 and clean[0]["spans"] == "x"
+    general = pii.sanitise(frame(spark, texts), remove=1.1).orderBy("doc_id").first()
+    assert general["text"] == "alpha and <TERM> <EMAIL> and alpha alpha"
+    assert pii.sanitise(frame(spark, texts).limit(0)).count() == 0
+
+
+# --- secrets ----------------------------------------------------------------------
+
+
+def base_secrets(t):
+    out = []
+    for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, "assign", m.end()))
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return [(k, s, e) for s, _, k, e in sorted(out)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["token", "PassWord", "=", ": ", '"', "AKIA", "ABCDEFGH12345678", "0af9" * 8, "é ", " ", "api_key", "secretsecret", "x"]), max_size=14).map("".join))
+def test_secret_base(t):
+    spans, _ = secret_scan.scan_text(t)
+    assert [(k, s, e) for s, e, k in spans if k in secret_scan.KINDS[:3]] == base_secrets(t)
+
+
+def test_secret_linking(spark):
+    parts = {"user": "user: bob99", "host": "host = db.example.com", "mixed": "wJalrXUtnFEMIK7MDENGbPxRfiCYEX1"}
+    assert secret_scan.scan_text(parts["user"])[0] == [] and secret_scan.scan_text(parts["user"] + " " + parts["host"])[0] == []
+    spans, linked = secret_scan.scan_text(" ".join(parts.values()))
+    assert {k for _, _, k in spans} == {"identifier", "endpoint", "token"} and len(linked) == 1
+    far = (" " * 500).join(parts.values())
+    assert secret_scan.scan_text(far) == ([], [])
+    spans, linked = secret_scan.scan_text("password=hunter2hunter2 user: bob99")
+    assert [k for _, _, k in spans] == ["assign", "identifier"] and len(linked) == 1
+    done = secret_scan.scan(frame(spark, [None, "", "token = " + "ab12" * 8, "token = " + "ab12" * 8, "x " * 50_000])).orderBy("doc_id").collect()
+    assert [len(r["spans"]) for r in done] == [0, 0, 2, 2, 0]
+    assert secret_scan.scan(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+# --- chat -----------------------------------------------------------------------------
+
+TURN = st.tuples(st.integers(0, 3), st.sampled_from(["user", "assistant", None, 'a"<b']), st.one_of(st.none(), st.text(alphabet='a<>&;/turn"\\\né', max_size=12)))
+
+
+def test_chat_round_trip(spark):
+    made = []
+
+    @settings(max_examples=120, deadline=None)
+    @given(st.lists(TURN, min_size=1, max_size=6))
+    def collect(turns):
+        made.append(turns)
+
+    collect()
+    tricky = ["<next/>", "</turn>\n", '<turn role="assistant">', "&lt;", "&amp;lt;", r"\### Assistant: </turn> ok"]
+    made.append([(k, "assistant", t) for k, t in enumerate(tricky)])
+    rows = [(c, t, r, x, "clash") for c, turns in enumerate(made) for t, r, x in turns]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
+    done = chat.format_conversations(df)
+    back = done.select("conv_id", "formatted", "loss_spans", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l"))
+    for r in back.collect():
+        want = sorted((t, ro or "", x or "") for t, ro, x in made[r["conv_id"]])
+        assert [(x["role"], x["text"]) for x in r["t"]] == [(ro, x) for _, ro, x in want]
+        assert r["l"] == "".join(x for _, ro, x in want if ro == "assistant")
+        runs = sum(k == 0 or want[k][1] != want[k - 1][1] for k in range(len(want)))
+        assert r["formatted"].count(chat.OPEN) == runs
+    assert chat.format_conversations(df.limit(0)).count() == 0
+
+
+def test_digests_are_derived_from_spans(spark):
+    spans = spark.createDataFrame([(1, [("ip", 5, 9)])], "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
+    row = spans.select("doc_id", *queries._digest(F.col("spans"), pii.KINDS)).first()
+    assert row["n_ip"] == 1 and row["spans"] == "ip:5:9" and row["base_sha256"] == hashlib.sha256(b"ip:5:9").hexdigest()
