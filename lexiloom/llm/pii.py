@@ -237,6 +237,9 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(found.select("row_a", "row_b", F.col("spans").alias("_spans")).dropDuplicates(["row_a", "row_b"]), "pii-spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keys = (F.xxhash64(id_col, text).alias("row_a"), F.xxhash64(text, id_col, F.length(text)).alias("row_b"))
-    done = docs.select(F.struct("*").alias("_doc"), *keys).join(found, ["row_a", "row_b"], "left")
+    marked = docs.select(F.struct("*").alias("_doc"), *keys, (F.size(base_spans(text)) > 0).alias("_held"))
+    # Only texts with personal data meet their spans; the others stay where they are.
+    held = marked.where("_held").join(found, ["row_a", "row_b"], "left")
     clean = F.when(F.col("_spans").isNull(), F.col("_doc")[text_col]).otherwise(redact(F.col("_doc")[text_col], F.col("_spans")))
-    return done.select(*(clean.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns))
+    redacted = held.select(*(clean.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns))
+    return redacted.unionByName(marked.where("not _held").select(*(F.col("_doc")[c].alias(c) for c in docs.columns)))

@@ -193,19 +193,28 @@ def held_out(id_column: F.Column) -> F.Column:
     return F.crc32(id_column.cast("string").cast("binary")) % 5 == 0
 
 
-def train(rows: DataFrame, labels: DataFrame, *, label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> Discriminant | None:
-    """Fit on rows of :func:`features` with a label that aren't held out.
+def training_sample(labels: DataFrame, *, label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """``doc_id, y`` of labelled documents that aren't held out.
 
-    With more than ``max_rows`` of them, a sample by the hash of the id of
-    about that size is used.  Null labels are left out.  Without two rows of
-    either class there is no model (None).
+    Of more than ``max_rows`` of them, a sample by the hash of the id of about
+    that size.  Null labels are left out.  The sample is broadcast to what it is
+    joined with where its counted rows are within twice the bound (repeated ids
+    may exceed it).
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)")
     known = known.where(~held_out(F.col("doc_id")))
-    keep = max(1, -(-known.count() // max_rows))
+    rows = known.count()
+    keep = max(1, -(-rows // max_rows))
     if keep > 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(keep)) == 0)
-    found = rows.join(known, "doc_id").select("x", "y").toArrow()
+        rows = known.count()
+    return F.broadcast(known) if rows <= 2 * max_rows else known
+
+
+def train(rows: DataFrame, sample: DataFrame) -> Discriminant | None:
+    """Fit on the rows of :func:`features` that a :func:`training_sample`
+    labels.  Without two rows of either class there is no model (None)."""
+    found = rows.join(sample, "doc_id").select("x", "y").toArrow()
     y = found.column("y").to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return None
@@ -238,7 +247,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> D
     count; an empty table gives an empty result.
     """
     rows = materialize(features(docs), "quality-features")
-    scored = score(rows, train(rows, labels))
+    scored = score(rows, train(rows, training_sample(labels)))
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -246,11 +255,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> D
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` whose score is ``threshold`` or more, with all columns.
 
-    Only labelled documents' statistics are gathered; the rows themselves are
-    filtered where they are, without a shuffle.
+    Only the statistics of the bounded training sample are gathered; the rows
+    themselves are filtered where they are, without a shuffle.
     """
-    labelled = docs.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    model = train(materialize(features(labelled, text_col=text_col), "quality-labelled"), labels)
+    sample = training_sample(labels)
+    labelled = docs.join(sample.select("doc_id"), "doc_id", "left_semi")
+    model = train(materialize(features(labelled, text_col=text_col), "quality-labelled"), sample)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
