@@ -137,7 +137,8 @@ def select_by_log_odds(scores: DataFrame, fdr: float) -> DataFrame:
     """Vocabulary of the n-grams that pass jointly over all orders and classes with z > 0."""
     from lexiloom.functions.udf import upper_tail
 
-    tests = scores.withColumn("p", upper_tail("z"))
+    # Scores are read twice, for the cut and for the choice; a lost block is computed again.
+    tests = scores.withColumn("p", upper_tail("z")).persist()
     return vocabulary(benjamini_hochberg(tests, fdr).where("passes_bh and z > 0"))
 
 

@@ -273,12 +273,19 @@ def lemmatize(docs: DataFrame, text: str = "text", dictionary: dict[str, str] |
     gerund rule and ``dictionary`` (a lemma of each known word; a parameter, as
     no lexical database is at hand); fillers, single characters and words with
     digits are dropped."""
-    lexicon = F.create_map(*(F.lit(x) for pair in sorted(domain_lexicon().items()) for x in pair))
-    lemmas = F.create_map(*(F.lit(x) for pair in sorted((dictionary or {"": ""}).items()) for x in pair))
-    look = lambda m, w: F.coalesce(F.try_element_at(m, w), w)
+
+    def look(words: dict[str, str], w):
+        """The hashed set of keys decides first; only words in it search the map."""
+        if not words:
+            return w
+        pairs = F.create_map(*(F.lit(x) for pair in sorted(words.items()) for x in pair))
+        return F.when(w.isin(*sorted(words)), F.try_element_at(pairs, w)).otherwise(w)
+
     lines = F.transform(
         F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
-        lambda line: F.array_join(F.filter(F.transform(T.tokens(line), lambda w: look(lemmas, T.gerund(look(lexicon, w)))), T.keep_lemma), " "),
+        lambda line: F.array_join(
+            F.filter(F.transform(F.transform(T.tokens(line), lambda w: look(domain_lexicon(), w)), lambda w: look(dictionary or {}, T.gerund(w))), T.keep_lemma), " "
+        ),
     )
     return docs.withColumn("lemmatized", F.array_join(lines, "\n"))
 
