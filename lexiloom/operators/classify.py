@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .grouping import arithmetic_hash
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -88,7 +87,7 @@ def permutation_importance(model: Classifier, rows: DataFrame, key: str, positio
     for j in positions:
         scores = []
         for seed in range(repeats):
-            by_key, by_hash = Window.orderBy(key), Window.orderBy(arithmetic_hash(F.col(key), seed + 1), key)
+            by_key, by_hash = Window.orderBy(key), Window.orderBy(F.xxhash64(key, F.lit(seed)), key)
             own = rows.select(key, model.features, F.row_number().over(by_key).alias("_at"))
             other = rows.select(F.element_at(model.features, j + 1).alias("_v"), F.row_number().over(by_hash).alias("_at"))
             moved = own.join(other, "_at").withColumn(model.features, _replaced(model.features, j))

@@ -65,7 +65,8 @@ def mode_ties(df: DataFrame, member: str, label: str) -> DataFrame:
 
 def arithmetic_hash(key: Column, seed: int) -> Column:
     """A number from 0 to 999,982 that any engine computes alike."""
-    return F.pmod(key * 7919 + seed * 104_729 + 12_345, F.lit(999_983))
+    a = F.pmod(F.pmod(key, F.lit(999_983)) * 7919 + seed * 104_729 + 12_345, F.lit(999_983))
+    return F.pmod(a * a + a * 31, F.lit(999_983))
 
 
 def group_split(df: DataFrame, member: str, label: str, *, share: float = 0.2, seed: int = 42) -> DataFrame:

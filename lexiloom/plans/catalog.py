@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from lexiloom.functions import text as T
 from lexiloom.functions.lexicon import BOUNDARY_WORDS, STOPWORDS, domain_lexicon
 from lexiloom.functions.udf import expand_contractions
-from lexiloom.operators import agreement, grouping, metrics, terms
+from lexiloom.operators import agreement, annotated, grouping, metrics, terms
 from lexiloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -295,6 +295,54 @@ def lemmatized_documents(spark, folder):
     return lemmatize(_docs(spark, folder)).select("doc_id", "lemmatized")
 
 
+# A stand-in for tags: the part of speech by the length of the word.
+_POS = ("NOUN", "DET", "ADP", "VERB", "ADJ", "PART", "X")
+TAGGED = f"""{CONV}, pos AS (SELECT doc_id, p, t, ['NOUN', 'DET', 'ADP', 'VERB', 'ADJ', 'PART', 'X'][length(t) % 7 + 1] AS pos,
+  t IN ({_quoted(STOPWORDS)}) AS stop FROM tok),
+near2 AS (SELECT *, lead(t) OVER w AS t1, lead(pos) OVER w AS pos1, lead(stop) OVER w AS stop1 FROM pos WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+valid AS (SELECT doc_id, t AS g FROM near2 WHERE pos IN ('NOUN', 'VERB', 'ADJ') AND NOT stop
+  UNION ALL SELECT doc_id, t || '_' || t1 FROM near2 WHERE t1 IS NOT NULL AND (pos IN ('NOUN', 'VERB', 'ADJ') OR pos1 IN ('NOUN', 'VERB', 'ADJ'))
+    AND NOT (stop AND stop1) AND pos NOT IN ('DET', 'ADP', 'PART') AND pos1 NOT IN ('DET', 'ADP', 'PART'))"""
+
+
+@query(f"WITH {TAGGED} SELECT g AS ngram, count(*) AS n FROM valid GROUP BY g")
+def tagged_ngrams(spark, folder):
+    """Valid n-grams of tagged words; tags by word length, as no tagger is at hand."""
+    tags = F.array(*(F.lit(p) for p in _POS))
+    words = F.transform(T.tokens(F.col("text")), lambda t: F.struct(t.alias("lemma"), F.element_at(tags, F.length(t) % 7 + 1).alias("pos")))
+    stop = F.array(*(F.lit(w) for w in sorted(STOPWORDS)))
+    rows = _conv(spark, folder).select(words.alias("_w"))  # a column of its own: tagged once, not for each n-gram
+    grams = rows.select(F.explode(annotated.valid_ngrams(F.col("_w"), stop, (1, 2))).alias("ngram"))
+    return grams.groupBy("ngram").agg(F.count("*").alias("n"))
+
+
+_CHARS = """SELECT {k}, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS gram FROM (
+  SELECT doc_id, lang, unnest(l) AS c, generate_subscripts(l, 1) AS p FROM (
+    SELECT doc_id, lang, string_split(' ' || lower(coalesce(text, '')) || ' ', '') AS l FROM documents WHERE {where})) WINDOW w AS (PARTITION BY doc_id ORDER BY p)"""
+
+
+@query(
+    f"""WITH g AS ({_CHARS.format(k="lang", where="lang IN ('en', 'de') AND doc_id % 5 <> 0")}),
+    w AS (SELECT gram, count(*) FILTER (lang = 'en') AS a, count(*) FILTER (lang = 'de') AS b FROM g WHERE gram IS NOT NULL GROUP BY gram),
+    m AS (SELECT gram, ln((a + 1)::DOUBLE / (sum(a) OVER () + count(*) OVER ())) - ln((b + 1)::DOUBLE / (sum(b) OVER () + count(*) OVER ())) AS weight FROM w),
+    d AS ({_CHARS.format(k="doc_id", where="doc_id % 5 = 0")}),
+    s AS (SELECT doc_id, sum(weight) / count(*) AS w FROM d JOIN m USING (gram) GROUP BY doc_id)
+    SELECT doc_id, round(coalesce(1 / (1 + exp(-20 * w)), 0.5), 6) AS confidence FROM (SELECT doc_id FROM documents WHERE doc_id % 5 = 0) LEFT JOIN s USING (doc_id)"""
+)
+def english_confidence(spark, folder):
+    """English against German, learned on four folds of the documents and scored on the fifth."""
+    d = _docs(spark, folder)
+    model = annotated.language_model(d.where("doc_id % 5 <> 0"), "lang", "text", ("en", "de"))
+    c = annotated.language_confidence(d.where("doc_id % 5 = 0").select("doc_id", "text"), model, "doc_id", "text")
+    return c.select("doc_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("SELECT least(floor(n / 100), 19)::BIGINT AS bucket, count(*) AS docs FROM (SELECT len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS n FROM documents) GROUP BY ALL")
+def tokens_per_doc_histogram(spark, folder):
+    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""))
+    return _docs(spark, folder).select(F.least(F.floor(n / 100), F.lit(19)).cast("long").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("docs"))
+
+
 # --- counts, modes, splits ----------------------------------------------------
 
 
@@ -359,7 +407,8 @@ def artist_genre_mode_ties(spark, folder):
     return grouping.mode_ties(_orders(spark, folder), "o_custkey", "o_orderpriority")
 
 
-HASH = "(({k} * 7919 + 42 * 104729 + 12345) % 999983)"
+_A = "((({k} % 999983) * 7919 + 42 * 104729 + 12345) % 999983)"
+HASH = f"(({_A} * {_A} + 31 * {_A}) % 999983)"
 
 
 @query(
