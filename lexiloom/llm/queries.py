@@ -126,6 +126,38 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, len(embedding) AS d, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON c.a = vec_id
+"""
+
+OP4_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS p, len(l) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents)
+), g AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, CASE WHEN n = 1 THEN w ELSE w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY p) END AS g FROM t) WHERE g IS NOT NULL
+), s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+x AS (SELECT g.doc_id, g, n FROM g JOIN s USING (doc_id)),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_quality_classifier,
@@ -143,4 +175,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": OP8_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op8_chat_formatting": OP8_SQL}
