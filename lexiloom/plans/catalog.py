@@ -533,15 +533,21 @@ def monroe_z(spark, folder):
     return _monroe(spark, folder).withColumn("z", F.round("z", 6))
 
 
+def _document_scores(spark, folder):
+    grams = terms.ngram_counts(_docs(spark, folder), ["doc_id", "lang", "source"], "text", (1,))
+    return grams, terms.log_odds(terms.class_counts(grams, "lang", "source", min_artists=2), "lang")
+
+
 @query()
 def monroe_vocab(spark, folder):
     """Needs the normal distribution function, which DuckDB lacks; its parts have SQL of their own."""
-    return terms.select_by_log_odds(_monroe(spark, folder), 0.001)
+    return terms.select_by_log_odds(_document_scores(spark, folder)[1], 0.001)
 
 
 @query()
 def monroe_transform(spark, folder):
-    return terms.transform(_conv_grams(spark, folder), ["doc_id"], terms.select_by_log_odds(_monroe(spark, folder), 0.001))
+    grams, scores = _document_scores(spark, folder)
+    return terms.transform(grams, ["doc_id"], terms.select_by_log_odds(scores, 0.001))
 
 
 P_VALUE = "l_extendedprice / (SELECT max(l_extendedprice) FROM lineitem)"
@@ -774,8 +780,7 @@ def feature_concat(spark, folder):
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """The ten n-grams of the greatest log odds of each language's documents (unigrams)."""
-    g = terms.ngram_counts(_docs(spark, folder), ["doc_id", "lang", "source"], "text", (1,))
-    scores = terms.log_odds(terms.class_counts(g, "lang", "source", min_artists=2), "lang")
+    scores = _document_scores(spark, folder)[1]
     return terms.top_terms(scores, "lang", "ngram", "z", 10).select("lang", "ngram", F.round("z", 6).alias("z"), "rank")
 
 
@@ -791,6 +796,4 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     SELECT lang, g AS ngram, z FROM z"""
 )
 def flagship_scores(spark, folder):
-    g = terms.ngram_counts(_docs(spark, folder), ["doc_id", "lang", "source"], "text", (1,))
-    scores = terms.log_odds(terms.class_counts(g, "lang", "source", min_artists=2), "lang")
-    return scores.select("lang", "ngram", F.round("z", 6).alias("z"))
+    return _document_scores(spark, folder)[1].select("lang", "ngram", F.round("z", 6).alias("z"))
