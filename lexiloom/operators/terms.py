@@ -87,9 +87,11 @@ def usable(min_artists: int, stopwords: bool = True, boundary: bool = True) -> C
 
 def class_counts(grams: DataFrame, label: str, artist: str, *, min_artists: int = 20, stopwords: bool = True, boundary: bool = True) -> DataFrame:
     """``order, ngram, label, y`` over the full grid of usable n-grams and classes, zeros included."""
-    kept = artists_per_ngram(grams, artist).where(usable(min_artists, stopwords, boundary)).select("order", "ngram")
-    seen = grams.join(kept, ["order", "ngram"], "left_semi").groupBy("order", "ngram", label).agg(F.sum("cnt").alias("y"))
-    classes = grams.where(F.col(label).isNotNull()).select(label).distinct()
+    # Read for the artists, the sums and the classes: n-grams are made once, without their documents.
+    slim = grams.groupBy("order", "ngram", label, artist).agg(F.sum("cnt").alias("cnt")).persist()
+    kept = artists_per_ngram(slim, artist).where(usable(min_artists, stopwords, boundary)).select("order", "ngram")
+    seen = slim.join(kept, ["order", "ngram"], "left_semi").groupBy("order", "ngram", label).agg(F.sum("cnt").alias("y"))
+    classes = slim.where(F.col(label).isNotNull()).select(label).distinct()
     grid = kept.crossJoin(F.broadcast(classes))  # classes are few; each n-gram gets one row per class
     return grid.join(seen, ["order", "ngram", label], "left").select("order", "ngram", label, F.coalesce("y", F.lit(0)).alias("y"))
 
