@@ -297,14 +297,11 @@ def _residual(crowded: DataFrame, first: DataFrame, reps: DataFrame, texts: Data
     placed = materialize(mixed.join(clusters, "doc_id"), "minhash-clusters")
     sizes = placed.select("cluster", "doc_id").distinct().groupBy("cluster").agg(F.count("*").alias("docs"))
     loose = sizes.join(placed.groupBy("cluster").agg(F.max("n").alias("most")), "cluster").where(f"docs > 4 * most and docs > {BLOCK}").select("cluster", F.lit(True).alias("loose"))
-    # Written first: Spark then knows how few rows these are and need not deal a hot cluster out by its key.
-    loose = materialize(loose, "minhash-loose")
     kinds = placed.join(loose, "cluster", "left").select(
         F.when(F.col("loose"), 1).otherwise(0).cast("int").alias("kind"), F.when(F.col("loose"), F.col("bucket")).otherwise(F.col("cluster")).alias("unit"), "doc_id", "component_id"
     )
     units = materialize(kinds.distinct().join(reps.select("doc_id", "n_bytes"), "doc_id"), "minhash-units")
     parts = units.groupBy("kind", "unit").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("parts"))
-    parts = materialize(parts, "minhash-parts")
     return (
         units.join(parts, ["kind", "unit"])
         .join(reps.select("doc_id", "sig"), "doc_id")
