@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import agreement, classify, grouping, metrics, terms, topics, tuning
+from lexiloom.plans import models
 from lexiloom.plans.catalog import one_standard_error, select_local_maximum
 from lexiloom.sources import tables
 
@@ -150,6 +151,19 @@ def test_structural_topics_recover_two_topics(spark):
     assert np.mean(shares) > 0.9
 
 
+def test_topics_keep_all_words_and_conversations(spark, tmp_path):
+    rows = [(c, 0, "user", " ".join(f"word{chr(97 + c % 20)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))) for c in range(12)]
+    spark.createDataFrame([*rows, (12, 0, "user", None), (13, 0, "assistant", "")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    docs, size = models._topic_documents(spark, str(tmp_path))
+    found = {r["artist"]: r for r in docs.collect()}
+    assert size == 480 and sorted(found) == list(range(14)) and sum(len(r["terms"]) for r in found.values()) == 480
+    assert found[12]["terms"] == [] and len(found[13]["x"]) == 2
+    shares = {r["artist"]: r["theta"] for r in models.lda_topics(spark, str(tmp_path)).collect()}
+    assert len(shares) == 14 and np.allclose(shares[12], 0.25)
+    shares = {r["artist"]: r["theta"] for r in models.stm_topics(spark, str(tmp_path)).collect()}
+    assert len(shares) == 14 and np.allclose([sum(v) for v in shares.values()], 1)
+
+
 def test_classifier_dispatch_and_fit(spark):
     with pytest.raises(ValueError):
         classify.Classifier({"depth": 3})
