@@ -33,7 +33,8 @@ ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][D
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
-_MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])[A-Za-z0-9+/_-]{20,64}={0,2}(?![A-Za-z0-9+/_=-])")
+# May follow "=", ":" or a quote; the run is taken whole, so that the work stays linear in its length.
+_MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _USER = re.compile(r"""(?i:\b(?:user(?:name|_id)?|login|account|client_?id|key_?id))["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9+/_.@-]{3,})""")
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9][^\s\"'<>|]{2,}")
 _HOST = re.compile(r"""(?i:\b(?:host|endpoint|server|base_?url))["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9][A-Za-z0-9.:/_-]{3,})""")
