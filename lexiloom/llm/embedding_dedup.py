@@ -14,12 +14,15 @@
 
 Two vectors with the cosine c agree in a bit with the chance p = 1 - acos(c)/pi,
 so a pass finds a pair among n vectors of a label with a chance of about
-p ** log2(n / window), if nothing else links the two.
+p ** log2(n / window), if nothing else links the two.  As many passes are made
+as leave such a pair at the threshold unfound with a chance of ``miss`` or less
+in the largest label, whatever its size.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +35,8 @@ from .components import connected_components
 from .storage import materialize
 
 COSINE = 0.93
-PASSES = 16
+PASSES = 16  # at least
+MISS = 1e-4
 WINDOW = 64
 BITS = 62
 ROWS_PER_PARTITION = 50_000
@@ -40,6 +44,13 @@ BLOCK = 512
 SEED = 5
 
 
+def passes_for(n: int, window: int, cosine: float, miss: float = MISS) -> int:
+    """Passes after which an isolated pair at ``cosine`` among ``n`` vectors is unfound with a chance of about ``miss`` at most."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi
+    found = agree ** max(0.0, math.log2(max(n, 1) / window))
+    return PASSES if found >= 1 else max(PASSES, math.ceil(math.log(miss) / math.log1p(-found)))
+
+
 def _directions(number: int, dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, number, dim]).standard_normal((dim, BITS))
 
@@ -225,8 +236,9 @@ def near_duplicates(
     vector_col: str = "embedding",
     label_col: str = "label",
     cosine: float = COSINE,
-    passes: int = PASSES,
+    passes: int | None = None,
     window: int = WINDOW,
+    miss: float = MISS,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector.
 
@@ -237,6 +249,7 @@ def near_duplicates(
     smallest id reachable by links; ``kept``: whether it is the vector's own.
     Rows with equal ids are vectors of their own that share one component.
     Other columns are ignored; an empty table gives an empty result.
+    ``passes`` follow from the largest label's size and ``miss`` where not given.
     """
     base = materialize(_profile(vectors, id_col, vector_col, label_col), "vec-profile")
     valid = base.where("unit is not null and vec_id is not null")
@@ -244,7 +257,9 @@ def near_duplicates(
     classes = materialize(classes, "vec-classes")
     reps = valid.join(classes.select(F.col("rep").alias("vec_id"), "hash_a", "hash_b", "copies"), ["vec_id", "hash_a", "hash_b"]).dropDuplicates(["vec_id", "hash_a", "hash_b"])
     reps = materialize(reps.select("vec_id", "label", "unit", "copies"), "vec-reps")
-    n = max(1, -(-reps.count() * passes // ROWS_PER_PARTITION))
+    total, largest = reps.groupBy("label", F.length("unit")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    passes = passes_for(largest, window, cosine, miss) if passes is None else passes
+    n = max(1, -(-total * passes // ROWS_PER_PARTITION))
     order = ["pass", "label", "dim", "key", "vec_id"]
     group = ["pass", "label", "dim"]
     laid = _keys(reps, passes).repartitionByRange(n, *order).sortWithinPartitions(*order)

@@ -140,6 +140,22 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_passes_follow_the_largest_label(spark):
+    for n in (1, 5_000, 50_000, 1_000_000, 30_000_000):
+        found = (1 - np.arccos(0.93) / np.pi) ** max(0, np.log2(n / 64))
+        assert (1 - found) ** embedding_dedup.passes_for(n, 64, 0.93) <= 1.01e-4
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((600, 32))
+    y -= (y * x[:600]).sum(1, keepdims=True) * x[:600]
+    y = 0.931 * x[:600] + np.sqrt(1 - 0.931**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(k, v.tolist(), 0) for k, v in enumerate(np.r_[x, y])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["component_id"] for r in embedding_dedup.near_duplicates(df, window=4).where("vec_id >= 6000").collect()}
+    assert got == {6000 + k: k for k in range(600)}
+
+
 def brute_items(texts, items):
     words = lambda t: re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     weight = lambda s: sum(len(w.encode()) for w in s)
