@@ -174,6 +174,26 @@ def test_classifier_dispatch_and_fit(spark):
         assert wrong == 0
 
 
+def test_model_queries_do_the_whole_job(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(v) for v in rng.standard_normal(4) + 2 * (k % 2)], str(k % 2)) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, x array<double>, y string")
+    score, error = models._cross_validated(df, 3, 2)({"max_features": 2, "min_samples_leaf": 1})
+    assert 0.5 < score <= 1 and 0 <= error < 0.3 and error != 0.01
+    seen = {}
+    monkeypatch.setattr(models, "_features", lambda *_: df)
+    monkeypatch.setattr(classify, "permutation_importance", lambda m, r, k, positions, repeats=5: seen.update(positions=positions, repeats=repeats))
+    models.permutation_importance(spark, "")
+    assert seen == {"positions": [0, 1, 2, 3], "repeats": 5}
+    monkeypatch.setattr(models, "_topic_documents", lambda *_: (df, 4))
+    monkeypatch.setattr(topics, "search_topics", lambda d, k, size, numbers, **options: seen.update(numbers=numbers, **options) or [(2, -1.0)])
+    models.search_topics(spark, "")
+    assert seen["numbers"] == list(range(2, 21)) and "iterations" not in seen
+    seen.clear()
+    monkeypatch.setattr(models, "_cross_validated", lambda rows, folds, trees: seen.update(folds=folds, trees=trees) or (lambda p: (p["max_features"] / 16, 0.02)))
+    assert models.tuning_history(spark, "").where("iteration = 0").count() == 20 and seen == {"folds": 5, "trees": 500}
+
+
 def test_sources(spark, tmp_path):
     rows = spark.createDataFrame([(1, 'say "hi"\nthere, you', "x")], "track_id int, lyrics string, pmax1 string")
     tables.write_csv(rows, str(tmp_path / "c"), index="track_id")
