@@ -1,16 +1,24 @@
 """Personal data, and the words that reveal it, with Spark expressions only.
 
 Emails, IP addresses, card and phone numbers are found by pattern.  Each value
-found is a protected entity.  The words around its mentions are terms, and the
-corpus says how much a term t tells about an entity e:
+found is a protected entity e.  Every other word of a text is a term t, and the
+corpus says how much a term tells about an entity.  Over the distinct texts,
 
-    disclosure(t, e) = PMI(t, e) / IC(e) = log(p(e|t) / p(e)) / -log p(e)
+    IC(e)     = -log2 p(e)                    what there is to disclose
+    PMI(t, e) = log2(p(e|t) / p(e))           what t discloses of it
+    hidden    = IC(e) - PMI(t, e)             bits that t leaves hidden
 
-with p(e|t) the share of the documents with t that mention e near t, and p(e)
-the share of all documents that mention e.  It is 1 where t gives e away.  Terms
-that were seen next to the entity in at least ``min_contexts`` different
-contexts are generalised near its mentions from ``generalise`` on, and removed
-from ``remove`` on.
+with p(e) the share of all texts that mention e, and p(e|t) that among the
+texts with t, taken at its lower confidence bound (Wilson, ``Z`` deviations),
+so that a few coincidences don't count: three texts of three leave 0.93 bits
+hidden, seven of seven 0.47, two of two 1.23.  A term that discloses at least
+half of IC(e) is generalised where at most ``generalise`` bits stay hidden, and
+removed where at most ``remove`` do, in every text that holds it, with the
+entity or without.
+
+Only entities in ``least(generalise)`` texts or more and terms that are in as
+many of those texts can get there; this drops nothing that the bounds would
+keep, and it is what keeps the tables of terms small.
 
 Positions come from cutting the text at the matches: the lengths of the pieces
 and of the matches add up to the offsets, in code points.
@@ -18,10 +26,12 @@ and of the matches add up to the offsets, in code points.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import materialize, small
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("term", "cut")  # generalised, removed
@@ -35,9 +45,12 @@ CARD = r"[0-9](?:(?![ -](?![0-9]))[0-9 -])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORD = r"\p{L}{3,}"
 
-CONTEXT = 64  # code points to each side of a mention
 BLOCK = 256  # matches whose positions are added up at a time
-MIN_CONTEXTS, GENERALISE, REMOVE = 3, 0.5, 0.9
+GENERALISE, REMOVE = 1.0, 0.5  # bits left hidden
+SHARE = 0.5  # of the entity's information
+Z = 1.645  # deviations of the lower bound
+BROADCAST_ROWS = 100_000  # terms or keys (about 50 bytes each) that go to all executors
+SALTS = 64
 
 _EMPTY = "cast(array() as array<struct<start:int,end:int,value:string>>)"
 
@@ -112,91 +125,152 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _terms(text: Column, span: Column, spans: Column) -> Column:
-    """Words around a span that no base span touches and the context's outer edges don't cut."""
-    low = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substr(text, low + 1, span["start"] - low)
-    right = F.substr(text, span["end"] + 1, F.lit(CONTEXT))
-    on = lambda side, shift, whole: F.transform(
-        F.filter(matches(side, WORD, F.lit(True)), whole),
-        lambda m: F.struct((m["start"] + shift).alias("start"), (m["end"] + shift).alias("end"), F.lower(m["value"]).alias("term")),
-    )
-    words = F.concat(
-        on(left, low, lambda m: (m["start"] > 0) | (low == 0)),
-        on(right, span["end"], lambda m: m["end"] < CONTEXT),
-    )
-    return F.filter(words, lambda w: ~F.exists(spans, lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("row_a", F.xxhash64("doc_id", "text")).withColumn("row_b", F.xxhash64("text", "doc_id", F.length("text")))
-
-
-def detect(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    min_contexts: int = MIN_CONTEXTS,
-    generalise: float = GENERALISE,
-    remove: float = REMOVE,
-) -> DataFrame:
-    """``doc_id, row_a, row_b, spans`` of every row: all spans as (kind, start, end).
-
-    ``row_a, row_b`` tell rows with different ids or texts apart.  Spans come
-    by kind (the base kinds as listed, then ``term`` and ``cut``) and start, in
-    code points, end exclusive.  Null and empty texts have none.  Counts are
-    documents, equal texts counted as often as they occur, but contexts with
-    equal text count once as evidence.  Repeated rows each have a row; other
-    columns don't count; an empty table gives an empty result.
+def lower_bound(n: Column, of: Column) -> Column:
+    """Wilson's lower confidence bound of a share n / of."""
+    z2 = Z * Z
+    p = n / of
+    return (p + z2 / (2 * of) - Z * F.sqrt((p * (1 - p) + z2 / (4 * of)) / of)) / (1 + z2 / of)
+
+
+def least(bits: float) -> int:
+    """The fewest texts of as many with which at most ``bits`` stay hidden: n / (n + Z^2) >= 2^-bits."""
+    share = 2.0**-bits
+    return max(1, math.ceil(Z * Z * share / (1 - share) - 1e-9)) if bits > 0 else 1 << 62
+
+
+def text_keys(text: Column) -> list[Column]:
+    """Two hashes that tell texts apart."""
+    return [F.xxhash64(text).alias("key_a"), F.xxhash64(F.lit(1), text, F.length(text)).alias("key_b")]
+
+
+KEYS = ["key_a", "key_b"]
+
+
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def _words(text: Column) -> Column:
+    """The distinct lower-cased words outside of emails, the only base spans with letters."""
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.array_distinct(F.transform(F.regexp_extract_all(bare, F.lit(WORD), F.lit(0)), F.lower))
+
+
+def _meet(rows: DataFrame, other: DataFrame, how: str = "inner", weight: Column | None = None) -> DataFrame:
+    """``rows`` joined with a written table of one row per text key, where one text may have a third of all rows.
+
+    A small ``other`` is broadcast.  Else every key of ``rows`` is dealt over
+    ``SALTS`` tasks, each with its own copy of the other side's rows.
     """
-    rows = _rows(docs, id_col, text_col)
-    base = rows.select("doc_id", "row_a", "row_b", "text", base_spans(F.col("text")).alias("base"))
-    mentions = F.transform(
-        "base",
-        lambda s: F.struct(
-            F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"),
-            F.xxhash64(F.substr("text", F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, s["end"] + CONTEXT - F.greatest(s["start"] - CONTEXT, F.lit(0)))).alias("context"),
-            _terms(F.col("text"), s, F.col("base")).alias("terms"),
-        ),
-    )
-    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    found = materialize(base.select("doc_id", "row_a", "row_b", plain.alias("spans"), mentions.alias("mentions")), "pii-base")
-
-    total = found.count()
-    seen = found.select("row_a", "row_b", F.explode("mentions").alias("m")).select("row_a", "row_b", "m.*")
-    uses = materialize(seen.select("row_a", "row_b", "entity", "context", F.explode("terms").alias("w")).select("row_a", "row_b", "entity", "context", "w.*"), "pii-uses")
-    evidence = uses.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    evidence = materialize(evidence.select("entity", "term"), "pii-evidence")
-    if evidence.isEmpty():
-        return found.select("doc_id", "row_a", "row_b", "spans")
-    with_term = _documents_with(rows, evidence.select("term").distinct())
-    mentioning = seen.select("row_a", "row_b", "entity").distinct().join(_weights(found), ["row_a", "row_b"]).groupBy("entity").agg(F.sum("n").alias("n_e"))
-    together = (
-        uses.select("row_a", "row_b", "entity", "term").distinct().join(evidence, ["entity", "term"]).join(_weights(found), ["row_a", "row_b"]).groupBy("entity", "term").agg(F.sum("n").alias("n_te"))
-    )
-    p_e, p_et = F.col("n_e") / total, F.col("n_te") / F.greatest("n_t", "n_te")
-    disclosure = F.when(p_e >= 1, F.lit(0.0)).otherwise(F.log(p_et / p_e) / -F.log(p_e))
-    telling = together.join(with_term, "term").join(mentioning, "entity").select("entity", "term", disclosure.alias("d")).where(F.col("d") >= generalise)
-    hits = uses.join(materialize(telling, "pii-telling"), ["entity", "term"])
-    added = hits.groupBy("row_a", "row_b", "start", "end").agg(F.max("d").alias("d")).groupBy("row_a", "row_b").agg(
-        F.sort_array(F.collect_list(F.struct((F.col("d") >= remove).alias("cut"), "start", "end"))).alias("more")
-    )
-    added = materialize(added, "pii-added")
-    more = F.transform("more", lambda s: F.struct(F.when(s["cut"], ADDED[1]).otherwise(ADDED[0]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return found.join(added, ["row_a", "row_b"], "left").select("doc_id", "row_a", "row_b", F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", more)).alias("spans"))
+    if small(other, BROADCAST_ROWS, weight):
+        return rows.join(F.broadcast(other), KEYS, how)
+    dealt = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    copies = other.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return dealt.join(copies, [*KEYS, "_salt"], how).drop("_salt")
 
 
-def _weights(found: DataFrame) -> DataFrame:
-    """How many rows have each (row_a, row_b), among those with mentions."""
-    return found.where(F.size("mentions") > 0).groupBy("row_a", "row_b").agg(F.count("*").alias("n"))
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if small(table, BROADCAST_ROWS) else table
 
 
-def _documents_with(rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, n_t``: documents that hold each term, pre-aggregated before the shuffle."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower))
-    return rows.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
+def disclosing_terms(found: DataFrame, texts: DataFrame, generalise: float, remove: float) -> tuple[DataFrame, DataFrame] | None:
+    """``term, cut`` of the terms that disclose an entity, and ``key_a, key_b, term`` of the distinct texts that hold candidates.
+
+    ``found``: key_a, key_b, entities, words of all rows, as :func:`_found`
+    makes them; ``texts``: key_a, key_b, text.  None where no entity is in
+    enough texts.
+    """
+    support = least(generalise)
+    mentions = found.where(F.size("entities") > 0).groupBy(*KEYS).agg(F.first("entities").alias("entities"), F.first("words").alias("words"))
+    mentions = materialize(mentions, "pii-mentions")
+    per_text = mentions.select(*KEYS, F.explode("entities").alias("entity"))
+    # Entities of the same texts have the same terms: one of them stands for all.
+    marks = F.count("*").alias("n_e"), F.sum(F.xxhash64(*KEYS).cast("decimal(38,0)")).alias("mark_a"), F.sum(F.xxhash64("key_b", "key_a").cast("decimal(38,0)")).alias("mark_b")
+    known = per_text.groupBy("entity").agg(*marks).where(F.col("n_e") >= support)
+    known = materialize(known.groupBy("n_e", "mark_a", "mark_b").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "pii-entities")
+    most = known.agg(F.max("n_e")).first()[0]
+    if most is None:
+        return None
+    held = materialize(per_text.join(_few(known), "entity"), "pii-held")
+
+    near = mentions.join(held.select(*KEYS).distinct(), KEYS, "left_semi")
+    candidates = near.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    candidates = materialize(candidates.select("term"), "pii-candidates")
+    words = texts.select(*KEYS, F.explode(_words(F.col("text"))).alias("term"))
+    # p(e|t) <= n_e / n_t, so a term of more texts than this discloses nothing.
+    too_many = most / 2.0**-generalise
+    if not small(candidates, BROADCAST_ROWS):
+        counted = words.distinct().groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= too_many)
+        candidates = materialize(counted.join(candidates, "term", "left_semi").select("term"), "pii-candidates")
+    holders = materialize(words.join(_few(candidates), "term", "left_semi").distinct(), "pii-holders")
+
+    n_t = holders.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= too_many)
+    both = held.join(holders, KEYS).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    total = float(found.select(*KEYS).distinct().count())
+    bound = lower_bound(F.col("n_te").cast("double"), F.col("n_t").cast("double"))
+    p_e, hidden = F.col("n_e") / F.lit(total), -F.log2(bound)
+    telling = both.join(n_t, "term").where((hidden <= generalise + 1e-9) & (F.log2(bound / p_e) > 0) & (F.log2(bound / p_e) >= SHARE * -F.log2(p_e)))
+    telling = telling.groupBy("term").agg(F.min(hidden).alias("hidden")).select("term", (F.col("hidden") <= remove + 1e-9).alias("cut"))
+    return materialize(telling, "pii-telling"), holders
+
+
+def added_spans(found: DataFrame, texts: DataFrame, generalise: float, remove: float) -> DataFrame | None:
+    """``key_a, key_b, more``: spans (kind, start, end) of the disclosing terms in each distinct text that holds some."""
+    terms = disclosing_terms(found, texts, generalise, remove)
+    if terms is None or terms[0].isEmpty():
+        return None
+    telling, holders = terms
+    lists = [F.collect_list(F.when(c, F.col("term"))).alias(name) for c, name in ((~F.col("cut"), "general"), (F.col("cut"), "cuts"))]
+    hits = materialize(holders.join(_few(telling), "term").groupBy(*KEYS).agg(*lists), "pii-hits")
+    own = _meet(texts, hits.select(*KEYS)).groupBy(*KEYS).agg(F.first("text").alias("text")).join(hits, KEYS)
+    emails = matches(F.col("text"), EMAIL, F.contains("text", F.lit("@")))
+    own = own.select(*KEYS, "general", "cuts", emails.alias("emails"), matches(F.col("text"), WORD, F.lit(True)).alias("words"))
+    apart = F.filter("words", lambda w: ~F.exists("emails", lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
+    own = own.select(*KEYS, "general", "cuts", F.when(F.size("emails") == 0, F.col("words")).otherwise(apart).alias("words"))
+
+    def of(names: str, kind: str) -> Column:
+        chosen = F.filter("words", lambda w: F.array_contains(F.col(names), F.lower(w["value"])))
+        return F.transform(chosen, lambda w: F.struct(F.lit(kind).alias("kind"), w["start"].alias("start"), w["end"].alias("end")))
+
+    spans = own.select(*KEYS, F.concat(of("general", ADDED[0]), of("cuts", ADDED[1])).alias("more"))
+    return materialize(spans.where(F.size("more") > 0), "pii-added")
+
+
+def _entities(base: Column) -> Column:
+    """Hashes of the values: emails without case, numbers by their digits."""
+    value = lambda s: F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(_digits(s["value"]))
+    return F.array_distinct(F.transform(base, lambda s: F.xxhash64(s["kind"], value(s))))
+
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    text = _text(text_col)
+    return docs.select(*text_keys(text), text.alias("text"))
+
+
+def _found(rows: DataFrame, *more: str) -> DataFrame:
+    """Of rows with key_a, key_b, text: their keys, base spans (kind, start, end), entities, and the words of those with entities."""
+    base = rows.select(*more, *KEYS, "text", base_spans(F.col("text")).alias("base"))
+    plain = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    words = F.when(F.size("base") > 0, _words(F.col("text")))
+    return materialize(base.select(*more, *KEYS, plain.alias("spans"), _entities(F.col("base")).alias("entities"), words.alias("words")), "pii-base")
+
+
+def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """``doc_id, key_a, key_b, spans`` of every row: all spans as (kind, start, end).
+
+    ``key_a, key_b`` tell different texts apart.  Spans come by kind (the base
+    kinds as listed, then ``term`` and ``cut``) and start, in code points, end
+    exclusive.  Null and empty texts have none.  Evidence is counted in
+    distinct texts, so that exact copies add nothing.  Repeated rows each have
+    a row; other columns don't count; an empty table gives an empty result.
+    """
+    text = _text(text_col)
+    found = _found(docs.select(F.col(id_col).alias("doc_id"), *text_keys(text), text.alias("text")), "doc_id")
+    added = added_spans(found, _texts(docs, text_col), generalise, remove)
+    if added is None:
+        return found.select("doc_id", *KEYS, "spans")
+    both = _meet(found.select("doc_id", *KEYS, "spans"), added, "left", F.size("more"))
+    return both.select("doc_id", *KEYS, F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -231,15 +305,15 @@ def redact(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.element_at(F.transform(F.array(apart), build), 1))
 
 
-def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Rows of ``docs`` with all columns; texts are redacted, null texts stay null."""
-    found = detect(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0)
-    found = materialize(found.select("row_a", "row_b", F.col("spans").alias("_spans")).dropDuplicates(["row_a", "row_b"]), "pii-spans")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keys = (F.xxhash64(id_col, text).alias("row_a"), F.xxhash64(text, id_col, F.length(text)).alias("row_b"))
-    marked = docs.select(F.struct("*").alias("_doc"), *keys, (F.size(base_spans(text)) > 0).alias("_held"))
-    # Only texts with personal data meet their spans; the others stay where they are.
-    held = marked.where("_held").join(found, ["row_a", "row_b"], "left")
-    clean = F.when(F.col("_spans").isNull(), F.col("_doc")[text_col]).otherwise(redact(F.col("_doc")[text_col], F.col("_spans")))
-    redacted = held.select(*(clean.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns))
-    return redacted.unionByName(marked.where("not _held").select(*(F.col("_doc")[c].alias(c) for c in docs.columns)))
+    texts = _texts(docs, text_col)
+    added = added_spans(_found(texts), texts, generalise, remove)
+    text = _text(text_col)
+    rows = docs.select(F.struct("*").alias("_doc"), *text_keys(text), F.transform(base_spans(text), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("_spans"))
+    if added is not None:
+        both = _meet(rows, added, "left", F.size("more"))
+        rows = both.select("_doc", F.when(F.col("more").isNull(), F.col("_spans")).otherwise(F.concat("_spans", "more")).alias("_spans"))
+    whole = F.col("_doc")[text_col]
+    clean = F.when(F.size("_spans") == 0, whole).otherwise(redact(whole, F.col("_spans")))
+    return rows.select(*(clean.alias(c) if c == text_col else F.col("_doc")[c].alias(c) for c in docs.columns))

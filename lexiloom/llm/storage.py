@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _own: dict[str, str] = {}
@@ -36,6 +37,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, rows: int, weight: Column | None = None, most: int = 1_000_000) -> bool:
+    """Whether a written table has at most ``rows`` rows, of a ``weight`` of at most ``most`` together: proof before a broadcast."""
+    counted = table.agg(F.count("*").alias("n"), *([F.sum(weight).alias("w")] if weight is not None else [])).first()
+    return counted["n"] <= rows and (weight is None or (counted["w"] or 0) <= most)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches small enough for long texts: at most ``rows`` rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
