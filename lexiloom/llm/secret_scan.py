@@ -1,8 +1,9 @@
 """Secret scans with multipart credential linking.
 
 Three kinds of secrets are strong by themselves: assignments to names such as
-``password``, access keys and long hexadecimal runs.  Others are weak: a bare
-user or account identifier, a mixed token or an endpoint means nothing alone.
+``password``, access keys and long hexadecimal runs.  Others are weak and mean
+nothing alone: identifiers (user and account names, email addresses), mixed
+tokens, and endpoints (URLs, named hosts, IPv4 addresses and hosts with ports).
 Each part has a scope, its span widened by ``SCOPE`` code points to both sides.
 The scopes of access identifiers, secrets and endpoints of one text are
 interval-joined, and a weak part is reported only when parts of the other two
@@ -11,6 +12,10 @@ roles, or a strong secret and one other role, lie within its scope.
 The join is a sorted sweep: per role, the nearest part on each side of a part
 decides whether any part of that role is in scope, so the work is n log n for
 any number of parts and no pairs are built.
+
+A text without an assigned name, an access key or a run of 20 characters that
+a token is made of can't have a span; a linear search over the Arrow column
+leaves such texts out before any Python code looks at them.
 """
 
 from __future__ import annotations
@@ -19,7 +24,9 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +43,15 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 # May follow "=", ":" or a quote; the run is taken whole, so that the work stays linear in its length.
 _MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _USER = re.compile(r"""(?i:\b(?:user(?:name|_id)?|login|account|client_?id|key_?id))["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9+/_.@-]{3,})""")
+_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_ADDRESS = re.compile(r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{1,5})?(?![0-9A-Za-z.]?[0-9A-Za-z])")
+_PORT = re.compile(r"(?<![A-Za-z0-9.-])(?=[A-Za-z0-9-]++\.)[A-Za-z0-9.-]++:[0-9]{2,5}(?![0-9A-Za-z])")
 _URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9][^\s\"'<>|]{2,}")
 _HOST = re.compile(r"""(?i:\b(?:host|endpoint|server|base_?url))["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9][A-Za-z0-9.:/_-]{3,})""")
 
+# What a text with any span has: a strong secret or a token.
+_SOME = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[A-Za-z0-9+/_-]{20}"
+
 #: Reported kinds in their order; the weak ones follow the base.
 KINDS = ("assign", "access", "hex", "identifier", "token", "endpoint")
 
@@ -59,8 +72,13 @@ def _weak(text: str) -> list[tuple[int, int, str, int]]:
     if ":" in text or "=" in text:
         out += [(m.start(1), m.end(1), "identifier", IDENTIFIER) for m in _USER.finditer(text)]
         out += [(m.start(1), m.end(1), "endpoint", ENDPOINT) for m in _HOST.finditer(text)]
+        out += [(m.start(), m.end(), "endpoint", ENDPOINT) for m in _PORT.finditer(text)]
     if "://" in text:
         out += [(m.start(), m.end(), "endpoint", ENDPOINT) for m in _URL.finditer(text)]
+    if "@" in text:
+        out += [(m.start(), m.end(), "identifier", IDENTIFIER) for m in _MAIL.finditer(text)]
+    if "." in text:
+        out += [(m.start(), m.end(), "endpoint", ENDPOINT) for m in _ADDRESS.finditer(text)]
     out += [(m.start(), m.end(), "token", SECRET) for m in _MIXED.finditer(text)]
     return out
 
@@ -75,8 +93,6 @@ def scan_text(text: str, scope: int = SCOPE) -> tuple[list[tuple[int, int, str]]
     """Spans (start, end, kind) by start and kind, and credentials: the first
     and last code point of each run of linked parts."""
     strong = _base(text)
-    if not strong and "://" not in text and ":" not in text and "=" not in text:
-        return [], []
     weak = _weak(text)
     covered = sorted((s, e) for s, e, _, _ in strong)
     begins, tops = [s for s, _ in covered], []
@@ -120,26 +136,28 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sco
     start and then by kind as in ``KINDS``; ``credentials``: extents of runs of
     parts of at least two roles within each other's scopes.  A weak part that
     overlaps a strong one is left to that one.  Null and empty texts have
-    neither.  Repeated rows each have a row; other columns don't count; an
-    empty table gives an empty result.
+    neither; bytes that aren't UTF-8 count as U+FFFD.  Repeated rows each have a
+    row; other columns don't count; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, credentials = [], []
-            for text in batch.column(1).to_pylist():
-                found, linked = scan_text(text or "", scope)
-                spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-                credentials.append([{"start": s, "end": e} for s, e in linked])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))),
-                    pa.array(credentials, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                ],
-                ["doc_id", "spans", "credentials"],
-            )
+            n = batch.num_rows
+            some = np.flatnonzero(pc.fill_null(pc.match_substring_regex(batch.column(1), _SOME), False).to_numpy(zero_copy_only=False))
+            sizes = np.zeros((2, n), np.int32)
+            spans, linked = [], []
+            for row, text in zip(some.tolist(), batch.column(1).take(pa.array(some)).to_pylist()):
+                found, credentials = scan_text(text, scope)
+                sizes[:, row] = len(found), len(credentials)
+                spans += found
+                linked += credentials
+            columns = [pa.array([x[k] for x in spans], t) for k, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))]
+            extents = [pa.array([x[k] for x in linked], pa.int64()) for k in (0, 1)]
+            cells = []
+            for size, fields, names in ((sizes[0], columns, ["start", "end", "kind"]), (sizes[1], extents, ["start", "end"])):
+                cells.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.StructArray.from_arrays(fields, names)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["doc_id", "spans", "credentials"])
 
     bounded_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    narrow = docs.select(F.col(id_col).cast("long"), F.make_valid_utf8(F.col(text_col).cast("string")))
     return narrow.mapInArrow(run, "doc_id long, spans array<struct<start:long,end:long,kind:string>>, credentials array<struct<start:long,end:long>>")

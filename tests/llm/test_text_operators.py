@@ -244,9 +244,51 @@ def test_secret_values_of_names_and_long_keys(form, secret):
     assert secret_scan.scan_text(form.format(secret)) == ([], [])
 
 
+def brute_links(t):
+    """Each weak part against each other part."""
+    strong = secret_scan._base(t)
+    meets = lambda a, b, by=0: a[0] < b[1] + by and b[0] < a[1] + by
+    weak = {w for w in secret_scan._weak(t) if not any(meets(w, x) for x in strong)}
+    kept = []
+    for w in weak:
+        others = [x for x in [*weak, *strong] if x[3] != w[3] and meets(w, x, secret_scan.SCOPE)]
+        if len({x[3] for x in others}) == 2 or any(x[2] in secret_scan.KINDS[:3] for x in others):
+            kept.append(w)
+    order = secret_scan.KINDS.index
+    return sorted(((s, e, k) for s, e, k, _ in strong + kept), key=lambda x: (x[0], order(x[2]), x[1]))
+
+
+PIECES = ["token = ", "user: bob99", "a.b@corp.example", "10.0.0.7", "db.corp.example:5432", "https://x.example/p", "wJalrXUtnFEMIK7MDENGbPx", "AKIA" + "Q7" * 8, "0af9" * 8, "x" * 60, "host=h1.example", "12345678abc", "é"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=16).map(" ".join))
+def test_secret_links_against_all_pairs(t):
+    assert secret_scan.scan_text(t)[0] == brute_links(t)
+
+
+def test_secret_scan_of_whole_tables(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = queries._table(spark, folder, "documents")
+    rows = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in secret_scan.scan(docs).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert rows == {d: brute_links(t) for d, t in texts.items()}
+
+
+def test_secret_parts_by_kind_and_broken_bytes(spark):
+    near = "ssh admin@db.corp.example 10.1.2.3:22 wJalrXUtnFEMIK7MDENG"
+    assert [(k, near[s:e]) for s, e, k in secret_scan.scan_text(near)[0]] == [
+        ("identifier", "admin@db.corp.example"), ("endpoint", "10.1.2.3:22"), ("token", "wJalrXUtnFEMIK7MDENG")]
+    assert secret_scan.scan_text("mail a@b.example from 10.1.2.3")[0] == [] == secret_scan.scan_text("version 1.2.3.4.5 a@b.c")[0]
+    broken = spark.createDataFrame([(1, b"\xff token = hunter2hunter2")], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    assert [tuple(s) for s in secret_scan.scan(broken).first()["spans"]] == [(2, 24, "assign")]
+
+
 def test_secret_long_runs():
     for run in ("k" * 300_000, "aB3=" * 75_000, "a1/" * 100_000 + "===", "key_" * 75_000 + "="):
         assert secret_scan.scan_text(run + " x: y") == ([], [])
+    for run in ("a." * 150_000, "1." * 150_000, "a-" * 150_000, "9" * 300_000, "x@" * 150_000, "a:" * 150_000, "user " * 60_000):
+        secret_scan.scan_text("token " + run)
 
 
 # --- chat -----------------------------------------------------------------------------
