@@ -2,15 +2,23 @@
 
 Rows lie in old shards and are to lie in new ones whose capacities are given
 (here: equal bytes).  The cost of a byte is 0 where it stays in its shard and 1
-where it moves.  The flow from old sizes to new capacities with the least cost
-is found on the driver, on a graph of shards only.  An old shard is an ordered
-line of bytes, block after block; the flow cuts the line into segments, one for
-each target, and a row goes where the segment at its first byte goes.
-
-Blocks are sets of rows of one old shard, chosen by the hash of the text so
-that equal texts lie side by side.  A text whose copies fill more than a
-block's share is dealt over several blocks by id.  Positions come from block
-sizes (a bounded number of them) and a running sum inside each block.
+where it moves.  What moves are groups, all rows of one text, so that equal
+texts end in one shard.  A group's home is the old shard with most of its rows'
+bytes.
+
+1. Heavy groups, those of more than 1/``FINE`` of a new shard, are few
+   (``FINE`` times the shards at most) and are placed by the driver, largest
+   first: at home where there is room, else where there is most.  A group of
+   more than 1/``WHOLE`` of a shard can't stay whole if shards are to be equal;
+   it is dealt by id into parts of that size at most, each in one shard.
+2. The other groups are laid out at their homes as lines of bytes, block after
+   block.  The flow from the homes' sizes to the room that is left, on a graph
+   of shards only, cuts each line into segments, and a group goes where the
+   segment at its first byte goes.
+3. Slots come from counts by shard and block (a bounded number of them) and the
+   place of a row inside its block.
+
+No row is joined by a hot key: heavy groups are broadcast, others are small.
 """
 
 from __future__ import annotations
@@ -24,7 +32,9 @@ from pyspark.sql.window import Window
 from .storage import materialize
 
 ROW_OVERHEAD = 8
-BLOCKS_PER_SHARD = 256  # the driver sees old shards x this many block sizes
+BLOCKS_PER_SHARD = 256  # the driver sees shards x this many block sizes
+FINE, WHOLE = 256, 4
+FILE_BYTES = 256 << 20
 
 
 def minimum_cost_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
@@ -90,32 +100,73 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", old
     )
 
 
-def reshard(rows: DataFrame, new_shards: int, *, blocks: int = BLOCKS_PER_SHARD) -> DataFrame:
+def fill(loads: list[int], total: int) -> list[int]:
+    """Room for ``total`` more that makes shards of these loads as equal as can be."""
+    level, order = 0, sorted(loads)
+    for k, load in enumerate(order):
+        level = (sum(order[: k + 1]) + total) // (k + 1)
+        if k + 1 == len(order) or level <= order[k + 1]:
+            break
+    room = [max(0, level - x) for x in loads]
+    rest = total - sum(room)
+    for j in sorted(range(len(loads)), key=lambda j: (loads[j] + room[j], j))[:rest]:
+        room[j] += 1
+    return room
+
+
+def place_heavy(parts: list[tuple[int, int]], capacity: list[int]) -> list[int]:
+    """Shard of each part (size, home), largest first: the home where it has room, else the shard with most room."""
+    room, out = list(capacity), [0] * len(parts)
+    for k in sorted(range(len(parts)), key=lambda k: (-parts[k][0], k)):
+        size, home = parts[k]
+        out[k] = home if home < len(room) and room[home] >= size else max(range(len(room)), key=lambda j: (room[j], -j))
+        room[out[k]] -= size
+    return out
+
+
+def reshard(rows: DataFrame, new_shards: int, *, blocks: int = BLOCKS_PER_SHARD, fine: int = FINE, whole: int = WHOLE) -> DataFrame:
     """Assign ``shard`` and ``slot`` to rows made by :func:`measure`.
 
-    New sizes differ by no more than twice the largest row.  Slots count from 0
-    without gaps in each shard.  Null texts have the size of an empty row.
-    Repeated rows are rows of their own.  An empty table gives an empty result.
+    Rows of equal texts get one shard, but for texts whose rows have more than
+    1/``whole`` of a shard's bytes: these lie in as few shards as parts of that
+    size allow.  Shard sizes differ by the cuts of the flow's segments, 1/``fine``
+    of a shard each at most, and by a single row or heavy part where that is
+    larger.  Slots count from 0 without gaps in each shard.  Null texts are
+    equal and have the size of an empty row.  Repeated rows are rows of their
+    own.  An empty table gives an empty result.
     """
     spark = rows.sparkSession
     rows = materialize(rows, "shard-rows")
-    per_old = {r["old"]: int(r["bytes"]) for r in rows.groupBy("old").agg(F.sum("size").alias("bytes")).collect()}
-    share = max(1, sum(per_old.values()) // max(1, len(per_old)) // blocks)
-    # At most as many heavy groups as there are blocks' shares in all rows.
-    heavy = rows.groupBy("old", "text_hash").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > share)
-    heavy = F.broadcast(heavy.select("old", "text_hash", F.ceil(F.col("bytes") / share).cast("long").alias("parts")))
-    copies = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("parts")), F.lit(0))
-    blocked = materialize(
-        rows.join(heavy, ["old", "text_hash"], "left")
-        .withColumn("block", F.pmod(F.xxhash64("text_hash", copies), F.lit(blocks)).cast("int"))
-        .drop("parts"),
-        "shard-blocks",
-    )
-    sizes = blocked.groupBy("old", "block").agg(F.sum("size").alias("bytes")).orderBy("old", "block").collect()
-    n_old = max([new_shards, *(k + 1 for k in per_old)])
-    supply = [per_old.get(k, 0) for k in range(n_old)]
-    flow = minimum_cost_flow(supply, equal_capacities(sum(supply), new_shards))
-    segments, at_old = [], [0] * n_old
+    at_home = rows.groupBy("text_hash", "old").agg(F.sum("size").alias("bytes"))
+    groups = at_home.groupBy("text_hash").agg(F.sum("bytes").alias("bytes"), F.max_by("old", F.struct("bytes", -F.col("old"))).alias("home"))
+    groups = materialize(groups.withColumn("block", F.pmod(F.xxhash64("text_hash"), F.lit(blocks)).cast("int")), "shard-groups")
+    total = int(groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
+    capacity = equal_capacities(total, new_shards)
+    limit, most = max(1, total // new_shards // fine), max(1, total // new_shards // whole)
+
+    heavy = groups.where(F.col("bytes") > limit).orderBy(F.desc("bytes"), "text_hash").collect()
+    split = [(r["text_hash"], -(-int(r["bytes"]) // most)) for r in heavy if r["bytes"] > most]
+    dealt = rows.join(F.broadcast(spark.createDataFrame(split, "text_hash long, parts int")), "text_hash", "left")
+    dealt = dealt.withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id", "text_hash"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    homes = {r["text_hash"]: r["home"] for r in heavy}
+    parts = [(r["text_hash"], 0, int(r["bytes"]), r["home"]) for r in heavy if r["bytes"] <= most]
+    if split:
+        cut = dealt.where(F.col("text_hash").isin([h for h, _ in split])).groupBy("text_hash", "part").agg(F.sum("size").alias("bytes"))
+        parts += [(r["text_hash"], r["part"], int(r["bytes"]), homes[r["text_hash"]]) for r in cut.orderBy("text_hash", "part").collect()]
+    shards = place_heavy([(p[2], p[3]) for p in parts], capacity)
+    loads = [0] * new_shards
+    for p, shard in zip(parts, shards):
+        loads[shard] += p[2]
+
+    light = groups.where(F.col("bytes") <= limit)
+    sizes = light.groupBy("home", "block").agg(F.sum("bytes").alias("bytes")).orderBy("home", "block").collect()
+    n_old = max([new_shards, *(r["home"] + 1 for r in sizes)])
+    supply, begins = [0] * n_old, []
+    for r in sizes:
+        begins.append((r["home"], r["block"], supply[r["home"]]))
+        supply[r["home"]] += int(r["bytes"])
+    flow = minimum_cost_flow(supply, fill(loads, sum(supply)))
+    segments = []
     for i in range(n_old):
         start = 0
         # What stays lies first, so that a file keeps its front.
@@ -123,26 +174,31 @@ def reshard(rows: DataFrame, new_shards: int, *, blocks: int = BLOCKS_PER_SHARD)
             if flow[i][j]:
                 segments.append((i, start, start + flow[i][j], j))
                 start += flow[i][j]
-    begins = []
-    for r in sizes:
-        begins.append((r["old"], r["block"], at_old[r["old"]]))
-        at_old[r["old"]] += int(r["bytes"])
-    begins = F.broadcast(spark.createDataFrame(begins, "old int, block int, begin long"))
-    segments = F.broadcast(spark.createDataFrame(segments, "old int, low long, high long, shard int"))
-    line = Window.partitionBy("old", "block").orderBy("text_hash", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
-    placed = blocked.withColumn("before", F.coalesce(F.sum("size").over(line), F.lit(0))).join(begins, ["old", "block"])
-    placed = placed.withColumn("at", F.col("begin") + F.col("before")).join(segments, "old").where("at >= low and at < high")
-    placed = materialize(placed.select("doc_id", "size", "text_crc32", "old", "block", "at", "shard"), "shard-placed")
-    counts = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).orderBy("shard", "old", "block").collect()
+    begins = F.broadcast(spark.createDataFrame(begins, "home int, block int, begin long"))
+    segments = F.broadcast(spark.createDataFrame(segments, "home int, low long, high long, shard int"))
+    line = Window.partitionBy("home", "block").orderBy("text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    lined = light.withColumn("before", F.sum("bytes").over(line)).join(begins, ["home", "block"]).withColumn("at", F.col("begin") + F.coalesce("before", F.lit(0)))
+    of_light = lined.join(segments, "home").where("at >= low and at < high").select("text_hash", "shard")
+
+    of_parts = F.broadcast(spark.createDataFrame([(p[0], p[1], s) for p, s in zip(parts, shards)], "text_hash long, part int, heavy_shard int"))
+    dealt = dealt.join(of_parts, ["text_hash", "part"], "left")
+    columns = ["doc_id", "size", "text_crc32", "old", "block", "shard"]
+    of_rows = dealt.where("heavy_shard is not null")
+    # Rows of a heavy group are dealt over all blocks, as none of them could take it.
+    of_rows = of_rows.select("doc_id", "size", "text_crc32", "old", F.pmod(F.xxhash64("doc_id", "size"), F.lit(blocks)).cast("int").alias("block"), F.col("heavy_shard").alias("shard"))
+    others = dealt.where("heavy_shard is null").withColumn("block", F.pmod(F.xxhash64("text_hash"), F.lit(blocks)).cast("int")).join(of_light, "text_hash")
+    placed = materialize(others.select(*columns).unionByName(of_rows.select(*columns)), "shard-placed")
+
+    counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n")).orderBy("shard", "block").collect()
     offsets, seen = [], dict.fromkeys(range(new_shards), 0)
     for r in counts:
-        offsets.append((r["shard"], r["old"], r["block"], seen[r["shard"]]))
+        offsets.append((r["shard"], r["block"], seen[r["shard"]]))
         seen[r["shard"]] += r["n"]
-    offsets = F.broadcast(spark.createDataFrame(offsets, "shard int, old int, block int, first long"))
-    inside = Window.partitionBy("shard", "old", "block").orderBy("at")
+    offsets = F.broadcast(spark.createDataFrame(offsets, "shard int, block int, first long"))
+    inside = Window.partitionBy("shard", "block").orderBy("text_crc32", "size", "doc_id", "old")
     return (
         placed.withColumn("place", F.row_number().over(inside) - 1)
-        .join(offsets, ["shard", "old", "block"])
+        .join(offsets, ["shard", "block"])
         .select("doc_id", "size", "text_crc32", "old", "shard", (F.col("first") + F.col("place")).alias("slot"))
     )
 
@@ -153,15 +209,19 @@ def affected(plan: DataFrame) -> list[int]:
     return sorted(r["s"] for r in moved.collect())
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, folder: str, *, id_col: str = "doc_id") -> list[int]:
+def rewrite(docs: DataFrame, plan: DataFrame, folder: str, *, id_col: str = "doc_id", file_bytes: int = FILE_BYTES) -> list[int]:
     """Write the shards that changed to ``folder``/shard=N, in slot order, and
     leave the files of all others alone; returns the shards written.
 
-    ``id_col`` must tell rows apart.  Only the named partitions are replaced;
-    columns ``shard`` and ``slot`` of ``docs`` give way to the plan's.
+    ``id_col`` must tell rows apart.  A shard is written as runs of slots of
+    about ``file_bytes``, by as many tasks.  Only the named partitions are
+    replaced; columns ``shard`` and ``slot`` of ``docs`` give way to the plan's.
     """
     shards = affected(plan)
-    rows = docs.drop("shard", "slot").join(plan.select(F.col("doc_id").alias(id_col), "shard", "slot").where(F.col("shard").isin(shards)), id_col)
-    spread = rows.repartition("shard").sortWithinPartitions("shard", "slot")
+    moved = plan.where(F.col("shard").isin(shards))
+    size = moved.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] if "size" in plan.columns else 0
+    rows = docs.drop("shard", "slot").join(moved.select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
+    tasks = max(1, len(shards), -(-int(size) // file_bytes))
+    spread = rows.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot")
     spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(folder)
     return shards

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.llm import components, decontaminate, embedding_dedup, minhash, quality, queries, sharding, toxicity
 
@@ -227,28 +228,79 @@ def test_minimum_cost_flow():
         sharding.minimum_cost_flow([3], [1, 1])
 
 
+def test_room_that_makes_shards_equal():
+    rng = random.Random(3)
+    for _ in range(200):
+        loads, total = [rng.randrange(40) for _ in range(rng.randrange(1, 8))], rng.randrange(200)
+        room = sharding.fill(loads, total)
+        after = [a + b for a, b in zip(loads, room)]
+        assert sum(room) == total and min(room) >= 0 and all(b == 0 or a <= min(after) + 1 for a, b in zip(after, room))
+
+
+def check_plan(rows, texts, shards):
+    """Every row once, gapless slots, its own size; returns the shards of each text and the bytes of each shard."""
+    assert sorted(r["doc_id"] for r in rows) == sorted(d for d, _ in texts)
+    text = dict(texts)
+    sizes, slots, of_text = Counter(), defaultdict(list), defaultdict(set)
+    for r in rows:
+        t = text[r["doc_id"]]
+        assert r["size"] == 8 + len((t or "").encode())
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        of_text[t].add(r["shard"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) <= set(range(shards))
+    return of_text, sizes
+
+
 def test_resharding_and_rewriting(spark, tmp_path):
     rng = random.Random(6)
-    texts = ["copy " * 20] * 700 + ["é" * rng.randrange(300) for _ in range(1300)] + [None, ""]
+    texts = ["copy " * 20] * 700 + ["é" * rng.randrange(300) for _ in range(1300)] + [None, None, "", ""]
     docs = spark.createDataFrame([(k, t, 9, 9) for k, t in enumerate(texts)], "doc_id long, text string, size int, shard int")
     rows = sharding.reshard(sharding.measure(docs, old_shards=5), 8, blocks=16).collect()
-    assert sorted(r["doc_id"] for r in rows) == list(range(len(texts)))
-    sizes, slots = Counter(), defaultdict(list)
-    for r in rows:
-        assert r["size"] == 8 + len((texts[r["doc_id"]] or "").encode())
-        sizes[r["shard"]] += r["size"]
-        slots[r["shard"]].append(r["slot"])
+    of_text, sizes = check_plan(rows, list(enumerate(texts)), 8)
+    share = sum(sizes.values()) / 8
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2 * 608
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(s) == 1 for t, s in of_text.items() if t != texts[0]) and len(of_text[texts[0]]) <= -(-700 * 108 // (share // 4))
     plan = spark.createDataFrame(rows)
-    written = sharding.rewrite(docs, plan, str(tmp_path / "d"))
+    written = sharding.rewrite(docs, plan, str(tmp_path / "d"), file_bytes=20_000)
     back = spark.read.parquet(str(tmp_path / "d"))
     assert written == list(range(8)) and back.count() == len(texts)
+    assert len(list((tmp_path / "d").glob("shard=*/*.parquet"))) > 8
     assert sharding.reshard(sharding.measure(docs.limit(0)), 8).count() == 0
     still = spark.createDataFrame([(1, 0, 0, 0), (2, 1, 1, 0)], "doc_id long, old int, shard int, slot long")
     assert sharding.rewrite(docs, still, str(tmp_path / "e")) == []
 
 
+def test_resharding_moves_as_little_as_the_flow(spark):
+    """Groups of one row each, small against a shard: what moves is what the flow moves, but for the cuts."""
+    rng = random.Random(1)
+    texts = [(k, f"{k} " + "x" * rng.randrange(60)) for k in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    place = F.when(F.col("doc_id") < 2000, F.lit(0)).otherwise(F.lit(1))
+    rows = sharding.reshard(sharding.measure(docs, old=place), 4, blocks=8).collect()
+    check_plan(rows, texts, 4)
+    old, total = Counter(), sum(r["size"] for r in rows)
+    for r in rows:
+        old[r["old"]] += r["size"]
+    least = total - sum(min(old[k], total / 4) for k in range(4))
+    assert abs(sum(r["size"] for r in rows if r["old"] != r["shard"]) - least) <= 4 * 80
+
+
+def test_resharding_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a")] * 3 + [(1, None), (2, "a"), (None, "b")], "doc_id long, text string")
+    rows = sharding.reshard(sharding.measure(docs), 2, whole=1).collect()
+    assert len(rows) == 6 and len({(r["shard"], r["slot"]) for r in rows}) == 6
+
+
+@needs_tables
+def test_resharding_of_whole_tables(spark):
+    rows = queries.op10_sharding(spark, FOLDER).collect()
+    texts = [(r["doc_id"], r["text"]) for r in queries._table(spark, FOLDER, "documents").collect()]
+    of_text, sizes = check_plan(rows, texts, 24)
+    assert all(len(s) == 1 for s in of_text.values())
+    assert max(sizes.values()) - min(sizes.values()) <= max(2 * sum(sizes.values()) / 24 / sharding.FINE, max(r["size"] for r in rows) / 8)
+
+
 @needs_tables
 def test_quality_on_held_out_rows(spark):
     docs, labels = queries._table(spark, FOLDER, "documents"), queries._table(spark, FOLDER, "labels")
