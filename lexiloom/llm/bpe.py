@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .storage import bounded_batches
 
 CACHE_ENTRIES = 1 << 18  # per Python worker
 MAX_VOCABULARY_BYTES = 64 << 20  # what may be sent to every executor
@@ -251,8 +250,8 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
     ``vocabulary``: path of a rank file on the driver; its content goes to the
     executors.  ``ids``: the token ids as little-endian unsigned 32-bit
     integers; ``offsets``: likewise the byte of the text at which each token
-    begins.  Null and empty texts have no tokens.  Special tokens are ordinary
-    text.  Repeated rows and ids stay as they are; other columns are ignored.
+    begins.  Null and empty texts have no tokens; bytes that aren't UTF-8 count
+    as U+FFFD.  Special tokens are ordinary text.  Repeated rows and ids stay as they are; other columns are ignored.
     """
     content = docs.sparkSession.sparkContext.broadcast(_content(vocabulary))
 
@@ -267,8 +266,7 @@ def encode(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col
                 cells = [pa.array([x[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()) for x in (ids, begins)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, n), pa.array(np.diff(at)), *cells], ["doc_id", "n_tokens", "ids", "offsets"])
 
-    bounded_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary, offsets binary")
 
 
@@ -282,7 +280,6 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             cells = [known.decode(np.frombuffer(x or b"", "<u4"))[0].tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cells, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    bounded_batches(encoded.sparkSession)
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
@@ -307,6 +304,5 @@ def round_trip(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text
                 columns = [batch.column(0).slice(low, high - low), pa.array(np.diff(at)), pa.array(cells, pa.binary()), pa.array(texts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
-    bounded_batches(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(F.col(text_col).cast("string")).alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")

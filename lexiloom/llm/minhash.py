@@ -12,9 +12,11 @@
    ``miss_probability``.  What is left is verified on full shingle sets.
 4. Verified links are contracted to components.  Only buckets that still hold
    several components can hide further links.  The documents that such buckets
-   connect are dealt into blocks; a task takes a pair of blocks, drops pairs by
-   the same Bayesian test, verifies the others on full sets and returns links
-   only.  No bucket is capped and no pairs of a group are emitted.
+   connect are dealt into blocks; a task takes a pair of blocks, keeps pairs
+   that share a band, drops some by the same Bayesian test, verifies the others
+   on full sets and returns links only.  No bucket is capped and no pairs of a
+   group are emitted.  However the documents are dealt, a pair is compared where
+   it shares a band and is in different components, and nowhere else.
 5. The components of all verified links are the groups.
 """
 
@@ -25,18 +27,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import connected_components
-from .storage import bounded_batches, materialize
+from .storage import materialize, small
 
 BANDS, ROWS = 25, 5
 BATCH = 25
 MISS_PROBABILITY = 1e-6
 BLOCK = 256
 BLOCK_BYTES = 4 << 20
+PAIRS = 256  # pairs of texts whose sets are made at once
+BROADCAST_ROWS = 100_000  # clusters of more than a block (40 bytes each) that go to all executors
+HEAVY = 1000  # a class of more than 1/HEAVY of the rows is heavy, so there are fewer than HEAVY
 SEED = 91
 
 
@@ -133,7 +138,6 @@ def profile(docs: DataFrame, shingle: int, values: int, id_col: str = "doc_id",
                     ["doc_id", "n_shingles", "seq_a", "seq_b", "sig", "n_bytes"],
                 )
 
-    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, seq_a long, seq_b long, sig binary, n_bytes long")
 
@@ -190,12 +194,14 @@ def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
             if not batch.num_rows:
                 continue
             keep = []
-            for k, (x, y) in enumerate(zip(_sets(batch.column(2), shingle), _sets(batch.column(3), shingle), strict=True)):
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if common and 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(k)
+            for low in range(0, batch.num_rows, PAIRS):
+                left, right = (_sets(batch.column(c).slice(low, PAIRS), shingle) for c in (2, 3))
+                for k, (x, y) in enumerate(zip(left, right, strict=True), low):
+                    both = np.concatenate([x, y])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    if common and 100 * common >= percent * (len(x) + len(y) - common):
+                        keep.append(k)
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
@@ -230,14 +236,20 @@ def _runs(sorted_values: np.ndarray) -> tuple[list[int], list[int]]:
 _UNIT = ["kind", "unit", "i", "j"]
 
 
-def _within(members: DataFrame, shingle: int, threshold: float, percent: int, miss: float, values: int) -> DataFrame:
-    """Links between different components among the members of each unit.
+def _share_band(left: np.ndarray, right: np.ndarray, per_band: int) -> np.ndarray:
+    return (left == right).reshape(len(left), left.shape[1] // per_band, per_band).all(2).any(1)
+
+
+def _within(members: DataFrame, shingle: int, threshold: float, percent: int, miss: float, bands: int, per_band: int) -> DataFrame:
+    """Links between different components among the members of each unit that share a band.
 
     ``members``: kind, unit, i, j, side, doc_id, component_id, sig, text.  A
     group (kind, unit, i, j) holds two blocks; only pairs across the blocks
     count, or within the one block where i = j.  Only links leave the task.
     """
 
+    values = bands * per_band
+
     def compare(rows: pa.Table) -> pa.RecordBatch:
         group = np.stack([rows.column(k).to_numpy() for k in _UNIT])
         side, doc, comp = (rows.column(k).to_numpy() for k in ("side", "doc_id", "component_id"))
@@ -250,6 +262,7 @@ def _within(members: DataFrame, shingle: int, threshold: float, percent: int, mi
             at = np.flatnonzero(same & (comp[step:] != comp[:-step]) & ((side[step:] != side[:-step]) | (group[2, step:] == group[3, step:])))
             if len(at):
                 at = at[survivors(sig[at], sig[at + step], threshold, miss, BATCH)]
+                at = at[_share_band(sig[at], sig[at + step], per_band)]
                 a.append(at)
                 b.append(at + step)
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -294,17 +307,24 @@ def _residual(crowded: DataFrame, first: DataFrame, reps: DataFrame, texts: Data
     spread = labelled.groupBy("bucket").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("bucket")
     mixed = materialize(labelled.join(spread, "bucket"), "minhash-mixed")
     clusters = connected_components(mixed, "leader", "doc_id").select(F.col("node").alias("doc_id"), F.col("component_id").alias("cluster"))
-    placed = materialize(mixed.join(clusters, "doc_id"), "minhash-clusters")
-    sizes = placed.select("cluster", "doc_id").distinct().groupBy("cluster").agg(F.count("*").alias("docs"))
-    loose = sizes.join(placed.groupBy("cluster").agg(F.max("n").alias("most")), "cluster").where(f"docs > 4 * most and docs > {BLOCK}").select("cluster", F.lit(True).alias("loose"))
-    kinds = placed.join(loose, "cluster", "left").select(
-        F.when(F.col("loose"), 1).otherwise(0).cast("int").alias("kind"), F.when(F.col("loose"), F.col("bucket")).otherwise(F.col("cluster")).alias("unit"), "doc_id", "component_id"
-    )
-    units = materialize(kinds.distinct().join(reps.select("doc_id", "n_bytes"), "doc_id"), "minhash-units")
-    parts = units.groupBy("kind", "unit").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_bytes") / BLOCK_BYTES, F.lit(1.0))).cast("int").alias("parts"))
+    placed = materialize(mixed.join(clusters, "doc_id").join(reps.select("doc_id", "n_bytes").distinct(), "doc_id"), "minhash-clusters")
+    # Clusters that fill no more than a block need no numbers; the others are found after aggregation.
+    members = placed.groupBy("cluster", "doc_id").agg(F.max("n").alias("most"), F.max("n_bytes").alias("n_bytes"))
+    large = members.groupBy("cluster").agg(F.count("*").alias("docs"), F.max("most").alias("most"), F.sum("n_bytes").alias("bytes")).where(f"docs > {BLOCK} or bytes > {BLOCK_BYTES}")
+    loose = F.col("docs") > F.greatest(4 * F.col("most"), F.lit(BLOCK))
+    large = materialize(large.select("cluster", loose.alias("loose"), _parts(F.col("docs"), F.col("bytes")).alias("in_cluster")), "minhash-large")
+    few = small(large, BROADCAST_ROWS)
+    known = placed.join(F.broadcast(large) if few else large, "cluster", "left")
+    # Documents of a loose cluster once per bucket, of the others once.
+    by_bucket = known.where("loose").select(F.lit(1).alias("kind"), F.col("bucket").alias("unit"), "doc_id", "component_id", "n_bytes")
+    own = by_bucket.groupBy("unit").agg(_parts(F.count("*"), F.sum("n_bytes")).alias("parts")).where("parts > 1")
+    own = materialize(own, "minhash-buckets-large")
+    by_bucket = by_bucket.join(F.broadcast(own) if small(own, BROADCAST_ROWS) else own, "unit", "left")
+    whole = known.where("not coalesce(loose, false)").select(F.lit(0).alias("kind"), F.col("cluster").alias("unit"), "doc_id", "component_id", F.col("in_cluster").alias("parts")).distinct()
+    units = whole.unionByName(by_bucket.select(*whole.columns)).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    units = materialize(units, "minhash-units")
     return (
-        units.join(parts, ["kind", "unit"])
-        .join(reps.select("doc_id", "sig"), "doc_id")
+        units.join(reps.select("doc_id", "sig"), "doc_id")
         .join(texts, "doc_id")
         .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -312,6 +332,11 @@ def _residual(crowded: DataFrame, first: DataFrame, reps: DataFrame, texts: Data
     )
 
 
+def _parts(docs: Column, size: Column) -> Column:
+    """Blocks that documents of this number and size are dealt into."""
+    return F.ceil(F.greatest(docs / BLOCK, size / BLOCK_BYTES, F.lit(1.0))).cast("int")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -333,18 +358,19 @@ def near_duplicates(
     ``miss_probability``.
 
     Null, empty and blank texts have an empty set and stay alone.  A text with
-    fewer words than ``shingle`` is one shingle.  Repeated rows of one id are
-    one document per row of the input with the same component.  Rows with a
-    null id have no component and are not kept.  Other columns are ignored; an
-    empty table gives an empty result.
+    fewer words than ``shingle`` is one shingle.  Repeated rows of one id and
+    text have one component; rows of one id with different texts are documents
+    of their own, each in its text's component.  Rows with a null id have no
+    component and are not kept.  Other columns are ignored; an empty table gives
+    an empty result.
     """
     values, threshold = bands * rows, percent / 100
     base = materialize(profile(docs, shingle, values, id_col, text_col), "minhash-profile")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     with_set = base.where("n_shingles > 0 and doc_id is not null")
-    classes = with_set.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("rep"))
+    classes = with_set.groupBy("seq_a", "seq_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     reps = materialize(
-        with_set.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", "n_bytes").dropDuplicates(["doc_id"]),
+        with_set.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "sig", "n_bytes").distinct(),
         "minhash-classes",
     )
     members = materialize(_bands(reps, bands, rows), "minhash-bands")
@@ -358,22 +384,22 @@ def near_duplicates(
     first = materialize(connected_components(links, "a", "b"), "minhash-first")
 
     inside = _residual(crowded, first, reps, rep_texts)
-    more = _within(inside, shingle, threshold, percent, miss_probability, values)
+    more = _within(inside, shingle, threshold, percent, miss_probability, bands, rows)
     links = materialize(links.unionByName(more), "minhash-all-links")
     groups = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component_id")
 
-    of_class = materialize(
-        classes.join(groups, "rep", "left").select("seq_a", "seq_b", F.coalesce("component_id", "rep").alias("component_id")), "minhash-groups"
-    )
-    small = base.select("doc_id", "n_shingles", "seq_a", "seq_b")
-    empty = F.col("n_shingles") == 0
-    return (
-        small.join(of_class, ["seq_a", "seq_b"], "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None)).when(empty, F.col("doc_id")).otherwise(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
-    )
+    # Only classes of several rows or in a group differ from their documents' own ids.
+    of_class = classes.join(groups, "rep", "left").where("n > 1 or component_id is not null")
+    of_class = materialize(of_class.select("seq_a", "seq_b", "n", F.coalesce("component_id", "rep").alias("component_id")), "minhash-groups")
+    heavy = F.broadcast(of_class.where(F.col("n") * HEAVY > base.count()).select("seq_a", "seq_b", F.col("component_id").alias("heavy_id")))
+    marked = base.select("doc_id", "n_shingles", "seq_a", "seq_b").join(heavy, ["seq_a", "seq_b"], "left")
+    settled = F.col("doc_id").isNull() | (F.col("n_shingles") == 0) | F.col("heavy_id").isNotNull()
+    done = marked.where(settled).select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("heavy_id", "doc_id")).alias("component_id"))
+    rest = marked.where(~settled).join(of_class.select("seq_a", "seq_b", "component_id"), ["seq_a", "seq_b"], "left")
+    both = done.unionByName(rest.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+    return both.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def _only(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return texts.join(needed, "doc_id", "left_semi")
+    return texts.join(needed, "doc_id", "left_semi").distinct()

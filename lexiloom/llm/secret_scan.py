@@ -30,7 +30,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import bounded_batches
 
 SCOPE = 120
 IDENTIFIER, SECRET, ENDPOINT = 0, 1, 2
@@ -158,6 +157,5 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sco
                 cells.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.StructArray.from_arrays(fields, names)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *cells], ["doc_id", "spans", "credentials"])
 
-    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long"), F.make_valid_utf8(F.col(text_col).cast("string")))
     return narrow.mapInArrow(run, "doc_id long, spans array<struct<start:long,end:long,kind:string>>, credentials array<struct<start:long,end:long>>")
