@@ -173,12 +173,12 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if small(table, BROADCAST_ROWS) else table
 
 
-def disclosing_terms(found: DataFrame, texts: DataFrame, generalise: float, remove: float) -> tuple[DataFrame, DataFrame] | None:
-    """``term, cut`` of the terms that disclose an entity, and ``key_a, key_b, term`` of the distinct texts that hold candidates.
+def disclosing_terms(found: DataFrame, texts: DataFrame, generalise: float, remove: float) -> DataFrame | None:
+    """``term, cut`` of the terms that disclose an entity, or None where no entity is in enough texts.
 
     ``found``: key_a, key_b, entities, words of all rows, as :func:`_found`
-    makes them; ``texts``: key_a, key_b, text.  None where no entity is in
-    enough texts.
+    makes them; ``texts``: key_a, key_b, text.  The texts with entities say
+    which terms are in enough texts with one; only these are counted in all.
     """
     support = least(generalise)
     mentions = found.where(F.size("entities") > 0).groupBy(*KEYS).agg(F.first("entities").alias("entities"), F.first("words").alias("words"))
@@ -188,52 +188,66 @@ def disclosing_terms(found: DataFrame, texts: DataFrame, generalise: float, remo
     marks = F.count("*").alias("n_e"), F.sum(F.xxhash64(*KEYS).cast("decimal(38,0)")).alias("mark_a"), F.sum(F.xxhash64("key_b", "key_a").cast("decimal(38,0)")).alias("mark_b")
     known = per_text.groupBy("entity").agg(*marks).where(F.col("n_e") >= support)
     known = materialize(known.groupBy("n_e", "mark_a", "mark_b").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "pii-entities")
-    most = known.agg(F.max("n_e")).first()[0]
-    if most is None:
+    if known.isEmpty():
         return None
-    held = materialize(per_text.join(_few(known), "entity"), "pii-held")
-
-    near = mentions.join(held.select(*KEYS).distinct(), KEYS, "left_semi")
-    candidates = near.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    candidates = materialize(candidates.select("term"), "pii-candidates")
-    words = texts.select(*KEYS, F.explode(_words(F.col("text"))).alias("term"))
-    # p(e|t) <= n_e / n_t, so a term of more texts than this discloses nothing.
-    too_many = most / 2.0**-generalise
-    if not small(candidates, BROADCAST_ROWS):
-        counted = words.distinct().groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= too_many)
-        candidates = materialize(counted.join(candidates, "term", "left_semi").select("term"), "pii-candidates")
-    holders = materialize(words.join(_few(candidates), "term", "left_semi").distinct(), "pii-holders")
-
-    n_t = holders.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") <= too_many)
-    both = held.join(holders, KEYS).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    held = per_text.join(_few(known), "entity").groupBy(*KEYS).agg(F.collect_list(F.struct("entity", "n_e")).alias("e"))
+    words = held.join(mentions.select(*KEYS, "words"), KEYS).select("e", F.explode("words").alias("term"))
+    both = words.select("term", F.explode("e").alias("e")).groupBy("e.entity", "e.n_e", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    both = materialize(both, "pii-together")
+    n_t = _texts_with(found, texts, materialize(both.select("term").distinct(), "pii-candidates"))
     total = float(found.select(*KEYS).distinct().count())
     bound = lower_bound(F.col("n_te").cast("double"), F.col("n_t").cast("double"))
     p_e, hidden = F.col("n_e") / F.lit(total), -F.log2(bound)
     telling = both.join(n_t, "term").where((hidden <= generalise + 1e-9) & (F.log2(bound / p_e) > 0) & (F.log2(bound / p_e) >= SHARE * -F.log2(p_e)))
     telling = telling.groupBy("term").agg(F.min(hidden).alias("hidden")).select("term", (F.col("hidden") <= remove + 1e-9).alias("cut"))
-    return materialize(telling, "pii-telling"), holders
+    return materialize(telling, "pii-telling")
+
+
+def _texts_with(found: DataFrame, texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, n_t``: in how many distinct texts each of the terms is.
+
+    All rows are counted where they are, and what copies add is taken off: so
+    no text is shuffled but one of each that occurs several times.
+    """
+
+    def counted(rows: DataFrame, weight: Column) -> DataFrame:
+        words = rows.select(weight.alias("w"), F.explode(_words(F.col("text"))).alias("term"))
+        if small(terms, BROADCAST_ROWS):
+            return words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.sum("w").alias("n_t"))
+        return words.groupBy("term").agg(F.sum("w").alias("n_t")).join(terms, "term", "left_semi")
+
+    n_t = counted(texts, F.lit(1))
+    repeated = found.groupBy(*KEYS).agg(F.count("*").alias("copies")).where("copies > 1")
+    repeated = materialize(repeated, "pii-repeated")
+    if not repeated.isEmpty():
+        once = _meet(texts, repeated).groupBy(*KEYS, "copies").agg(F.first("text").alias("text"))
+        n_t = n_t.unionByName(counted(once, 1 - F.col("copies"))).groupBy("term").agg(F.sum("n_t").alias("n_t"))
+    return n_t
 
 
 def added_spans(found: DataFrame, texts: DataFrame, generalise: float, remove: float) -> DataFrame | None:
     """``key_a, key_b, more``: spans (kind, start, end) of the disclosing terms in each distinct text that holds some."""
-    terms = disclosing_terms(found, texts, generalise, remove)
-    if terms is None or terms[0].isEmpty():
+    telling = disclosing_terms(found, texts, generalise, remove)
+    if telling is None or telling.isEmpty():
         return None
-    telling, holders = terms
-    lists = [F.collect_list(F.when(c, F.col("term"))).alias(name) for c, name in ((~F.col("cut"), "general"), (F.col("cut"), "cuts"))]
-    hits = materialize(holders.join(_few(telling), "term").groupBy(*KEYS).agg(*lists), "pii-hits")
-    own = _meet(texts, hits.select(*KEYS)).groupBy(*KEYS).agg(F.first("text").alias("text")).join(hits, KEYS)
+    holders = texts.select(*KEYS, F.explode(_words(F.col("text"))).alias("term"))
+    hits = materialize(holders.join(_few(telling), "term").select(*KEYS, "term", "cut").distinct(), "pii-hits")
+    places = materialize(hits.select(*KEYS).distinct(), "pii-places")
+    own = _meet(texts, places).groupBy(*KEYS).agg(F.first("text").alias("text"))
     emails = matches(F.col("text"), EMAIL, F.contains("text", F.lit("@")))
-    own = own.select(*KEYS, "general", "cuts", emails.alias("emails"), matches(F.col("text"), WORD, F.lit(True)).alias("words"))
-    apart = F.filter("words", lambda w: ~F.exists("emails", lambda s: (w["start"] < s["end"]) & (w["end"] > s["start"])))
-    own = own.select(*KEYS, "general", "cuts", F.when(F.size("emails") == 0, F.col("words")).otherwise(apart).alias("words"))
-
-    def of(names: str, kind: str) -> Column:
-        chosen = F.filter("words", lambda w: F.array_contains(F.col(names), F.lower(w["value"])))
-        return F.transform(chosen, lambda w: F.struct(F.lit(kind).alias("kind"), w["start"].alias("start"), w["end"].alias("end")))
-
-    spans = own.select(*KEYS, F.concat(of("general", ADDED[0]), of("cuts", ADDED[1])).alias("more"))
-    return materialize(spans.where(F.size("more") > 0), "pii-added")
+    # Words are looked for in the pieces between the emails.
+    begins = F.concat(F.array(F.lit(0)), F.transform(emails, lambda m: m["end"]))
+    pieces = F.zip_with(F.split("text", EMAIL, -1), begins, lambda piece, at: F.struct(piece.alias("piece"), at.alias("at")))
+    located = F.flatten(F.transform(pieces, lambda p: F.transform(matches(p["piece"], WORD, F.lit(True)), lambda m: _moved(m, p["at"]))))
+    whole = F.transform(matches(F.col("text"), WORD, F.lit(True)), lambda m: _moved(m, F.lit(0)))
+    words = own.select(*KEYS, F.explode(F.when(F.contains("text", F.lit("@")), located).otherwise(whole)).alias("w")).select(*KEYS, "w.*")
+    spans = words.join(hits, [*KEYS, "term"]).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("cut", "start", "end"))).alias("more"))
+    more = F.transform("more", lambda s: F.struct(F.when(s["cut"], ADDED[1]).otherwise(ADDED[0]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return materialize(spans.select(*KEYS, more.alias("more")), "pii-added")
+
+
+def _moved(m: Column, by: Column) -> Column:
+    return F.struct(F.lower(m["value"]).alias("term"), (m["start"] + by).alias("start"), (m["end"] + by).alias("end"))
 
 
 def _entities(base: Column) -> Column:

@@ -357,8 +357,13 @@ def test_ordinal_fit_orders_grades():
     assert weights[0] > 1 > abs(weights[1]) and cuts[0] < cuts[1]
 
 
+@pytest.fixture(scope="module")
+def pipeline_rows(spark):
+    return pytest.importorskip("corpus_pipeline").run(spark, "/root/testdata/sf0.001").collect()
+
+
 @needs_tables
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, pipeline_rows):
     pipeline = pytest.importorskip("corpus_pipeline")
     folder = "/root/testdata/sf0.001"
     docs = queries._table(spark, folder, "documents")
@@ -380,4 +385,27 @@ def test_pipeline_stages(spark):
     import hashlib
 
     assert all(r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() for r in last) and len(last) == len(kept)
-    assert pipeline.run(spark, folder).count() == len(last)
+    assert sorted(map(tuple, pipeline_rows)) == sorted(map(tuple, last))
+
+
+@needs_tables
+def test_pipeline_on_odd_rows(spark, pipeline_rows, tmp_path):
+    """Repeated rows and ids, nulls, empty texts, an extra column; then no rows at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    folder = "/root/testdata/sf0.001"
+    for name in ("labels", "benchmark"):
+        queries._table(spark, folder, name).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = queries._table(spark, folder, "documents")
+    twice = docs.orderBy("doc_id").limit(40)
+    odd = spark.createDataFrame([(-5, None), (-6, ""), (None, "one text without an id"), (None, None)], "doc_id long, text string")
+    rows = docs.unionByName(twice).unionByName(twice).withColumn("sig", F.lit("clash")).unionByName(odd, allowMissingColumns=True)
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    once = {r["doc_id"]: r["n_tokens"] for r in pipeline_rows}
+    done = pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in done if r["doc_id"] in once} == once
+    assert len([r for r in done if r["doc_id"] is not None and r["doc_id"] >= 0]) == len(once)
+    stage = pipeline.near_dedup(spark, rows, folder)
+    assert stage.columns == rows.columns and stage.where("doc_id is null").count() == 2
+    assert not [p for p in os.listdir(os.path.join(spark.conf.get("spark.checkpoint.dir"), "lexiloom")) if p.startswith("pipeline-quality")]
+    rows.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0

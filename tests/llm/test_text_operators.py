@@ -134,7 +134,8 @@ def disclosing(texts, generalise=1.0, remove=0.5):
     distinct = sorted({t or "" for t in texts})
     low = lambda k, v: v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)
     entities = {t: {(k, low(k, t[s:e])) for k, s, e in personal(t)} for t in distinct}
-    words = {t: [m for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(k == "email" and m.start() < e and m.end() > s for k, s, e in personal(t))] for t in distinct}
+    blank = lambda t: re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: " " * len(m[0]), t)
+    words = {t: list(re.finditer(r"[^\W\d_]{3,}", blank(t))) for t in distinct}
     by_term, by_entity = {}, {}
     for t in distinct:
         for m in words[t]:
