@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import connected_components
-from .storage import materialize, small
+from .storage import bounded_batches, materialize, small
 
 BANDS, ROWS = 25, 5
 BATCH = 25
@@ -138,6 +138,7 @@ def profile(docs: DataFrame, shingle: int, values: int, id_col: str = "doc_id",
                     ["doc_id", "n_shingles", "seq_a", "seq_b", "sig", "n_bytes"],
                 )
 
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, seq_a long, seq_b long, sig binary, n_bytes long")
 
