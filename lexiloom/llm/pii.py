@@ -27,6 +27,7 @@ and of the matches add up to the offsets, in code points.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,7 @@ SHARE = 0.5  # of the entity's information
 Z = 1.645  # deviations of the lower bound
 BROADCAST_ROWS = 100_000  # terms or keys (about 50 bytes each) that go to all executors
 SALTS = 64
+LISTED_TERMS = 2000  # disclosing terms (a few dozen kilobytes) that are looked up without a join
 
 _EMPTY = "cast(array() as array<struct<start:int,end:int,value:string>>)"
 
@@ -230,8 +232,16 @@ def added_spans(found: DataFrame, texts: DataFrame, generalise: float, remove: f
     telling = disclosing_terms(found, texts, generalise, remove)
     if telling is None or telling.isEmpty():
         return None
-    holders = texts.select(*KEYS, F.explode(_words(F.col("text"))).alias("term"))
-    hits = materialize(holders.join(_few(telling), "term").select(*KEYS, "term", "cut").distinct(), "pii-hits")
+    words = texts.select(*KEYS, _words(F.col("text")).alias("words"))
+    listed = small(telling, LISTED_TERMS)
+    if listed:
+        # So few terms stand in the plan as a hashed set; only what they hit is ever laid out.
+        rows = telling.collect()
+        general, cuts = (_set(r["term"] for r in rows if r["cut"] == cut) for cut in (False, True))
+        hits = words.where(F.expr(f"exists(words, w -> w IN ({general}) OR w IN ({cuts}))")).select(*KEYS)
+    else:
+        hits = words.select(*KEYS, F.explode("words").alias("term")).join(_few(telling), "term").select(*KEYS, "term", "cut")
+        hits = materialize(hits.distinct(), "pii-hits")
     places = materialize(hits.select(*KEYS).distinct(), "pii-places")
     own = _meet(texts, places).groupBy(*KEYS).agg(F.first("text").alias("text"))
     emails = matches(F.col("text"), EMAIL, F.contains("text", F.lit("@")))
@@ -240,12 +250,22 @@ def added_spans(found: DataFrame, texts: DataFrame, generalise: float, remove: f
     pieces = F.zip_with(F.split("text", EMAIL, -1), begins, lambda piece, at: F.struct(piece.alias("piece"), at.alias("at")))
     located = F.flatten(F.transform(pieces, lambda p: F.transform(matches(p["piece"], WORD, F.lit(True)), lambda m: _moved(m, p["at"]))))
     whole = F.transform(matches(F.col("text"), WORD, F.lit(True)), lambda m: _moved(m, F.lit(0)))
-    words = own.select(*KEYS, F.explode(F.when(F.contains("text", F.lit("@")), located).otherwise(whole)).alias("w")).select(*KEYS, "w.*")
-    spans = words.join(hits, [*KEYS, "term"]).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("cut", "start", "end"))).alias("more"))
+    laid = own.select(*KEYS, F.when(F.contains("text", F.lit("@")), located).otherwise(whole).alias("words"))
+    if listed:
+        both = F.expr(f"transform(filter(words, w -> w.term IN ({general}) OR w.term IN ({cuts})), w -> struct(w.term IN ({cuts}) AS cut, w.start, w.end))")
+        spans = laid.select(*KEYS, F.sort_array(both).alias("more"))
+    else:
+        each = laid.select(*KEYS, F.explode("words").alias("w")).select(*KEYS, "w.*")
+        spans = each.join(hits, [*KEYS, "term"]).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("cut", "start", "end"))).alias("more"))
     more = F.transform("more", lambda s: F.struct(F.when(s["cut"], ADDED[1]).otherwise(ADDED[0]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return materialize(spans.select(*KEYS, more.alias("more")), "pii-added")
 
 
+def _set(terms: Iterable[str]) -> str:
+    """Terms, which are letters only, as a list for IN."""
+    return ", ".join(f"'{t}'" for t in sorted(terms)) or "''"
+
+
 def _moved(m: Column, by: Column) -> Column:
     return F.struct(F.lower(m["value"]).alias("term"), (m["start"] + by).alias("start"), (m["end"] + by).alias("end"))
 
