@@ -9,8 +9,11 @@
    hands on a spanning set of its verified links, not all pairs.
 3. The links of all passes are united to components.
 4. Links are counted exactly within each component: its members are dealt into
-   blocks and a task multiplies two blocks.  Groups of any size are counted in
-   full; only counts leave the tasks.
+   blocks and a task multiplies two blocks, a slice at a time.  Groups of any
+   size are counted in full; only counts leave the tasks.
+
+Vectors travel as the input has them (32-bit floats, or doubles) and are
+normalised in double precision where they are compared.
 
 Two vectors with the cosine c agree in a bit with the chance p = 1 - acos(c)/pi,
 so a pass finds a pair among n vectors of a label with a chance of about
@@ -21,7 +24,6 @@ in the largest label, whatever its size.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -31,8 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textarrays as ta
 from .components import connected_components
-from .storage import materialize
+from .storage import materialize, small
 
 COSINE = 0.93
 PASSES = 16  # at least
@@ -40,7 +43,9 @@ MISS = 1e-4
 WINDOW = 64
 BITS = 62
 ROWS_PER_PARTITION = 50_000
-BLOCK = 512
+BLOCK, SLICE = 1024, 128
+BROADCAST_ROWS = 100_000  # components of more than a block (20 bytes each) that go to all executors
+HEAVY = 1000  # a class of more than 1/HEAVY of the rows is heavy, so there are fewer than HEAVY
 SEED = 5
 
 
@@ -55,51 +60,91 @@ def _directions(number: int, dim: int) -> np.ndarray:
     return np.random.default_rng([SEED, number, dim]).standard_normal((dim, BITS))
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision and of length 1, scaled first so that no square overflows."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
+
+
+def _by_length(raw: pa.Array, item: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions and units of the vectors of each length in a column of bytes."""
+    raw = raw.cast(pa.large_binary())
+    _, o, data = raw.buffers()
+    o = np.frombuffer(o, np.int64, len(raw) + 1, raw.offset * 8)
+    sizes = np.diff(o)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        grid = np.frombuffer(data, np.uint8)[o[at][:, None] + np.arange(size)]
+        yield at, _units(grid.reshape(-1).view(item).reshape(len(at), -1))
+
+
+def _label_hashes(labels: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each label's text; null labels count as empty."""
+    data, offsets = ta.utf8(labels)
+    some = np.flatnonzero(offsets[1:] > offsets[:-1])
+    out = np.zeros(len(labels), np.uint64)
+    out[some] = ta.word_hashes(data, offsets[:-1][some], offsets[1:][some], _PLAIN)
+    return out
+
+
+_PLAIN = np.random.default_rng(SEED).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
 def _profile(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """``vec_id, label, hash_a, hash_b, unit``; ``unit`` (doubles of length 1) is null where nothing links."""
+    """``vec_id, label, hash_a, hash_b, unit``; ``unit`` (the vector's bytes) and hashes are null where nothing links."""
+    item = _item(vectors, vector_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, a, b = [], [], []
-            for label, cell in zip(batch.column(1).to_pylist(), batch.column(2)):
-                unit = key = None
-                if label is not None and cell.is_valid and cell.values.null_count == 0 and len(cell.values):
-                    x = cell.values.to_numpy().astype(np.float64) + 0.0
-                    top = np.abs(x).max()
-                    if np.isfinite(top) and top > 0:
-                        x = x / top
-                        unit = (x / np.sqrt(x @ x)).tobytes()
-                        raw = cell.values.to_numpy().astype(np.float64) + 0.0
-                        key = np.frombuffer(hashlib.blake2b(raw.tobytes() + label.encode(), digest_size=16).digest(), np.int64)
-                units.append(unit)
-                a.append(None if key is None else int(key[0]))
-                b.append(None if key is None else int(key[1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(units, pa.binary())], ["vec_id", "label", "hash_a", "hash_b", "unit"])
+            n, column = batch.num_rows, batch.column(2)
+            offsets = column.offsets.to_numpy()
+            values = column.values.fill_null(float("nan")).to_numpy().astype(item) if len(column.values) else np.zeros(0, item)
+            some = column.is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            sizes, of_label = np.diff(offsets), _label_hashes(batch.column(1))
+            keys, good, units = np.zeros((2, n), np.uint64), np.zeros(n, bool), [None] * n
+            for dim in np.unique(sizes[some & (sizes > 0)]).tolist():
+                at = np.flatnonzero(some & (sizes == dim))
+                x = values[offsets[at][:, None] + np.arange(dim)] + np.array(0, item)  # no negative zeros
+                top = np.abs(x).max(1)
+                at, x = at[np.isfinite(top) & (top > 0)], x[np.isfinite(top) & (top > 0)]
+                bits = x.astype(np.float64).view(np.uint64)
+                for k, salt in enumerate((0x51ED270B, 0xA3C59AC3)):
+                    h = ta.mix(of_label[at] + np.uint64(salt + dim))
+                    for j in range(dim):
+                        h = ta.mix(h * np.uint64(0xD6E8FEB86659FD93) + bits[:, j])
+                    keys[k, at] = h
+                good[at] = True
+                packed, width = x.tobytes(), dim * x.itemsize
+                for k, row in enumerate(at.tolist()):
+                    units[row] = packed[k * width : (k + 1) * width]
+            cells = [pa.array(keys[k].view(np.int64), mask=~good) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *cells, pa.array(units, pa.binary())], ["vec_id", "label", "hash_a", "hash_b", "unit"])
 
     narrow = vectors.select(F.col(id_col).cast("long"), F.col(label_col).cast("string"), F.col(vector_col).cast(_floats(vectors, vector_col)))
     return narrow.mapInArrow(run, "vec_id long, label string, hash_a long, hash_b long, unit binary")
 
 
+def _item(vectors: DataFrame, vector_col: str) -> str:
+    return "<f4" if _floats(vectors, vector_col) == "array<float>" else "<f8"
+
+
 def _floats(vectors: DataFrame, vector_col: str) -> str:
     kind = vectors.schema[vector_col].dataType
     return "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
 
 
-def _keys(reps: DataFrame, passes: int) -> DataFrame:
+def _keys(reps: DataFrame, passes: int, item: str) -> DataFrame:
     """One row per vector and pass: ``pass, label, dim, key, vec_id, unit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(2).to_pylist()
-            dims = np.array([len(x) // 8 for x in raw])
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                x = np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), dim)
+            for at, x in _by_length(batch.column(2), item) if batch.num_rows else ():
                 ids, label, unit = (batch.column(c).take(pa.array(at)) for c in (0, 1, 2))
+                n, dim = x.shape
                 for number in range(passes):
                     signs = np.einsum("nd,db->nb", x, _directions(number, dim)) > 0
                     key = (signs.astype(np.int64) << np.arange(BITS - 1, -1, -1)).sum(1)
-                    n = len(at)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, number, np.int32)), label, pa.array(np.full(n, dim, np.int32)), pa.array(key), ids, unit], ["pass", "label", "dim", "key", "vec_id", "unit"]
                     )
@@ -122,23 +167,19 @@ def _spanning(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return ids[moved], ids[root[moved]]
 
 
-def _compare(keys: list[str], window: int, cosine: float, ends: bool):
+def _compare(keys: list[str], window: int, cosine: float, ends: bool, item: str):
     """Links among neighbours of sorted rows; with ``ends`` also the first and last rows of the partition."""
     names = ["kind", "boundary", "pass", "label", "dim", "key", "vec_id", "other", "unit"]
 
     def links(rows: pa.Table, fresh_from: int) -> pa.RecordBatch:
-        raw = rows.column("unit").to_pylist()
         ids = rows.column("vec_id").to_numpy()
         group = np.zeros(len(ids), bool)
         for k in keys:
-            values = rows.column(k).to_numpy(zero_copy_only=False) if k != "label" else np.asarray(rows.column(k).to_pylist(), object)
+            values = rows.column(k).to_numpy() if k != "label" else rows.column(k).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
             group[1:] |= values[1:] != values[:-1]
         group = np.cumsum(group)
-        dims = np.array([len(x) // 8 for x in raw])
         found_a, found_b = [], []
-        for dim in np.unique(dims).tolist():
-            at = np.flatnonzero(dims == dim)
-            x = np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), dim)
+        for at, x in _by_length(rows.column("unit").combine_chunks(), item):
             for step in range(1, min(window, len(at) - 1) + 1):
                 near = np.flatnonzero((group[at[step:]] == group[at[:-step]]) & (at[step:] >= fresh_from))
                 if len(near):
@@ -184,49 +225,45 @@ def _compare(keys: list[str], window: int, cosine: float, ends: bool):
 _OUT = "kind int, boundary long, pass int, label string, dim int, key long, vec_id long, other long, unit binary"
 
 
-def _counts(members: DataFrame, cosine: float) -> DataFrame:
+_GROUP = ["component_id", "i", "j"]
+
+
+def _counts(members: DataFrame, cosine: float, item: str) -> DataFrame:
     """``vec_id, n``: vectors (copies counted) that each member links to across its group's blocks."""
-    group = ["component_id", "i", "j"]
-
-    def count(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        ids, links = [], []
-        for dim in {len(r[3]) for r in rows}:
-            own = [r for r in rows if len(r[3]) == dim]
-            within = rows[0][0] == rows[0][1]
-            left = own if within else [r for r in own if r[2] == r[0]]
-            right = own if within else [r for r in own if r[2] == r[1]]
-            if not left or not right:
-                continue
-            x, y = (np.frombuffer(b"".join(r[3] for r in part), np.float64).reshape(len(part), -1) for part in (left, right))
-            near = np.einsum("ik,jk->ij", x, y) >= cosine
-            if within:
-                np.fill_diagonal(near, False)
-            copies_left, copies_right = (np.array([r[5] for r in part]) for part in (left, right))
-            ids += [r[4] for r in left]
-            links += np.einsum("ij,j->i", near.astype(np.int64), copies_right).tolist()
-            if not within:
-                ids += [r[4] for r in right]
-                links += np.einsum("ij,i->j", near.astype(np.int64), copies_left).tolist()
-        return ids, links
+
+    def count(rows: pa.Table) -> pa.RecordBatch:
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        side, ids, copies = (rows.column(c).to_numpy() for c in ("side", "vec_id", "copies"))
+        links = np.zeros(len(ids), np.int64)
+        for at, x in _by_length(rows.column("unit").combine_chunks(), item):
+            left, right = (np.flatnonzero(side[at] == k) for k in (i, j))
+            for low in range(0, len(left), SLICE):
+                own = left[low : low + SLICE]
+                near = np.einsum("ik,jk->ij", x[own], x[right]) >= cosine
+                if i == j:
+                    near[np.arange(len(own)), np.searchsorted(right, own)] = False
+                links[at[own]] += (near * copies[at[right]]).sum(1)
+                if i != j:
+                    links[at[right]] += (near * copies[at[own], None]).sum(0)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], ["vec_id", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows = None, []
+        kept: pa.Table | None = None
         for batch in batches:
-            ids, links = [], []
-            for key_c, i, j, side, unit, vec_id, copies in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key_c, i, j) != current:
-                    if rows:
-                        a, b = count(rows)
-                        ids += a
-                        links += b
-                    current, rows = (key_c, i, j), []
-                rows.append((i, j, side, unit, vec_id, copies))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64())], ["vec_id", "n"])
-        if rows:
-            a, b = count(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["vec_id", "n"])
-
-    return members.repartition(*group).sortWithinPartitions(*group).select(*group, "side", "unit", "vec_id", "copies").mapInArrow(run, "vec_id long, n long")
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([kept, rows]) if kept is not None else rows
+            keys = np.stack([rows.column(k).to_numpy().astype(np.int64) for k in _GROUP])
+            cuts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1]
+            for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield count(rows.slice(low, high - low))
+            kept = rows.slice(int(cuts[-1]))
+        if kept is not None:
+            yield count(kept)
+
+    laid = members.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return laid.select(*_GROUP, "side", "unit", "vec_id", "copies").mapInArrow(run, "vec_id long, n long")
 
 
 def near_duplicates(
@@ -247,10 +284,12 @@ def near_duplicates(
     null, empty or zero, or hold null or non-finite components, link with
     nothing.  ``n_links``: other vectors linked directly; ``component_id``: the
     smallest id reachable by links; ``kept``: whether it is the vector's own.
-    Rows with equal ids are vectors of their own that share one component.
+    Rows with equal ids share one component, and the links of their vectors
+    count for all of them.
     Other columns are ignored; an empty table gives an empty result.
     ``passes`` follow from the largest label's size and ``miss`` where not given.
     """
+    item = _item(vectors, vector_col)
     base = materialize(_profile(vectors, id_col, vector_col, label_col), "vec-profile")
     valid = base.where("unit is not null and vec_id is not null")
     classes = valid.groupBy("hash_a", "hash_b").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
@@ -262,33 +301,42 @@ def near_duplicates(
     n = max(1, -(-total * passes // ROWS_PER_PARTITION))
     order = ["pass", "label", "dim", "key", "vec_id"]
     group = ["pass", "label", "dim"]
-    laid = _keys(reps, passes).repartitionByRange(n, *order).sortWithinPartitions(*order)
-    found = materialize(laid.select(*order, "unit").mapInArrow(_compare(group, window, cosine, n > 1), _OUT), "vec-links")
+    laid = _keys(reps, passes, item).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    found = materialize(laid.select(*order, "unit").mapInArrow(_compare(group, window, cosine, n > 1, item), _OUT), "vec-links")
     links = found.where("kind = 0").select("vec_id", "other")
     if n > 1:
         ends = found.where("kind = 1").select("boundary", *order, "unit")
         ends = ends.repartition("boundary").sortWithinPartitions("boundary", *order)
-        links = links.unionByName(ends.mapInArrow(_compare(["boundary", *group], window, cosine, False), _OUT).select("vec_id", "other"))
+        links = links.unionByName(ends.mapInArrow(_compare(["boundary", *group], window, cosine, False, item), _OUT).select("vec_id", "other"))
     groups = materialize(connected_components(links, "vec_id", "other").withColumnRenamed("node", "vec_id"), "vec-groups")
 
-    sizes = groups.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    # Most components fill no block; those that fill several are found after aggregation.
+    large = groups.groupBy("component_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
+    large = materialize(large, "vec-large")
     members = (
-        groups.join(sizes, "component_id")
+        groups.join(F.broadcast(large) if small(large, BROADCAST_ROWS) else large, "component_id", "left")
         .join(reps, "vec_id")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
         .withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("component_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.col("own").alias("side"), "unit", "vec_id", "copies")
     )
-    counts = _counts(members, cosine).groupBy("vec_id").agg(F.sum("n").alias("n"))
+    counts = _counts(members, cosine, item).groupBy("vec_id").agg(F.sum("n").alias("n"))
     of_class = materialize(
         classes.join(groups.withColumnRenamed("vec_id", "rep"), "rep", "left")
         .join(counts.withColumnRenamed("vec_id", "rep"), "rep", "left")
-        .select("hash_a", "hash_b", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
+        .where("copies > 1 or component_id is not null")
+        .select("hash_a", "hash_b", "copies", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")),
         "vec-classes-done",
     )
+    keys = ["hash_a", "hash_b"]
+    heavy = F.broadcast(of_class.where(F.col("copies") * HEAVY > base.count()).select(*keys, F.col("component_id").alias("heavy_id"), F.col("n_links").alias("heavy_links")))
+    marked = base.select("vec_id", *keys).join(heavy, keys, "left")
+    settled = F.col("hash_a").isNull() | F.col("heavy_id").isNotNull()
+    done = marked.where(settled).select("vec_id", F.col("heavy_links").alias("n_links"), F.col("heavy_id").alias("component_id"))
+    rest = marked.where(~settled).join(of_class.select(*keys, "n_links", "component_id"), keys, "left").select("vec_id", "n_links", "component_id")
     return (
-        base.select("vec_id", "hash_a", "hash_b")
-        .join(of_class, ["hash_a", "hash_b"], "left")
+        done.unionByName(rest)
         .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     )

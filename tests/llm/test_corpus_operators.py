@@ -127,6 +127,7 @@ def brute_vectors(rows):
 def test_embeddings_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "ROWS_PER_PARTITION", 1500)  # several partitions, so that their ends meet
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "SLICE", 5)
     rng = np.random.default_rng(4)
     rows = []
     for label, size in ((0, 150), (1, 40), (2, 3), (2, 2)):
@@ -141,6 +142,15 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_equal_ids_and_doubles(spark):
+    """Rows of one id share its component and links; large and tiny doubles don't overflow."""
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (2, [0.0, 2.0], "a"), (0, [1e300, 1e280], "a"), (5, [1e-300, 0.0], "b"), (6, [3e-310, 0.0], "b"), (7, [-0.0, 1.0], "b"), (8, [0.0, 1.0], "b"), (9, [1.0], "b"), (None, [1.0, 0.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = sorted((r["vec_id"] is None, r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect())
+    want = [(False, 1, 2, 0), (False, 1, 2, 0), (False, 2, 1, 0), (False, 0, 1, 0), (False, 5, 1, 5), (False, 6, 1, 5), (False, 7, 1, 7), (False, 8, 1, 7), (False, 9, 0, 9), (True, 0, 0, None)]
+    assert got == sorted(want)
+
+
 def test_embedding_passes_follow_the_largest_label(spark):
     for n in (1, 5_000, 50_000, 1_000_000, 30_000_000):
         found = (1 - np.arccos(0.93) / np.pi) ** max(0, np.log2(n / 64))
