@@ -285,7 +285,8 @@ def near_duplicates(
     nothing.  ``n_links``: other vectors linked directly; ``component_id``: the
     smallest id reachable by links; ``kept``: whether it is the vector's own.
     Rows with equal ids share one component, and the links of their vectors
-    count for all of them.
+    count for all of them; those with a null id link with nothing and have no
+    component.
     Other columns are ignored; an empty table gives an empty result.
     ``passes`` follow from the largest label's size and ``miss`` where not given.
     """
@@ -332,8 +333,9 @@ def near_duplicates(
     keys = ["hash_a", "hash_b"]
     heavy = F.broadcast(of_class.where(F.col("copies") * HEAVY > base.count()).select(*keys, F.col("component_id").alias("heavy_id"), F.col("n_links").alias("heavy_links")))
     marked = base.select("vec_id", *keys).join(heavy, keys, "left")
-    settled = F.col("hash_a").isNull() | F.col("heavy_id").isNotNull()
-    done = marked.where(settled).select("vec_id", F.col("heavy_links").alias("n_links"), F.col("heavy_id").alias("component_id"))
+    named = F.col("vec_id").isNotNull()
+    settled = F.col("hash_a").isNull() | F.col("heavy_id").isNotNull() | ~named
+    done = marked.where(settled).select("vec_id", F.when(named, F.col("heavy_links")).alias("n_links"), F.when(named, F.col("heavy_id")).alias("component_id"))
     rest = marked.where(~settled).join(of_class.select(*keys, "n_links", "component_id"), keys, "left").select("vec_id", "n_links", "component_id")
     return (
         done.unionByName(rest)
