@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK = 256  # turns whose positions are added up at a time
 OPEN, AFTER_ROLE, NEXT, CLOSE = '<turn role="', '">', "<next/>", "</turn>\n"
 
 
@@ -34,6 +35,29 @@ def _unrole(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("&quot;"), F.lit('"')))
 
 
+def _loss_spans(p: Column) -> Column:
+    """Start and end of the bodies under the loss mask.
+
+    Sums run over blocks of ``BLOCK`` pieces, so that the work stays linear in
+    the number of turns.
+    """
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    length = lambda x: F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"])
+    blocks = F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int"))
+    part = lambda b: F.slice(p, b * BLOCK + 1, BLOCK)
+    totals = F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), lambda s, x: s + length(x)))
+    begins = F.aggregate(totals, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["head"])
+        span = F.array(F.struct(start.alias("start"), (start + F.length(x["body"])).alias("end")))
+        return F.struct((acc["at"] + length(x)).alias("at"), F.when(x["loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    within = lambda b, at: F.aggregate(part(b), F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    placed = F.zip_with(blocks, begins, lambda b, at: F.struct(b.alias("b"), at.alias("at")))
+    return F.flatten(F.transform(placed, lambda z: F.when(z["b"].isNotNull(), within(z["b"], z["at"])).otherwise(none)))
+
+
 def format_conversations(
     turns: DataFrame,
     *,
@@ -78,28 +102,7 @@ def format_conversations(
         ),
     )
     laid = sorted_turns.select("conv_id", pieces.alias("p"))
-    spans = F.aggregate(
-        "p",
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["head"]) + F.length(x["body"]) + F.length(x["tail"])).alias("at"),
-            F.when(
-                x["loss"],
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["head"])).alias("start"),
-                            (acc["at"] + F.length(x["head"]) + F.length(x["body"])).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    spans = _loss_spans(F.col("p"))
     whole = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], x["tail"])), "")
     return laid.select("conv_id", whole.alias("formatted"), spans.alias("loss_spans"))
 

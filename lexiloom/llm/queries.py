@@ -79,7 +79,8 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
 def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """``conversations`` and one with control strings, formatted and read back."""
     tricky = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(tricky).alias("text"))
     turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     done = chat.format_conversations(turns)
     back = done.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
