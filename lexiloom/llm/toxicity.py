@@ -7,8 +7,11 @@ their standard error.  One weight per feature is shared by all thresholds:
 
     P(grade <= k) = sigmoid(threshold_k - w . x)
 
-The labels only mark toxic texts, so grades 1 and 2 divide the toxic training
-texts at the median share of selected words.  Scores are expected grades.
+The labels only mark toxic texts.  How severe a toxic training text is, is
+taken from how far it spreads: grade 2 where more of its sentences than the
+toxic texts' median hold a selected word, else grade 1.  That share is no
+feature: the model sees counts and rates of words, not where they stand.
+Scores are expected grades.
 """
 
 from __future__ import annotations
@@ -31,29 +34,37 @@ BEGINNINGS = (4, 5, 6, 7, 8, 10)  # bytes
 _LETTERS = np.zeros(256, bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
 _LETTERS[128:] = True
+_END = np.zeros(256, bool)
+_END[[ord(c) for c in ".!?\n"]] = True
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature hashes (words and their beginnings) with their rows, and the number of words of each row."""
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Feature hashes (words and their beginnings) with their rows, the number of words of each row, and where each begins."""
     n = len(offsets) - 1
     data = data.copy()
     high = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
     data[high] += 0x20  # Latin capitals with accents
     blanked = np.where(_LETTERS[data], data, 32).astype(np.uint8)
     starts, ends, row = ta.words(blanked, offsets)
-    hashes, rows = [ta.word_hashes(blanked, starts, ends)], [row]
+    hashes, rows, begins = [ta.word_hashes(blanked, starts, ends)], [row], [starts]
     for size in BEGINNINGS:
         long = ends - starts > size
         hashes.append(ta.word_hashes(blanked, starts[long], starts[long] + size) ^ np.uint64(0xABCD))
         rows.append(row[long])
+        begins.append(starts[long])
     words = np.bincount(row, minlength=n).astype(float) if len(row) else np.zeros(n)
-    return np.concatenate(hashes), np.concatenate(rows), words
+    return np.concatenate(hashes), np.concatenate(rows), words, np.concatenate(begins)
 
 
-def _batches(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = ta.utf8(texts)
     for low, high in ta.chunks(offsets):
-        yield low, high, *_tokens(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
+
+
+def _batches(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    for low, high, data, offsets in _chunks(texts):
+        yield low, high, *_tokens(data, offsets)[:3]
 
 
 def _vocabulary(training: DataFrame, features: int) -> np.ndarray:
@@ -85,6 +96,17 @@ def _vocabulary(training: DataFrame, features: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in best.collect()], np.int64).view(np.uint64))
 
 
+def _spread(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Share of each text's sentences with words that hold a selected word."""
+    n = len(offsets) - 1
+    sentence = np.r_[0, np.cumsum(_END[data])]
+    h, row, _, starts = _tokens(data, offsets)
+    key = row * (int(sentence[-1]) + 2) + sentence[starts]
+    hit = np.isin(h, vocabulary)
+    count = lambda k: np.bincount(np.unique(k) // (int(sentence[-1]) + 2), minlength=n)
+    return count(key[hit]) / np.maximum(count(key), 1)
+
+
 def _counts(vocabulary: np.ndarray, n: int, h: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
     """log(1 + count) of each selected word, and of their occurrences per thousand words."""
     out = np.zeros((n, len(vocabulary) + 1))
@@ -162,12 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", max_r
     if not total["n"] or min(total["t"], total["n"] - total["t"]) < 2:
         return None
     vocabulary = _vocabulary(training, features)
-    width = len(vocabulary) + 1
+    width = len(vocabulary) + 2  # counts, their rate, and the spread
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, h, row, words in _batches(batch.column(1)):
-                x = _counts(vocabulary, high - low, h, row, words).astype(np.float32)
+            for low, high, data, offsets in _chunks(batch.column(1)):
+                h, row, words, _ = _tokens(data, offsets)
+                x = np.hstack([_counts(vocabulary, high - low, h, row, words), _spread(vocabulary, data, offsets)[:, None]]).astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"]
                 )
@@ -175,9 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", max_r
     found = training.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, x binary").orderBy("doc_id", "x").toArrow()
     y = found.column("y").to_numpy()
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(y), width).astype(float)
-    toxic = y == 1
-    density = x[:, -1]
-    grade = np.where(toxic, 1 + (density > np.median(density[toxic])), 0)
+    x, spread, toxic = x[:, :-1], x[:, -1], y == 1
+    grade = np.where(toxic, 1 + (spread > np.median(spread[toxic])), 0)
     if grade.max() < 2:
         grade = np.where(toxic, 1, 0)
     weights, thresholds = fit_ordinal(x, grade)
