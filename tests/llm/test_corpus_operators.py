@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -214,6 +215,21 @@ def test_decontamination_against_all_windows(spark):
     assert {r["contaminated"] for r in decontaminate.flag(docs, bench.limit(0)).collect()} == {False}
 
 
+def test_long_items_in_repetitive_texts(spark, monkeypatch):
+    """A long item with changed words in a text that repeats it; windows are laid out in slices."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(3000)}" for _ in range(600)]
+    near = [w if k % 60 else "x" for k, w in enumerate(words)]
+    items = {1: " ".join(words), 2: "la " * 40}
+    texts = {1: " ".join([*near, *words[:300], *near, "tail"]), 2: "la " * 5000, 3: " ".join(words[:200])}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "CELLS", 5000)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find(docs, bench).collect()}
+    want = brute_items(texts, items)
+    assert set(got) == set(want) == {(1, 1), (2, 2)} and all(abs(got[k] - want[k]) < 1e-12 for k in got)
+
+
 def test_fingerprints_within_the_radius_share_a_block():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -221,7 +237,8 @@ def test_fingerprints_within_the_radius_share_a_block():
         b = a
         for bit in rng.choice(64, decontaminate.RADIUS, replace=False):
             b ^= 1 << int(bit)
-        assert any(bin((a ^ b) >> (8 * k) & 255).count("1") <= 1 for k in range(8))
+        assert any((a ^ b) >> (8 * k) & 255 in decontaminate._NEAR for k in range(8))
+    assert len(decontaminate._NEAR) == 37 and max(bin(m).count("1") for m in decontaminate._NEAR) == 2
 
 
 def test_minimum_cost_flow():
@@ -327,6 +344,115 @@ def test_quality_on_held_out_rows(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def plain_statistics(t):
+    """The statistics of one text, counted one by one."""
+    raw = t.encode()
+    low = re.sub(rb"[A-Z]", lambda m: m[0].lower(), raw)
+    w = re.findall(rb"[^\x20\x09-\x0d]+", low)
+    own = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    symbols, marks = set(b"#$%&*+/<=>@[\\]^_`{|}~"), set(b"!?")
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    size, some = sum(map(len, w)), max(len(w), 1)
+    chars, letters = max(size, 1), max(sum(map(letter, raw)), 1)
+    runs = [tuple(w[k : k + 3]) for k in range(len(w) - 2)] if len(w) >= 3 else [tuple(w)] if w else []
+    n_runs = max(len(runs), 1)
+    share = lambda x, of: np.log(x / of + 1e-3)
+    return [
+        np.log1p(len(w)), np.log(size / some + 1), share(len(set(w)), some), share(sum(a == b for a, b in zip(w, w[1:])), some),
+        share(n_runs - max(len(set(runs)), 1), n_runs), share(max(Counter(w).values(), default=0), some), share(sum(65 <= c <= 90 for c in raw), letters),
+        share(sum(c in symbols for c in raw), chars), share(sum(c in marks for c in raw), chars), share(sum(48 <= c <= 57 for c in raw), chars),
+        share(sum(all(c in symbols for c in x) for x in own), some), share(sum(x[-1] in symbols | marks for x in own), some), share(raw.count(b"."), some),
+        share(raw.count(b"\n"), some), share(sum(c >= 128 for c in raw), chars)]
+
+
+@needs_tables
+def test_quality_query_against_brute_force(spark):
+    docs, labels = (queries._table(spark, FOLDER, n).collect() for n in ("documents", "labels"))
+    x = {r["doc_id"]: plain_statistics(r["text"] or "") for r in docs}
+    out = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    train = [(x[r["doc_id"]], r["quality"]) for r in labels if r["doc_id"] in x and r["quality"] is not None and not out(r["doc_id"])]
+    a, y = np.array([v for v, _ in train]), np.array([q for _, q in train])
+    scatter = [np.cov(a[y == k].T, bias=True) for k in (0, 1)]
+    pooled, densities = sum(s * (y == k).mean() for k, s in enumerate(scatter)), []
+    for k in (0, 1):
+        cov = 0.7 * scatter[k] + 0.3 * pooled
+        cov = 0.95 * cov + 0.05 * (np.trace(cov) / len(cov) + 1e-9) * np.eye(len(cov))
+        inverse, mean, log_det = np.linalg.inv(cov), a[y == k].mean(0), np.linalg.slogdet(cov)[1]
+        densities.append(lambda v, i=inverse, m=mean, d=log_det: -0.5 * ((v - m) @ i @ (v - m) + d))
+    got = {r["doc_id"]: r for r in queries.op1_quality_classifier(spark, FOLDER).collect()}
+    assert set(got) == set(x) and all(r["held_out"] == out(d) and r["predicted"] == (r["score"] >= 0.3) for d, r in got.items())
+    difference = {d: densities[1](np.array(v)) - densities[0](np.array(v)) for d, v in x.items()}
+    model = quality.train(quality.features(queries._table(spark, FOLDER, "documents")), quality.training_sample(queries._table(spark, FOLDER, "labels")))
+    for d, r in got.items():
+        want = 1 / (1 + np.exp(-np.clip(model.slope * np.arcsinh(difference[d]) + model.intercept, -30, 30)))
+        assert abs(r["score"] - want) < 1e-6
+    assert model.slope > 0
+
+
+@needs_tables
+def test_classifiers_on_odd_rows(spark):
+    """Repeated rows, clashing column names, null ids, texts and labels; no rows."""
+    docs, labels = queries._table(spark, FOLDER, "documents").select("doc_id", "text"), queries._table(spark, FOLDER, "labels")
+    odd = spark.createDataFrame([(-1, None), (-1, None), (-2, ""), (None, "a text")], "doc_id long, text string")
+    more = docs.unionByName(odd).unionByName(docs.orderBy("doc_id").limit(3)).withColumn("y", F.lit(1)).withColumn("score", F.lit("x")).withColumn("x", F.lit(2)).withColumn("h", F.lit(0))
+    labels = labels.unionByName(spark.createDataFrame([(1, None, None), (None, 1, 1)], labels.schema)).withColumn("text", F.lit("clash")).withColumn("x", F.lit(1))
+    rows = quality.classify(more, labels).collect()
+    assert len(rows) == more.count() and len({r["score"] for r in rows if r["doc_id"] == -1}) == 1
+    assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False]
+    kept = quality.keep_good(more, labels)
+    assert kept.columns == more.columns and kept.count() <= more.count()
+    model = toxicity.train(more, labels)
+    graded = toxicity.score(more, model).collect()
+    assert len(graded) == more.count() and {(r["toxic"], r["grade"]) for r in graded if r["doc_id"] in (-1, -2)} == {(0, 0)}
+    assert toxicity.score(more.limit(0), model).count() == 0
+
+
+@needs_tables
+def test_toxicity_query_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in queries._table(spark, FOLDER, "documents").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in queries._table(spark, FOLDER, "labels").collect() if r["toxic"] is not None}
+
+    def features(text):
+        raw = text.encode().lower()  # A-Z
+        raw = re.sub(rb"\xc3[\x80-\x96\x98-\x9e]", lambda m: bytes([0xC3, m[0][1] + 0x20]), raw)
+        w = re.findall(rb"[a-z\x80-\xff]+", raw)
+        return [(x, 0) for x in w] + [(x[:k], 1) for k in toxicity.BEGINNINGS for x in w if len(x) > k], len(w)
+
+    found = {d: features(t) for d, t in docs.items()}
+    train = sorted(d for d in labels if d in docs and zlib.crc32(str(d).encode()) % 5)
+    n, t = Counter(), Counter()
+    for d in train:
+        for f in set(found[d][0]):
+            n[f] += 1
+            t[f] += labels[d]
+    toxic = sum(labels[d] for d in train)
+    z = {}
+    for f in n:
+        a, b = t[f] + 0.5, n[f] - t[f] + 0.5
+        z[f] = (np.log(a / (toxic + 1 - a)) - np.log(b / (len(train) - toxic + 1 - b))) / np.sqrt(1 / a + 1 / b) if t[f] >= 5 else 0
+    vocabulary = sorted(f for f in n if z[f] > 2)
+    assert 0 < len(vocabulary) < toxicity.FEATURES
+
+    def row(d):
+        c = Counter(found[d][0])
+        counts = [c[f] for f in vocabulary]
+        return np.log1p([*counts, 1000 * sum(counts) / max(found[d][1], 1)])
+
+    def spread(d):
+        own = [set(features(x)[0]) for x in re.split(r"[.!?\n]", docs[d])]
+        own = [x for x in own if x]
+        return sum(bool(x & set(vocabulary)) for x in own) / max(len(own), 1)
+
+    x = np.array([row(d) for d in train])
+    share = np.array([spread(d) for d in train]).astype(np.float32).astype(float)
+    marked = np.array([labels[d] == 1 for d in train])
+    grade = np.where(marked, 1 + (share > np.median(share[marked])), 0)
+    weights, cuts = toxicity.fit_ordinal(x.astype(np.float32).astype(float), grade)
+    for r in queries.op9_toxicity(spark, FOLDER).collect():
+        below = 1 / (1 + np.exp(-np.clip(cuts - row(r["doc_id"]) @ weights, -40, 40)))
+        assert abs(r["severity"] - (1 - below).sum()) < 1e-3 and r["toxic"] == int(1 - below[0] >= 0.5)
+
+
 def test_discriminant_distances():
     rng = np.random.default_rng(2)
     x = np.r_[rng.standard_normal((300, 3)), rng.standard_normal((200, 3)) * 2 + 3]
@@ -348,8 +474,6 @@ def test_toxicity_on_held_out_rows(spark):
     model = toxicity.train(docs, labels)
     odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 100_000)], "doc_id long, text string")
     rows = {r["doc_id"]: r for r in toxicity.score(docs.select("doc_id", "text").unionByName(odd), model).collect()}
-    import zlib
-
     held = [(r["doc_id"], r["toxic"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     hit = [rows[d]["toxic"] for d, t in held if t == 1]
     false = [rows[d]["toxic"] for d, t in held if t == 0]

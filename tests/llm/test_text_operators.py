@@ -322,6 +322,21 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_of_nulls_and_many_turns(spark):
+    rows = [(None, 1, "user", "a"), (None, None, "assistant", "b"), (3, None, None, None)]
+    rows += [(5, k, ("user", "assistant")[k % 2], f"t{k} <") for k in range(30_000)]
+    done = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    back = {r["conv_id"]: r for r in done.select("conv_id", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()}
+    assert [(x["role"], x["text"]) for x in back[None]["t"]] == [("assistant", "b"), ("user", "a")] and back[None]["l"] == "b"
+    assert [(x["role"], x["text"]) for x in back[3]["t"]] == [("", "")] and back[3]["l"] == ""
+    assert [(x["role"], x["text"]) for x in back[5]["t"]] == [r[2:] for r in rows[3:]] and back[5]["l"] == "".join(r[3] for r in rows[3:] if r[2] == "assistant")
+
+
+def test_broken_bytes_in_encoding(spark, coder):
+    broken = spark.createDataFrame([(1, b"a\xff b")], "doc_id long, raw binary").selectExpr("doc_id", "cast(raw as string) as text")
+    assert bytes(bpe.round_trip(broken, queries.tokenizer_path()).first()["decoded"]).decode() == "a\ufffd b"
+
+
 def test_digests_are_derived_from_spans(spark):
     spans = spark.createDataFrame([(1, [("ip", 5, 9)])], "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
     row = spans.select("doc_id", *queries._digest(F.col("spans"), pii.KINDS)).first()
