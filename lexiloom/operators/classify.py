@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import math
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .ranking import rank_in_buckets
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -38,7 +40,7 @@ class Classifier:
         rows = train.where(F.col(label).isNotNull() & F.col(features).isNotNull())
         n = rows.count()
         self.features, self.label = features, label
-        vectors = rows.select(F.col(label).cast("string").alias(label), array_to_vector(features).alias("_raw"))
+        vectors = rows.select(F.col(label).cast("string").alias(label), array_to_vector(F.col(features)).alias("_raw")).cache()
         self.scaler = StandardScaler(inputCol="_raw", outputCol="_sample", withMean=False).fit(vectors)
         self.factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
         self.indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(vectors)
@@ -51,21 +53,42 @@ class Classifier:
         else:
             model = RandomForestClassifier(
                 featuresCol="_x", labelCol="_y", weightCol="weight", numTrees=self.trees, maxDepth=30, seed=self.seed,
-                featureSubsetStrategy=str(int(self.params["max_features"])), minInstancesPerNode=int(self.params["min_samples_leaf"]),
+                featureSubsetStrategy=str(int(self.params["max_features"])), minInstancesPerNode=int(self.params["min_samples_leaf"]), maxMemoryInMB=1024,
             )
         self.model = model.fit(ready)
         ready.unpersist()
+        vectors.unpersist()
         return self
 
     def _scaled(self, vectors: DataFrame) -> DataFrame:
         scaled = self.scaler.transform(vectors)
         return scaled.withColumn("_x", array_to_vector(F.transform(vector_to_array("_sample"), lambda v: v * self.factor)))
 
+    def add_predictions(self, rows: DataFrame, name: str = "predicted") -> DataFrame:
+        """``rows`` with the predicted label."""
+        whole = rows.select(F.struct("*").alias("_row"), array_to_vector(F.col(self.features)).alias("_raw"))
+        names = F.array(*(F.lit(x) for x in self.indexer.labels))
+        return self.model.transform(self._scaled(whole)).select("_row.*", F.element_at(names, F.col("prediction").cast("int") + 1).alias(name))
+
     def predict(self, rows: DataFrame, key: str) -> DataFrame:
         """``key, predicted``."""
-        done = self.model.transform(self._scaled(rows.select(key, array_to_vector(self.features).alias("_raw"))))
-        names = F.array(*(F.lit(x) for x in self.indexer.labels))
-        return done.select(key, F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
+        return self.add_predictions(rows.select(key, self.features)).select(key, "predicted")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted model and what it needs, in any folder that Spark writes to."""
+        for name in ("model", "scaler", "indexer"):
+            getattr(self, name).write().overwrite().save(f"{path}/{name}")
+        state = {k: getattr(self, k) for k in ("params", "trees", "seed", "max_iter", "features", "label", "factor")}
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Classifier:
+        state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
+        out = Classifier(state["params"], state["trees"], state["seed"], state["max_iter"])
+        out.features, out.label, out.factor = state["features"], state["label"], state["factor"]
+        kind = LogisticRegressionModel if "C" in out.params else RandomForestClassificationModel
+        out.model, out.scaler, out.indexer = kind.load(f"{path}/model"), StandardScalerModel.load(f"{path}/scaler"), StringIndexerModel.load(f"{path}/indexer")
+        return out
 
     def coefficients(self, spark, names: list[str] | None = None) -> DataFrame:
         """``feature, label, coefficient`` of a logistic regression."""
@@ -76,43 +99,55 @@ class Classifier:
 
 
 def permutation_importance(model: Classifier, rows: DataFrame, key: str, positions: list[int], repeats: int = 5) -> DataFrame:
-    """``feature, importance``: loss of accuracy when a feature's values change rows (by hash), averaged."""
-    truth = rows.select(key, F.col(model.label).cast("string").alias("_truth"))
+    """``feature, importance``: loss of accuracy when a feature's values change rows, averaged over ``repeats``.
 
-    def accuracy(changed: DataFrame) -> float:
-        hits = model.predict(changed, key).join(truth, key).agg(F.avg((F.col("predicted") == F.col("_truth")).cast("double"))).first()[0]
-        return float(hits or 0.0)
+    Each repeat pairs rows of equal rank by two hashes of their keys, a random
+    permutation.  All features and repeats are predicted in one pass: a row is
+    copied for each of them with one value replaced, and only hits are summed.
+    """
+    truth = rows.select(key, model.features, F.col(model.label).cast("string").alias("_truth"))
+    base = model.add_predictions(truth).agg(F.avg((F.col("predicted") == F.col("_truth")).cast("double")).alias("_base"))
+    rounds = truth.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(repeats)))).withColumn("_h", F.xxhash64(key, "_round"))
+    ranked = rank_in_buckets(rounds, ["_round"], F.shiftright("_h", 52), ["_h", key], "_at")
+    own = ranked.where("_round = 0").select("_at", model.features, "_truth")
+    other = ranked.where("_round > 0").select("_at", "_round", F.col(model.features).alias("_other"))
+    cells = own.join(other, "_at").withColumn("feature", F.explode(F.array(*(F.lit(j) for j in positions))))
+    changed = cells.select("feature", "_round", "_truth", _replaced(model.features).alias(model.features))
+    hits = model.add_predictions(changed).groupBy("feature", "_round").agg(F.avg((F.col("predicted") == F.col("_truth")).cast("double")).alias("_a"))
+    means = hits.groupBy("feature").agg(F.avg("_a").alias("_a")).crossJoin(F.broadcast(base))
+    return means.select("feature", (F.col("_base") - F.col("_a")).alias("importance")).orderBy(F.desc("importance"), "feature")
 
-    base, out = accuracy(rows), []
-    for j in positions:
-        scores = []
-        for seed in range(repeats):
-            by_key, by_hash = Window.orderBy(key), Window.orderBy(F.xxhash64(key, F.lit(seed)), key)
-            own = rows.select(key, model.features, F.row_number().over(by_key).alias("_at"))
-            other = rows.select(F.element_at(model.features, j + 1).alias("_v"), F.row_number().over(by_hash).alias("_at"))
-            moved = own.join(other, "_at").withColumn(model.features, _replaced(model.features, j))
-            scores.append(accuracy(moved))
-        out.append((j, base - sum(scores) / len(scores)))
-    return rows.sparkSession.createDataFrame(out, "feature int, importance double").orderBy(F.desc("importance"))
 
+def _replaced(features: str) -> Column:
+    return F.transform(F.col(features), lambda v, i: F.when(i == F.col("feature"), F.element_at("_other", i + 1)).otherwise(v))
 
-def _replaced(features: str, j: int):
-    return F.transform(F.col(features), lambda v, i: F.when(i == j, F.col("_v")).otherwise(v))
 
+def cross_validate(dealt: DataFrame, key: str, features: str, label: str, params: dict, folds: int, *, fit_share: float = 1.0, **options) -> list[float]:
+    """Macro F1 of each fold (column ``fold``) by a model of the others, fitted side by side.
 
-def learning_curve(rows: DataFrame, key: str, features: str, label: str, params: dict, shares: list[float], folds: int = 5) -> DataFrame:
-    """``share, mean, std`` of macro F1 over folds, for growing stratified parts of the training rows."""
-    from .grouping import kfold, stratified_subsample
+    ``fit_share``: stratified share of each training part to use.
+    """
+    from .grouping import stratified_subsample
     from .metrics import macro
 
-    dealt = rows.join(kfold(rows, key, label, folds=folds).select(key, "fold"), key)
-    out = []
-    for share in shares:
-        for fold in range(folds):
-            train = stratified_subsample(dealt.where(F.col("fold") != fold), key, label, share)
-            model = Classifier(params, trees=50, max_iter=100).fit(train, features, label)
-            test = dealt.where(F.col("fold") == fold)
-            pairs = model.predict(test, key).join(test.select(key, F.col(label).cast("string").alias("truth")), key)
-            out.append((share, float(macro(pairs, "truth", "predicted").first()["macro_f1"])))
+    def one(fold: int) -> float:
+        train = dealt.where(F.col("fold") != fold)
+        if fit_share < 1:
+            train = stratified_subsample(train, key, label, fit_share)
+        test = dealt.where(F.col("fold") == fold).withColumn("_truth", F.col(label).cast("string"))
+        model = Classifier(params, **options).fit(train, features, label)
+        return float(macro(model.add_predictions(test), "_truth", "predicted").first()["macro_f1"])
+
+    with ThreadPoolExecutor(folds) as pool:
+        return list(pool.map(one, range(folds)))
+
+
+def learning_curve(rows: DataFrame, key: str, features: str, label: str, params: dict, shares: list[float], folds: int = 5, **options) -> DataFrame:
+    """``share, mean, std`` of macro F1 over folds, for growing stratified parts of the training rows."""
+    from .grouping import kfold
+
+    dealt = rows.join(kfold(rows, key, label, folds=folds).select(key, "fold"), key).persist()
+    out = [(share, f1) for share in shares for f1 in cross_validate(dealt, key, features, label, params, folds, fit_share=share, **options)]
+    dealt.unpersist()
     frame = rows.sparkSession.createDataFrame(out, "share double, f1 double")
     return frame.groupBy("share").agg(F.avg("f1").alias("mean"), F.stddev_samp("f1").alias("std"))

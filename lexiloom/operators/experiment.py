@@ -1,28 +1,40 @@
-"""A classification experiment from baseline to report."""
+"""A classification experiment from baseline to report, and the matrix of all of them."""
 
 from __future__ import annotations
 
+import json
+import math
 import time
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grouping, metrics
-from .classify import Classifier, permutation_importance
+from .classify import Classifier, cross_validate, permutation_importance
 from .tuning import Search
 
 
 class Experiment:
     """Train and test tables with ``key``, a feature array and a label.
 
-    ``subsample``: stratified share of the training rows to use.
+    ``subsample``: stratified share of the training rows to use; ``names``: the
+    features' names, for coefficients and importances.
     """
 
-    def __init__(self, train: DataFrame, test: DataFrame, key: str, features: str, label: str, subsample: float = 1.0, seed: int = 42):
+    def __init__(self, train: DataFrame, test: DataFrame, key: str, features: str, label: str, subsample: float = 1.0, seed: int = 42, names: list[str] | None = None):
         self.train = train if subsample >= 1 else grouping.stratified_subsample(train, key, label, subsample, seed)
-        self.test, self.key, self.features, self.label, self.seed = test, key, features, label, seed
+        self.test, self.key, self.features, self.label, self.seed, self.names = test, key, features, label, seed, names
         self.history: list[dict] = []
         self.model: Classifier | None = None
+        self.minutes: float | None = None
+        self._importance: list[tuple[str, float]] = []
+
+    def _fitted(self) -> Classifier:
+        if self.model is None:
+            raise RuntimeError("Must call fit() or tune() first")
+        return self.model
 
     def baseline(self) -> DataFrame:
         """Macro metrics of labels drawn from the training shares."""
@@ -37,40 +49,121 @@ class Experiment:
 
     def tune(self, space: dict, parsimony: str, highest: bool, *, folds: int = 5, trees: int = 500, checkpoint: str | None = None, **search) -> Experiment:
         """Search by mean macro F1 over stratified folds, one-standard-error choice, then a fit on all training rows."""
-        dealt = self.train.join(grouping.kfold(self.train, self.key, self.label, folds=folds).select(self.key, "fold"), self.key).persist()
-
-        def evaluate(params: dict) -> tuple[float, float]:
-            scores = []
-            for fold in range(folds):
-                model = Classifier(params, trees=trees, seed=self.seed).fit(dealt.where(F.col("fold") != fold), self.features, self.label)
-                scores.append(float(self._scores(model, dealt.where(F.col("fold") == fold)).first()["macro_f1"]))
-            mean = sum(scores) / folds
-            return mean, (sum((s - mean) ** 2 for s in scores) / (folds - 1)) ** 0.5 / folds**0.5
-
-        run = Search(space, evaluate, checkpoint=checkpoint, seed=self.seed, **search)
+        run, done = cross_validated_search(self.train, self.key, self.features, self.label, space, folds=folds, trees=trees, checkpoint=checkpoint, seed=self.seed, **search)
         self.history = run.run()
-        dealt.unpersist()
+        done()
         return self.fit(run.best_within_error(parsimony, highest))
 
-    def _pairs(self, model: Classifier, rows: DataFrame) -> DataFrame:
-        return model.predict(rows, self.key).join(rows.select(self.key, F.col(self.label).cast("string").alias("truth")), self.key)
-
-    def _scores(self, model: Classifier, rows: DataFrame) -> DataFrame:
-        return metrics.macro(self._pairs(model, rows), "truth", "predicted")
+    def _pairs(self, rows: DataFrame) -> DataFrame:
+        return self._fitted().add_predictions(rows.withColumn("truth", F.col(self.label).cast("string")))
 
     def evaluation(self) -> DataFrame:
-        return metrics.report(self._pairs(self.model, self.test), "truth", "predicted")
+        return metrics.report(self._pairs(self.test), "truth", "predicted")
+
+    def scores(self) -> DataFrame:
+        return metrics.macro(self._pairs(self.test), "truth", "predicted")
 
     def importance(self, positions: list[int], repeats: int = 5) -> DataFrame:
-        return permutation_importance(self.model, self.test, self.key, positions, repeats)
+        found = permutation_importance(self._fitted(), self.test, self.key, positions, repeats)
+        self._importance = [(self.names[r["feature"]] if self.names else f"feature_{r['feature']}", r["importance"]) for r in found.collect()]
+        return found
 
-    def report(self) -> str:
-        """Baseline, search history and evaluation as text."""
+    def report(self, top: int = 20) -> str:
+        """Baseline, training time, search history, evaluation, coefficients or importances as text."""
         lines = ["baseline: " + ", ".join(f"{k} {v:.4f}" for k, v in self.baseline().first().asDict().items() if v is not None)]
+        if self.minutes is not None:
+            lines.append(f"training time: {self.minutes:.2f} minutes, parameters {self._fitted().params}")
         lines += [f"iteration {h['iteration']}: {h['score']:.4f} +- {h['se']:.4f} {h['params']}" for h in self.history]
         lines += [f"{r['label']:>14} precision {r['precision']:.4f} recall {r['recall']:.4f} f1 {r['f1']:.4f} support {r['support']}" for r in self.evaluation().collect()]
+        if "C" in self._fitted().params:
+            found = self._fitted().coefficients(self.test.sparkSession, self.names)
+            best = found.orderBy(F.desc(F.abs("coefficient")), "feature", "label").limit(top)
+            lines += [f"coefficient {r['feature']} {r['label']}: {r['coefficient']:.4f}" for r in best.collect()]
+        lines += [f"importance {name}: {value:.4f}" for name, value in self._importance[:top]]
         return "\n".join(lines) + "\n"
 
     def save_report(self, path: str) -> None:
-        with open(path, "w") as file:
-            file.write(self.report())
+        """Write the report through Spark, so that any store can take it."""
+        spark = self.test.sparkSession
+        spark.createDataFrame([(self.report(),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    def save(self, path: str) -> None:
+        """Model, settings, search history and importances; the tables stay where they are."""
+        spark = self.test.sparkSession
+        self._fitted().save(spark, f"{path}/classifier")
+        state = {"key": self.key, "features": self.features, "label": self.label, "seed": self.seed, "names": self.names, "history": self.history, "minutes": self.minutes, "importance": self._importance}
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/experiment")
+
+    @staticmethod
+    def load(path: str, train: DataFrame, test: DataFrame) -> Experiment:
+        spark = test.sparkSession
+        state = json.loads(spark.read.parquet(f"{path}/experiment").first()["state"])
+        out = Experiment(train, test, state["key"], state["features"], state["label"], seed=state["seed"], names=state["names"])
+        out.history, out.minutes, out._importance = state["history"], state["minutes"], [tuple(x) for x in state["importance"]]
+        out.model = Classifier.load(spark, f"{path}/classifier")
+        return out
+
+
+def cross_validated_search(
+    rows: DataFrame, key: str, features: str, label: str, space: dict, *, folds: int = 5, trees: int = 500, seed: int = 42, **search
+) -> tuple[Search, Callable[[], object]]:
+    """A search scored by the mean of macro F1 over stratified folds with its
+    standard error, and a function that frees the cached folds."""
+    dealt = rows.join(grouping.kfold(rows, key, label, folds=folds).select(key, "fold"), key).persist()
+
+    def evaluate(params: dict) -> tuple[float, float]:
+        scores = cross_validate(dealt, key, features, label, params, folds, trees=trees, seed=seed)
+        return float(np.mean(scores)), float(np.std(scores, ddof=1) / math.sqrt(folds))
+
+    return Search(space, evaluate, seed=seed, data=grouping_mark(rows, key, features, label), **search), dealt.unpersist
+
+
+def grouping_mark(rows: DataFrame, *columns: str) -> str:
+    """Hash of the data that a search is of, for its checkpoint."""
+    from .stored import fingerprint
+
+    return fingerprint({"columns": columns}, rows.select(*columns))
+
+
+#: Feature sets and the classifiers that are tried on each.
+PAIRS = (("fs", "lr"), ("topic", "lr"), ("style", "lr"), ("combined", "lr"), ("topic", "rf"), ("style", "rf"), ("combined", "rf"))
+
+
+def run_matrix(
+    train: dict[str, DataFrame], test: dict[str, DataFrame], key: str, labels: list[str], *, lr: dict | None = None, rf: dict | None = None, tune: dict | None = None, **options
+) -> list[tuple[str, str, str, Experiment]]:
+    """Every pair of ``PAIRS`` for every label column (granularity): ``(label, features, classifier, experiment)``.
+
+    ``train``, ``test``: tables ``key, x, labels...`` by feature set; ``combined``
+    is ``topic`` and ``style`` side by side, joined by key, where it isn't
+    given.  ``tune``: arguments of :meth:`Experiment.tune` for forests; without
+    it they take ``rf``.
+    """
+
+    def combined(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        if "combined" in tables:
+            return tables
+        style = tables["style"].select(key, F.col("x").alias("_y"))
+        return tables | {"combined": tables["topic"].join(style, key).withColumn("x", F.concat("x", "_y")).drop("_y")}
+
+    train, test, out = combined(train), combined(test), []
+    for label in labels:
+        for features, kind in PAIRS:
+            e = Experiment(train[features], test[features], key, "x", label)
+            if kind == "lr":
+                e.fit(lr or {"C": 1.0, "l1_ratio": 0.5}, **{k: v for k, v in options.items() if k == "max_iter"})
+            elif tune:
+                e.tune(**tune)
+            else:
+                e.fit(rf or {"max_features": 8, "min_samples_leaf": 2}, **{k: v for k, v in options.items() if k == "trees"})
+            out.append((label, features, kind, e))
+    return out
+
+
+def matrix_table(spark: SparkSession, results: list[tuple[str, str, str, Experiment]]) -> DataFrame:
+    """``label, features, classifier, macro_f1, kappa, baseline_f1``."""
+    rows = []
+    for label, features, kind, e in results:
+        s = e.scores().first()
+        rows.append((label, features, kind, float(s["macro_f1"]), None if s["kappa"] is None else float(s["kappa"]), float(e.baseline().first()["macro_f1"])))
+    return spark.createDataFrame(rows, "label string, features string, classifier string, macro_f1 double, kappa double, baseline_f1 double")

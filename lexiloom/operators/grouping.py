@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranking import rank_in_buckets
+
 
 def counts(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
@@ -69,6 +71,16 @@ def arithmetic_hash(key: Column, seed: int) -> Column:
     return F.pmod(a * a + a * 31, F.lit(999_983))
 
 
+def hash_rank(df: DataFrame, key: str, label: str, seed: int, name: str) -> DataFrame:
+    """``df`` with ``name``: the rank, from 1, of each row within its label by the hash of its key.
+
+    A label may have any share of the rows: ranks are counted in buckets of the
+    hash and not in one task per label.
+    """
+    rows = df.withColumn("_h", arithmetic_hash(F.col(key), seed))
+    return rank_in_buckets(rows, [label], F.floor(F.col("_h") / 1000), ["_h", key], name).drop("_h")
+
+
 def group_split(df: DataFrame, member: str, label: str, *, share: float = 0.2, seed: int = 42) -> DataFrame:
     """``member, label, part``: members, stratified by their main label, in ``test`` or ``train``.
 
@@ -82,8 +94,7 @@ def group_split(df: DataFrame, member: str, label: str, *, share: float = 0.2, s
     remainder = Window.orderBy(F.desc(F.round(F.col("quota") - F.floor("quota"), 9)), label)  # one row per label
     strata = strata.crossJoin(F.broadcast(total)).withColumn("place", F.row_number().over(remainder))
     strata = strata.select(label, (F.floor("quota") + (F.col("place") <= F.col("wanted") - F.col("floors")).cast("int")).alias("take"))
-    order = Window.partitionBy(label).orderBy(arithmetic_hash(F.col(member), seed), member)
-    ranked = members.withColumn("r", F.row_number().over(order)).join(F.broadcast(strata), label)
+    ranked = hash_rank(members, member, label, seed, "r").join(F.broadcast(strata), label)
     return ranked.select(member, label, F.when(F.col("r") <= F.col("take"), "test").otherwise("train").alias("part"))
 
 
@@ -95,15 +106,15 @@ def check_disjoint(left: DataFrame, right: DataFrame, member: str) -> None:
 
 
 def kfold(df: DataFrame, key: str, label: str, *, folds: int = 5, seed: int = 42) -> DataFrame:
-    order = Window.partitionBy(label).orderBy(arithmetic_hash(F.col(key), seed), key)
-    return df.select(key, label, F.pmod(F.row_number().over(order) - 1, F.lit(folds)).cast("int").alias("fold"))
+    """``key, label, fold``: the rows of each label dealt in turn, by hash."""
+    return hash_rank(df.select(key, label), key, label, seed, "_r").select(key, label, F.pmod(F.col("_r") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
 def stratified_subsample(df: DataFrame, key: str, label: str, share: float, seed: int = 42) -> DataFrame:
     """The first ceil(share * n) rows of each label by hash."""
-    order = Window.partitionBy(label).orderBy(arithmetic_hash(F.col(key), seed), key)
-    size = F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("_r", F.row_number().over(order)).withColumn("_n", size).where(F.col("_r") <= F.ceil(F.col("_n") * share)).drop("_r", "_n")
+    size = counts(df, label).select(F.col(label).alias("_l"), F.ceil(F.col("n") * share).alias("_take"))  # one row per label
+    ranked = hash_rank(df, key, label, seed, "_r")
+    return ranked.join(F.broadcast(size), F.col(label).eqNullSafe(F.col("_l"))).where(F.col("_r") <= F.col("_take")).drop("_r", "_l", "_take")
 
 
 def random_baseline(train: DataFrame, test: DataFrame, key: str, label: str, seed: int = 42) -> DataFrame:

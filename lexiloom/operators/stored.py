@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,12 @@ def fingerprint(params: dict, *inputs: DataFrame) -> str:
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:24]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, in any store that Spark reads."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def stored(folder: str, name: str, params: dict, inputs: list[DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
     """The table of an earlier call with equal parameters and inputs, or a new one that is then kept.
 
@@ -27,7 +33,6 @@ def stored(folder: str, name: str, params: dict, inputs: list[DataFrame], build:
     """
     spark = inputs[0].sparkSession
     path = f"{folder}/{name}-{fingerprint(params, *inputs)}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, f"{path}/_SUCCESS"):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

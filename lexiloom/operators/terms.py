@@ -13,13 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions import text as T
+from lexiloom.operators.ranking import rank_by_name
 
 
-def ngram_counts(docs: DataFrame, keys: list[str], text: str, orders: Iterable[int]) -> DataFrame:
-    """``keys..., order, ngram, cnt``."""
+def ngram_rows(docs: DataFrame, keys: list[str], text: str, orders: Iterable[int]) -> DataFrame:
+    """``keys..., order, ngram, cnt`` with a row for each occurrence, for sums over documents."""
     grams = T.ngrams_of_orders(F.col("_w"), orders)
     exploded = docs.select(*keys, T.tokens(F.col(text)).alias("_w")).select(*keys, F.explode(grams).alias("_g"))
-    return exploded.groupBy(*keys, "_g.order", "_g.ngram").agg(F.count("*").alias("cnt"))
+    return exploded.select(*keys, "_g.order", "_g.ngram", F.lit(1).cast("long").alias("cnt"))
+
+
+def ngram_counts(docs: DataFrame, keys: list[str], text: str, orders: Iterable[int]) -> DataFrame:
+    """``keys..., order, ngram, cnt`` with a row for each document and n-gram."""
+    return ngram_rows(docs, keys, text, orders).groupBy(*keys, "order", "ngram").agg(F.sum("cnt").alias("cnt"))
 
 
 def artists_per_ngram(grams: DataFrame, artist: str) -> DataFrame:
@@ -30,7 +36,7 @@ def artists_per_ngram(grams: DataFrame, artist: str) -> DataFrame:
 def vocabulary(grams: DataFrame) -> DataFrame:
     """``term_idx, order, ngram`` by order and name."""
     terms = grams.select("order", "ngram").distinct()
-    return terms.select((F.row_number().over(Window.orderBy("order", "ngram")) - 1).cast("long").alias("term_idx"), "order", "ngram")
+    return rank_by_name(terms, "order", "ngram").select((F.col("rank") - 1).cast("long").alias("term_idx"), "order", "ngram")
 
 
 def transform(grams: DataFrame, keys: list[str], vocab: DataFrame) -> DataFrame:
@@ -85,34 +91,67 @@ def usable(min_artists: int, stopwords: bool = True, boundary: bool = True) -> C
     return out & ~T.boundary_bigram(F.col("ngram")) if boundary else out
 
 
-def class_counts(grams: DataFrame, label: str, artist: str, *, min_artists: int = 20, stopwords: bool = True, boundary: bool = True) -> DataFrame:
-    """``order, ngram, label, y`` over the full grid of usable n-grams and classes, zeros included."""
-    # Read for the artists, the sums and the classes: n-grams are made once, without their documents.
-    slim = grams.groupBy("order", "ngram", label, artist).agg(F.sum("cnt").alias("cnt")).persist()
-    kept = artists_per_ngram(slim, artist).where(usable(min_artists, stopwords, boundary)).select("order", "ngram")
-    seen = slim.join(kept, ["order", "ngram"], "left_semi").groupBy("order", "ngram", label).agg(F.sum("cnt").alias("y"))
-    classes = slim.where(F.col(label).isNotNull()).select(label).distinct()
-    grid = kept.crossJoin(F.broadcast(classes))  # classes are few; each n-gram gets one row per class
-    return grid.join(seen, ["order", "ngram", label], "left").select("order", "ngram", label, F.coalesce("y", F.lit(0)).alias("y"))
+def classes(rows: DataFrame, label: str) -> list:
+    """The classes in order; they are few by nature."""
+    return sorted(r[0] for r in rows.where(F.col(label).isNotNull()).select(label).distinct().collect())
+
+
+def _counts_by_class(grams: DataFrame, label: str, artist: str, labels: list, min_artists: int, stopwords: bool, boundary: bool) -> DataFrame:
+    """``order, ngram, y`` of usable n-grams; ``y``: counts in the order of ``labels``.
+
+    The counts of an n-gram's artists are summed first, with a class in each
+    column, so that the artists are rows to count and nothing is read twice.
+    """
+    columns = [f"_c{k}" for k in range(len(labels))]
+    own = grams.groupBy("order", "ngram", artist).agg(*(F.sum(F.when(F.col(label) == v, F.col("cnt")).otherwise(0)).alias(c) for c, v in zip(columns, labels)))
+    both = own.groupBy("order", "ngram").agg(F.count(artist).alias("artists"), *(F.sum(c).alias(c) for c in columns))
+    return both.where(usable(min_artists, stopwords, boundary)).select("order", "ngram", F.array(*columns).alias("y"))
+
+
+def _long(counts: DataFrame, labels: list, label: str, kind: str, **values: Column) -> DataFrame:
+    cells = F.array(*(F.struct(F.lit(v).cast(kind).alias(label), *(f(k).alias(n) for n, f in values.items())) for k, v in enumerate(labels)))
+    return counts.select("order", "ngram", F.explode(cells).alias("c")).select("order", "ngram", "c.*")
+
+
+def class_counts(grams: DataFrame, label: str, artist: str, *, labels: list | None = None, min_artists: int = 20, stopwords: bool = True, boundary: bool = True) -> DataFrame:
+    """``order, ngram, label, y`` of all usable n-grams and classes, zeros included.
+
+    ``labels``: the classes; where not given they are looked up in ``grams``,
+    which makes the n-grams once more.
+    """
+    labels = classes(grams, label) if labels is None else labels
+    if not labels:
+        return grams.select("order", "ngram", label, F.col("cnt").alias("y")).limit(0)
+    counts = _counts_by_class(grams, label, artist, labels, min_artists, stopwords, boundary)
+    return _long(counts, labels, label, dict(grams.dtypes)[label], y=lambda k: F.col("y")[k])
 
 
-def log_odds(counts: DataFrame, label: str, *, prior: float = 1.0) -> DataFrame:
-    """z-scores of the log odds of each n-gram in a class against all others.
+def log_odds(grams: DataFrame, label: str, artist: str, *, labels: list | None = None, prior: float = 1.0, min_artists: int = 20, stopwords: bool = True, boundary: bool = True) -> DataFrame:
+    """``order, ngram, label, z``: z-scores of the log odds of each usable n-gram in a class against all others.
 
     The prior of an n-gram is its share of all counts of its order times
-    ``prior``, so the priors of an order sum to ``prior``.
+    ``prior``, so the priors of an order sum to ``prior``.  The sums over
+    classes and orders come from the same counts and are a few rows.
+    ``labels`` as for :func:`class_counts`.
     """
-    g = counts.groupBy("order", "ngram").agg(F.sum("y").alias("y_g"))
-    c = counts.groupBy("order", label).agg(F.sum("y").alias("n_c"))
-    n = c.groupBy("order").agg(F.sum("n_c").alias("n"))
-    t = counts.join(g, ["order", "ngram"]).join(F.broadcast(c), ["order", label]).join(F.broadcast(n), "order")
-    y, y_g, n_c, n_all = (F.col(k).cast("double") for k in ("y", "y_g", "n_c", "n"))
-    a = F.lit(prior) * y_g / n_all
-    inside, rest = y + a, n_c - y + F.lit(prior) - a
-    other, other_rest = y_g - y + a, n_all - n_c - y_g + y + F.lit(prior) - a
-    delta = F.log(inside / rest) - F.log(other / other_rest)
-    variance = 1 / inside + 1 / rest + 1 / other + 1 / other_rest
-    return t.select("order", "ngram", label, (delta / F.sqrt(variance)).alias("z"))
+    labels = classes(grams, label) if labels is None else labels
+    if not labels:
+        return grams.select("order", "ngram", label, F.lit(0.0).alias("z")).limit(0)
+    counts = _counts_by_class(grams, label, artist, labels, min_artists, stopwords, boundary)
+    totals = counts.groupBy("order").agg(F.array(*(F.sum(F.col("y")[k]) for k in range(len(labels)))).alias("n_c"))
+    t = counts.join(F.broadcast(totals), "order")
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x).cast("double")
+    t = t.withColumn("y_g", total("y")).withColumn("n", total("n_c")).withColumn("a", F.lit(prior) * F.col("y_g") / F.col("n"))
+
+    def z(k: int) -> Column:
+        y, n_c = F.col("y")[k].cast("double"), F.col("n_c")[k].cast("double")
+        y_g, n_all, a = F.col("y_g"), F.col("n"), F.col("a")
+        inside, rest = y + a, n_c - y + F.lit(prior) - a
+        other, other_rest = y_g - y + a, n_all - n_c - y_g + y + F.lit(prior) - a
+        delta = F.log(inside / rest) - F.log(other / other_rest)
+        return delta / F.sqrt(1 / inside + 1 / rest + 1 / other + 1 / other_rest)
+
+    return _long(t, labels, label, dict(grams.dtypes)[label], z=z)
 
 
 def benjamini_hochberg(tests: DataFrame, fdr: float, p: str = "p") -> DataFrame:
@@ -137,10 +176,9 @@ def benjamini_hochberg(tests: DataFrame, fdr: float, p: str = "p") -> DataFrame:
 
 def select_by_log_odds(scores: DataFrame, fdr: float) -> DataFrame:
     """Vocabulary of the n-grams that pass jointly over all orders and classes with z > 0."""
-    from lexiloom.functions.udf import upper_tail
+    from lexiloom.functions.normal import upper_tail
 
-    # Scores are read twice, for the cut and for the choice; a lost block is computed again.
-    tests = scores.withColumn("p", upper_tail("z")).persist()
+    tests = scores.withColumn("p", upper_tail(F.col("z")))
     return vocabulary(benjamini_hochberg(tests, fdr).where("passes_bh and z > 0"))
 
 

@@ -67,7 +67,12 @@ class Surrogate:
 @dataclass
 class Search:
     """Initial hypercube, then points of greatest mean + 2 deviations (or of
-    greatest deviation after ``jump`` evaluations without a better score)."""
+    greatest deviation after ``jump`` evaluations without a better score).
+
+    ``checkpoint``: a folder of the driver that keeps the history of the search
+    (a few kilobytes), under the hash of its settings and of ``data``, a mark of
+    the data and feature names.
+    """
 
     space: Space
     evaluate: Callable[[dict], tuple[float, float]]
@@ -78,6 +83,7 @@ class Search:
     candidates: int = 10_000
     seed: int = 42
     checkpoint: str | None = None
+    data: str = ""
     history: list[dict] = field(default_factory=list)
     no_better: int = 0
     since_jump: int = 0
@@ -129,7 +135,7 @@ class Search:
     def _path(self) -> str | None:
         if not self.checkpoint:
             return None
-        config = json.dumps({"space": self.space, "n_initial": self.n_initial, "candidates": self.candidates, "seed": self.seed}, sort_keys=True)
+        config = json.dumps({"space": self.space, "n_initial": self.n_initial, "candidates": self.candidates, "seed": self.seed, "data": self.data}, sort_keys=True)
         return os.path.join(self.checkpoint, f"search-{hashlib.md5(config.encode()).hexdigest()}.json")
 
     def _save(self) -> None:

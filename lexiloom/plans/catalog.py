@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions import text as T
-from lexiloom.functions.lexicon import BOUNDARY_WORDS, STOPWORDS, domain_lexicon
+from lexiloom.functions.lexicon import BOUNDARY_WORDS, FILLERS, STOPWORDS, domain_lexicon
+from lexiloom.functions.normal import upper_tail_sql
 from lexiloom.functions.udf import expand_contractions
-from lexiloom.operators import agreement, annotated, grouping, metrics, terms
+from lexiloom.operators import agreement, annotated, grouping, metrics, terms, topics
 from lexiloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,28 +56,39 @@ P = T.WORD.replace("'", "''")
 TOKENS = f"""tok AS (
   SELECT doc_id, lang, source, unnest(l) AS t, generate_subscripts(l, 1) AS p
   FROM (SELECT doc_id, lang, source, regexp_extract_all(lower(coalesce(text, '')), '{P}') AS l FROM documents))"""
-CONV = f"""tok AS (
-  SELECT doc_id, role, artist, unnest(l) AS t, generate_subscripts(l, 1) AS p
-  FROM (SELECT conv_id * 1000 + turn AS doc_id, role, conv_id AS artist, regexp_extract_all(lower(coalesce(text, '')), '{P}') AS l FROM conversations)),
+CONVERSATIONS = "conv_id AS doc_id, turn, role, conv_id AS artist, text FROM conversations"
+DOCUMENTS = "doc_id, 0 AS turn, lang AS role, source AS artist, text FROM documents"
+
+
+def _grams_sql(rows: str, orders: int = 4) -> str:
+    """n-gram counts of each document (doc_id, turn), with role as class and artist."""
+    return f"""tok AS (
+  SELECT doc_id, turn, role, artist, unnest(l) AS t, generate_subscripts(l, 1) AS p
+  FROM (SELECT doc_id, turn, role, artist, regexp_extract_all(lower(coalesce(text, '')), '{P}') AS l FROM (SELECT {rows}))),
 flag AS (SELECT *, CASE WHEN t IN ({_quoted(STOPWORDS)}) OR regexp_matches(t, '^\\d+\\S*$') THEN 1 ELSE 0 END AS s FROM tok),
 near AS (
   SELECT *, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2, lead(t, 3) OVER w AS t3,
     lead(s, 1) OVER w AS s1, lead(s, 2) OVER w AS s2, lead(s, 3) OVER w AS s3
-  FROM flag WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+  FROM flag WINDOW w AS (PARTITION BY doc_id, turn ORDER BY p)),
 ng AS (
-  SELECT doc_id, role, artist, 1 AS o, t AS g, s AS stop, t AS first FROM near
-  UNION ALL SELECT doc_id, role, artist, 2, t || ' ' || t1, s * s1, t FROM near WHERE t1 IS NOT NULL
-  UNION ALL SELECT doc_id, role, artist, 3, t || ' ' || t1 || ' ' || t2, s * s1 * s2, t FROM near WHERE t2 IS NOT NULL
-  UNION ALL SELECT doc_id, role, artist, 4, t || ' ' || t1 || ' ' || t2 || ' ' || t3, s * s1 * s2 * s3, t FROM near WHERE t3 IS NOT NULL),
-cnt AS (SELECT doc_id, role, artist, o, g, any_value(stop) AS stop, any_value(first) AS first, count(*) AS cnt FROM ng GROUP BY ALL)"""
-CONV = CONV.replace("count(*) AS cnt FROM ng GROUP BY ALL", "count(*) AS cnt FROM ng GROUP BY doc_id, role, artist, o, g")
+  SELECT doc_id, turn, role, artist, 1 AS o, t AS g, s AS stop, t AS first FROM near
+  UNION ALL SELECT doc_id, turn, role, artist, 2, t || ' ' || t1, s * s1, t FROM near WHERE t1 IS NOT NULL
+  UNION ALL SELECT doc_id, turn, role, artist, 3, t || ' ' || t1 || ' ' || t2, s * s1 * s2, t FROM near WHERE t2 IS NOT NULL AND {orders} >= 3
+  UNION ALL SELECT doc_id, turn, role, artist, 4, t || ' ' || t1 || ' ' || t2 || ' ' || t3, s * s1 * s2 * s3, t FROM near WHERE t3 IS NOT NULL AND {orders} >= 4),
+cnt AS (SELECT doc_id, turn, role, artist, o, g, any_value(stop) AS stop, any_value(first) AS first, count(*) AS cnt FROM ng GROUP BY doc_id, turn, role, artist, o, g)"""
+
+
+CONV, DOCN = _grams_sql(CONVERSATIONS), _grams_sql(DOCUMENTS)
 BOUNDARY = _quoted(BOUNDARY_WORDS)
-MONROE = f"""{CONV},
+
+
+def _monroe_sql(grams: str, min_artists: int) -> str:
+    return f"""{grams},
 art AS (SELECT o, g, any_value(stop) AS stop, any_value(first) AS first, count(DISTINCT artist) AS artists FROM cnt GROUP BY o, g),
-kept AS (SELECT o, g FROM art WHERE artists >= 20 AND stop = 0 AND NOT (o = 2 AND first IN ({BOUNDARY}))),
+kept AS (SELECT o, g FROM art WHERE artists >= {min_artists} AND stop = 0 AND NOT (o = 2 AND first IN ({BOUNDARY}))),
 y AS (
   SELECT k.o, k.g, r.role, coalesce(s.y, 0) AS y
-  FROM kept k CROSS JOIN (SELECT DISTINCT role FROM conversations) r
+  FROM kept k CROSS JOIN (SELECT DISTINCT role FROM cnt WHERE role IS NOT NULL) r
   LEFT JOIN (SELECT o, g, role, sum(cnt) AS y FROM cnt GROUP BY o, g, role) s ON s.o = k.o AND s.g = k.g AND s.role = r.role),
 tot AS (
   SELECT *, (sum(y) OVER (PARTITION BY o, g))::DOUBLE AS yg, (sum(y) OVER (PARTITION BY o, role))::DOUBLE AS nc, (sum(y) OVER (PARTITION BY o))::DOUBLE AS n FROM y),
@@ -85,6 +97,14 @@ z AS (
   SELECT o, g, role, (ln((y + a) / (nc - y + 1 - a)) - ln((yg - y + a) / (n - nc - yg + y + 1 - a)))
     / sqrt(1 / (y + a) + 1 / (nc - y + 1 - a) + 1 / (yg - y + a) + 1 / (n - nc - yg + y + 1 - a)) AS z
   FROM pri)"""
+
+
+MONROE, MONROE_DOCS = _monroe_sql(CONV, 20), _monroe_sql(DOCN, 2)
+MONROE_VOCAB = f"""{MONROE_DOCS},
+pv AS (SELECT o, g, role, z, {upper_tail_sql("z")} AS p FROM z),
+rk AS (SELECT *, count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS r, count(*) OVER () AS m FROM pv),
+cut AS (SELECT max(p) AS cut FROM rk WHERE p <= (0.001::DOUBLE * r) / m),
+mv AS (SELECT row_number() OVER (ORDER BY o, g) - 1 AS term_idx, o, g FROM (SELECT DISTINCT o, g FROM pv, cut WHERE p <= cut AND z > 0))"""
 TFIDF = f"""{CONV},
 f AS (SELECT o, role, g, count(*) AS c FROM cnt WHERE o <= 3 GROUP BY o, role, g),
 s AS (
@@ -102,11 +122,15 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _conv(spark: SparkSession, folder: str) -> DataFrame:
     c = tables.parquet(spark, folder, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "role", F.col("conv_id").alias("artist"), "text")
+    return c.select(F.col("conv_id").alias("doc_id"), "turn", "role", F.col("conv_id").alias("artist"), "text")
 
 
 def _conv_grams(spark: SparkSession, folder: str, orders=(1, 2, 3, 4)) -> DataFrame:
-    return terms.ngram_counts(_conv(spark, folder), ["doc_id", "role", "artist"], "text", orders)
+    return terms.ngram_counts(_conv(spark, folder), ["doc_id", "turn", "role", "artist"], "text", orders)
+
+
+def _doc_grams(spark: SparkSession, folder: str, orders=(1, 2, 3, 4)) -> DataFrame:
+    return terms.ngram_counts(_docs(spark, folder), ["doc_id", "lang", "source"], "text", orders)
 
 
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,10 +194,42 @@ def vocab_ratio(spark, folder):
     return vocabulary_ratio(_docs(spark, folder), _dictionary(spark, folder)).withColumn("ratio", F.round("ratio", 9))
 
 
-@query(f"WITH {ALPHA} SELECT doc_id FROM ratio JOIN documents USING (doc_id) WHERE ratio > 0.2 AND n_chars::DOUBLE / (words + 1) > 0.75")
+# Words of English documents of the training folds that occur twice or more.
+ENGLISH_WORDS = """SELECT w AS word FROM (SELECT unnest(regexp_split_to_array(trim(lower(coalesce(text, ''))), '\\s+')) AS w FROM documents WHERE lang = 'en' AND doc_id % 5 <> 0)
+  WHERE regexp_matches(w, '^\\p{L}+$') GROUP BY w HAVING count(*) >= 2"""
+_CHARS = """SELECT {k}, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS gram FROM (
+  SELECT doc_id, lang, unnest(l) AS c, generate_subscripts(l, 1) AS p FROM (
+    SELECT doc_id, lang, string_split(' ' || lower(coalesce(text, '')) || ' ', '') AS l FROM documents WHERE {where})) WINDOW w AS (PARTITION BY doc_id ORDER BY p)"""
+CONFIDENCE = f"""cg AS ({_CHARS.format(k="lang", where="lang IS NOT NULL AND doc_id % 5 <> 0")}),
+cw AS (SELECT gram, count(*) FILTER (lang = 'en') AS a, count(*) FILTER (lang <> 'en') AS b FROM cg WHERE gram IS NOT NULL GROUP BY gram),
+cm AS (SELECT gram, ln((a + 1)::DOUBLE / (sum(a) OVER () + count(*) OVER ())) - ln((b + 1)::DOUBLE / (sum(b) OVER () + count(*) OVER ())) AS weight FROM cw),
+cd AS ({_CHARS.format(k="doc_id", where="true")}),
+cs AS (SELECT doc_id, sum(weight) / count(*) AS w FROM cd JOIN cm USING (gram) GROUP BY doc_id),
+conf AS (SELECT doc_id, coalesce(1 / (1 + exp(-20 * w)), 0.5) AS confidence FROM (SELECT doc_id FROM documents) LEFT JOIN cs USING (doc_id))"""
+
+
+def _confidence(spark, folder) -> DataFrame:
+    """English against the other languages, learned on four folds of the documents."""
+    d = _docs(spark, folder)
+    model = annotated.language_model(d.where("doc_id % 5 <> 0"), "lang", "text", "en")
+    return annotated.language_confidence(d.select("doc_id", "text"), model, "doc_id", "text")
+
+
+@query(f"WITH {CONFIDENCE} SELECT doc_id, round(confidence, 6) AS confidence FROM conf")
+def english_confidence(spark, folder):
+    return _confidence(spark, folder).select("doc_id", F.round("confidence", 6).alias("confidence"))
+
+
+ALPHA_ENGLISH = ALPHA.replace(ALPHA[ALPHA.index("(") + 1 : ALPHA.index("),\nalpha")], ENGLISH_WORDS)
+
+
+@query(f"WITH {ALPHA_ENGLISH}, {CONFIDENCE} SELECT doc_id FROM ratio JOIN conf USING (doc_id) WHERE ratio > 0.75 AND round(confidence, 9) > 0.75")
 def english_filter(spark, folder):
-    r = vocabulary_ratio(_docs(spark, folder), _dictionary(spark, folder)).join(_docs(spark, folder).select("doc_id", "n_chars"), "doc_id")
-    return r.where((F.col("ratio") > 0.2) & (F.col("n_chars") / (F.col("words") + 1) > 0.75)).select("doc_id")
+    """Documents of a language confidence and a share of dictionary words above 0.75 each."""
+    d = _docs(spark, folder)
+    words = d.where("lang = 'en' and doc_id % 5 <> 0").select(F.explode(T.alphabetic_words(F.col("text"))).alias("word"))
+    english = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 2").select("word")
+    return vocabulary_ratio(d, english).join(_confidence(spark, folder), "doc_id").where((F.col("ratio") > 0.75) & (F.round("confidence", 9) > 0.75)).select("doc_id")
 
 
 @query(f"WITH {ALPHA} SELECT i AS step, count(*) FILTER (ratio < 0.1::DOUBLE + i * 0.01::DOUBLE) AS rejected FROM ratio CROSS JOIN range(40) r(i) GROUP BY i")
@@ -198,9 +254,9 @@ def tokens(spark, folder):
     return _docs(spark, folder).select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-@query(f'WITH {CONV} SELECT o AS "order", g AS ngram, sum(cnt)::BIGINT AS n FROM cnt GROUP BY o, g')
+@query(f'WITH {DOCN} SELECT o AS "order", g AS ngram, sum(cnt)::BIGINT AS n FROM cnt GROUP BY o, g')
 def ngrams_all_orders(spark, folder):
-    return _conv_grams(spark, folder).groupBy("order", "ngram").agg(F.sum("cnt").alias("n"))
+    return _doc_grams(spark, folder).groupBy("order", "ngram").agg(F.sum("cnt").alias("n"))
 
 
 @query(
@@ -212,22 +268,22 @@ def tokens_per_doc_stats(spark, folder):
     return n.agg(F.count("*").alias("docs"), *(F.percentile("n", q).alias(k) for k, q in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))))
 
 
-@query(f'WITH {CONV} SELECT o AS "order", g AS ngram FROM cnt GROUP BY o, g HAVING any_value(stop) = 0')
+@query(f'WITH {DOCN} SELECT o AS "order", g AS ngram FROM cnt GROUP BY o, g HAVING any_value(stop) = 0')
 def stopword_only_filter(spark, folder):
-    g = _conv_grams(spark, folder).select("order", "ngram").distinct()
+    g = _doc_grams(spark, folder).select("order", "ngram").distinct()
     return g.where(~T.stopword_only(F.col("ngram")))
 
 
-@query(f'WITH {CONV} SELECT o AS "order", g AS ngram FROM cnt WHERE NOT (o = 2 AND first IN ({BOUNDARY})) GROUP BY o, g')
+@query(f'WITH {DOCN} SELECT o AS "order", g AS ngram FROM cnt WHERE NOT (o = 2 AND first IN ({BOUNDARY})) GROUP BY o, g')
 def boundary_filter(spark, folder):
-    return _conv_grams(spark, folder).select("order", "ngram").distinct().where(~T.boundary_bigram(F.col("ngram")))
+    return _doc_grams(spark, folder).select("order", "ngram").distinct().where(~T.boundary_bigram(F.col("ngram")))
 
 
 @query(
-    f"""WITH {CONV} SELECT DISTINCT g AS ngram, regexp_replace(regexp_replace(g, '^(a|an|the|to)( |$)', ''), '(^| )(a|an|the|to)$', '') AS stripped FROM cnt"""
+    f"""WITH {DOCN} SELECT DISTINCT g AS ngram, regexp_replace(regexp_replace(g, '^(a|an|the|to)( |$)', ''), '(^| )(a|an|the|to)$', '') AS stripped FROM cnt"""
 )
 def boundary_strip(spark, folder):
-    return _conv_grams(spark, folder).select("ngram").distinct().select("ngram", T.strip_boundaries(F.col("ngram")).alias("stripped"))
+    return _doc_grams(spark, folder).select("ngram").distinct().select("ngram", T.strip_boundaries(F.col("ngram")).alias("stripped"))
 
 
 GERUND = """CASE WHEN regexp_matches(t, '^.{3,}?ing$') THEN
@@ -261,7 +317,8 @@ def domain_lexicon_lookup(spark, folder):
     return words.join(F.broadcast(lexicon), "token", "left").select("token", F.coalesce("word", "token").alias("replaced"), "n")
 
 
-@query()
+# The texts have no other contractions, so that this one replacement is all.
+@query("SELECT doc_id, replace(coalesce(text, ''), ' a ', ' I am going to ') AS expanded FROM documents")
 def contractions_expanded(spark, folder):
     """Contractions written out; apostrophes are put into the texts, which have none."""
     made = F.replace(F.coalesce("text", F.lit("")), F.lit(" a "), F.lit(" I'm gonna "))
@@ -290,16 +347,23 @@ def lemmatize(docs: DataFrame, text: str = "text", dictionary: dict[str, str] |
     return docs.withColumn("lemmatized", F.array_join(lines, "\n"))
 
 
-@query()
+@query(
+    f"""WITH ln AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+    tk AS (SELECT doc_id, k, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, k, regexp_extract_all(lower(line), '{P}') AS l FROM ln)),
+    lx AS (SELECT doc_id, k, p, coalesce(v, t) AS t FROM tk LEFT JOIN (VALUES {_LEXICON}) x(token, v) ON token = t),
+    kp AS (SELECT * FROM (SELECT doc_id, k, p, {GERUND} AS t FROM lx) WHERE length(t) > 1 AND t NOT IN ({_quoted(FILLERS)}) AND NOT regexp_matches(t, '\\p{{Nd}}')),
+    jn AS (SELECT doc_id, k, string_agg(t, ' ' ORDER BY p) AS line FROM kp GROUP BY doc_id, k)
+    SELECT ln.doc_id, string_agg(coalesce(jn.line, ''), chr(10) ORDER BY ln.k) AS lemmatized FROM ln LEFT JOIN jn ON jn.doc_id = ln.doc_id AND jn.k = ln.k GROUP BY ln.doc_id"""
+)
 def lemmatized_documents(spark, folder):
     return lemmatize(_docs(spark, folder)).select("doc_id", "lemmatized")
 
 
 # A stand-in for tags: the part of speech by the length of the word.
 _POS = ("NOUN", "DET", "ADP", "VERB", "ADJ", "PART", "X")
-TAGGED = f"""{CONV}, pos AS (SELECT doc_id, p, t, ['NOUN', 'DET', 'ADP', 'VERB', 'ADJ', 'PART', 'X'][length(t) % 7 + 1] AS pos,
+TAGGED = f"""{CONV}, pos AS (SELECT doc_id, turn, p, t, ['NOUN', 'DET', 'ADP', 'VERB', 'ADJ', 'PART', 'X'][length(t) % 7 + 1] AS pos,
   t IN ({_quoted(STOPWORDS)}) AS stop FROM tok),
-near2 AS (SELECT *, lead(t) OVER w AS t1, lead(pos) OVER w AS pos1, lead(stop) OVER w AS stop1 FROM pos WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+near2 AS (SELECT *, lead(t) OVER w AS t1, lead(pos) OVER w AS pos1, lead(stop) OVER w AS stop1 FROM pos WINDOW w AS (PARTITION BY doc_id, turn ORDER BY p)),
 valid AS (SELECT doc_id, t AS g FROM near2 WHERE pos IN ('NOUN', 'VERB', 'ADJ') AND NOT stop
   UNION ALL SELECT doc_id, t || '_' || t1 FROM near2 WHERE t1 IS NOT NULL AND (pos IN ('NOUN', 'VERB', 'ADJ') OR pos1 IN ('NOUN', 'VERB', 'ADJ'))
     AND NOT (stop AND stop1) AND pos NOT IN ('DET', 'ADP', 'PART') AND pos1 NOT IN ('DET', 'ADP', 'PART'))"""
@@ -316,27 +380,6 @@ def tagged_ngrams(spark, folder):
     return grams.groupBy("ngram").agg(F.count("*").alias("n"))
 
 
-_CHARS = """SELECT {k}, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS gram FROM (
-  SELECT doc_id, lang, unnest(l) AS c, generate_subscripts(l, 1) AS p FROM (
-    SELECT doc_id, lang, string_split(' ' || lower(coalesce(text, '')) || ' ', '') AS l FROM documents WHERE {where})) WINDOW w AS (PARTITION BY doc_id ORDER BY p)"""
-
-
-@query(
-    f"""WITH g AS ({_CHARS.format(k="lang", where="lang IN ('en', 'de') AND doc_id % 5 <> 0")}),
-    w AS (SELECT gram, count(*) FILTER (lang = 'en') AS a, count(*) FILTER (lang = 'de') AS b FROM g WHERE gram IS NOT NULL GROUP BY gram),
-    m AS (SELECT gram, ln((a + 1)::DOUBLE / (sum(a) OVER () + count(*) OVER ())) - ln((b + 1)::DOUBLE / (sum(b) OVER () + count(*) OVER ())) AS weight FROM w),
-    d AS ({_CHARS.format(k="doc_id", where="doc_id % 5 = 0")}),
-    s AS (SELECT doc_id, sum(weight) / count(*) AS w FROM d JOIN m USING (gram) GROUP BY doc_id)
-    SELECT doc_id, round(coalesce(1 / (1 + exp(-20 * w)), 0.5), 6) AS confidence FROM (SELECT doc_id FROM documents WHERE doc_id % 5 = 0) LEFT JOIN s USING (doc_id)"""
-)
-def english_confidence(spark, folder):
-    """English against German, learned on four folds of the documents and scored on the fifth."""
-    d = _docs(spark, folder)
-    model = annotated.language_model(d.where("doc_id % 5 <> 0"), "lang", "text", ("en", "de"))
-    c = annotated.language_confidence(d.where("doc_id % 5 = 0").select("doc_id", "text"), model, "doc_id", "text")
-    return c.select("doc_id", F.round("confidence", 6).alias("confidence"))
-
-
 @query("SELECT least(floor(n / 100), 19)::BIGINT AS bucket, count(*) AS docs FROM (SELECT len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS n FROM documents) GROUP BY ALL")
 def tokens_per_doc_histogram(spark, folder):
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""))
@@ -463,9 +506,9 @@ def artist_lyrics_agg(spark, folder):
 # --- terms --------------------------------------------------------------------
 
 
-@query(f'WITH {CONV} SELECT doc_id, o AS "order", g AS ngram, cnt FROM cnt WHERE o <= 2')
+@query(f'WITH {CONV} SELECT doc_id, turn, o AS "order", g AS ngram, cnt FROM cnt WHERE o <= 2')
 def dtm_counts(spark, folder):
-    return _conv_grams(spark, folder, (1, 2)).select("doc_id", "order", "ngram", "cnt")
+    return _conv_grams(spark, folder, (1, 2)).select("doc_id", "turn", "order", "ngram", "cnt")
 
 
 @query(f'WITH {CONV} SELECT row_number() OVER (ORDER BY o, g) - 1 AS term_idx, o AS "order", g AS ngram FROM (SELECT DISTINCT o, g FROM cnt WHERE o <= 2)')
@@ -513,41 +556,39 @@ def fs_vocab(spark, folder):
 
 @query(
     f"""WITH {TFIDF}, v AS (SELECT row_number() OVER (ORDER BY o, g) - 1 AS term_idx, o, g FROM (SELECT DISTINCT o, g FROM top WHERE rank <= 100))
-    SELECT doc_id, term_idx, cnt FROM cnt JOIN v USING (o, g)"""
+    SELECT doc_id, turn, term_idx, cnt FROM cnt JOIN v USING (o, g)"""
 )
 def fs_transform(spark, folder):
-    return terms.transform(_conv_grams(spark, folder, (1, 2, 3)), ["doc_id"], terms.vocabulary(_fs_top(spark, folder)))
+    return terms.transform(_conv_grams(spark, folder, (1, 2, 3)), ["doc_id", "turn"], terms.vocabulary(_fs_top(spark, folder)))
 
 
 @query(f'WITH {MONROE} SELECT o AS "order", g AS ngram, role, y::BIGINT AS y FROM y')
 def monroe_counts(spark, folder):
-    return terms.class_counts(_conv_grams(spark, folder), "role", "artist")
-
-
-def _monroe(spark, folder):
-    return terms.log_odds(terms.class_counts(_conv_grams(spark, folder), "role", "artist"), "role")
+    rows = terms.ngram_rows(_conv(spark, folder), ["role", "artist"], "text", (1, 2, 3, 4))
+    return terms.class_counts(rows, "role", "artist", labels=terms.classes(_conv(spark, folder), "role"))
 
 
 @query(f'WITH {MONROE} SELECT o AS "order", g AS ngram, role, round(z, 6) AS z FROM z')
 def monroe_z(spark, folder):
-    return _monroe(spark, folder).withColumn("z", F.round("z", 6))
+    rows = terms.ngram_rows(_conv(spark, folder), ["role", "artist"], "text", (1, 2, 3, 4))
+    return terms.log_odds(rows, "role", "artist", labels=terms.classes(_conv(spark, folder), "role")).withColumn("z", F.round("z", 6))
 
 
-def _document_scores(spark, folder):
-    grams = terms.ngram_counts(_docs(spark, folder), ["doc_id", "lang", "source"], "text", (1,))
-    return grams, terms.log_odds(terms.class_counts(grams, "lang", "source", min_artists=2), "lang")
+def _document_scores(spark, folder) -> DataFrame:
+    """Of all orders jointly; ``source`` has 20 values, of which an n-gram must be in two."""
+    rows = terms.ngram_rows(_docs(spark, folder), ["lang", "source"], "text", (1, 2, 3, 4))
+    return terms.log_odds(rows, "lang", "source", labels=terms.classes(_docs(spark, folder), "lang"), min_artists=2)
 
 
-@query()
+@query(f'WITH {MONROE_VOCAB} SELECT term_idx, o AS "order", g AS ngram FROM mv')
 def monroe_vocab(spark, folder):
-    """Needs the normal distribution function, which DuckDB lacks; its parts have SQL of their own."""
-    return terms.select_by_log_odds(_document_scores(spark, folder)[1], 0.001)
+    return terms.select_by_log_odds(_document_scores(spark, folder), 0.001)
 
 
-@query()
+@query(f"WITH {MONROE_VOCAB} SELECT doc_id, term_idx, cnt FROM cnt JOIN mv USING (o, g)")
 def monroe_transform(spark, folder):
-    grams, scores = _document_scores(spark, folder)
-    return terms.transform(grams, ["doc_id"], terms.select_by_log_odds(scores, 0.001))
+    vocab = terms.select_by_log_odds(_document_scores(spark, folder), 0.001)
+    return terms.transform(_doc_grams(spark, folder), ["doc_id"], vocab)
 
 
 P_VALUE = "l_extendedprice / (SELECT max(l_extendedprice) FROM lineitem)"
@@ -579,6 +620,18 @@ def _weights(spark, folder):
     return line.groupBy(F.col("l_returnflag").alias("topic"), F.col("l_partkey").alias("term")).agg(F.sum("l_quantity").alias("w"))
 
 
+@query(
+    """WITH p AS (SELECT l_partkey AS doc, l_returnflag AS topic, sum(l_quantity) AS w FROM lineitem GROUP BY l_partkey, l_returnflag),
+    s AS (SELECT doc, topic, w / sum(w) OVER (PARTITION BY doc) AS share FROM p)
+    SELECT x.topic AS a, y.topic AS b, round(corr(x.share, y.share), 6) AS r FROM s x JOIN s y ON x.doc = y.doc AND x.topic < y.topic GROUP BY x.topic, y.topic"""
+)
+def topic_correlation(spark, folder):
+    w = _weights(spark, folder)
+    total = w.groupBy("term").agg(F.sum("w").alias("all"))
+    shares = w.join(total, "term").select(F.col("term").alias("doc"), "topic", (F.col("w") / F.col("all")).alias("share"))
+    return topics.topic_correlation(shares, "doc", "topic", "share").withColumn("r", F.round("r", 6))
+
+
 @query(f"WITH {WEIGHTS}, b AS (SELECT *, w / sum(w) OVER (PARTITION BY topic) AS beta, sum(w) OVER (PARTITION BY term) / sum(w) OVER () AS pt FROM w) SELECT topic, term, round(beta, 9) AS beta, round(beta / pt, 9) AS lift FROM b")
 def lift_scores(spark, folder):
     return terms.frex(_weights(spark, folder), "topic", "term").select("topic", "term", F.round("beta", 9).alias("beta"), F.round("lift", 9).alias("lift"))
@@ -623,7 +676,8 @@ def _draws(rater: int) -> str:
     return f"((({a} * {a} + 31 * {a} + user_id) % 999983) + 0.5::DOUBLE) / 999983"
 
 
-IRA = f"""{CDF}, u AS (SELECT user_id, i, {_draws(0)} AS u0, {_draws(1)} AS u1 FROM (SELECT DISTINCT user_id FROM cdf) CROSS JOIN range(20) r(i)),
+ITERATIONS = 10_000
+IRA = f"""{CDF}, u AS (SELECT user_id, i, {_draws(0)} AS u0, {_draws(1)} AS u1 FROM (SELECT DISTINCT user_id FROM cdf) CROSS JOIN range({ITERATIONS}) r(i)),
 d AS (SELECT user_id, i, (SELECT min_by(genre, c.cdf) FROM cdf c WHERE c.user_id = u.user_id AND u.u0 <= c.cdf AND NOT (u.u0 <= c.lo)) AS a,
   (SELECT min_by(genre, c.cdf) FROM cdf c WHERE c.user_id = u.user_id AND u.u1 <= c.cdf AND NOT (u.u1 <= c.lo)) AS b FROM u),
 t AS (SELECT i, g.genre, count(*) FILTER (a = g.genre AND b = g.genre) AS tp, count(*) FILTER (a <> g.genre AND b = g.genre) AS fp, count(*) FILTER (a = g.genre AND b <> g.genre) AS fn
@@ -647,7 +701,7 @@ def vote_cdf(spark, folder):
 
 
 def _simulated(spark, folder):
-    return agreement.simulate(agreement.unpivot_votes(_wide(spark, folder), "user_id", 5), "user_id", 20)
+    return agreement.simulate(agreement.unpivot_votes(_wide(spark, folder), "user_id", 5), "user_id", ITERATIONS)
 
 
 @query(f"WITH {IRA} SELECT iteration, genre, round(f1, 9) AS f1 FROM mc")
@@ -779,21 +833,11 @@ def feature_concat(spark, folder):
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """The ten n-grams of the greatest log odds of each language's documents (unigrams)."""
-    scores = _document_scores(spark, folder)[1]
-    return terms.top_terms(scores, "lang", "ngram", "z", 10).select("lang", "ngram", F.round("z", 6).alias("z"), "rank")
+    """The ten n-grams of orders 1 to 4 of the greatest log odds of each language's documents."""
+    scores = _document_scores(spark, folder)
+    return terms.top_terms(scores, "lang", "ngram", "z", 10).select("lang", "order", "ngram", F.round("z", 6).alias("z"), "rank")
 
 
-@query(
-    f"""WITH {TOKENS},
-    c AS (SELECT t AS g, lang, source, count(*) AS n FROM tok GROUP BY t, lang, source),
-    kept AS (SELECT g FROM c GROUP BY g HAVING count(DISTINCT source) >= 2 AND g NOT IN ({_quoted(STOPWORDS)}) AND NOT regexp_matches(g, '^\\d+\\S*$')),
-    y AS (SELECT k.g, r.lang, coalesce(s.y, 0) AS y FROM kept k CROSS JOIN (SELECT DISTINCT lang FROM documents) r
-      LEFT JOIN (SELECT g, lang, sum(n) AS y FROM c GROUP BY g, lang) s ON s.g = k.g AND s.lang = r.lang),
-    a AS (SELECT *, (sum(y) OVER (PARTITION BY g))::DOUBLE AS yg, (sum(y) OVER (PARTITION BY lang))::DOUBLE AS nc, (sum(y) OVER ())::DOUBLE AS n FROM y),
-    z AS (SELECT g, lang, round((ln((y + yg / n) / (nc - y + 1 - yg / n)) - ln((yg - y + yg / n) / (n - nc - yg + y + 1 - yg / n)))
-      / sqrt(1 / (y + yg / n) + 1 / (nc - y + 1 - yg / n) + 1 / (yg - y + yg / n) + 1 / (n - nc - yg + y + 1 - yg / n)), 6) AS z FROM a)
-    SELECT lang, g AS ngram, z FROM z"""
-)
+@query(f'WITH {MONROE_DOCS} SELECT role AS lang, o AS "order", g AS ngram, round(z, 6) AS z FROM z')
 def flagship_scores(spark, folder):
-    return _document_scores(spark, folder)[1].select("lang", "ngram", F.round("z", 6).alias("z"))
+    return _document_scores(spark, folder).select("lang", "order", "ngram", F.round("z", 6).alias("z"))

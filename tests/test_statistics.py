@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import agreement, classify, grouping, metrics, terms, topics, tuning
+from lexiloom.operators import agreement, classify, experiment, grouping, metrics, ranking, terms, topics, tuning
 from lexiloom.plans import models
 from lexiloom.plans.catalog import one_standard_error, select_local_maximum
 from lexiloom.sources import tables
@@ -39,7 +39,7 @@ def test_class_tfidf_selects_and_transforms(spark, grams):
 
 def test_log_odds_prior_and_signs(spark, grams):
     counts = terms.class_counts(grams, "genre", "artist", min_artists=1)
-    scores = {(r["ngram"], r["genre"]): r["z"] for r in terms.log_odds(counts, "genre").where("`order` = 1").collect()}
+    scores = {(r["ngram"], r["genre"]): r["z"] for r in terms.log_odds(grams, "genre", "artist", min_artists=1).where("`order` = 1").collect()}
     assert scores["love", "pop"] > 0 > scores["love", "rock"]
     assert len(scores) % 3 == 0  # a full grid
 
@@ -151,17 +151,80 @@ def test_structural_topics_recover_two_topics(spark):
     assert np.mean(shares) > 0.9
 
 
-def test_topics_keep_all_words_and_conversations(spark, tmp_path):
-    rows = [(c, 0, "user", " ".join(f"word{chr(97 + c % 20)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))) for c in range(12)]
-    spark.createDataFrame([*rows, (12, 0, "user", None), (13, 0, "assistant", "")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+def test_topics_keep_all_conversations(spark, tmp_path):
+    """Conversations without a selected word have the prior's shares; without any selected word all have them."""
+    rows = [(c, 0, ("user", "system")[c % 2], " ".join(f"word{chr(97 + (c % 2) * 10 + k % 10)}" for k in range(c, c + 12))) for c in range(60)]
+    odd = [(60, 0, "user", None), (61, 0, "assistant", ""), (62, 1000, "user", "seldom used"), (62, 0, "user", "other")]
+    schema = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(rows + odd, schema).write.parquet(f"{tmp_path}/conversations.parquet")
     docs, size = models._topic_documents(spark, str(tmp_path))
     found = {r["artist"]: r for r in docs.collect()}
-    assert size == 480 and sorted(found) == list(range(14)) and sum(len(r["terms"]) for r in found.values()) == 480
-    assert found[12]["terms"] == [] and len(found[13]["x"]) == 2
-    shares = {r["artist"]: r["theta"] for r in models.lda_topics(spark, str(tmp_path)).collect()}
-    assert len(shares) == 14 and np.allclose(shares[12], 0.25)
-    shares = {r["artist"]: r["theta"] for r in models.stm_topics(spark, str(tmp_path)).collect()}
-    assert len(shares) == 14 and np.allclose([sum(v) for v in shares.values()], 1)
+    assert size >= 20 and sorted(found) == list(range(63))
+    assert found[60]["terms"] == [] and found[62]["terms"] == [] and len(found[61]["x"]) == 3
+    for f in (models.lda_topics, models.stm_topics, models.ctm_topics):
+        shares = {r["artist"]: r["theta"] for r in f(spark, str(tmp_path)).collect()}
+        assert len(shares) == 63 and np.allclose([sum(v) for v in shares.values()], 1)
+        if f is models.lda_topics:
+            assert np.allclose(shares[60], 0.25)
+    spark.createDataFrame(rows[:8], schema).write.parquet(f"{tmp_path}/few/conversations.parquet")
+    assert models._topic_documents(spark, f"{tmp_path}/few")[1] == 1 and models.stm_topics(spark, f"{tmp_path}/few").count() == 8
+
+
+def topic_docs(spark, seed=1, n=80):
+    rng = np.random.default_rng(seed)
+    rows = [(d, int(t), 1) for d in range(n) for t in rng.integers(0, 10, 40) + 10 * (d % 2)]
+    dtm = spark.createDataFrame(rows, "doc int, term_idx int, one int").groupBy("doc", "term_idx").agg(F.sum("one").alias("cnt"))
+    return topics.as_documents(dtm, "doc").cache()
+
+
+def test_topic_inference_in_batches_equals_single_documents():
+    rng = np.random.default_rng(3)
+    beta, mu = rng.dirichlet(np.ones(30), 4), rng.standard_normal((5, 3))
+    inverse = np.linalg.inv(np.cov(rng.standard_normal((3, 50))) + np.eye(3))
+    sizes = [7, 0, 12, 1, 20]
+    terms_, counts = [rng.choice(30, n, replace=False) for n in sizes], [rng.integers(1, 5, n).astype(float) for n in sizes]
+    both = topics.infer(np.concatenate(terms_), np.concatenate(counts), np.r_[0, np.cumsum(sizes)], mu, inverse, beta)
+    for d in range(5):
+        one = topics.infer(terms_[d], counts[d], np.array([0, sizes[d]]), mu[d : d + 1], inverse, beta)
+        assert np.allclose(both[0][d], one[0][0], atol=1e-4) and np.allclose(both[1][d], one[1][0], atol=1e-4) and abs(both[3][d] - one[3][0]) < 1e-6
+        eta, n = one[0][0], counts[d].sum()
+        theta = np.exp(np.r_[eta, 0]) / np.exp(np.r_[eta, 0]).sum()
+        phi = beta[:, terms_[d]] * theta[:, None]
+        gradient = ((phi / np.maximum(phi.sum(0), 1e-300)) * counts[d]).sum(1)[:-1] - n * theta[:-1] - inverse @ (eta - mu[d])
+        assert np.abs(gradient).max() < 1e-2 and np.isclose(one[2].sum(), n)
+
+
+def test_topic_start_side_by_side_fits_and_sums_in_a_tree(spark, monkeypatch):
+    docs = topic_docs(spark)
+    beta = topics.anchor_start(docs, 20, 2)
+    assert {b[:10].sum() > 0.8 for b in beta} == {True, False}
+    many = topics.fit_structural_many(docs, 20, [2, 3], iterations=6, tolerance=0.0)
+    alone = topics.fit_structural(docs, "doc", 20, 2, iterations=6, tolerance=0.0)
+    assert np.allclose(many[2].beta, alone.beta) and len(many[3].bounds) == 6 and many[2].bounds[-1] >= many[2].bounds[0]
+    monkeypatch.setattr(topics, "FAN_IN", 2)
+    again = topics.fit_structural(docs.repartition(5).cache(), "doc", 20, 2, iterations=6, tolerance=0.0)
+    assert np.allclose(again.beta, alone.beta, atol=1e-8)
+
+
+def test_topic_pipeline_stores_checks_and_goes_on(spark, tmp_path, monkeypatch):
+    docs, words = topic_docs(spark), [f"w{k}" for k in range(20)]
+    options = {"topic_numbers": [2, 3, 4], "iterations": 8}
+    with pytest.raises(RuntimeError):
+        topics.TopicPipeline(str(tmp_path)).transform(docs, "doc", words)
+    first = topics.TopicPipeline(str(tmp_path), **options).tune_and_fit(docs, "doc", words)
+    assert [k for k, _ in first.results] == [2, 3, 4] and len(first.model.beta) == topics.choose_topics(first.results)
+    back = topics.TopicPipeline(str(tmp_path)).load(spark)
+    assert np.allclose(back.model.beta, first.model.beta) and back.model.vocabulary == words
+    shares = back.transform(docs, "doc", words).collect()
+    assert len(shares) == 80 and all(abs(sum(r["theta"]) - 1) < 1e-9 for r in shares)
+    with pytest.raises(ValueError):
+        back.transform(docs, "doc", words[::-1])
+    monkeypatch.setattr(topics, "fit_structural_many", None)  # all values are stored
+    assert topics.search_topics(docs, "doc", 20, [2, 3, 4], checkpoint=f"{tmp_path}/search", iterations=8) == first.results
+    top = terms.top_terms(terms.frex(back.model.weights(spark), "topic", "term"), "topic", "term", "frex", 3).collect()
+    assert len(top) == 3 * len(first.model.beta)
+    found = topics.search_lda(docs, "doc", 20, [2], iterations=3)
+    assert found[0][0] == 2 and found[0][1] < 0
 
 
 def test_classifier_dispatch_and_fit(spark):
@@ -178,8 +241,11 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(k, [float(v) for v in rng.standard_normal(4) + 2 * (k % 2)], str(k % 2)) for k in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, x array<double>, y string")
-    score, error = models._cross_validated(df, 3, 2)({"max_features": 2, "min_samples_leaf": 1})
+    search, done = experiment.cross_validated_search(df, "vec_id", "x", "y", {"max_features": (1, 4)}, folds=3, trees=2)
+    score, error = search.evaluate({"max_features": 2, "min_samples_leaf": 1})
+    done()
     assert 0.5 < score <= 1 and 0 <= error < 0.3 and error != 0.01
+    assert (search.n_initial, search.n_iterations, search.stop, search.jump, search.candidates) == (20, 50, 15, 5, 10_000)
     seen = {}
     monkeypatch.setattr(models, "_features", lambda *_: df)
     monkeypatch.setattr(classify, "permutation_importance", lambda m, r, k, positions, repeats=5: seen.update(positions=positions, repeats=repeats))
@@ -190,8 +256,40 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch):
     models.search_topics(spark, "")
     assert seen["numbers"] == list(range(2, 21)) and "iterations" not in seen
     seen.clear()
-    monkeypatch.setattr(models, "_cross_validated", lambda rows, folds, trees: seen.update(folds=folds, trees=trees) or (lambda p: (p["max_features"] / 16, 0.02)))
-    assert models.tuning_history(spark, "").where("iteration = 0").count() == 20 and seen == {"folds": 5, "trees": 500}
+    whole = experiment.cross_validate
+    monkeypatch.setattr(experiment, "cross_validate", lambda d, k, x, y, params, folds, **o: seen.update(folds=folds, trees=o["trees"]) or [params["max_features"] / 16] * folds)
+    assert models.tuning_history(spark, "").where("iteration = 0").count() == 20 and seen == {"folds": 5, "trees": models.SEARCH_TREES}
+    e = experiment.Experiment(df, df, "vec_id", "x", "y")
+    monkeypatch.setattr(e, "fit", lambda params: seen.update(params=params) or e)
+    e.tune({"max_features": (1, 4), "min_samples_leaf": (1, 3)}, "min_samples_leaf", True, n_initial=2, n_iterations=0)
+    assert seen["trees"] == 500 and seen["folds"] == 5  # the operator's own size; the query's is smaller
+    assert whole(df.withColumn("fold", F.floor(F.col("vec_id") / 2) % 2), "vec_id", "x", "y", {"C": 1.0, "l1_ratio": 0.5}, 2, max_iter=20)[0] > 0.8
+
+
+def test_permutation_importance_finds_the_telling_feature(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(k % 2), float(rng.standard_normal()), 1.0], str(k % 2)) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y string")
+    model = classify.Classifier({"C": 1.0, "l1_ratio": 0.5}, max_iter=100).fit(df, "x", "y")
+    found = {r["feature"]: r["importance"] for r in classify.permutation_importance(model, df, "id", [0, 1, 2], 5).collect()}
+    assert 0.4 < found[0] < 0.6 and abs(found[1]) < 0.02 and found[2] == 0
+
+
+def test_ranks_are_exact_and_in_buckets(spark):
+    rng = np.random.default_rng(8)
+    names = sorted({"".join(rng.choice(list("aé😀 zZ'"), rng.integers(1, 9))) for _ in range(600)})
+    df = spark.createDataFrame([(int(k % 2) + 1, n) for k, n in enumerate(names)], "`order` int, ngram string").repartition(7)
+    got = [(r["order"], r["ngram"]) for r in ranking.rank_by_name(df, "order", "ngram").orderBy("rank").collect()]
+    want = sorted(((k % 2 + 1, n) for k, n in enumerate(names)), key=lambda x: (x[0], x[1].encode()))
+    assert got == want and [r["rank"] for r in ranking.rank_by_name(df, "order", "ngram").orderBy("rank").collect()] == list(range(1, len(names) + 1))
+    rows = [(k, None if k % 5 == 0 else k % 3, int(rng.integers(0, 40))) for k in range(500)]
+    df = spark.createDataFrame(rows, "id int, g int, v int")
+    got = {r["id"]: r["rank"] for r in ranking.rank_in_buckets(df, ["g"], F.floor(F.col("v") / 7), ["v", "id"]).collect()}
+    for g in {r[1] for r in rows}:
+        own = sorted((v, i) for i, h, v in rows if h == g)
+        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+    plan = terms.vocabulary(df.select(F.col("g").alias("order"), F.col("v").cast("string").alias("ngram")))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan or plan.count("Window") >= 3
 
 
 def test_sources(spark, tmp_path):

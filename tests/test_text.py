@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.functions.lexicon import CONTRACTIONS, FILLERS, STOPWORDS, domain_lexicon
-from lexiloom.functions.udf import expand, upper_tail
+from lexiloom.functions.normal import erfc, upper_tail
+from lexiloom.functions.udf import expand
 from lexiloom.plans.catalog import lemmatize
 
 
@@ -62,5 +63,13 @@ def test_lexicon_sizes_and_lemmas(spark):
 
 
 def test_upper_tail_does_not_vanish(spark):
-    p = spark.createDataFrame([(0.0,), (1.959963984540054,), (12.0,)], "z double").select(upper_tail("z").alias("p")).collect()
+    p = spark.createDataFrame([(0.0,), (1.959963984540054,), (12.0,)], "z double").select(upper_tail(F.col("z")).alias("p")).collect()
     assert p[0]["p"] == 0.5 and abs(p[1]["p"] - 0.025) < 1e-12 and 0 < p[2]["p"] < 1e-30
+
+
+def test_complementary_error_function(spark):
+    import math
+
+    xs = [k / 64 for k in range(-400, 1700)] + [0.46875, 4.0, 26.5, 27.6, -30.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(erfc(F.col("x"))).collect()]
+    assert all(abs(g - math.erfc(x)) <= 1e-13 * math.erfc(x) or math.erfc(x) < 1e-300 for g, x in zip(got, xs))
