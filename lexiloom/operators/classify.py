@@ -23,6 +23,9 @@ def balanced(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(weights), label)
 
 
+TOLERANCE = 1e-4  # of the logistic regression
+
+
 class Classifier:
     """Elastic-net logistic regression (``C``, ``l1_ratio``) or a random forest
     (``max_features``, ``min_samples_leaf``), by the parameters given.
@@ -47,7 +50,7 @@ class Classifier:
         ready = self.indexer.transform(balanced(self._scaled(vectors), label)).select("_x", "_y", "weight").cache()
         if "C" in self.params:
             model = LogisticRegression(
-                featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", standardization=False, maxIter=self.max_iter,
+                featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", standardization=False, maxIter=self.max_iter, tol=TOLERANCE,
                 regParam=1 / (self.params["C"] * n), elasticNetParam=self.params["l1_ratio"],
             )
         else:
@@ -122,24 +125,27 @@ def _replaced(features: str) -> Column:
     return F.transform(F.col(features), lambda v, i: F.when(i == F.col("feature"), F.element_at("_other", i + 1)).otherwise(v))
 
 
-def cross_validate(dealt: DataFrame, key: str, features: str, label: str, params: dict, folds: int, *, fit_share: float = 1.0, **options) -> list[float]:
-    """Macro F1 of each fold (column ``fold``) by a model of the others, fitted side by side.
-
-    ``fit_share``: stratified share of each training part to use.
-    """
+def _fold_score(dealt: DataFrame, fold: int, key: str, features: str, label: str, params: dict, share: float = 1.0, **options) -> float:
+    """Macro F1 of a fold (column ``fold``) by a model of a stratified share of the others."""
     from .grouping import stratified_subsample
     from .metrics import macro
 
-    def one(fold: int) -> float:
-        train = dealt.where(F.col("fold") != fold)
-        if fit_share < 1:
-            train = stratified_subsample(train, key, label, fit_share)
-        test = dealt.where(F.col("fold") == fold).withColumn("_truth", F.col(label).cast("string"))
-        model = Classifier(params, **options).fit(train, features, label)
-        return float(macro(model.add_predictions(test), "_truth", "predicted").first()["macro_f1"])
+    train = dealt.where(F.col("fold") != fold)
+    if share < 1:
+        train = stratified_subsample(train, key, label, share)
+    test = dealt.where(F.col("fold") == fold).withColumn("_truth", F.col(label).cast("string"))
+    model = Classifier(params, **options).fit(train, features, label)
+    return float(macro(model.add_predictions(test), "_truth", "predicted").first()["macro_f1"])
+
+
+#: Fits that are under way at a time; their jobs share the cluster.
+SIDE_BY_SIDE = 8
+
 
-    with ThreadPoolExecutor(folds) as pool:
-        return list(pool.map(one, range(folds)))
+def cross_validate(dealt: DataFrame, key: str, features: str, label: str, params: dict, folds: int, **options) -> list[float]:
+    """Macro F1 of each fold (column ``fold``) by a model of the others, fitted side by side."""
+    with ThreadPoolExecutor(min(folds, SIDE_BY_SIDE)) as pool:
+        return list(pool.map(lambda fold: _fold_score(dealt, fold, key, features, label, params, **options), range(folds)))
 
 
 def learning_curve(rows: DataFrame, key: str, features: str, label: str, params: dict, shares: list[float], folds: int = 5, **options) -> DataFrame:
@@ -147,7 +153,9 @@ def learning_curve(rows: DataFrame, key: str, features: str, label: str, params:
     from .grouping import kfold
 
     dealt = rows.join(kfold(rows, key, label, folds=folds).select(key, "fold"), key).persist()
-    out = [(share, f1) for share in shares for f1 in cross_validate(dealt, key, features, label, params, folds, fit_share=share, **options)]
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        cells = [(share, fold) for share in shares for fold in range(folds)]
+        out = list(pool.map(lambda c: (c[0], _fold_score(dealt, c[1], key, features, label, params, c[0], **options)), cells))
     dealt.unpersist()
     frame = rows.sparkSession.createDataFrame(out, "share double, f1 double")
     return frame.groupBy("share").agg(F.avg("f1").alias("mean"), F.stddev_samp("f1").alias("std"))

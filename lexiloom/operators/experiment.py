@@ -6,13 +6,14 @@ import json
 import math
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import grouping, metrics
-from .classify import Classifier, cross_validate, permutation_importance
+from .classify import SIDE_BY_SIDE, Classifier, cross_validate, permutation_importance
 from .tuning import Search
 
 
@@ -115,7 +116,7 @@ def cross_validated_search(
         scores = cross_validate(dealt, key, features, label, params, folds, trees=trees, seed=seed)
         return float(np.mean(scores)), float(np.std(scores, ddof=1) / math.sqrt(folds))
 
-    return Search(space, evaluate, seed=seed, data=grouping_mark(rows, key, features, label), **search), dealt.unpersist
+    return Search(space, evaluate, seed=seed, together=2, data=grouping_mark(rows, key, features, label), **search), dealt.unpersist
 
 
 def grouping_mark(rows: DataFrame, *columns: str) -> str:
@@ -146,24 +147,31 @@ def run_matrix(
         style = tables["style"].select(key, F.col("x").alias("_y"))
         return tables | {"combined": tables["topic"].join(style, key).withColumn("x", F.concat("x", "_y")).drop("_y")}
 
-    train, test, out = combined(train), combined(test), []
-    for label in labels:
-        for features, kind in PAIRS:
-            e = Experiment(train[features], test[features], key, "x", label)
-            if kind == "lr":
-                e.fit(lr or {"C": 1.0, "l1_ratio": 0.5}, **{k: v for k, v in options.items() if k == "max_iter"})
-            elif tune:
-                e.tune(**tune)
-            else:
-                e.fit(rf or {"max_features": 8, "min_samples_leaf": 2}, **{k: v for k, v in options.items() if k == "trees"})
-            out.append((label, features, kind, e))
-    return out
+    train, test = combined(train), combined(test)
+
+    def one(cell: tuple[str, str, str]) -> tuple[str, str, str, Experiment]:
+        label, features, kind = cell
+        e = Experiment(train[features], test[features], key, "x", label)
+        if kind == "lr":
+            e.fit(lr or {"C": 1.0, "l1_ratio": 0.5}, **{k: v for k, v in options.items() if k == "max_iter"})
+        elif tune:
+            e.tune(**tune)
+        else:
+            e.fit(rf or {"max_features": 8, "min_samples_leaf": 2}, **{k: v for k, v in options.items() if k == "trees"})
+        return label, features, kind, e
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE // 2) as pool:
+        return list(pool.map(one, [(label, *pair) for label in labels for pair in PAIRS]))
 
 
 def matrix_table(spark: SparkSession, results: list[tuple[str, str, str, Experiment]]) -> DataFrame:
     """``label, features, classifier, macro_f1, kappa, baseline_f1``."""
-    rows = []
-    for label, features, kind, e in results:
+
+    def row(cell: tuple[str, str, str, Experiment]) -> tuple:
+        label, features, kind, e = cell
         s = e.scores().first()
-        rows.append((label, features, kind, float(s["macro_f1"]), None if s["kappa"] is None else float(s["kappa"]), float(e.baseline().first()["macro_f1"])))
+        return label, features, kind, float(s["macro_f1"]), None if s["kappa"] is None else float(s["kappa"]), float(e.baseline().first()["macro_f1"])
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE // 2) as pool:
+        rows = list(pool.map(row, results))
     return spark.createDataFrame(rows, "label string, features string, classifier string, macro_f1 double, kappa double, baseline_f1 double")

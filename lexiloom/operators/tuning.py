@@ -7,6 +7,7 @@ import json
 import math
 import os
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -71,7 +72,8 @@ class Search:
 
     ``checkpoint``: a folder of the driver that keeps the history of the search
     (a few kilobytes), under the hash of its settings and of ``data``, a mark of
-    the data and feature names.
+    the data and feature names.  ``together``: points of the hypercube that are
+    evaluated at a time.
     """
 
     space: Space
@@ -84,6 +86,7 @@ class Search:
     seed: int = 42
     checkpoint: str | None = None
     data: str = ""
+    together: int = 1
     history: list[dict] = field(default_factory=list)
     no_better: int = 0
     since_jump: int = 0
@@ -91,13 +94,16 @@ class Search:
     def run(self) -> list[dict]:
         self._load()
         points = latin_hypercube(self.space, self.n_initial, self.seed)
-        for point in points[len(self.history) :]:
-            self._record(point, 0)
+        left = points[len(self.history) :]
+        with ThreadPoolExecutor(self.together) as pool:  # in order, and kept as they come
+            for point, found in zip(left, pool.map(self.evaluate, left)):
+                self._record(point, 0, found)
         done = max([0, *(h["iteration"] for h in self.history)])
         for iteration in range(done + 1, self.n_iterations + 1):
             if self.no_better >= self.stop:
                 break
-            self._record(self._next(iteration), iteration)
+            point = self._next(iteration)
+            self._record(point, iteration, self.evaluate(point))
         return self.history
 
     def _next(self, iteration: int) -> dict:
@@ -112,8 +118,8 @@ class Search:
     def _due(self) -> bool:
         return self.jump > 0 and self.no_better >= self.jump and self.since_jump >= self.jump
 
-    def _record(self, params: dict, iteration: int) -> None:
-        score, error = self.evaluate(params)
+    def _record(self, params: dict, iteration: int, found: tuple[float, float]) -> None:
+        score, error = found
         if math.isnan(score):
             score, error = -math.inf, 0.0
         best = max([-math.inf, *(h["score"] for h in self.history)])
