@@ -72,10 +72,13 @@ def _by_length(raw: pa.Array, item: str) -> Iterator[tuple[np.ndarray, np.ndarra
     raw = raw.cast(pa.large_binary())
     _, o, data = raw.buffers()
     o = np.frombuffer(o, np.int64, len(raw) + 1, raw.offset * 8)
-    sizes = np.diff(o)
+    sizes, data = np.diff(o), np.frombuffer(data, np.uint8)
+    if len(sizes) and (sizes == sizes[0]).all():
+        yield np.arange(len(sizes)), _units(data[o[0] : o[-1]].view(item).reshape(len(sizes), -1))
+        return
     for size in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == size)
-        grid = np.frombuffer(data, np.uint8)[o[at][:, None] + np.arange(size)]
+        grid = data[o[at][:, None] + np.arange(size)]
         yield at, _units(grid.reshape(-1).view(item).reshape(len(at), -1))
 
 
@@ -105,7 +108,9 @@ def _profile(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -
             keys, good, units = np.zeros((2, n), np.uint64), np.zeros(n, bool), [None] * n
             for dim in np.unique(sizes[some & (sizes > 0)]).tolist():
                 at = np.flatnonzero(some & (sizes == dim))
-                x = values[offsets[at][:, None] + np.arange(dim)] + np.array(0, item)  # no negative zeros
+                whole = len(at) == n
+                x = values[offsets[0] : offsets[-1]].reshape(n, dim) if whole else values[offsets[at][:, None] + np.arange(dim)]
+                x = x + np.array(0, item)  # no negative zeros
                 top = np.abs(x).max(1)
                 at, x = at[np.isfinite(top) & (top > 0)], x[np.isfinite(top) & (top > 0)]
                 bits = x.astype(np.float64).view(np.uint64)
