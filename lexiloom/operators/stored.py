@@ -1,9 +1,11 @@
-"""Results kept by a fingerprint of everything they depend on."""
+"""Results kept by a fingerprint of everything they depend on, and tables written to be read several times."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,31 @@ def fingerprint(params: dict, *inputs: DataFrame) -> str:
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:24]
 
 
+_own: dict[str, str] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet, for plans that read it several times.
+
+    The files go to ``spark.checkpoint.dir``, which all executors share, and
+    stay until it is emptied; they outlive lost executors.  A session of one
+    machine without that setting takes a temporary folder; a cluster without it
+    has no such folder, and ``df`` comes back as it is.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            return df
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = tempfile.mkdtemp(prefix="lexiloom-")
+        folder = _own[application]
+    path = f"{folder.rstrip('/')}/lexiloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file is there, in any store that Spark reads."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from lexiloom.functions import text as T
 from lexiloom.operators.ranking import rank_by_name
+from lexiloom.operators.stored import written
 
 
 def ngram_rows(docs: DataFrame, keys: list[str], text: str, orders: Iterable[int]) -> DataFrame:
@@ -35,7 +36,7 @@ def artists_per_ngram(grams: DataFrame, artist: str) -> DataFrame:
 
 def vocabulary(grams: DataFrame) -> DataFrame:
     """``term_idx, order, ngram`` by order and name."""
-    terms = grams.select("order", "ngram").distinct()
+    terms = written(grams.select("order", "ngram").distinct(), "terms")
     return rank_by_name(terms, "order", "ngram").select((F.col("rank") - 1).cast("long").alias("term_idx"), "order", "ngram")
 
 
@@ -178,7 +179,7 @@ def select_by_log_odds(scores: DataFrame, fdr: float) -> DataFrame:
     """Vocabulary of the n-grams that pass jointly over all orders and classes with z > 0."""
     from lexiloom.functions.normal import upper_tail
 
-    tests = scores.withColumn("p", upper_tail(F.col("z")))
+    tests = written(scores.withColumn("p", upper_tail(F.col("z"))), "tests")
     return vocabulary(benjamini_hochberg(tests, fdr).where("passes_bh and z > 0"))
 
 
