@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from lexiloom.functions import text as T
 from lexiloom.functions.lexicon import BOUNDARY_WORDS, FILLERS, STOPWORDS, domain_lexicon
-from lexiloom.functions.normal import upper_tail_sql
+from lexiloom.functions.normal import upper_tail, upper_tail_sql
 from lexiloom.functions.udf import expand_contractions
 from lexiloom.operators import agreement, annotated, grouping, metrics, terms, topics
 from lexiloom.sources import tables
@@ -359,6 +359,29 @@ def lemmatized_documents(spark, folder):
     return lemmatize(_docs(spark, folder)).select("doc_id", "lemmatized")
 
 
+@query(f"WITH {TOKENS} SELECT DISTINCT t AS token FROM tok WHERE length(t) > 1 AND t NOT IN ({_quoted(FILLERS)}) AND NOT regexp_matches(t, '\\p{{Nd}}')")
+def kept_lemmas(spark, folder):
+    """Different words that are no filler, longer than a character and without digits."""
+    t = _docs(spark, folder).select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
+    return t.where(T.keep_lemma(F.col("token")))
+
+
+@query(
+    f"""WITH {TOKENS} SELECT DISTINCT t AS tag, CASE upper(left(t, 1)) WHEN 'J' THEN 'a' WHEN 'V' THEN 'v' WHEN 'N' THEN 'n' WHEN 'R' THEN 'r' END AS pos FROM tok"""
+)
+def pos_map(spark, folder):
+    """Word classes of treebank tags, whatever their case; words stand for tags."""
+    t = _docs(spark, folder).select(F.explode(T.tokens(F.col("text"))).alias("tag")).distinct()
+    return t.select("tag", annotated.wordnet_pos(F.col("tag")).alias("pos"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace('[Intro] ' || coalesce(text, '') || ' *x2* ', '\[[^\[\]]*\]', '', 'g'), '\*+', '', 'g'))) AS digest FROM documents""")
+def marks_cleaned(spark, folder):
+    """Texts without bracketed parts and asterisks; both are put in."""
+    made = F.concat(F.lit("[Intro] "), F.coalesce("text", F.lit("")), F.lit(" *x2* "))
+    return _docs(spark, folder).select("doc_id", F.md5(annotated.clean_marks(made).cast("binary")).alias("digest"))
+
+
 # A stand-in for tags: the part of speech by the length of the word.
 _POS = ("NOUN", "DET", "ADP", "VERB", "ADJ", "PART", "X")
 TAGGED = f"""{CONV}, pos AS (SELECT doc_id, turn, p, t, ['NOUN', 'DET', 'ADP', 'VERB', 'ADJ', 'PART', 'X'][length(t) % 7 + 1] AS pos,
@@ -467,6 +490,20 @@ def group_split(spark, folder):
     return grouping.group_split(_orders(spark, folder), "o_custkey", "o_orderpriority")
 
 
+@query("SELECT 0::BIGINT AS members_in_both")
+def split_overlap(spark, folder):
+    """Members that both parts of a split have: none."""
+    parts = grouping.group_split(_orders(spark, folder), "o_custkey", "o_orderpriority")
+    both = parts.where("part = 'test'").join(parts.where("part = 'train'").select("o_custkey"), "o_custkey", "left_semi")
+    return both.agg(F.count("*").alias("members_in_both"))
+
+
+@query(f"SELECT doc_id, lang FROM documents ORDER BY {HASH.format(k='doc_id')}, doc_id LIMIT 5")
+def sample_rows(spark, folder):
+    """A random sample of five rows, for a log."""
+    return _docs(spark, folder).select("doc_id", "lang").orderBy(grouping.arithmetic_hash(F.col("doc_id"), 42), "doc_id").limit(5)
+
+
 @query(f"SELECT doc_id, lang, ((row_number() OVER (PARTITION BY lang ORDER BY {HASH.format(k='doc_id')}, doc_id) - 1) % 5)::INT AS fold FROM documents")
 def kfold_assign(spark, folder):
     return grouping.kfold(_docs(spark, folder), "doc_id", "lang")
@@ -574,6 +611,14 @@ def monroe_z(spark, folder):
     return terms.log_odds(rows, "role", "artist", labels=terms.classes(_conv(spark, folder), "role")).withColumn("z", F.round("z", 6))
 
 
+@query(f"""WITH {MONROE} SELECT o AS "order", g AS ngram, role, round({upper_tail_sql("z")}, 9) AS p FROM z""")
+def monroe_p(spark, folder):
+    """One-sided p-values of the log odds."""
+    rows = terms.ngram_rows(_conv(spark, folder), ["role", "artist"], "text", (1, 2, 3, 4))
+    scores = terms.log_odds(rows, "role", "artist", labels=terms.classes(_conv(spark, folder), "role"))
+    return scores.select("order", "ngram", "role", F.round(upper_tail(F.col("z")), 9).alias("p"))
+
+
 def _document_scores(spark, folder) -> DataFrame:
     """Of all orders jointly; ``source`` has 20 values, of which an n-gram must be in two."""
     rows = terms.ngram_rows(_docs(spark, folder), ["lang", "source"], "text", (1, 2, 3, 4))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +69,24 @@ def cast_all_but(df: DataFrame, prefixes: tuple[str, ...], to: str = "string") -
 def drop_matching(df: DataFrame, pattern: str) -> DataFrame:
     """Without columns whose names match, whatever the case."""
     return df.select(*(f"`{c}`" for c in df.columns if not re.search(pattern, c, re.IGNORECASE)))
+
+
+def write_matrix(rows: DataFrame, vocabulary: DataFrame, path: str) -> None:
+    """A sparse matrix of long rows with its vocabulary (``term_idx, ...``) beside it."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+
+
+def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and vocabulary of :func:`write_matrix`."""
+    return spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/vocabulary")
+
+
+def write_metadata(spark: SparkSession, values: dict, path: str) -> None:
+    """Settings and names as one JSON document, in any store that Spark writes to."""
+    spark.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> dict:
+    """A JSON document, also one over several lines."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])

@@ -227,6 +227,15 @@ def test_topic_pipeline_stores_checks_and_goes_on(spark, tmp_path, monkeypatch):
     assert found[0][0] == 2 and found[0][1] < 0
 
 
+def test_topic_jobs_are_run_once(spark, tmp_path):
+    docs, words = topic_docs(spark, n=40), [f"w{k}" for k in range(20)]
+    jobs = {("cat2", "topics"): (docs, words), ("cat2", "style"): (docs, words)}
+    first = topics.run_topic_jobs(jobs, "doc", str(tmp_path), topic_numbers=[2, 3], iterations=3)
+    again = topics.run_topic_jobs(jobs, "doc", str(tmp_path), topic_numbers=[2, 3], iterations=3)
+    assert set(first) == set(again) == set(jobs) and all(not p.results for p in again.values())
+    assert all(np.allclose(first[j].model.beta, again[j].model.beta) for j in jobs)
+
+
 def test_classifier_dispatch_and_fit(spark):
     with pytest.raises(ValueError):
         classify.Classifier({"depth": 3})
@@ -303,6 +312,12 @@ def test_sources(spark, tmp_path):
     assert tables.drop_matching(rows, "PMAX").columns == ["track_id", "lyrics"]
     with pytest.raises(ValueError):
         tables.feature_table(spark, str(tmp_path), "other", 5)
+    words = spark.createDataFrame([(0, "a"), (1, "b")], "term_idx long, ngram string")
+    tables.write_matrix(matrix, words, str(tmp_path / "dtm"))
+    cells, vocabulary = tables.read_matrix(spark, str(tmp_path / "dtm"))
+    assert sorted(map(tuple, cells.collect())) == [(1, 2, 3.0), (2, 1, 1.0)] and vocabulary.count() == 2
+    tables.write_metadata(spark, {"k": [1, "é"]}, str(tmp_path / "meta"))
+    assert tables.read_metadata(spark, str(tmp_path / "meta")) == {"k": [1, "é"]}
 
 
 def test_streaming_counts(spark, tmp_path):
