@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embedding_dedup, minhash, pii, quality, secret_scan, sharding, toxicity
+from . import bpe, chat, decontaminate, embedding_dedup, fill_in_middle, minhash, pii, quality, secret_scan, sharding, toxicity, url_filter, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,6 +127,27 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` cut by lines into prefix, suffix and middle, and restored, as digests."""
+    done = fill_in_middle.transform(_table(spark, folder, "documents"))
+    back = fill_in_middle.restore(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """``embeddings`` on the four greatest components of their distinct vectors, whitened."""
+    return whitening.whiten(_table(spark, folder, "embeddings"), components=4, scale=256)
+
+
+# The rules of the contract.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on the URLs of ``pages``, with the links that the pages declare."""
+    return url_filter.judge(_table(spark, folder, "pages"), URL_RULES)
+
+
 OP2_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, len(embedding) AS d, embedding::DOUBLE[] AS e FROM embeddings
@@ -159,6 +180,72 @@ FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
 """
 
 
+OP11_SQL = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+), r AS (
+  SELECT *, len(u) AS n, ('0x' || d[1:8])::BIGINT % (len(u) + 1) AS r1, ('0x' || d[9:16])::BIGINT % (len(u) + 1) AS r2, ('0x' || d[25:32])::BIGINT % 100 AS r4,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM h
+), c AS (
+  SELECT *, array_to_string(u[1:least(r1, r2)], '') AS prefix, array_to_string(u[least(r1, r2) + 1:greatest(r1, r2)], '') AS middle,
+    array_to_string(u[greatest(r1, r2) + 1:], '') AS suffix, CASE WHEN plain THEN 'plain' WHEN r4 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+    ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE rules(action, rhost, rpath) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+tags AS (
+  SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>', '', 'g'), '(?i)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM pages WHERE regexp_matches(html, '(?i)canonical|refresh')
+), attributes AS (
+  SELECT url, lower(tag[2:5]) AS kind, trim(regexp_replace(regexp_extract(tag, '(?is)[\s"''/]rel\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g')) AS rel,
+    trim(regexp_replace(regexp_extract(tag, '(?is)[\s"''/]http-equiv\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g')) AS equiv,
+    replace(trim(regexp_replace(regexp_extract(tag, '(?is)[\s"''/]href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g')), '&amp;', '&') AS href,
+    replace(trim(regexp_replace(regexp_extract(tag, '(?is)[\s"''/]content\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g')), '&amp;', '&') AS content
+  FROM tags
+), links AS (
+  SELECT url, CASE WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href
+    WHEN kind = 'meta' AND lower(equiv) = 'refresh' THEN trim(regexp_extract(content, '(?i)^[\s0-9.]*[;,]\s*url\s*=\s*["'']?([^"'']*)', 1)) END AS link
+  FROM attributes
+), targets AS (
+  SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || link
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link
+    WHEN starts_with(link, '?') THEN regexp_extract(url, '(?s)^(.*?://[^?#]*)', 1) || link
+    WHEN starts_with(link, '#') THEN url
+    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*/)', 1), ''), '/') || link END AS target
+  FROM links WHERE link <> ''
+), parts AS (
+  SELECT DISTINCT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)?', 1) AS query
+  FROM (SELECT url FROM pages UNION SELECT target FROM targets) WHERE url IS NOT NULL
+), keys AS (
+  SELECT url, host, path, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS key FROM parts
+), own AS (
+  SELECT host, path, arg_max(action, (len(rhost || rpath), action = 'allow')) AS action, arg_max(rhost || rpath, (len(rhost || rpath), action = 'allow')) AS rule
+  FROM (SELECT DISTINCT host, path FROM (SELECT host, path FROM keys UNION SELECT host, '/' FROM keys)) JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY host, path
+), edges AS (
+  SELECT DISTINCT a.key AS a, b.key AS b FROM targets t JOIN keys a ON a.url = t.url JOIN keys b ON b.url = t.target WHERE a.key <> b.key
+), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+classes AS (SELECT a AS key, min(b) AS class FROM reach GROUP BY a),
+decided AS (
+  SELECT class, bool_or(action = 'block') AS blocks, coalesce(bool_or(action = 'allow'), false) AS allows
+  FROM classes JOIN (SELECT DISTINCT key, host, CASE WHEN path = '' THEN '/' ELSE path END AS path FROM keys) USING (key) LEFT JOIN own USING (host, path) GROUP BY class
+), aliases AS (SELECT key FROM classes JOIN decided USING (class) WHERE blocks AND NOT allows)
+SELECT page_id, coalesce(k.host, '') AS host, coalesce(k.path, '') AS path, o.rule, CASE WHEN o.action IS NOT NULL THEN o.action WHEN x.key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM pages p LEFT JOIN keys k ON k.url = p.url LEFT JOIN own o ON o.host = k.host AND o.path = k.path LEFT JOIN aliases x ON x.key = k.key
+"""
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_quality_classifier,
@@ -171,9 +258,18 @@ def queries() -> dict[str, Query]:
         op8_chat_formatting,
         op9_toxicity,
         op10_sharding,
+        op11_fill_in_middle,
+        op12_embedding_whitening,
+        op13_url_filter,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op8_chat_formatting": OP8_SQL}
+    return {
+        "op2_embedding_near_dedup": OP2_SQL,
+        "op4_minhash_near_dedup": OP4_SQL,
+        "op8_chat_formatting": OP8_SQL,
+        "op11_fill_in_middle": OP11_SQL,
+        "op13_url_filter": OP13_SQL,
+    }
