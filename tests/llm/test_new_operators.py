@@ -143,6 +143,7 @@ def test_packing_is_canonical():
 
     assert [p[0] for p in packed] == [2, 2, 4, 4, 8, 8]
     assert (whitening._unpack(pa.array(packed, pa.binary()), 2) == x).all()
+    assert whitening._unpack(pa.array([], pa.binary()), 2).shape == (0, 2)
 
 
 @needs_tables
