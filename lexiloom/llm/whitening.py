@@ -57,7 +57,8 @@ def _unpack(column: pa.Array, dim: int) -> np.ndarray:
     """Packed rows of one dimension as 64-bit whole numbers."""
     if not len(column):  # has no offsets
         return np.zeros((0, dim), np.int64)
-    _, o, data = column.cast(pa.large_binary()).buffers()
+    column = column.cast(pa.large_binary())  # has an offset of its own
+    _, o, data = column.buffers()
     o = np.frombuffer(o, np.int64, len(column) + 1, column.offset * 8)
     out, sizes = np.zeros((len(column), dim), np.int64), np.diff(o) - 1
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)

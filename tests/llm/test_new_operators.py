@@ -101,6 +101,7 @@ def check_whitening(rows, ids, x, k=4):
 @pytest.mark.parametrize("dim, block", [(64, 16), (40, 8), (6, 16), (4, 16)])
 def test_whitening_against_dense(spark, monkeypatch, dim, block):
     monkeypatch.setattr(whitening, "BLOCK", block)
+    monkeypatch.setattr(whitening, "ROWS", 50)
     rng = np.random.default_rng(dim)
     v = rng.standard_normal((700, dim)) @ np.diag(np.linspace(1.3, 1, dim))
     v[300:500] = v[7]  # a hot vector
@@ -143,6 +144,7 @@ def test_packing_is_canonical():
 
     assert [p[0] for p in packed] == [2, 2, 4, 4, 8, 8]
     assert (whitening._unpack(pa.array(packed, pa.binary()), 2) == x).all()
+    assert (whitening._unpack(pa.array(packed, pa.binary()).slice(2, 3), 2) == x[2:5]).all()
     assert whitening._unpack(pa.array([], pa.binary()), 2).shape == (0, 2)
 
 
