@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import BOUNDARY_WORDS, FILLERS, STOPWORDS
+from .lexicon import BOUNDARY_WORDS, CONTRACTIONS, FILLERS, STOPWORDS
 
 #: A word: letters, digits and underscores of any script, with inner apostrophes.
 WORD = r"[\p{L}\p{N}_][\p{L}\p{N}_']*[\p{L}\p{N}_]|[\p{L}\p{N}_]"
@@ -66,6 +67,29 @@ def gerund(word: Column) -> Column:
     return F.when(stem == "", word).otherwise(single)
 
 
+def expand_contractions(text: Column) -> Column:
+    """Contractions between word boundaries written out, the first entry that fits
+    at a place; a capital first letter makes the first letter of what replaces it
+    a capital and the others small.
+
+    The text is split into contractions and what stands between them, which are
+    put together again.
+    """
+    w = r"[\p{L}\p{N}_]"
+    edge = rf"(?:(?<={w})(?!{w})|(?<!{w})(?={w}))"
+    pattern = rf"(?i){edge}(?:{'|'.join(re.escape(c) for c in CONTRACTIONS)}){edge}"
+    full = F.create_map(*(F.lit(x) for pair in CONTRACTIONS.items() for x in pair))
+
+    def written_out(found: Column) -> Column:
+        out = F.element_at(full, F.lower(found))
+        capital = F.concat(F.upper(F.substring(out, 1, 1)), F.lower(F.substr(out, F.lit(2))))
+        return F.when(found.rlike(r"^\p{Lu}"), capital).otherwise(out)
+
+    between = F.split(text, pattern, -1)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(between, found, lambda gap, c: F.concat(gap, F.when(c.isNotNull(), written_out(c)).otherwise(F.lit("")))), "")
+
+
 def strip_possessive(text: Column) -> Column:
     w = r"[\p{L}\p{N}_]"
     return F.regexp_replace(text, rf"(?<!{w})({w}+)'s(?!{w})", "$1")

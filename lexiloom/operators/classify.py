@@ -146,16 +146,3 @@ def cross_validate(dealt: DataFrame, key: str, features: str, label: str, params
     """Macro F1 of each fold (column ``fold``) by a model of the others, fitted side by side."""
     with ThreadPoolExecutor(min(folds, SIDE_BY_SIDE)) as pool:
         return list(pool.map(lambda fold: _fold_score(dealt, fold, key, features, label, params, **options), range(folds)))
-
-
-def learning_curve(rows: DataFrame, key: str, features: str, label: str, params: dict, shares: list[float], folds: int = 5, **options) -> DataFrame:
-    """``share, mean, std`` of macro F1 over folds, for growing stratified parts of the training rows."""
-    from .grouping import kfold
-
-    dealt = rows.join(kfold(rows, key, label, folds=folds).select(key, "fold"), key).persist()
-    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
-        cells = [(share, fold) for share in shares for fold in range(folds)]
-        out = list(pool.map(lambda c: (c[0], _fold_score(dealt, c[1], key, features, label, params, c[0], **options)), cells))
-    dealt.unpersist()
-    frame = rows.sparkSession.createDataFrame(out, "share double, f1 double")
-    return frame.groupBy("share").agg(F.avg("f1").alias("mean"), F.stddev_samp("f1").alias("std"))

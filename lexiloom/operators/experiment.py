@@ -34,7 +34,7 @@ class Experiment:
 
     def _fitted(self) -> Classifier:
         if self.model is None:
-            raise RuntimeError("Must call fit() or tune() first")
+            raise ValueError("Must call fit() or tune() first")
         return self.model
 
     def baseline(self) -> DataFrame:

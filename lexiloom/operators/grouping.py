@@ -33,12 +33,13 @@ def filter_rate(df: DataFrame, kept: Column, key: str) -> DataFrame:
 
 def gini(df: DataFrame, key: str) -> DataFrame:
     """Gini coefficient of the counts of a key, corrected for their number."""
-    n = counts(df, key)
-    rank = Window.orderBy("n", key)  # one row per key
-    ranked = n.withColumn("i", F.row_number().over(rank))
-    size, total, weighted = F.count("*"), F.sum("n"), F.sum(F.col("i") * F.col("n"))
+    # Keys of equal counts are counted first: no more different counts than the root of twice the rows.
+    n = counts(df, key).groupBy("n").agg(F.count("*").alias("keys"))
+    below = F.coalesce(F.sum("keys").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = F.col("keys") * F.col("below") + F.col("keys") * (F.col("keys") + 1) / 2  # their sum
+    size, total, weighted = F.sum("keys"), F.sum(F.col("n") * F.col("keys")), F.sum(F.col("n") * ranks)
     raw = 2 * weighted / (size * total) - (size + 1) / size
-    return ranked.agg(F.try_divide(raw * size, size - 1).alias("gini"), size.alias("classes"))
+    return n.withColumn("below", below).agg(F.try_divide(raw * size, size - 1).alias("gini"), F.coalesce(size, F.lit(0)).alias("classes"))
 
 
 def _by_member(df: DataFrame, member: str, label: str) -> DataFrame:

@@ -36,17 +36,33 @@ def rank_in_buckets(df: DataFrame, by: list[str], bucket: Column, order: list, n
 
 
 def rank_by_name(df: DataFrame, first: str, text: str, name: str = "rank") -> DataFrame:
-    """``df`` with ``name``, from 1, by ``first`` (few values) and then ``text``.
+    """``df``, a written table, with ``name``, from 1, by ``first`` and then ``text``.
 
-    Buckets are the texts' first characters (1, and 5 of those), which order as
-    the texts do.
+    Rows are dealt into ranges at sampled quantiles, each range is numbered by
+    itself, and the exact counts of lower ranges are added.
     """
-    rows = df.withColumn("_a", F.substring(text, 1, 1)).withColumn("_b", F.substring(text, 1, 5))
-    fine = rows.groupBy(first, "_a", "_b").agg(F.count("*").alias("_n"))
-    coarse = fine.groupBy(first, "_a").agg(F.sum("_n").alias("_n"))
-    # At most as many rows as there are characters, for each value of ``first``.
-    coarse = coarse.select(first, "_a", _add_up(F.sum("_n").over(Window.orderBy(first, "_a").rowsBetween(*_BEFORE))).alias("_low_a"))
-    below = F.sum("_n").over(Window.partitionBy(first, "_a").orderBy("_b").rowsBetween(*_BEFORE))
-    lower = fine.withColumn("_low_b", _add_up(below)).join(coarse, [first, "_a"]).select(first, "_b", (F.col("_low_a") + F.col("_low_b")).alias("_low"))
-    place = F.row_number().over(Window.partitionBy(first, "_b").orderBy(text))
-    return rows.withColumn("_place", place).join(lower, [first, "_b"]).select(*df.columns, (F.col("_low") + F.col("_place")).alias(name))
+    from .stored import written
+
+    dealt = written(df.repartitionByRange(first, text).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each partition
+    lower = sizes.select("_range", _add_up(F.sum("_n").over(Window.orderBy("_range").rowsBetween(*_BEFORE))).alias("_low"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(first, text))
+    return dealt.withColumn("_place", place).join(F.broadcast(lower), "_range").select(*df.columns, (F.col("_low") + F.col("_place")).alias(name))
+
+
+def average_rank(df: DataFrame, by: list[str], value: str, name: str = "rank") -> DataFrame:
+    """``df``, a written table, with ``name``: the rank of a value of 0 or more
+    within equal ``by``, from 1 for the smallest; equals share the mean of their ranks.
+
+    Equal values are counted first, then running counts are taken within bins
+    that follow the order (64 for each power of two), so no task sees all rows
+    of a group.
+    """
+    per = df.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    bin_ = F.when(F.col(value) <= 0, F.lit(-80_000)).otherwise(F.floor(F.log2(value) * 64).cast("int"))
+    binned = per.withColumn("_bin", bin_)
+    sizes = binned.groupBy(*by, "_bin").agg(F.sum("_n").alias("_in"))
+    lower = sizes.select(*by, "_bin", _add_up(F.sum("_in").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(*_BEFORE))).alias("_low"))
+    before = _add_up(F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy(value).rowsBetween(*_BEFORE)))
+    ranks = binned.withColumn("_before", before).join(lower, [*by, "_bin"]).select(*by, value, (F.col("_low") + F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
+    return df.join(ranks, [*by, value]).select(*df.columns, name)

@@ -36,7 +36,7 @@ class _Selector:
     def vocabulary(self) -> DataFrame:
         """``term_idx, order, ngram``."""
         if self._vocabulary is None:
-            raise RuntimeError("Must call fit() before the vocabulary is known")
+            raise ValueError("Must call fit() before the vocabulary is known")
         return self._vocabulary
 
     def feature_names(self) -> list[str]:
@@ -46,7 +46,7 @@ class _Selector:
     def transform(self, docs: DataFrame) -> DataFrame:
         """``key, term_idx, cnt`` of the vocabulary's terms; documents without any have no row."""
         if self._vocabulary is None:
-            raise RuntimeError("Must call fit() before transform()")
+            raise ValueError("Must call fit() before transform()")
         for column in (self.key, self.text):
             if column not in docs.columns:
                 raise ValueError(f"the documents have no column {column!r}")
@@ -103,13 +103,13 @@ class LogOddsSelector(_Selector):
     def threshold(self, fdr: float) -> LogOddsSelector:
         """Choose the vocabulary anew from the scores that are there, without counting again."""
         if self.scores is None:
-            raise RuntimeError("Must call fit() before threshold()")
+            raise ValueError("Must call fit() before threshold()")
         self.fdr, self._vocabulary = fdr, terms.select_by_log_odds(self.scores, fdr)
         return self
 
     def save_scores(self, path: str) -> None:
         if self.scores is None:
-            raise RuntimeError("Must call fit() before save_scores()")
+            raise ValueError("Must call fit() before save_scores()")
         self.scores.write.mode("overwrite").parquet(path)
 
     def load_scores(self, spark: SparkSession, path: str) -> LogOddsSelector:

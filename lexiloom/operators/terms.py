@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions import text as T
-from lexiloom.operators.ranking import rank_by_name
+from lexiloom.operators.ranking import average_rank, rank_by_name
 from lexiloom.operators.stored import written
 
 
@@ -188,28 +188,36 @@ def align_vocabularies(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("ngram", F.col("term_idx").alias("old_idx")).join(new.select("ngram", F.col("term_idx").alias("new_idx")), "ngram")
 
 
-def average_rank(value: Column | str, *by: str) -> Column:
-    """Rank from the smallest; equals share the mean of their ranks."""
-    spec = Window.partitionBy(*by)
-    ordered = spec.orderBy(value)
-    same = F.count("*").over(Window.partitionBy(*by, value))
-    return F.rank().over(ordered) + (same - 1) / 2
+def _ranked_weights(weights: DataFrame, topic: str, term: str) -> DataFrame:
+    """``topic, term, w, beta, exclusive, ecdf_f, ecdf_e``: shares in the topic and
+    of the term, and their ranks in the topic as parts of its terms."""
+    per_topic = weights.groupBy(topic).agg(F.sum("w").alias("w_topic"), F.count("*").alias("n"))  # few rows
+    b = weights.join(F.broadcast(per_topic), topic).withColumn("beta", F.col("w") / F.col("w_topic"))
+    per_term = b.groupBy(term).agg(F.sum("beta").alias("beta_term"))
+    exclusive = F.coalesce(F.round(F.try_divide("beta", "beta_term"), 12), F.lit(0.0))
+    # Rounded, so that equal shares that were summed up in another order stay equal.
+    b = b.join(per_term, term).select(topic, term, "w", "n", "beta", exclusive.alias("exclusive"), F.round("beta", 15).alias("_beta"))
+    ranked = average_rank(average_rank(written(b, "weights"), [topic], "_beta", "rank_f"), [topic], "exclusive", "rank_e")
+    return ranked.select(topic, term, "w", "beta", "exclusive", (F.col("rank_f") / F.col("n")).alias("ecdf_f"), (F.col("rank_e") / F.col("n")).alias("ecdf_e"))
 
 
 def frex(weights: DataFrame, topic: str, term: str, *, share: float = 0.7) -> DataFrame:
     """Lift and FREX of topic-term weights: the harmonic mean of ranks by frequency and exclusivity."""
-    beta = F.col("w") / F.sum("w").over(Window.partitionBy(topic))
-    b = weights.withColumn("beta", beta)
-    over_topics = Window.partitionBy(term)
-    b = b.withColumn("exclusive", F.try_divide(F.col("beta"), F.sum("beta").over(over_topics)))
+    b = _ranked_weights(weights, topic, term)
     p_term = weights.groupBy(term).agg(F.sum("w").alias("w_t")).crossJoin(F.broadcast(weights.agg(F.sum("w").alias("w_all"))))
     b = b.join(p_term.select(term, (F.col("w_t") / F.col("w_all")).alias("p_term")), term)
-    n = F.count("*").over(Window.partitionBy(topic))
-    b = b.withColumn("ecdf_f", average_rank("beta", topic) / n).withColumn("ecdf_e", average_rank("exclusive", topic) / n)
     score = 1 / (F.lit(share) / F.col("ecdf_f") + F.lit(1 - share) / F.col("ecdf_e"))
     return b.select(topic, term, "beta", F.coalesce(F.try_divide(F.col("beta"), F.col("p_term")), F.lit(0.0)).alias("lift"), score.alias("frex"))
 
 
+def exclusivity(weights: DataFrame, topic: str, term: str, *, top: int = 10, share: float = 0.7) -> DataFrame:
+    """``topic, exclusivity``: the sum over a topic's ``top`` terms of the harmonic
+    mean of their ranks by exclusivity (weight ``share``) and by frequency."""
+    b = _ranked_weights(weights, topic, term)
+    score = 1 / (F.lit(share) / F.col("ecdf_e") + F.lit(1 - share) / F.col("ecdf_f"))
+    return top_terms(b.withColumn("score", score), topic, term, "w", top).groupBy(topic).agg(F.sum("score").alias("exclusivity"))
+
+
 def top_terms(scores: DataFrame, topic: str, term: str, value: str, n: int) -> DataFrame:
     order = Window.partitionBy(topic).orderBy(F.desc(value), term)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)

@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions import text as T
-from lexiloom.functions.lexicon import BOUNDARY_WORDS, FILLERS, STOPWORDS, domain_lexicon
+from lexiloom.functions.lexicon import BOUNDARY_WORDS, CONTRACTIONS, FILLERS, STOPWORDS, domain_lexicon
 from lexiloom.functions.normal import upper_tail, upper_tail_sql
-from lexiloom.functions.udf import expand_contractions
 from lexiloom.operators import agreement, annotated, grouping, metrics, terms, topics
 from lexiloom.sources import tables
 
@@ -129,10 +128,19 @@ def _conv_grams(spark: SparkSession, folder: str, orders=(1, 2, 3, 4)) -> DataFr
     return terms.ngram_counts(_conv(spark, folder), ["doc_id", "turn", "role", "artist"], "text", orders)
 
 
+def _conv_gram_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.ngram_rows(_conv(spark, folder), ["role"], "text", (1, 2, 3, 4))
+
+
 def _doc_grams(spark: SparkSession, folder: str, orders=(1, 2, 3, 4)) -> DataFrame:
     return terms.ngram_counts(_docs(spark, folder), ["doc_id", "lang", "source"], "text", orders)
 
 
+def _doc_gram_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each occurrence: for sums over documents, which then take one shuffle."""
+    return terms.ngram_rows(_docs(spark, folder), [], "text", (1, 2, 3, 4))
+
+
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
     return tables.parquet(spark, folder, "orders")
 
@@ -256,7 +264,7 @@ def tokens(spark, folder):
 
 @query(f'WITH {DOCN} SELECT o AS "order", g AS ngram, sum(cnt)::BIGINT AS n FROM cnt GROUP BY o, g')
 def ngrams_all_orders(spark, folder):
-    return _doc_grams(spark, folder).groupBy("order", "ngram").agg(F.sum("cnt").alias("n"))
+    return _doc_gram_rows(spark, folder).groupBy("order", "ngram").agg(F.sum("cnt").alias("n"))
 
 
 @query(
@@ -270,20 +278,20 @@ def tokens_per_doc_stats(spark, folder):
 
 @query(f'WITH {DOCN} SELECT o AS "order", g AS ngram FROM cnt GROUP BY o, g HAVING any_value(stop) = 0')
 def stopword_only_filter(spark, folder):
-    g = _doc_grams(spark, folder).select("order", "ngram").distinct()
+    g = _doc_gram_rows(spark, folder).select("order", "ngram").distinct()
     return g.where(~T.stopword_only(F.col("ngram")))
 
 
 @query(f'WITH {DOCN} SELECT o AS "order", g AS ngram FROM cnt WHERE NOT (o = 2 AND first IN ({BOUNDARY})) GROUP BY o, g')
 def boundary_filter(spark, folder):
-    return _doc_grams(spark, folder).select("order", "ngram").distinct().where(~T.boundary_bigram(F.col("ngram")))
+    return _doc_gram_rows(spark, folder).select("order", "ngram").distinct().where(~T.boundary_bigram(F.col("ngram")))
 
 
 @query(
     f"""WITH {DOCN} SELECT DISTINCT g AS ngram, regexp_replace(regexp_replace(g, '^(a|an|the|to)( |$)', ''), '(^| )(a|an|the|to)$', '') AS stripped FROM cnt"""
 )
 def boundary_strip(spark, folder):
-    return _doc_grams(spark, folder).select("ngram").distinct().select("ngram", T.strip_boundaries(F.col("ngram")).alias("stripped"))
+    return _doc_gram_rows(spark, folder).select("ngram").distinct().select("ngram", T.strip_boundaries(F.col("ngram")).alias("stripped"))
 
 
 GERUND = """CASE WHEN regexp_matches(t, '^.{3,}?ing$') THEN
@@ -317,12 +325,33 @@ def domain_lexicon_lookup(spark, folder):
     return words.join(F.broadcast(lexicon), "token", "left").select("token", F.coalesce("word", "token").alias("replaced"), "n")
 
 
-# The texts have no other contractions, so that this one replacement is all.
-@query("SELECT doc_id, replace(coalesce(text, ''), ' a ', ' I am going to ') AS expanded FROM documents")
+def _contraction_cases() -> list[tuple[int, str, str]]:
+    """Every contraction that stands between blanks as a whole (begins and ends
+    with a letter, and with no earlier entry before an apostrophe), small and
+    with a capital, and what it stands for."""
+    earlier, plain = [], []
+    for c, full in CONTRACTIONS.items():
+        if c[0].isalpha() and c[-1].isalpha() and not any(c.startswith(e + "'") for e in earlier):
+            plain += [(c, full), (c[0].upper() + c[1:], full[0].upper() + full[1:].lower())]
+        earlier.append(c)
+    return [(k, *pair) for k, pair in enumerate(plain)]
+
+
+_CASES = _contraction_cases()
+_CASE_VALUES = ", ".join("({}, {}, {})".format(k, *("'" + x.replace("'", "''") + "'" for x in pair)) for k, *pair in _CASES)
+
+
+# The texts have no contractions of their own.
+@query(
+    f"""SELECT doc_id, replace(coalesce(text, ''), ' a ', ' ' || expansion || ' ') AS expanded
+    FROM documents JOIN (VALUES {_CASE_VALUES}) v(k, contraction, expansion) ON k = doc_id % {len(_CASES)}"""
+)
 def contractions_expanded(spark, folder):
-    """Contractions written out; apostrophes are put into the texts, which have none."""
-    made = F.replace(F.coalesce("text", F.lit("")), F.lit(" a "), F.lit(" I'm gonna "))
-    return _docs(spark, folder).select("doc_id", expand_contractions(made).alias("expanded"))
+    """Contractions written out; each document has another one put into its text, in place of an article."""
+    cases = F.array(*(F.lit(c) for _, c, _ in _CASES))
+    put = F.concat(F.lit(" "), F.get(cases, F.pmod("doc_id", F.lit(len(_CASES)))), F.lit(" "))
+    made = F.replace(F.coalesce("text", F.lit("")), F.lit(" a "), put)
+    return _docs(spark, folder).select("doc_id", T.expand_contractions(made).alias("expanded"))
 
 
 def lemmatize(docs: DataFrame, text: str = "text", dictionary: dict[str, str] | None = None) -> DataFrame:
@@ -403,10 +432,10 @@ def tagged_ngrams(spark, folder):
     return grams.groupBy("ngram").agg(F.count("*").alias("n"))
 
 
-@query("SELECT least(floor(n / 100), 19)::BIGINT AS bucket, count(*) AS docs FROM (SELECT len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS n FROM documents) GROUP BY ALL")
+@query("SELECT floor(n / 100)::BIGINT AS bucket, count(*) AS docs FROM (SELECT len(list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')) AS n FROM documents) GROUP BY ALL")
 def tokens_per_doc_histogram(spark, folder):
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""))
-    return _docs(spark, folder).select(F.least(F.floor(n / 100), F.lit(19)).cast("long").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("docs"))
+    return _docs(spark, folder).select(F.floor(n / 100).cast("long").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("docs"))
 
 
 # --- counts, modes, splits ----------------------------------------------------
@@ -543,23 +572,23 @@ def artist_lyrics_agg(spark, folder):
 # --- terms --------------------------------------------------------------------
 
 
-@query(f'WITH {CONV} SELECT doc_id, turn, o AS "order", g AS ngram, cnt FROM cnt WHERE o <= 2')
+@query(f'WITH {CONV} SELECT doc_id, turn, o AS "order", g AS ngram, cnt FROM cnt')
 def dtm_counts(spark, folder):
-    return _conv_grams(spark, folder, (1, 2)).select("doc_id", "turn", "order", "ngram", "cnt")
+    return _conv_grams(spark, folder).select("doc_id", "turn", "order", "ngram", "cnt")
 
 
-@query(f'WITH {CONV} SELECT row_number() OVER (ORDER BY o, g) - 1 AS term_idx, o AS "order", g AS ngram FROM (SELECT DISTINCT o, g FROM cnt WHERE o <= 2)')
+@query(f'WITH {CONV} SELECT row_number() OVER (ORDER BY o, g) - 1 AS term_idx, o AS "order", g AS ngram FROM (SELECT DISTINCT o, g FROM cnt)')
 def vocab_build(spark, folder):
-    return terms.vocabulary(_conv_grams(spark, folder, (1, 2)))
+    return terms.vocabulary(_conv_gram_rows(spark, folder))
 
 
 @query(
-    f"""WITH {CONV}, a AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS old_idx FROM (SELECT DISTINCT g FROM cnt WHERE o = 1 AND role = 'user')),
-    b AS (SELECT g, row_number() OVER (ORDER BY g) - 1 AS new_idx FROM (SELECT DISTINCT g FROM cnt WHERE o = 1 AND role = 'assistant'))
+    f"""WITH {CONV}, a AS (SELECT g, row_number() OVER (ORDER BY o, g) - 1 AS old_idx FROM (SELECT DISTINCT o, g FROM cnt WHERE role = 'user')),
+    b AS (SELECT g, row_number() OVER (ORDER BY o, g) - 1 AS new_idx FROM (SELECT DISTINCT o, g FROM cnt WHERE role = 'assistant'))
     SELECT g AS ngram, old_idx, new_idx FROM a JOIN b USING (g)"""
 )
 def vocab_align(spark, folder):
-    g = _conv_grams(spark, folder, (1,))
+    g = _conv_gram_rows(spark, folder)
     return terms.align_vocabularies(terms.vocabulary(g.where("role = 'user'")), terms.vocabulary(g.where("role = 'assistant'")))
 
 
@@ -687,6 +716,33 @@ def frex_scores(spark, folder):
     return terms.frex(_weights(spark, folder), "topic", "term").select("topic", "term", F.round("frex", 6).alias("frex"))
 
 
+@query(
+    f"""WITH {FREX}, k AS (SELECT r.topic, 1 / (0.7::DOUBLE / e1 + 0.3::DOUBLE / f1) AS score, row_number() OVER (PARTITION BY r.topic ORDER BY r.w DESC, r.term) AS place FROM r)
+    SELECT topic, round(sum(score), 6) AS exclusivity FROM k WHERE place <= 10 GROUP BY topic"""
+)
+def topic_exclusivity(spark, folder):
+    return terms.exclusivity(_weights(spark, folder), "topic", "term").select("topic", F.round("exclusivity", 6).alias("exclusivity"))
+
+
+@query(
+    f"""WITH {TOKENS}, pres AS (SELECT DISTINCT doc_id, t FROM tok),
+    w AS (SELECT lang AS topic, t, count(*) AS w FROM tok WHERE lang IS NOT NULL GROUP BY lang, t),
+    top AS (SELECT * FROM (SELECT topic, t, row_number() OVER (PARTITION BY topic ORDER BY w DESC, t) AS rank FROM w) WHERE rank <= 10),
+    pairs AS (SELECT a.topic, a.t AS high, b.t AS low FROM top a JOIN top b ON a.topic = b.topic AND a.rank < b.rank),
+    n AS (SELECT t, count(*) AS n FROM pres GROUP BY t),
+    nb AS (SELECT p.topic, p.high, p.low, count(*) AS n FROM pairs p JOIN pres x ON x.t = p.high JOIN pres y ON y.t = p.low AND y.doc_id = x.doc_id GROUP BY ALL)
+    SELECT p.topic, round(sum(ln((coalesce(nb.n, 0) + 0.01::DOUBLE) / (n.n + 0.01::DOUBLE))), 6) AS coherence
+    FROM pairs p JOIN n ON n.t = p.high LEFT JOIN nb ON nb.topic = p.topic AND nb.high = p.high AND nb.low = p.low GROUP BY p.topic"""
+)
+def topic_coherence(spark, folder):
+    """Semantic coherence of the ten commonest words of each language in all documents."""
+    words = _docs(spark, folder).select("doc_id", "lang", F.explode(T.tokens(F.col("text"))).alias("term"))
+    weights = words.where("lang is not null").groupBy(F.col("lang").alias("topic"), "term").agg(F.count("*").alias("w"))
+    top = terms.top_terms(weights, "topic", "term", "w", 10)
+    found = topics.semantic_coherence(words.select(F.col("doc_id").alias("doc"), "term").distinct(), terms.written(top, "top"))
+    return found.select("topic", F.round("coherence", 6).alias("coherence"))
+
+
 @query(f"WITH {WEIGHTS} SELECT topic, term, w, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY w DESC, term) AS r FROM w) WHERE r <= 10")
 def top_terms(spark, folder):
     return terms.top_terms(_weights(spark, folder), "topic", "term", "w", 10).withColumn("rank", F.col("rank").cast("long"))

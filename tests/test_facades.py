@@ -47,7 +47,7 @@ def test_experiment(spark, tmp_path):
     assert "coefficient feature_0 c1" in lr.report()
     lr.save(str(tmp_path / "l"))
     assert Experiment.load(str(tmp_path / "l"), e.train, e.test).scores().first()["macro_f1"] == 1.0
-    with pytest.raises(RuntimeError):
+    with pytest.raises(ValueError):
         Experiment(e.train, e.test, "id", "x", "y").report()
 
 
@@ -77,7 +77,7 @@ def lyrics(spark, rows):
 def test_tfidf_selector(spark, tmp_path):
     train, test = lyrics(spark, TFIDF_TRAIN), lyrics(spark, TEST)
     make = lambda folder=None: TfidfSelector("id", "lyrics", "genre", "artist", min_artists=1, k=5, folder=folder)
-    with pytest.raises(RuntimeError, match="Must call fit"):
+    with pytest.raises(ValueError, match="Must call fit"):
         make().transform(test)
     s = make(str(tmp_path))
     names = s.fit(train).feature_names()
@@ -95,7 +95,7 @@ def test_log_odds_selector(spark, tmp_path):
     train, test = lyrics(spark, ODDS_TRAIN), lyrics(spark, TEST)
     s = LogOddsSelector("id", "lyrics", "genre", "artist", min_artists=1, fdr=0.95, folder=str(tmp_path / "kept"))
     for f in (lambda: s.transform(test), lambda: s.threshold(0.1), lambda: s.save_scores("x")):
-        with pytest.raises(RuntimeError, match="Must call fit"):
+        with pytest.raises(ValueError, match="Must call fit"):
             f()
     names = s.fit(train).feature_names()
     assert names and s.fit_transform(train).count() > 0 and s.transform(test).count() > 0

@@ -196,8 +196,8 @@ def test_topic_inference_in_batches_equals_single_documents():
 
 def test_topic_start_side_by_side_fits_and_sums_in_a_tree(spark, monkeypatch):
     docs = topic_docs(spark)
-    beta = topics.anchor_start(docs, 20, 2)
-    assert {b[:10].sum() > 0.8 for b in beta} == {True, False}
+    beta = topics.spectral_start(docs, 20, [2, 3])[2]
+    assert {b[:10].sum() > 0.9 for b in beta} == {True, False}
     many = topics.fit_structural_many(docs, 20, [2, 3], iterations=6, tolerance=0.0)
     alone = topics.fit_structural(docs, "doc", 20, 2, iterations=6, tolerance=0.0)
     assert np.allclose(many[2].beta, alone.beta) and len(many[3].bounds) == 6 and many[2].bounds[-1] >= many[2].bounds[0]
@@ -206,10 +206,61 @@ def test_topic_start_side_by_side_fits_and_sums_in_a_tree(spark, monkeypatch):
     assert np.allclose(again.beta, alone.beta, atol=1e-8)
 
 
+def test_convex_weights_are_the_best_ones():
+    """Against a projection onto the simplex by every set of active weights."""
+    rng = np.random.default_rng(3)
+    for k in (1, 2, 4):
+        rows = rng.dirichlet(np.ones(12), k)
+        gram = rows @ rows.T
+        points = np.vstack([rng.dirichlet(np.ones(12), 30), rows])
+        found = topics.convex_weights(gram, points @ rows.T)
+        assert np.allclose(found.sum(1), 1) and (found >= 0).all()
+        for point, c in zip(points, found):
+            best = np.inf
+            for chosen in range(1, 2**k):
+                at = [j for j in range(k) if chosen >> j & 1]
+                system = np.block([[2 * gram[np.ix_(at, at)], np.ones((len(at), 1))], [np.ones((1, len(at))), np.zeros((1, 1))]])
+                w = np.linalg.lstsq(system, np.append(2 * rows[at] @ point, 1), rcond=None)[0][:-1]
+                if (w >= -1e-12).all():
+                    best = min(best, ((point - w @ rows[at]) ** 2).sum())
+            assert ((point - c @ rows) ** 2).sum() <= best + 1e-8
+
+
+def test_spectral_start_equals_the_dense_recovery(spark, monkeypatch):
+    """Topics of a corpus with anchor words, against the whole co-occurrence matrix."""
+    monkeypatch.setattr(topics, "WORDS", 7)
+    rng = np.random.default_rng(5)
+    beta = np.vstack([rng.dirichlet(np.full(30, 3.0)) for _ in range(3)])
+    beta[:, :3] = np.eye(3) * 0.2  # a word of its own for each topic
+    beta /= beta.sum(1, keepdims=True)
+    rows = []
+    for d, theta in enumerate(rng.dirichlet(np.full(3, 0.2), 300)):
+        rows += [(d, int(t), int(c)) for t, c in enumerate(rng.multinomial(80, theta @ beta)) if c]
+    dtm = spark.createDataFrame(rows, "doc int, term_idx int, cnt long")
+    docs = topics.as_documents(dtm, "doc").repartition(4).cache()
+    start = topics.spectral_start(docs, 30, [2, 3])
+    counts = np.zeros((300, 30))
+    for d, t, c in rows:
+        counts[d, t] = c
+    n = counts.sum(1)
+    q = sum((np.outer(c, c) - np.diag(c)) / (m * (m - 1)) for c, m in zip(counts, n))
+    anchors, mass = topics.anchor_words(docs, 30, 3)
+    assert np.allclose(mass, q.sum(1)) and set(anchors) == {0, 1, 2}
+    dense = q / q.sum(1, keepdims=True)
+    own = dense[anchors]
+    weights = topics.convex_weights(own @ own.T, dense @ own.T)
+    weights[anchors] = np.eye(3)
+    expected = (weights * mass[:, None]).T
+    expected = expected / expected.sum(1, keepdims=True) + 0.01 / 30
+    assert np.allclose(start[3], expected / expected.sum(1, keepdims=True), atol=1e-5)
+    order = [int(np.argmax(start[3][:, k])) for k in range(3)]
+    assert sorted(order) == [0, 1, 2] and np.abs(start[3][order] - beta).max() < 0.05
+
+
 def test_topic_pipeline_stores_checks_and_goes_on(spark, tmp_path, monkeypatch):
     docs, words = topic_docs(spark), [f"w{k}" for k in range(20)]
     options = {"topic_numbers": [2, 3, 4], "iterations": 8}
-    with pytest.raises(RuntimeError):
+    with pytest.raises(ValueError):
         topics.TopicPipeline(str(tmp_path)).transform(docs, "doc", words)
     first = topics.TopicPipeline(str(tmp_path), **options).tune_and_fit(docs, "doc", words)
     assert [k for k, _ in first.results] == [2, 3, 4] and len(first.model.beta) == topics.choose_topics(first.results)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.functions.lexicon import CONTRACTIONS, FILLERS, STOPWORDS, domain_lexicon
 from lexiloom.functions.normal import erfc, upper_tail
-from lexiloom.functions.udf import expand
 from lexiloom.plans.catalog import lemmatize
 
 
@@ -40,9 +39,14 @@ def test_ngrams_and_short_texts(spark):
     assert one(spark, lambda x: T.ngrams(T.tokens(x), 4), "a b") == []
 
 
-def test_contractions():
+def test_contractions(spark):
     cases = {"I'm gonna": "I am going to", "I'LL": "I will", "'til": "'until", "'cause": "'cause", "ya'll": "you'll"}
-    assert {k: expand(k) for k in cases} == cases
+    cases |= {"So I'm, uh, WON'T. don'tx xdon't": "So I am, uh, Will not. don'tx xdon't", "": "", "none here": "none here", "can't can't": None}
+    cases["can't can't"] = " ".join([CONTRACTIONS["can't"]] * 2)
+    assert {k: one(spark, T.expand_contractions, k) for k in cases} == cases
+    assert one(spark, T.expand_contractions, None) is None
+    alone = {c: one(spark, T.expand_contractions, f"a {c} b") for c in ("gonna", "Gonna", "y'all're")}
+    assert alone["gonna"] == "a going to b" and alone["Gonna"] == "a Going to b"
     assert len(CONTRACTIONS) == 101
 
 
