@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import forests
 from .ranking import rank_in_buckets
 
 
@@ -32,6 +33,10 @@ class Classifier:
 
     Features are divided by their population standard deviation, not centred;
     classes are weighted alike; ties of predictions go to the first label.
+
+    Forests have no limit of depth and exact splits (:mod:`.forests`) on tables
+    that are small enough to be sent to the tasks; on larger ones they have
+    binned splits and 30 levels.
     """
 
     def __init__(self, params: dict, trees: int = 1000, seed: int = 42, max_iter: int = 10_000):
@@ -41,8 +46,10 @@ class Classifier:
 
     def fit(self, train: DataFrame, features: str, label: str) -> Classifier:
         rows = train.where(F.col(label).isNotNull() & F.col(features).isNotNull())
-        n = rows.count()
         self.features, self.label = features, label
+        if "max_features" in self.params and self._fit_forest(rows):
+            return self
+        n = rows.count()
         vectors = rows.select(F.col(label).cast("string").alias(label), array_to_vector(F.col(features)).alias("_raw")).cache()
         self.scaler = StandardScaler(inputCol="_raw", outputCol="_sample", withMean=False).fit(vectors)
         self.factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
@@ -63,12 +70,28 @@ class Classifier:
         vectors.unpersist()
         return self
 
+    def _fit_forest(self, rows: DataFrame) -> bool:
+        """Whether the rows are few enough for exact trees, which are grown then."""
+        labels = sorted(r[0] for r in rows.select(F.col(self.label).cast("string")).distinct().collect())  # classes are few
+        y = F.array_position(F.array(*(F.lit(c) for c in labels)), F.col(self.label).cast("string")) - 1 if labels else F.lit(0)
+        table = forests.small_table(rows.select(F.col(self.features).cast("array<double>").alias("x"), y.cast("int").alias("y")), len(labels))
+        if table is None:
+            return False
+        self.labels = labels
+        fit = forests.Fit(int(self.params["max_features"]), int(self.params["min_samples_leaf"]), self.trees, seed=self.seed)
+        self.model = forests.ForestModel.fit(rows.sparkSession, table, fit)
+        return True
+
     def _scaled(self, vectors: DataFrame) -> DataFrame:
         scaled = self.scaler.transform(vectors)
         return scaled.withColumn("_x", array_to_vector(F.transform(vector_to_array("_sample"), lambda v: v * self.factor)))
 
     def add_predictions(self, rows: DataFrame, name: str = "predicted") -> DataFrame:
         """``rows`` with the predicted label."""
+        if isinstance(self.model, forests.ForestModel):
+            voted = self.model.add_votes(rows, self.features).withColumn("_votes", F.transform("_votes", lambda v: F.round(v, 9)))
+            names = F.array(*(F.lit(x) for x in self.labels))
+            return voted.withColumn(name, F.element_at(names, F.array_position("_votes", F.array_max("_votes")).cast("int"))).select(*rows.columns, name)
         whole = rows.select(F.struct("*").alias("_row"), array_to_vector(F.col(self.features)).alias("_raw"))
         names = F.array(*(F.lit(x) for x in self.indexer.labels))
         return self.model.transform(self._scaled(whole)).select("_row.*", F.element_at(names, F.col("prediction").cast("int") + 1).alias(name))
@@ -79,16 +102,23 @@ class Classifier:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """The fitted model and what it needs, in any folder that Spark writes to."""
-        for name in ("model", "scaler", "indexer"):
+        own = isinstance(self.model, forests.ForestModel)
+        if own:
+            self.model.save(f"{path}/forest")
+        for name in () if own else ("model", "scaler", "indexer"):
             getattr(self, name).write().overwrite().save(f"{path}/{name}")
-        state = {k: getattr(self, k) for k in ("params", "trees", "seed", "max_iter", "features", "label", "factor")}
+        state = {k: getattr(self, k) for k in ("params", "trees", "seed", "max_iter", "features", "label", "factor", "labels") if hasattr(self, k)}
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Classifier:
         state = json.loads(spark.read.parquet(f"{path}/state").first()["state"])
         out = Classifier(state["params"], state["trees"], state["seed"], state["max_iter"])
-        out.features, out.label, out.factor = state["features"], state["label"], state["factor"]
+        out.features, out.label = state["features"], state["label"]
+        if "labels" in state:
+            out.labels, out.model = state["labels"], forests.ForestModel.load(spark, f"{path}/forest")
+            return out
+        out.factor = state["factor"]
         kind = LogisticRegressionModel if "C" in out.params else RandomForestClassificationModel
         out.model, out.scaler, out.indexer = kind.load(f"{path}/model"), StandardScalerModel.load(f"{path}/scaler"), StringIndexerModel.load(f"{path}/indexer")
         return out
@@ -125,14 +155,11 @@ def _replaced(features: str) -> Column:
     return F.transform(F.col(features), lambda v, i: F.when(i == F.col("feature"), F.element_at("_other", i + 1)).otherwise(v))
 
 
-def _fold_score(dealt: DataFrame, fold: int, key: str, features: str, label: str, params: dict, share: float = 1.0, **options) -> float:
-    """Macro F1 of a fold (column ``fold``) by a model of a stratified share of the others."""
-    from .grouping import stratified_subsample
+def _fold_score(dealt: DataFrame, fold: int, features: str, label: str, params: dict, **options) -> float:
+    """Macro F1 of a fold (column ``fold``) by a model of the others."""
     from .metrics import macro
 
     train = dealt.where(F.col("fold") != fold)
-    if share < 1:
-        train = stratified_subsample(train, key, label, share)
     test = dealt.where(F.col("fold") == fold).withColumn("_truth", F.col(label).cast("string"))
     model = Classifier(params, **options).fit(train, features, label)
     return float(macro(model.add_predictions(test), "_truth", "predicted").first()["macro_f1"])
@@ -142,7 +169,7 @@ def _fold_score(dealt: DataFrame, fold: int, key: str, features: str, label: str
 SIDE_BY_SIDE = 8
 
 
-def cross_validate(dealt: DataFrame, key: str, features: str, label: str, params: dict, folds: int, **options) -> list[float]:
+def cross_validate(dealt: DataFrame, features: str, label: str, params: dict, folds: int, **options) -> list[float]:
     """Macro F1 of each fold (column ``fold``) by a model of the others, fitted side by side."""
     with ThreadPoolExecutor(min(folds, SIDE_BY_SIDE)) as pool:
-        return list(pool.map(lambda fold: _fold_score(dealt, fold, key, features, label, params, **options), range(folds)))
+        return list(pool.map(lambda fold: _fold_score(dealt, fold, features, label, params, **options), range(folds)))

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import grouping, metrics
+from . import forests, grouping, many, metrics
 from .classify import SIDE_BY_SIDE, Classifier, cross_validate, permutation_importance
 from .tuning import Search
 
@@ -109,14 +109,35 @@ def cross_validated_search(
     rows: DataFrame, key: str, features: str, label: str, space: dict, *, folds: int = 5, trees: int = 500, seed: int = 42, **search
 ) -> tuple[Search, Callable[[], object]]:
     """A search scored by the mean of macro F1 over stratified folds with its
-    standard error, and a function that frees the cached folds."""
-    dealt = rows.join(grouping.kfold(rows, key, label, folds=folds).select(key, "fold"), key).persist()
+    standard error, and a function that frees the cached folds.
+
+    All models of all points that are known at a time, and of all folds, are
+    fitted side by side; forests of tables that are too large to be sent to the
+    tasks are fitted one by one.
+    """
+    spark = rows.sparkSession
+    dealt, names = many.deal(rows, key, features, label, folds=folds, seed=seed)
+    dealt = dealt.persist()
+    table = forests.small_table(dealt, len(names), key) if "max_features" in space else None
+
+    def evaluate_many(points: list[dict]) -> list[tuple[float, float]]:
+        if table is not None:
+            fits = [forests.Fit(int(p["max_features"]), int(p["min_samples_leaf"]), trees, fold, seed) for p in points for fold in range(folds)]
+            tables = forests.score_many(spark, table, fits)
+        elif "C" in space:
+            models = many.fit_many(dealt, len(names), [many.Task(p["C"], p["l1_ratio"], fold) for p in points for fold in range(folds)])
+            tables = many.confusions(dealt, len(names), models)[1]
+        else:
+            return [_mean_and_error(cross_validate(dealt.withColumnRenamed("x", features), features, "y", p, folds, trees=trees, seed=seed)) for p in points]
+        scores = np.array([many.macro_f1(t) for t in tables]).reshape(len(points), folds)
+        return [_mean_and_error(s) for s in scores]
+
+    run = Search(space, lambda p: evaluate_many([p])[0], evaluate_many=evaluate_many, spark=spark, seed=seed, data=grouping_mark(rows, key, features, label), **search)
+    return run, dealt.unpersist
 
-    def evaluate(params: dict) -> tuple[float, float]:
-        scores = cross_validate(dealt, key, features, label, params, folds, trees=trees, seed=seed)
-        return float(np.mean(scores)), float(np.std(scores, ddof=1) / math.sqrt(folds))
 
-    return Search(space, evaluate, seed=seed, together=2, data=grouping_mark(rows, key, features, label), **search), dealt.unpersist
+def _mean_and_error(scores) -> tuple[float, float]:
+    return float(np.mean(scores)), float(np.std(scores, ddof=1) / math.sqrt(len(scores))) if len(scores) > 1 else 0.0
 
 
 def grouping_mark(rows: DataFrame, *columns: str) -> str:

@@ -6,7 +6,10 @@ say which models they train by a fold and a rank, models keep their matrices
 on the driver, and one Spark job a step adds up the gradients of all models
 that haven't converged, so rows are indexed and read once a step and not once a
 model.  Steps are proximal gradients with momentum, which restarts where it
-leads away.
+leads away.  The curvature of the log loss is at most half of the features'
+second moments; where those fit, one pass sums them up, and each step solves
+the penalised quadratic that they bound.  How much of the bound is needed is
+seen from the last two gradients of a model.
 """
 
 from __future__ import annotations
@@ -27,7 +30,10 @@ from .topics import _partitions, _summed
 
 ROWS = 1024  # multiplied at a time
 GROUP = 64 << 20  # bytes of the sums that a task holds; more models are fitted in groups
+LEAST = 128  # rows of a task, unless there are fewer in all
 POWER = 8  # passes that find the greatest curvature
+FULL = 512  # features up to which all second moments are kept
+SWEEPS = 30  # over the coordinates, of a step at most
 
 
 @dataclass(frozen=True)
@@ -62,16 +68,18 @@ def deal(rows: DataFrame, key: str, features: str, label: str, *, folds: int = 5
     """
     known = rows.where(F.col(label).isNotNull() & F.col(features).isNotNull()).select(key, F.col(features).cast("array<double>").alias("x"), F.col(label).cast("string").alias("_c"))
     sizes = counts(known, "_c").withColumnRenamed("n", "_n")  # one row per class
-    names = sorted(r["_c"] for r in sizes.collect())
+    found = {r["_c"]: r["_n"] for r in sizes.collect()}
+    names = sorted(found)
     ranked = hash_rank(known, key, "_c", seed, "_r").join(F.broadcast(sizes), "_c")
     before = F.col("_r") - 1
 
     def need(f: Column) -> Column:
-        return (before - F.floor((before - 1 - f + folds) / folds)) / (F.col("_n") - F.floor((F.col("_n") - 1 - f + folds) / folds))
+        return F.try_divide(before - F.floor((before - 1 - f + folds) / folds), F.col("_n") - F.floor((F.col("_n") - 1 - f + folds) / folds))
 
     y = F.array_position(F.array(*(F.lit(c) for c in names)), F.col("_c")) - 1 if names else F.lit(0)
-    shares = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: F.coalesce(F.try_divide(F.lit(1.0) * need(f), F.lit(1.0)), F.lit(0.0)))
-    return ranked.select(key, "x", y.cast("int").alias("y"), F.pmod(before, F.lit(folds)).cast("int").alias("fold"), shares.alias("need")), names
+    shares = F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: F.coalesce(need(f), F.lit(0.0)))
+    dealt = ranked.select(key, "x", y.cast("int").alias("y"), F.pmod(before, F.lit(folds)).cast("int").alias("fold"), shares.alias("need"))
+    return dealt.coalesce(max(1, sum(found.values()) // LEAST)), names  # no tasks for a handful of rows
 
 
 class Batch:
@@ -124,7 +132,7 @@ def fit_many(dealt: DataFrame, classes: int, tasks: list[Task], *, tolerance: fl
     if first is None:
         raise ValueError("no rows to fit")
     d = first["d"]
-    most = max(1, GROUP // (8 * (d + 1) * max(classes, 2)))
+    most = max(1, GROUP // (8 * (d + 1) * max(classes, 2, d + 1 if d <= FULL else 0)))
     partitions, out = _partitions(dealt), []
     for low in range(0, len(tasks), most):
         out += _fit_group(dealt, partitions, d, classes, tasks[low : low + most], tolerance, max_iter)
@@ -149,26 +157,11 @@ def _fit_group(dealt: DataFrame, partitions: int, d: int, k: int, tasks: list[Ta
         weights.append(np.where(there, n / (max(there.sum(), 1) * np.maximum(s[:k], 1)), 0.0))
         models.append(Linear(task, np.zeros((k, d)), np.where(there, 0.0, -np.inf), np.where(deviation > 1e-12 * np.sqrt(s[k + d :] / max(n, 1) + 1e-300), deviation, 1.0), int(n)))
 
-    # The curvature of the log loss is at most half that of the weighted second moments.
-    ways = [np.full(d + 1, 1.0) / math.sqrt(d + 1) for _ in tasks]
-    curvature = np.ones(len(tasks))
-    for _ in range(POWER):
-
-        def moved(rows: Batch, out: list[np.ndarray], ways=ways) -> None:
-            for m, task in enumerate(tasks):
-                at = rows.trains(task)
-                x, scale = rows.x[at], models[m].scale
-                along = np.einsum("nd,d->n", x, ways[m][:d] / scale) + ways[m][d]
-                out[m] += np.append(np.einsum("nd,n->d", x, weights[m][rows.y[at]] * along) / scale, (weights[m][rows.y[at]] * along).sum())
-
-        for m, s in enumerate(_sums(dealt, partitions, [d + 1] * len(tasks), moved)):
-            size = math.sqrt(float((s * s).sum()))
-            curvature[m] = max(size / max(models[m].rows, 1), 1e-12)
-            ways[m] = s / size if size > 0 else ways[m]
-    rate = 1 / (0.55 * curvature)
-
-    state = [np.hstack([np.zeros((k, d)), np.zeros((k, 1))]) for _ in tasks]
+    solve, bounded = _full_steps(dealt, partitions, d, models, weights) if d <= FULL else _plain_steps(dealt, partitions, d, models, weights)
+    state = [np.zeros((k, d + 1)) for _ in tasks]
     ahead, pace = [s.copy() for s in state], np.ones(len(tasks))
+    before: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    part = np.ones(len(tasks))  # of the bound
     active = [m for m, model in enumerate(models) if model.rows and (np.isfinite(model.intercepts).sum() > 1)]
     for step in range(1, max_iter + 1):
         if not active:
@@ -187,14 +180,20 @@ def _fit_group(dealt: DataFrame, partitions: int, d: int, k: int, tasks: list[Ta
             for j in range(len(now)):
                 out[j] += np.hstack([sums[j], error[:, j].sum(0)[:, None]]).ravel()
 
+        slopes = []
         for m, s in zip(now, _sums(dealt, partitions, [k * (d + 1)] * len(now), gradient)):
-            task, n = tasks[m], models[m].rows
-            slope = s.reshape(k, d + 1) / n
+            slope = s.reshape(k, d + 1) / models[m].rows
             slope[:, :d] /= models[m].scale
-            penalty = 1 / (task.C * n)
-            new = ahead[m] - rate[m] * slope
-            shrunk = np.sign(new[:, :d]) * np.maximum(np.abs(new[:, :d]) - rate[m] * penalty * task.l1_ratio, 0)
-            new[:, :d] = shrunk / (1 + rate[m] * penalty * (1 - task.l1_ratio))
+            slopes.append(slope)
+        held.destroy()
+        for m, slope in zip(now, slopes):
+            if m in before:
+                moved = ahead[m] - before[m][0]
+                bound = (moved * bounded(m, moved)).sum()
+                seen = ((slope - before[m][1]) * moved).sum() / bound if bound > 0 else 1.0
+                part[m] = min(1.0, max(1.3 * seen, 0.8 * part[m], 0.02))
+            before[m] = (ahead[m], slope)
+        for m, new in zip(now, solve(now, [ahead[m] for m in now], slopes, part)):
             change = new - state[m]
             if ((ahead[m] - new) * change).sum() > 0:
                 pace[m] = 1.0
@@ -203,7 +202,6 @@ def _fit_group(dealt: DataFrame, partitions: int, d: int, k: int, tasks: list[Ta
             pace[m], state[m], models[m].steps = faster, new, step
             if np.abs(change).max() <= tolerance * max(np.abs(new).max(), 1e-12):
                 active.remove(m)
-        held.destroy()
     for m, model in enumerate(models):
         there = np.isfinite(model.intercepts)
         model.coefficients = state[m][:, :d]
@@ -211,6 +209,75 @@ def _fit_group(dealt: DataFrame, partitions: int, d: int, k: int, tasks: list[Ta
     return models
 
 
+def _full_steps(dealt: DataFrame, partitions: int, d: int, models: list[Linear], weights: list[np.ndarray]):
+    """Steps that solve the quadratic of half the second moments with the penalty, coordinate by coordinate for all models at once."""
+
+    def moments(rows: Batch, out: list[np.ndarray]) -> None:
+        for m, model in enumerate(models):
+            at = rows.trains(model.task)
+            x = np.hstack([rows.x[at] / model.scale, np.ones((int(at.sum()), 1))])
+            out[m] += np.einsum("nd,n,ne->de", x, weights[m][rows.y[at]], x).ravel()
+
+    found = _sums(dealt, partitions, [(d + 1) ** 2] * len(models), moments)
+    curvature = np.array([0.5 * s.reshape(d + 1, d + 1) / max(model.rows, 1) for s, model in zip(found, models)])
+    diagonal = np.maximum(np.einsum("mdd->md", curvature), 1e-12)
+    lasso = np.array([m.task.l1_ratio / (m.task.C * max(m.rows, 1)) for m in models])
+    ridge = np.array([(1 - m.task.l1_ratio) / (m.task.C * max(m.rows, 1)) for m in models])
+
+    def solve(now: list[int], ahead: list[np.ndarray], slopes: list[np.ndarray], part: np.ndarray) -> list[np.ndarray]:
+        b, q, diag = np.array(ahead), curvature[now] * part[now][:, None, None], diagonal[now] * part[now][:, None]
+        slope = np.array(slopes)  # of the quadratic, kept at b
+        l1, l2 = lasso[now][:, None], ridge[now][:, None]
+        for _ in range(SWEEPS):
+            moved = 0.0
+            for j in range(d + 1):
+                h = diag[:, j, None]
+                free = h * b[:, :, j] - slope[:, :, j]
+                best = free / h if j == d else np.sign(free) * np.maximum(np.abs(free) - l1, 0) / (h + l2)
+                change = best - b[:, :, j]
+                b[:, :, j] = best
+                slope += change[:, :, None] * q[:, j][:, None, :]
+                moved = max(moved, float(np.abs(change).max()))
+            if moved <= 1e-6 * max(float(np.abs(b).max()), 1e-12):
+                break
+        return list(b)
+
+    return solve, lambda m, moved: np.einsum("kd,de->ke", moved, curvature[m])
+
+
+def _plain_steps(dealt: DataFrame, partitions: int, d: int, models: list[Linear], weights: list[np.ndarray]):
+    """Steps by the greatest eigenvalue of half the second moments, from powers that act on rows alone."""
+    tasks = [m.task for m in models]
+    ways = [np.full(d + 1, 1.0) / math.sqrt(d + 1) for _ in tasks]
+    curvature = np.ones(len(tasks))
+    for _ in range(POWER):
+
+        def moved(rows: Batch, out: list[np.ndarray], ways=ways) -> None:
+            for m, task in enumerate(tasks):
+                at = rows.trains(task)
+                x, scale = rows.x[at], models[m].scale
+                along = np.einsum("nd,d->n", x, ways[m][:d] / scale) + ways[m][d]
+                out[m] += np.append(np.einsum("nd,n->d", x, weights[m][rows.y[at]] * along) / scale, (weights[m][rows.y[at]] * along).sum())
+
+        for m, s in enumerate(_sums(dealt, partitions, [d + 1] * len(tasks), moved)):
+            size = math.sqrt(float((s * s).sum()))
+            curvature[m] = max(size / max(models[m].rows, 1), 1e-12)
+            ways[m] = s / size if size > 0 else ways[m]
+    rate = 1 / (0.55 * curvature)
+
+    def solve(now: list[int], ahead: list[np.ndarray], slopes: list[np.ndarray], part: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for m, b, slope in zip(now, ahead, slopes):
+            penalty, pace = 1 / (tasks[m].C * models[m].rows), rate[m] / part[m]
+            new = b - pace * slope
+            shrunk = np.sign(new[:, :d]) * np.maximum(np.abs(new[:, :d]) - pace * penalty * tasks[m].l1_ratio, 0)
+            new[:, :d] = shrunk / (1 + pace * penalty * (1 - tasks[m].l1_ratio))
+            out.append(new)
+        return out
+
+    return solve, lambda m, moved: moved / rate[m]
+
+
 def confusions(dealt: DataFrame, classes: int, models: list[Linear]) -> tuple[np.ndarray, np.ndarray]:
     """Counts (models x truth x prediction) over the rows that trained a model, and over its fold; one pass."""
     k = classes

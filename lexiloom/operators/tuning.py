@@ -7,10 +7,10 @@ import json
 import math
 import os
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import SparkSession
 
 Space = dict[str, tuple[float, float]]
 WHOLE = ("max_features", "min_samples_leaf")
@@ -70,10 +70,12 @@ class Search:
     """Initial hypercube, then points of greatest mean + 2 deviations (or of
     greatest deviation after ``jump`` evaluations without a better score).
 
-    ``checkpoint``: a folder of the driver that keeps the history of the search
-    (a few kilobytes), under the hash of its settings and of ``data``, a mark of
-    the data and feature names.  ``together``: points of the hypercube that are
-    evaluated at a time.
+    ``evaluate`` gives the score and its standard error of a point,
+    ``evaluate_many`` those of several, which the hypercube's points are.
+    ``checkpoint``: a folder that keeps the history of the search (a few
+    kilobytes), under the hash of its settings and of ``data``, a mark of the
+    data and feature names.  With ``spark`` it is any folder that Spark writes
+    to, and outlives the driver.
     """
 
     space: Space
@@ -86,7 +88,8 @@ class Search:
     seed: int = 42
     checkpoint: str | None = None
     data: str = ""
-    together: int = 1
+    evaluate_many: Callable[[list[dict]], list[tuple[float, float]]] | None = None
+    spark: SparkSession | None = None
     history: list[dict] = field(default_factory=list)
     no_better: int = 0
     since_jump: int = 0
@@ -95,9 +98,13 @@ class Search:
         self._load()
         points = latin_hypercube(self.space, self.n_initial, self.seed)
         left = points[len(self.history) :]
-        with ThreadPoolExecutor(self.together) as pool:  # in order, and kept as they come
-            for point, found in zip(left, pool.map(self.evaluate, left)):
-                self._record(point, 0, found)
+        if self.evaluate_many and left:
+            for point, found in zip(left, self.evaluate_many(left)):
+                self._record(point, 0, found, save=False)
+            self._save()
+        else:
+            for point in left:  # kept as they come
+                self._record(point, 0, self.evaluate(point))
         done = max([0, *(h["iteration"] for h in self.history)])
         for iteration in range(done + 1, self.n_iterations + 1):
             if self.no_better >= self.stop:
@@ -118,7 +125,7 @@ class Search:
     def _due(self) -> bool:
         return self.jump > 0 and self.no_better >= self.jump and self.since_jump >= self.jump
 
-    def _record(self, params: dict, iteration: int, found: tuple[float, float]) -> None:
+    def _record(self, params: dict, iteration: int, found: tuple[float, float], save: bool = True) -> None:
         score, error = found
         if math.isnan(score):
             score, error = -math.inf, 0.0
@@ -129,7 +136,8 @@ class Search:
             self.since_jump += 1
             if self._due():
                 self.since_jump = 0
-        self._save()
+        if save:
+            self._save()
 
     def best_within_error(self, parsimony: str, highest: bool) -> dict:
         """The most parsimonious candidate within one standard error of the best score."""
@@ -142,17 +150,31 @@ class Search:
         if not self.checkpoint:
             return None
         config = json.dumps({"space": self.space, "n_initial": self.n_initial, "candidates": self.candidates, "seed": self.seed, "data": self.data}, sort_keys=True)
-        return os.path.join(self.checkpoint, f"search-{hashlib.md5(config.encode()).hexdigest()}.json")
+        return f"{self.checkpoint.rstrip('/')}/search-{hashlib.md5(config.encode()).hexdigest()}"
 
     def _save(self) -> None:
-        if path := self._path():
+        path = self._path()
+        if not path:
+            return
+        state = json.dumps({"history": self.history, "no_better": self.no_better, "since_jump": self.since_jump, "stop": self.stop, "jump": self.jump})
+        if self.spark:  # a folder for each length: none is ever half replaced
+            self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{len(self.history):06d}")
+        else:
             os.makedirs(self.checkpoint, exist_ok=True)
-            with open(path, "w") as file:
-                json.dump({"history": self.history, "no_better": self.no_better, "since_jump": self.since_jump, "stop": self.stop, "jump": self.jump}, file)
+            with open(f"{path}.json", "w") as file:
+                file.write(state)
 
     def _load(self) -> None:
-        path = self._path()
-        if path and os.path.exists(path):
-            with open(path) as file:
-                for k, v in json.load(file).items():
-                    setattr(self, k, v)
+        path, state = self._path(), None
+        if path and self.spark:
+            from .stored import exists
+
+            for n in range(self.n_initial + self.n_iterations, 0, -1):
+                if exists(self.spark, f"{path}/{n:06d}/_SUCCESS"):
+                    state = self.spark.read.text(f"{path}/{n:06d}").first()["value"]
+                    break
+        elif path and os.path.exists(f"{path}.json"):
+            with open(f"{path}.json") as file:
+                state = file.read()
+        for k, v in json.loads(state).items() if state else ():
+            setattr(self, k, v)

@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,21 +20,35 @@ def csv(spark: SparkSession, path: str, schema: str | T.StructType, delimiter: s
     return spark.read.csv(path, schema=schema, header=True, sep=delimiter, multiLine=True, escape='"')
 
 
-def term_list(spark: SparkSession, path: str) -> DataFrame:
-    """One-column CSV with its order: ``term_idx, term``."""
-    lines = csv(spark, path, "term string").withColumn("at", F.monotonically_increasing_id())
-    return lines.select((F.row_number().over(_by("at")) - 1).alias("term_idx"), "term")
+def _placed(lines: DataFrame) -> DataFrame:
+    """Rows of a file source with ``_file, _block, _id``, in whose order they stand in the files (by name)."""
+    return lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+
 
+def numbered(lines: DataFrame, name: str = "at") -> DataFrame:
+    """Rows of a file source with ``name``: their number, from 0, in the order of the files.
 
-def _by(column: str):
-    from pyspark.sql.window import Window
+    Rows are counted by block of a file first; a row's number is what earlier
+    blocks hold and its place in its own, so rows are neither shuffled nor
+    sorted.
+    """
+    placed, columns = _placed(lines), lines.columns
+    read = [F.max(F.length(F.col(f"`{c}`").cast("string"))) for c in columns]  # the same columns in both passes
+    blocks = placed.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"), F.greatest(*read, F.lit(0)).alias("_read"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
+    offsets = blocks.select("_file", "_block", (before - F.col("_first")).alias("_offset"))
+    return placed.join(F.broadcast(offsets), ["_file", "_block"]).select(*columns, (F.col("_offset") + F.col("_id")).alias(name))
 
-    return Window.orderBy(column)
+
+def term_list(spark: SparkSession, path: str) -> DataFrame:
+    """One-column CSV with its order: ``term_idx, term``."""
+    return numbered(csv(spark, path, "term string"), "term_idx").select("term_idx", "term")
 
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """Coordinate file: ``i, j, value`` (1-based), without comments and the size line."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("%")).withColumn("at", F.monotonically_increasing_id())
+    """Coordinate file, or numbered part files of one: ``i, j, value`` (1-based), without comments and the size line."""
+    at = F.struct("_file", "_block", "_id").alias("at")
+    lines = _placed(spark.read.text(path)).select("value", at).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     parts = F.split(F.trim("value"), r"\s+")
     size_line = lines.agg(F.min("at").alias("first"))
     rows = lines.join(F.broadcast(size_line), F.col("at") > F.col("first"))
@@ -41,10 +56,10 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_matrix_market(rows: DataFrame, path: str, n_rows: int, n_columns: int) -> None:
-    n = rows.count()
-    head = rows.sparkSession.createDataFrame([(0, "%%MatrixMarket matrix coordinate real general"), (1, f"{n_rows} {n_columns} {n}")], "k int, value string")
-    body = rows.select(F.lit(2).alias("k"), F.concat_ws(" ", "i", "j", "value").alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    """Numbered part files, the header in the first; put together in order they are one coordinate file."""
+    head = f"%%MatrixMarket matrix coordinate real general\n{n_rows} {n_columns} {rows.count()}"
+    first = rows.sparkSession.createDataFrame([(head,)], "value string").coalesce(1)
+    first.union(rows.select(F.concat_ws(" ", "i", "j", "value").alias("value"))).write.text(path)
 
 
 def write_csv(df: DataFrame, path: str, index: str | None = None) -> None:

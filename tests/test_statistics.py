@@ -1,12 +1,13 @@
 """Vocabulary selection, splits, agreement, metrics, searches and topics on small cases."""
 
 import math
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import agreement, classify, experiment, grouping, metrics, ranking, terms, topics, tuning
+from lexiloom.operators import agreement, classify, experiment, forests, grouping, metrics, ranking, terms, topics, tuning
 from lexiloom.plans import models
 from lexiloom.plans.catalog import one_standard_error, select_local_maximum
 from lexiloom.sources import tables
@@ -312,18 +313,21 @@ def test_model_queries_do_the_whole_job(spark, monkeypatch):
     models.permutation_importance(spark, "")
     assert seen == {"positions": [0, 1, 2, 3], "repeats": 5}
     monkeypatch.setattr(models, "_topic_documents", lambda *_: (df, 4))
-    monkeypatch.setattr(topics, "search_topics", lambda d, k, size, numbers, **options: seen.update(numbers=numbers, **options) or [(2, -1.0)])
+    monkeypatch.setattr(topics, "diagnose_topics", lambda d, k, size, numbers, **options: seen.update(numbers=numbers, **options) or [topics.Diagnosis(2, -1.0)])
     models.search_topics(spark, "")
     assert seen["numbers"] == list(range(2, 21)) and "iterations" not in seen
-    seen.clear()
-    whole = experiment.cross_validate
-    monkeypatch.setattr(experiment, "cross_validate", lambda d, k, x, y, params, folds, **o: seen.update(folds=folds, trees=o["trees"]) or [params["max_features"] / 16] * folds)
-    assert models.tuning_history(spark, "").where("iteration = 0").count() == 20 and seen == {"folds": 5, "trees": models.SEARCH_TREES}
+    fits = []
+    monkeypatch.setattr(forests, "score_many", lambda s, table, some: fits.append(some) or [np.eye(2, dtype=int) * f.max_features + 1 for f in some])
+    assert models.tuning_history(spark, "").where("iteration = 0").count() == 20
+    assert {(f.fold, f.trees) for some in fits for f in some} == {(k, 500) for k in range(5)} and [len(some) for some in fits][:2] == [100, 5]
+    assert max(f.min_samples_leaf for f in fits[0]) > 90 and {f.max_features for f in fits[0]} == {1, 2, 3, 4}
     e = experiment.Experiment(df, df, "vec_id", "x", "y")
     monkeypatch.setattr(e, "fit", lambda params: seen.update(params=params) or e)
+    fits.clear()
     e.tune({"max_features": (1, 4), "min_samples_leaf": (1, 3)}, "min_samples_leaf", True, n_initial=2, n_iterations=0)
-    assert seen["trees"] == 500 and seen["folds"] == 5  # the operator's own size; the query's is smaller
-    assert whole(df.withColumn("fold", F.floor(F.col("vec_id") / 2) % 2), "vec_id", "x", "y", {"C": 1.0, "l1_ratio": 0.5}, 2, max_iter=20)[0] > 0.8
+    assert {(f.fold, f.trees) for some in fits for f in some} == {(k, 500) for k in range(5)}
+    dealt = df.withColumn("fold", F.floor(F.col("vec_id") / 2) % 2)
+    assert experiment.cross_validate(dealt, "x", "y", {"C": 1.0, "l1_ratio": 0.5}, 2, max_iter=20)[0] > 0.8
 
 
 def test_permutation_importance_finds_the_telling_feature(spark):
@@ -349,7 +353,10 @@ def test_ranks_are_exact_and_in_buckets(spark):
         own = sorted((v, i) for i, h, v in rows if h == g)
         assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
     plan = terms.vocabulary(df.select(F.col("g").alias("order"), F.col("v").cast("string").alias("ngram")))._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan or plan.count("Window") >= 3
+    assert "row_number() windowspecdefinition(_range" in plan  # what is numbered in one task are the ranges
+    weights = spark.createDataFrame([(k % 3, float(rng.choice([0.0, 1e-300, 0.25, 0.5, 3.0, 1e9, rng.random()]))) for k in range(300)], "g int, v double").cache()
+    got = ranking.average_rank(weights, ["g"], "v").toPandas()
+    assert np.allclose(got["rank"], got.groupby("g")["v"].rank())
 
 
 def test_sources(spark, tmp_path):
@@ -360,6 +367,20 @@ def test_sources(spark, tmp_path):
     matrix = spark.createDataFrame([(1, 2, 3.0), (2, 1, 1.0)], "i long, j long, value double")
     tables.write_matrix_market(matrix, str(tmp_path / "m"), 2, 2)
     assert {tuple(r) for r in tables.matrix_market(spark, str(tmp_path / "m")).collect()} == {(1, 2, 3.0), (2, 1, 1.0)}
+    big = spark.range(100_000).select((F.col("id") + 1).alias("i"), (F.col("id") % 7 + 1).alias("j"), F.lit(0.5).alias("value")).repartition(5)
+    tables.write_matrix_market(big, str(tmp_path / "big"), 100_000, 7)
+    parts = sorted(p for p in os.listdir(tmp_path / "big") if p.startswith("part-"))
+    whole = "".join((tmp_path / "big" / p).read_text() for p in parts)
+    assert len(parts) > 3 and whole.startswith("%%MatrixMarket matrix coordinate real general\n100000 7 100000\n") and whole.count("\n") == 100_002
+    assert tables.matrix_market(spark, str(tmp_path / "big")).exceptAll(big).count() == 0 == big.exceptAll(tables.matrix_market(spark, str(tmp_path / "big"))).count()
+    (tmp_path / "terms").mkdir()
+    names = [f"w{(k * 7919) % 100_003}" for k in range(30_000)]
+    (tmp_path / "terms" / "b.csv").write_text("term\n" + "\n".join(names[20_000:]) + "\n")
+    (tmp_path / "terms" / "a.csv").write_text("term\n" + "\n".join(names[:20_000]) + "\n")
+    numbered = tables.term_list(spark, str(tmp_path / "terms"))
+    assert [r["term"] for r in numbered.orderBy("term_idx").collect()] == names and numbered.agg(F.max("term_idx")).first()[0] == 29_999
+    text = tables.numbered(spark.read.option("maxPartitionBytes", 20_000).text(str(tmp_path / "terms" / "a.csv")))
+    assert [r["value"] for r in text.orderBy("at").collect()] == ["term", *names[:20_000]]
     assert tables.drop_matching(rows, "PMAX").columns == ["track_id", "lyrics"]
     with pytest.raises(ValueError):
         tables.feature_table(spark, str(tmp_path), "other", 5)
@@ -383,3 +404,27 @@ def test_streaming_counts(spark, tmp_path):
         assert {tuple(r) for r in spark.sql("select * from counted").collect()} == {("en", 2, 3), ("de", 1, 1)}
     finally:
         q.stop()
+
+
+def test_streamed_tables_survive_replays_and_restarts(spark, tmp_path):
+    from lexiloom.streaming import documents
+
+    schema = "doc_id long, text string, lang string"
+    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "term_idx long, ngram string")
+    first = spark.createDataFrame([(1, "a b a", "en"), (2, None, "en")], schema)
+    more = spark.createDataFrame([(3, "b c", "de"), (1, "a", "en")], schema)
+    source, kept, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    first.coalesce(1).write.parquet(source)
+    counts = documents.batch_counts(vocab)
+    documents.keep_all(documents.stream(spark, source, first.schema), counts, kept, marks).awaitTermination()
+    once = sorted(map(tuple, documents.kept_counts(spark, kept).collect()))
+    assert once == [(1, 0, 2), (1, 1, 1)]
+    documents.keep_batch(counts(first), 0, kept)  # a replay
+    assert sorted(map(tuple, documents.kept_counts(spark, kept).collect())) == once
+    more.coalesce(1).write.mode("append").parquet(source)
+    documents.keep_all(documents.stream(spark, source, first.schema), counts, kept, marks).awaitTermination()  # a restart
+    assert sorted(map(tuple, documents.kept_counts(spark, kept).collect())) == [(1, 0, 3), (1, 1, 1), (3, 1, 1)]
+    model = topics.TopicModel(np.array([[0.9, 0.1], [0.1, 0.9]]), np.zeros((1, 1)), np.eye(1), 2, np.ones(1))
+    documents.keep_all(documents.stream(spark, source, first.schema), documents.batch_shares(model, vocab), str(tmp_path / "theta"), str(tmp_path / "marks2")).awaitTermination()
+    shares = {r["doc_id"]: r["theta"] for r in spark.read.parquet(str(tmp_path / "theta")).where("doc_id <> 1").collect()}
+    assert shares[2] == [0.5, 0.5] and shares[3][1] > 0.5
