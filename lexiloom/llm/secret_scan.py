@@ -43,12 +43,13 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 
 # May follow "=", ":" or a quote; the run is taken whole, so that the work stays linear in its length.
 _MIXED = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
-_USER = re.compile(r"""(?i:\b(?:user(?:name|_id)?|login|account|client_?id|key_?id))["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9+/_.@-]{3,})""")
+_USER = re.compile(r"""(?i:\b(?:user(?:name|_id)?|login|account|client_?id|key_?id))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.@-]{3,})""")
 _MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _ADDRESS = re.compile(r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?::[0-9]{1,5})?(?![0-9A-Za-z.]?[0-9A-Za-z])")
 _PORT = re.compile(r"(?<![A-Za-z0-9.-])(?=[A-Za-z0-9-]++\.)[A-Za-z0-9.-]++:[0-9]{2,5}(?![0-9A-Za-z])")
-_URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9][^\s\"'<>|]{2,}")
-_HOST = re.compile(r"""(?i:\b(?:host|endpoint|server|base_?url))["']?\x20{0,8}[:=]\x20{0,8}["']?([A-Za-z0-9][A-Za-z0-9.:/_-]{3,})""")
+_AFTER_SCHEME = re.compile(r"://[A-Za-z0-9][^\s\"'<>|]{2,}")
+_SCHEME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-"
+_HOST = re.compile(r"""(?i:\b(?:host|endpoint|server|base_?url))["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9][A-Za-z0-9.:/_-]{3,})""")
 
 # What a text with any span has: a strong secret or a token.
 _SOME = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[A-Za-z0-9+/_-]{20}"
@@ -68,6 +69,18 @@ def _base(text: str) -> list[tuple[int, int, str, int]]:
     return out
 
 
+def _urls(text: str) -> Iterator[tuple[int, int]]:
+    """URLs with a scheme of any case and of two characters or more; the scheme is
+    looked for backwards, so that each character is passed once."""
+    floor = 0
+    for m in _AFTER_SCHEME.finditer(text):
+        run = text[floor : m.start()]
+        run = run[len(run.rstrip(_SCHEME)) :].lstrip("0123456789+.-")
+        if len(run) >= 2:
+            yield m.start() - len(run), m.end()
+        floor = m.end()
+
+
 def _weak(text: str) -> list[tuple[int, int, str, int]]:
     out = []
     if ":" in text or "=" in text:
@@ -75,7 +88,7 @@ def _weak(text: str) -> list[tuple[int, int, str, int]]:
         out += [(m.start(1), m.end(1), "endpoint", ENDPOINT) for m in _HOST.finditer(text)]
         out += [(m.start(), m.end(), "endpoint", ENDPOINT) for m in _PORT.finditer(text)]
     if "://" in text:
-        out += [(m.start(), m.end(), "endpoint", ENDPOINT) for m in _URL.finditer(text)]
+        out += [(start, end, "endpoint", ENDPOINT) for start, end in _urls(text)]
     if "@" in text:
         out += [(m.start(), m.end(), "identifier", IDENTIFIER) for m in _MAIL.finditer(text)]
     if "." in text:
@@ -137,7 +150,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sco
     start and then by kind as in ``KINDS``; ``credentials``: extents of runs of
     parts of at least two roles within each other's scopes.  A weak part that
     overlaps a strong one is left to that one.  Null and empty texts have
-    neither; bytes that aren't UTF-8 count as U+FFFD.  Repeated rows each have a
+    neither; bytes that aren't UTF-8 count as U+FFFD.  Texts of any length are
+    scanned whole, in a time that grows as their length does, with any number
+    of blanks around ``=`` and ``:``.  Repeated rows each have a
     row; other columns don't count; an empty table gives an empty result.
     """
 

@@ -341,3 +341,19 @@ def test_digests_are_derived_from_spans(spark):
     spans = spark.createDataFrame([(1, [("ip", 5, 9)])], "doc_id long, spans array<struct<kind:string,start:int,end:int>>")
     row = spans.select("doc_id", *queries._digest(F.col("spans"), pii.KINDS)).first()
     assert row["n_ip"] == 1 and row["spans"] == "ip:5:9" and row["base_sha256"] == hashlib.sha256(b"ip:5:9").hexdigest()
+
+
+@pytest.mark.parametrize("blanks", [0, 8, 9, 500])
+@pytest.mark.parametrize("url", ["https://db.example.com/x", "HTTPS://db.example.com/x", "+http://db.example.com/x", "a-very-long-scheme-of-more-than-twenty-letters://db.example.com"])
+def test_secret_blanks_and_schemes_have_no_bounds(blanks, url):
+    text = f"user{' ' * blanks}={' ' * blanks}alice99 tok9abcdefghijklmnopqrstuv {url} end"
+    spans, credentials = secret_scan.scan_text(text, 2000)
+    assert [(text[s:e], k) for s, e, k in spans] == [("alice99", "identifier"), ("tok9abcdefghijklmnopqrstuv", "token"), (url.lstrip("+"), "endpoint")]
+    assert len(credentials) == 1
+
+
+def test_secret_urls_in_long_runs():
+    assert list(secret_scan._urls("c://x.com 9ab://x.com/y ://zzz " + "a." * 200_000 + "b")) == [(11, 23)]
+    long = "a" * 300_000 + "://host"
+    assert list(secret_scan._urls(long)) == [(0, len(long))]
+    assert list(secret_scan._urls("http://a.com/?u=https://b.com")) == [(0, 29)]
