@@ -167,6 +167,7 @@ class Discriminant:
 
 
 MAX_TRAINING_ROWS = 100_000
+GATHERED = 2 * MAX_TRAINING_ROWS  # rows that reach the driver for a fit; repeated ids may bring more
 
 
 def features(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,8 +214,12 @@ def training_sample(labels: DataFrame, *, label_col: str = "quality", max_rows:
 
 def train(rows: DataFrame, sample: DataFrame) -> Discriminant | None:
     """Fit on the rows of :func:`features` that a :func:`training_sample`
-    labels.  Without two rows of either class there is no model (None)."""
-    found = rows.join(sample, "doc_id").select("x", "y").toArrow()
+    labels.  Without two rows of either class there is no model (None).
+
+    Where repeated ids leave more than ``GATHERED`` rows, equal ones count once
+    and, of more still, a sample by their hash of about that size is taken.
+    """
+    found = bounded(rows.join(sample, "doc_id").select("doc_id", "x", "y"), GATHERED).select("x", "y").toArrow()
     y = found.column("y").to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 2:
         return None
@@ -223,6 +228,15 @@ def train(rows: DataFrame, sample: DataFrame) -> Discriminant | None:
     return Discriminant.fit(x[order], y[order])
 
 
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` if there are at most ``most``; else without equal rows and, of more still, a sample by hash."""
+    if rows.count() <= most:
+        return rows
+    once = rows.dropDuplicates()
+    keep = -(-once.count() // most)
+    return once.where(F.pmod(F.xxhash64(*once.columns), F.lit(keep)) == 0) if keep > 1 else once
+
+
 def score(rows: DataFrame, model: Discriminant | None) -> DataFrame:
     """``doc_id, score`` of rows of :func:`features`; without a model every score is 0.5."""
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
+from .quality import bounded
 from .storage import bounded_batches, materialize
 
 MAX_TRAINING_ROWS = 20_000
@@ -179,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", max_r
     if keep > 1:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(keep)) == 0)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    training = materialize(texts.join(known, "doc_id").select("doc_id", "text", "y"), "toxicity-training")
+    # Repeated ids may bring more rows than the sample has; the bound of those holds for the rows.
+    training = materialize(bounded(texts.join(known, "doc_id").select("doc_id", "text", "y"), 2 * max_rows), "toxicity-training")
     total = training.agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
     if not total["n"] or min(total["t"], total["n"] - total["t"]) < 2:
         return None

@@ -294,3 +294,25 @@ def test_new_queries_equal_sql(spark, name):
     df = queries.queries()[name](spark, FOLDER)
     assert df.columns == columns
     assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(result.fetchall(), key=repr)
+
+
+def test_training_gathers_are_bounded(spark, monkeypatch):
+    """One id repeated ten thousand times, with equal and with different texts."""
+    from lexiloom.llm import quality, toxicity
+
+    monkeypatch.setattr(quality, "GATHERED", 500)
+    same = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("good words in a row.").alias("text"))
+    other = spark.range(10_000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("bad "), F.col("id").cast("string")).alias("text"))
+    rest = spark.range(3, 40).select(F.col("id").alias("doc_id"), F.concat(F.lit("plain "), F.repeat(F.lit("word "), F.col("id").cast("int"))).alias("text"))
+    docs = same.unionByName(other).unionByName(rest)
+    assert quality.bounded(same, 500).count() == 1 and 0 < quality.bounded(other, 500).count() < 1000 and quality.bounded(rest, 500).count() == 37
+    labels = spark.range(1, 40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.when(F.col("id") % 4 == 0, 1).otherwise(0).alias("toxic"))
+    gathered = []
+    fit = quality.Discriminant.fit
+    monkeypatch.setattr(quality.Discriminant, "fit", lambda x, y: gathered.append(len(y)) or fit(x, y))
+    scored = quality.classify(docs, labels)
+    assert scored.count() == 20_037 and 0 < gathered[0] < 1000
+    ordinal = toxicity.fit_ordinal
+    monkeypatch.setattr(toxicity, "fit_ordinal", lambda x, g: gathered.append(len(g)) or ordinal(x, g))
+    toxicity.train(docs, labels, max_rows=250)
+    assert 0 < gathered[-1] < 1000
