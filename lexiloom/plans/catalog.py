@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from lexiloom.functions import text as T
 from lexiloom.functions.lexicon import BOUNDARY_WORDS, CONTRACTIONS, FILLERS, STOPWORDS, domain_lexicon
 from lexiloom.functions.normal import upper_tail, upper_tail_sql
-from lexiloom.operators import agreement, annotated, grouping, metrics, terms, topics
+from lexiloom.operators import agreement, annotated, grouping, metrics, morphology, terms, topics
 from lexiloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -376,6 +376,28 @@ def lemmatize(docs: DataFrame, text: str = "text", dictionary: dict[str, str] |
     return docs.withColumn("lemmatized", F.array_join(lines, "\n"))
 
 
+_RULE_VALUES = ", ".join(f"('{p}', '{old}', '{new}', {k})" for p, rules in morphology.RULES.items() for k, (old, new) in enumerate(rules))
+
+
+@query(
+    f"""WITH RECURSIVE {TOKENS}, w AS (SELECT DISTINCT t AS word, pos FROM tok, (VALUES ('n'), ('v'), ('a'), ('r')) p(pos)),
+    dict AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '{P}')) AS form FROM benchmark),
+    rules(pos, old, new, k) AS (VALUES {_RULE_VALUES}),
+    forms(word, pos, depth, place, form) AS (
+      SELECT word, pos, 0, [0], word FROM w
+      UNION ALL SELECT f.word, f.pos, f.depth + 1, f.place || [r.k], left(f.form, length(f.form) - length(r.old)) || r.new
+      FROM forms f JOIN rules r ON r.pos = f.pos AND ends_with(f.form, r.old) AND length(f.form) + length(r.new) > length(r.old)),
+    best AS (SELECT f.word, f.pos, arg_min(f.form, (greatest(depth, 1), length(f.form), depth, place)) AS lemma FROM forms f SEMI JOIN dict USING (form) GROUP BY f.word, f.pos)
+    SELECT w.word, w.pos, coalesce(best.lemma, w.word) AS lemma FROM w LEFT JOIN best ON best.word = w.word AND best.pos = w.pos"""
+)
+def dictionary_lemmas(spark, folder):
+    """Lemmas of all words of ``documents`` in each word class, by the words of ``benchmark`` as a dictionary."""
+    words = _docs(spark, folder).select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    classes = words.select("word", F.explode(F.array(*(F.lit(p) for p in "nvar"))).alias("pos"))
+    entries = tables.parquet(spark, folder, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("lemma")).distinct()
+    return morphology.dictionary_lemmas(classes, entries.withColumn("pos", F.lit(None).cast("string")))
+
+
 @query(
     f"""WITH ln AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
     tk AS (SELECT doc_id, k, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM (SELECT doc_id, k, regexp_extract_all(lower(line), '{P}') AS l FROM ln)),

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import annotated, lemmas, stored
+from lexiloom.operators import annotated, lemmas, morphology, stored
 from lexiloom.operators.experiment import PAIRS, Experiment, matrix_table, run_matrix
 from lexiloom.operators.selectors import LogOddsSelector, TfidfSelector, check_artists
 from lexiloom.plans.catalog import lemmatize
@@ -120,3 +120,18 @@ def test_lemmas_with_plugged_in_parts(spark):
     assert tagged[3] == ("dog run", "dogs|X ran|VBD") and tagged[2] == ("", "") and tagged[1][1].split("\n")[2].startswith("better|JJR oh|X")
     plain = {r["id"]: r["lemmatized"] for r in lemmas.lemmatize(docs, "id", "text").collect()}
     assert plain == {r["id"]: r["lemmatized"] for r in lemmatize(docs).select("id", "lemmatized").collect()}
+
+
+def test_dictionary_lemmas(spark):
+    """Regular and irregular forms, forms of forms, ties, unknown words and classes."""
+    entries = ["dog", "church", "wolf", "glass", "man", "fly", "run", "running", "make", "bake", "big", "larg", "large", "better", "good", "hop", "hope", "s"]
+    dictionary = spark.createDataFrame([(e, None) for e in entries] + [("mice", "v"), ("mouse", "n")], "lemma string, pos string")
+    irregular = spark.createDataFrame([("mice", "n", "mouse"), ("better", "a", "good"), ("ran", "v", "run"), ("odd", "n", "unknown")], "word string, pos string, lemma string")
+    cases = {("dogs", "n"): "dog", ("churches", "n"): "church", ("wolves", "n"): "wolf", ("glasses", "n"): "glass", ("men", "n"): "man", ("flies", "v"): "fly", ("running", "v"): "running",
+             ("makes", "v"): "make", ("baking", "v"): "bake", ("baked", "v"): "bake", ("larger", "a"): "larg", ("mice", "n"): "mouse", ("mice", "v"): "mice", ("better", "a"): "good", ("ran", "v"): "run",
+             ("odd", "n"): "odd", ("xyzzy", "v"): "xyzzy", ("dogs", "r"): "dogs", ("dogs", None): "dog", ("dogs", "other"): "dog", ("dogss", "n"): "dog", ("hoped", "v"): "hop", ("", "n"): "", ("ss", "n"): "s"}
+    words = spark.createDataFrame([*cases, *list(cases)[:3], (None, "n"), ("s" * 300, "n")], "word string, pos string")
+    got = {(r["word"], r["pos"]): r["lemma"] for r in morphology.dictionary_lemmas(words, dictionary, irregular).collect()}
+    assert got.pop(("s" * 300, "n")) == "s"
+    assert got == cases
+    assert morphology.dictionary_lemmas(words.where("false"), dictionary).count() == 0

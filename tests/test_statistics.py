@@ -88,6 +88,10 @@ def test_agreement(spark):
     split = spark.createDataFrame([(k, 1, 1) for k in range(400)], "user_id long, cat5_n_a long, cat5_n_b long")
     mean = agreement.simulate(agreement.unpivot_votes(split, "user_id", 5), "user_id", 5).agg(F.avg("f1")).first()[0]
     assert abs(mean - 0.5) < 0.05
+    some = spark.createDataFrame([(1, "pop", 5), (2, "rock", 3), (2, "pop", 1), (3, "jazz", 2)], "user_id long, genre string, votes long")
+    drawn = agreement.simulate(some, "user_id", 300)  # keys without a row for each genre
+    assert drawn.count() == 900 and drawn.where("genre = 'jazz'").agg(F.min("f1")).first()[0] == 1.0
+    assert agreement.simulate(some.where("false"), "user_id", 300).count() == 0
 
 
 def test_metrics_absent_class(spark):
