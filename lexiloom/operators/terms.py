@@ -138,7 +138,8 @@ def log_odds(grams: DataFrame, label: str, artist: str, *, labels: list | None =
     labels = classes(grams, label) if labels is None else labels
     if not labels:
         return grams.select("order", "ngram", label, F.lit(0.0).alias("z")).limit(0)
-    counts = _counts_by_class(grams, label, artist, labels, min_artists, stopwords, boundary)
+    # Written, as the totals come from them too: n-grams are made and counted once.
+    counts = written(_counts_by_class(grams, label, artist, labels, min_artists, stopwords, boundary), "class-counts")
     totals = counts.groupBy("order").agg(F.array(*(F.sum(F.col("y")[k]) for k in range(len(labels)))).alias("n_c"))
     t = counts.join(F.broadcast(totals), "order")
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x).cast("double")

@@ -125,20 +125,20 @@ def _conv(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _conv_grams(spark: SparkSession, folder: str, orders=(1, 2, 3, 4)) -> DataFrame:
-    return terms.ngram_counts(_conv(spark, folder), ["doc_id", "turn", "role", "artist"], "text", orders)
+    return terms.ngram_counts(tables.spread(_conv(spark, folder)), ["doc_id", "turn", "role", "artist"], "text", orders)
 
 
 def _conv_gram_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return terms.ngram_rows(_conv(spark, folder), ["role"], "text", (1, 2, 3, 4))
+    return terms.ngram_rows(tables.spread(_conv(spark, folder)), ["role"], "text", (1, 2, 3, 4))
 
 
 def _doc_grams(spark: SparkSession, folder: str, orders=(1, 2, 3, 4)) -> DataFrame:
-    return terms.ngram_counts(_docs(spark, folder), ["doc_id", "lang", "source"], "text", orders)
+    return terms.ngram_counts(tables.spread(_docs(spark, folder).select("doc_id", "lang", "source", "text")), ["doc_id", "lang", "source"], "text", orders)
 
 
 def _doc_gram_rows(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each occurrence: for sums over documents, which then take one shuffle."""
-    return terms.ngram_rows(_docs(spark, folder), [], "text", (1, 2, 3, 4))
+    return terms.ngram_rows(tables.spread(_docs(spark, folder).select("text")), [], "text", (1, 2, 3, 4))
 
 
 def _orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -672,7 +672,7 @@ def monroe_p(spark, folder):
 
 def _document_scores(spark, folder) -> DataFrame:
     """Of all orders jointly; ``source`` has 20 values, of which an n-gram must be in two."""
-    rows = terms.ngram_rows(_docs(spark, folder), ["lang", "source"], "text", (1, 2, 3, 4))
+    rows = terms.ngram_rows(tables.spread(_docs(spark, folder).select("lang", "source", "text")), ["lang", "source"], "text", (1, 2, 3, 4))
     return terms.log_odds(rows, "lang", "source", labels=terms.classes(_docs(spark, folder), "lang"), min_artists=2)
 
 

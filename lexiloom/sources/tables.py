@@ -15,6 +15,13 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table dealt over all cores, where it has fewer files than that: a
+    file of one row group would be one task's work.  Tables of more files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def csv(spark: SparkSession, path: str, schema: str | T.StructType, delimiter: str = ",") -> DataFrame:
     """CSV with a header and quoted line breaks; the schema is given, so nothing is read twice."""
     return spark.read.csv(path, schema=schema, header=True, sep=delimiter, multiLine=True, escape='"')
