@@ -13,9 +13,9 @@ def connected_components(links: DataFrame, left: str, right: str, name: str = "c
 
     ``component_id`` is the smallest node that is reachable.  Each round runs a
     large-star and a small-star step: every node hands its neighbours to the
-    smallest of them.  A hub is no single task's work, since its minimum is
-    pre-aggregated before the shuffle and its edges are joined with that one
-    row.  The rounds end when the set of edges no longer changes, after about
+    smallest of them.  A node's minimum is pre-aggregated before the shuffle; the
+    join with it brings a hub's edges together in one task, until adaptive
+    execution splits them.  The rounds end when the set of edges no longer changes, after about
     log2(n) of them; each writes its edges to the shared folder.  Links from a
     node to itself and repeated ones don't matter; nulls are ignored.
     """
