@@ -30,13 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The files go to ``spark.checkpoint.dir``, which all executors share, and
     stay until it is emptied; they outlive lost executors.  A session of one
     machine without that setting takes a temporary folder; a cluster without it
-    has no such folder, and ``df`` comes back as it is.
+    has no such folder, and this raises.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
-            return df
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         application = spark.sparkContext.applicationId
         if application not in _own:
             _own[application] = tempfile.mkdtemp(prefix="lexiloom-")
