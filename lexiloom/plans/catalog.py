@@ -528,20 +528,21 @@ _A = "((({k} % 999983) * 7919 + 42 * 104729 + 12345) % 999983)"
 HASH = f"(({_A} * {_A} + 31 * {_A}) % 999983)"
 
 
-@query(
-    f"""WITH {MODES},
+SPLIT = f"""{MODES},
     m AS (SELECT o_custkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, o_orderpriority) AS r FROM n) WHERE r = 1),
     s AS (SELECT o_orderpriority, count(*) * 0.2::DOUBLE AS quota FROM m GROUP BY o_orderpriority),
     q AS (SELECT o_orderpriority, floor(quota) + CASE WHEN row_number() OVER (ORDER BY round(quota - floor(quota), 9) DESC, o_orderpriority)
       <= (SELECT ceil(count(*) * 0.2::DOUBLE) FROM m) - (SELECT sum(floor(quota)) FROM s) THEN 1 ELSE 0 END AS take FROM s),
-    r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {HASH.format(k="o_custkey")}, o_custkey) AS r FROM m)
-    SELECT o_custkey, o_orderpriority, CASE WHEN r <= take THEN 'test' ELSE 'train' END AS part FROM r JOIN q USING (o_orderpriority)"""
-)
+    r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {HASH.format(k="o_custkey")}, o_custkey) AS r FROM m),
+    sp AS (SELECT o_custkey, o_orderpriority, CASE WHEN r <= take THEN 'test' ELSE 'train' END AS part FROM r JOIN q USING (o_orderpriority))"""
+
+
+@query(f"WITH {SPLIT} SELECT o_custkey, o_orderpriority, part FROM sp")
 def group_split(spark, folder):
     return grouping.group_split(_orders(spark, folder), "o_custkey", "o_orderpriority")
 
 
-@query("SELECT 0::BIGINT AS members_in_both")
+@query(f"WITH {SPLIT} SELECT count(*) AS members_in_both FROM (SELECT o_custkey FROM sp WHERE part = 'test' INTERSECT SELECT o_custkey FROM sp WHERE part = 'train')")
 def split_overlap(spark, folder):
     """Members that both parts of a split have: none."""
     parts = grouping.group_split(_orders(spark, folder), "o_custkey", "o_orderpriority")
