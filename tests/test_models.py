@@ -188,3 +188,11 @@ def test_search_goes_on_from_the_shared_folder(spark, tmp_path):
     again.evaluate = again.evaluate_many = None  # nothing is left to evaluate
     assert again.run() == first and len(first) >= 5 and all(np.isfinite(h["score"]) for h in first)
     done()
+
+
+def test_trees_are_read_as_arrow_arrays(spark):
+    from lexiloom.operators import forests
+
+    blocks = spark.createDataFrame([(0, low, [0], [1, -1, -1], [0.5, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [0.5, 0.5, 1.0, 0.0, 0.0, low / 40]) for low in (0, 20)], forests.SCHEMA).orderBy("low")
+    for a, b in zip(forests.read_trees(forests._arrow_rows(blocks), 2), forests.read_trees(blocks.collect(), 2), strict=True):
+        assert all((getattr(a, n) == getattr(b, n)).all() for n in ("root", "feature", "threshold", "left", "right", "value"))
