@@ -113,14 +113,23 @@ def cross_validated_search(
 
     All models of all points that are known at a time, and of all folds, are
     fitted side by side; forests of tables that are too large to be sent to the
-    tasks are fitted one by one.
+    tasks are fitted one by one.  Points that come again, as rounded counts do,
+    keep their score, which a new fit would only repeat.
     """
     spark = rows.sparkSession
     dealt, names = many.deal(rows, key, features, label, folds=folds, seed=seed)
     dealt = dealt.persist()
     table = forests.small_table(dealt, len(names), key) if "max_features" in space else None
 
+    known: dict[tuple, tuple[float, float]] = {}
+
     def evaluate_many(points: list[dict]) -> list[tuple[float, float]]:
+        marks = [tuple(sorted(p.items())) for p in points]
+        new = {m: p for m, p in zip(marks, points) if m not in known}
+        known.update(zip(new, fit_many(list(new.values())) if new else []))
+        return [known[m] for m in marks]
+
+    def fit_many(points: list[dict]) -> list[tuple[float, float]]:
         if table is not None:
             fits = [forests.Fit(int(p["max_features"]), int(p["min_samples_leaf"]), trees, fold, seed) for p in points for fold in range(folds)]
             tables = forests.score_many(spark, table, fits)

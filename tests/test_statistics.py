@@ -485,3 +485,13 @@ def test_topic_search_plans_each_step_from_written_documents(spark, monkeypatch)
     monkeypatch.setattr(topics, "fit_structural_many", lambda d, *a, **k: parts.append(topics._partitions(d)) or {2: None})
     topics.diagnose_topics(docs.coalesce(1), "doc", 2, [2])
     assert names == ["documents"] and parts[0] > 1  # written once, and on more than one core
+
+
+def test_search_fits_points_that_come_again_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i), float(i % 3)], str(i % 2)) for i in range(40)], "id long, f array<double>, c string")
+    fits = []
+    monkeypatch.setattr(forests, "score_many", lambda s, table, some: fits.extend(some) or [np.eye(2, dtype=int) * f.max_features + 1 for f in some])
+    search, done = experiment.cross_validated_search(rows, "id", "f", "c", {"max_features": (1, 2), "min_samples_leaf": (1, 2)}, folds=2, trees=3, n_initial=8, n_iterations=4)
+    history = search.run()
+    done()
+    assert len(history) == 12 and len(fits) == len(set(fits)) == 2 * len({tuple(h["params"].values()) for h in history})
