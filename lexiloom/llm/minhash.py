@@ -169,8 +169,9 @@ def _bayes(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float, val
                 keep = survivors(_matrix(batch.column(2), values), _matrix(batch.column(3), values), threshold, miss, BATCH)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
 
-    joined = pairs.join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b").join(
-        sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a"
+    # The leader first: its rows meet in one key of a plain join, the test's tasks get even ones.
+    joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(
+        sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b"
     )
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
@@ -206,8 +207,8 @@ def _exact(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> Da
             keep = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
 
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
+    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b"
     )
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -385,9 +386,9 @@ def near_duplicates(
     first = materialize(connected_components(links, "a", "b"), "minhash-first")
 
     inside = _residual(crowded, first, reps, rep_texts)
-    more = _within(inside, shingle, threshold, percent, miss_probability, bands, rows)
-    links = materialize(links.unionByName(more), "minhash-all-links")
-    groups = connected_components(links, "a", "b").select(F.col("node").alias("rep"), "component_id")
+    more = materialize(_within(inside, shingle, threshold, percent, miss_probability, bands, rows), "minhash-more-links")
+    groups = first if more.isEmpty() else connected_components(first.select(F.col("node").alias("a"), F.col("component_id").alias("b")).unionByName(more), "a", "b")
+    groups = groups.select(F.col("node").alias("rep"), "component_id")
 
     # Only classes of several rows or in a group differ from their documents' own ids.
     of_class = classes.join(groups, "rep", "left").where("n > 1 or component_id is not null")

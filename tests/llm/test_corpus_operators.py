@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import components, decontaminate, embedding_dedup, minhash, quality, queries, sharding, toxicity
+from lexiloom.llm import components, decontaminate, embedding_dedup, minhash, quality, queries, sharding, storage, toxicity
 
 FOLDER = "/root/testdata/sf0.01"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
@@ -65,6 +65,35 @@ def test_components(spark):
     assert got == want
 
 
+def test_components_take_few_shuffles(spark, monkeypatch):
+    """Three shuffles a round: each is as many tasks as there are shuffle partitions, however few the links."""
+    shuffles = []
+
+    def counted(df, name):
+        shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return storage.materialize(df, name)
+
+    monkeypatch.setattr(components, "materialize", counted)
+    pairs = [(k, 3000 + k % 7) for k in range(200)] + [(3000 + k, 3001 + k) for k in range(6)] + [(5000, 5001)] * 3
+    got = {r["node"]: r["component_id"] for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()}
+    assert got == {x: 5000 if x >= 5000 else 0 for p in pairs for x in p}
+    assert sum(shuffles) <= 2 * 7, shuffles
+
+
+def test_components_of_chains_loops_and_nothing(spark):
+    """Long chains in odd orders, cliques with repeated links, a node with itself alone, and no links."""
+    rng = random.Random(7)
+    ids = rng.sample(range(-5000, 5000), 600)
+    pairs = [*zip(ids[:500], ids[1:501]), *((a, b) for a in ids[520:540] for b in ids[520:540]), (ids[550], ids[550]), (None, ids[560])]
+    own = Sets({x for p in pairs for x in p if x is not None})
+    for a, b in pairs[:-1]:
+        own.join(a, b)
+    df = spark.createDataFrame(pairs + pairs, "a long, b long")
+    rows = components.connected_components(df, "a", "b").collect()
+    assert sorted((r["node"], r["component_id"]) for r in rows) == sorted((x, own.find(x)) for x in {x for p in pairs[:-1] for x in p})
+    assert components.connected_components(df.limit(0), "a", "b").count() == 0
+
+
 def near_copies(seed, groups, words=60):
     """Groups of near copies around the threshold, exact copies, short, empty and null texts."""
     rng = random.Random(seed)
