@@ -6,13 +6,13 @@ import json
 import math
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, StringIndexer, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forests
+from . import deep, forests
 from .ranking import rank_in_buckets
 
 
@@ -34,9 +34,9 @@ class Classifier:
     Features are divided by their population standard deviation, not centred;
     classes are weighted alike; ties of predictions go to the first label.
 
-    Forests have no limit of depth and exact splits (:mod:`.forests`) on tables
-    that are small enough to be sent to the tasks; on larger ones they have
-    binned splits and 30 levels.
+    Forests have no limit of depth and exact splits, on tables that are small
+    enough to be sent to the tasks at once (:mod:`.forests`) and on larger ones
+    (:mod:`.deep`).
     """
 
     def __init__(self, params: dict, trees: int = 1000, seed: int = 42, max_iter: int = 10_000):
@@ -47,40 +47,35 @@ class Classifier:
     def fit(self, train: DataFrame, features: str, label: str) -> Classifier:
         rows = train.where(F.col(label).isNotNull() & F.col(features).isNotNull())
         self.features, self.label = features, label
-        if "max_features" in self.params and self._fit_forest(rows):
-            return self
+        if "max_features" in self.params:
+            return self._fit_forest(rows)
         n = rows.count()
         vectors = rows.select(F.col(label).cast("string").alias(label), array_to_vector(F.col(features)).alias("_raw")).cache()
         self.scaler = StandardScaler(inputCol="_raw", outputCol="_sample", withMean=False).fit(vectors)
         self.factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
         self.indexer = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(vectors)
         ready = self.indexer.transform(balanced(self._scaled(vectors), label)).select("_x", "_y", "weight").cache()
-        if "C" in self.params:
-            model = LogisticRegression(
-                featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", standardization=False, maxIter=self.max_iter, tol=TOLERANCE,
-                regParam=1 / (self.params["C"] * n), elasticNetParam=self.params["l1_ratio"],
-            )
-        else:
-            model = RandomForestClassifier(
-                featuresCol="_x", labelCol="_y", weightCol="weight", numTrees=self.trees, maxDepth=30, seed=self.seed,
-                featureSubsetStrategy=str(int(self.params["max_features"])), minInstancesPerNode=int(self.params["min_samples_leaf"]), maxMemoryInMB=1024,
-            )
+        model = LogisticRegression(
+            featuresCol="_x", labelCol="_y", weightCol="weight", family="multinomial", standardization=False, maxIter=self.max_iter, tol=TOLERANCE,
+            regParam=1 / (self.params["C"] * n), elasticNetParam=self.params["l1_ratio"],
+        )
         self.model = model.fit(ready)
         ready.unpersist()
         vectors.unpersist()
         return self
 
-    def _fit_forest(self, rows: DataFrame) -> bool:
-        """Whether the rows are few enough for exact trees, which are grown then."""
+    def _fit_forest(self, rows: DataFrame) -> Classifier:
         labels = sorted(r[0] for r in rows.select(F.col(self.label).cast("string")).distinct().collect())  # classes are few
         y = F.array_position(F.array(*(F.lit(c) for c in labels)), F.col(self.label).cast("string")) - 1 if labels else F.lit(0)
-        table = forests.small_table(rows.select(F.col(self.features).cast("array<double>").alias("x"), y.cast("int").alias("y")), len(labels))
-        if table is None:
-            return False
+        ready = rows.select(F.col(self.features).cast("array<double>").alias("x"), y.cast("int").alias("y"))
         self.labels = labels
         fit = forests.Fit(int(self.params["max_features"]), int(self.params["min_samples_leaf"]), self.trees, seed=self.seed)
-        self.model = forests.ForestModel.fit(rows.sparkSession, table, fit)
-        return True
+        table = forests.small_table(ready, len(labels))
+        if table is None:
+            self.model = deep.DeepForest.fit(rows.sparkSession, ready, len(labels), fit)
+        else:
+            self.model = forests.ForestModel.fit(rows.sparkSession, table, fit)
+        return self
 
     def _scaled(self, vectors: DataFrame) -> DataFrame:
         scaled = self.scaler.transform(vectors)
@@ -88,7 +83,7 @@ class Classifier:
 
     def add_predictions(self, rows: DataFrame, name: str = "predicted") -> DataFrame:
         """``rows`` with the predicted label."""
-        if isinstance(self.model, forests.ForestModel):
+        if isinstance(self.model, (forests.ForestModel, deep.DeepForest)):
             voted = self.model.add_votes(rows, self.features).withColumn("_votes", F.transform("_votes", lambda v: F.round(v, 9)))
             names = F.array(*(F.lit(x) for x in self.labels))
             return voted.withColumn(name, F.element_at(names, F.array_position("_votes", F.array_max("_votes")).cast("int"))).select(*rows.columns, name)
@@ -102,12 +97,13 @@ class Classifier:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """The fitted model and what it needs, in any folder that Spark writes to."""
-        own = isinstance(self.model, forests.ForestModel)
+        own = isinstance(self.model, (forests.ForestModel, deep.DeepForest))
         if own:
             self.model.save(f"{path}/forest")
         for name in () if own else ("model", "scaler", "indexer"):
             getattr(self, name).write().overwrite().save(f"{path}/{name}")
         state = {k: getattr(self, k) for k in ("params", "trees", "seed", "max_iter", "features", "label", "factor", "labels") if hasattr(self, k)}
+        state["deep"] = isinstance(self.model, deep.DeepForest)
         spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
 
     @staticmethod
@@ -116,7 +112,8 @@ class Classifier:
         out = Classifier(state["params"], state["trees"], state["seed"], state["max_iter"])
         out.features, out.label = state["features"], state["label"]
         if "labels" in state:
-            out.labels, out.model = state["labels"], forests.ForestModel.load(spark, f"{path}/forest")
+            kind = deep.DeepForest if state.get("deep") else forests.ForestModel
+            out.labels, out.model = state["labels"], kind.load(spark, f"{path}/forest")
             return out
         out.factor = state["factor"]
         kind = LogisticRegressionModel if "C" in out.params else RandomForestClassificationModel

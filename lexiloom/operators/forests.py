@@ -16,7 +16,7 @@ of them are) and is split while it is impure and both sides keep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 SMALL = 32 << 20  # bytes of features that are sent to all executors
 BLOCK, ENTRIES = 20, 1 << 20  # trees that grow side by side, and rows of theirs
 SLICE = 1 << 14  # values sorted at a time, which stay in a core's cache
-PLACE = (1 << 22) - 1  # bits of a place within a slice, and of a code
+BITS = 22  # of a place within a slice, and of a code; more where a node alone has more rows
 #: Chances of drawing a row at most 0, 1, 2, ... times, with a mean of 1.
 POISSON = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
 
@@ -59,6 +59,10 @@ class Table:
         for j in range(self.x.shape[1]):
             self.codes[j] = np.unique(self.x[:, j], return_inverse=True)[1]
 
+    def distinct(self, j: int) -> np.ndarray:
+        """A feature's values by code."""
+        return np.unique(self.x[:, j])
+
     def training(self, fit: Fit) -> np.ndarray:
         return np.flatnonzero(self.fold != fit.fold) if fit.fold is not None else np.arange(len(self.y))
 
@@ -130,13 +134,16 @@ def best_splits(group: np.ndarray, code: np.ndarray, y: np.ndarray, w: np.ndarra
     class alone, so the work doesn't grow with the number of classes.
     """
     n = len(group)
+    code = code.astype(np.int64, copy=False)
+    bits = max(BITS, n.bit_length(), int(code.max()).bit_length())
+    below = (1 << bits) - 1
     places = np.arange(n)
-    key = group << 44
-    key |= code << 22
+    key = group << 2 * bits
+    key |= code << bits
     key |= places
     key.sort()
-    order = key & PLACE
-    g, c = key >> 44, (key >> 22) & PLACE
+    order = key & below
+    g, c = key >> 2 * bits, (key >> bits) & below
     y, w = y[order], w[order]
     starts = _runs(g)
     sizes = np.diff(np.r_[starts, n])
@@ -145,11 +152,11 @@ def best_splits(group: np.ndarray, code: np.ndarray, y: np.ndarray, w: np.ndarra
     # Running weight of a row's own class, from rows in the order of group, class and place.
     by_class = g * classes
     by_class += y
-    by_class <<= 22
+    by_class <<= bits
     by_class |= places
     by_class.sort()
-    at = by_class & PLACE
-    first = _runs(by_class >> 22)
+    at = by_class & below
+    first = _runs(by_class >> bits)
     each = np.diff(np.r_[first, n])
     own = w[at]
     upto = np.cumsum(own)
@@ -292,7 +299,7 @@ def grow_block(table: Table, fit: Fit, numbers: np.ndarray) -> Trees:
     drawn = times_drawn(hashes, table.keys[rows])
     drawn[drawn.sum(1) == 0] = 1  # a tree that drew nothing takes all
     tree, at = np.nonzero(drawn)
-    values = [np.unique(table.x[:, j]) for j in range(table.x.shape[1])]
+    values = [table.distinct(j) for j in range(len(table.codes))]
 
     def threshold(feature: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         return np.array([_middle(values[f][a], values[f][b]) for f, a, b in zip(feature.tolist(), low.tolist(), high.tolist())])
@@ -312,7 +319,7 @@ def small_table(rows: DataFrame, classes: int, key: str | None = None) -> Table
     order of its contents.
     """
     size = rows.agg(F.count("*").alias("n"), F.sum(F.size("x") * 8).alias("bytes")).first()
-    if not size["n"] or size["bytes"] > SMALL or size["n"] > PLACE:
+    if not size["n"] or size["bytes"] > SMALL:
         return None
     fold = F.col("fold") if "fold" in rows.columns else F.lit(-1)
     found = rows.select("x", "y", fold.alias("fold"), (F.xxhash64(key) if key else F.xxhash64("x", "y")).alias("h")).toArrow().combine_chunks()
@@ -322,11 +329,11 @@ def small_table(rows: DataFrame, classes: int, key: str | None = None) -> Table
     return Table(x[order], found["y"].to_numpy()[order].astype(np.int64), found["fold"].to_numpy()[order], keys, classes)
 
 
-def _units(spark: SparkSession, fits: list[Fit], rows: int) -> DataFrame:
-    """``fit, low, high``: blocks of trees, dealt evenly over the tasks."""
-    block = max(1, min(BLOCK, ENTRIES // max(1, rows)))
+def _units(spark: SparkSession, fits: list[Fit], rows: int, entries: int | None = None, each: int = 4) -> DataFrame:
+    """``fit, low, high``: blocks of trees, dealt evenly over the tasks, of which each core gets ``each``."""
+    block = max(1, min(BLOCK, (entries or ENTRIES) // max(1, rows)))
     units = [(k, low, min(low + block, fit.trees)) for k, fit in enumerate(fits) for low in range(0, fit.trees, block)]
-    tasks = max(1, min(len(units), 4 * spark.sparkContext.defaultParallelism))
+    tasks = max(1, min(len(units), each * spark.sparkContext.defaultParallelism))
     dealt = [u for t in range(tasks) for u in units[t::tasks]]
     return spark.createDataFrame(dealt, "fit int, low int, high int").repartitionByRange(tasks, F.xxhash64("fit", "low"))
 
@@ -377,6 +384,7 @@ def grow_many(spark: SparkSession, table: Table, fits: list[Fit]) -> DataFrame:
         for batch in batches:
             for f, low, high in zip(*(c.to_pylist() for c in batch.columns)):
                 t = grow_block(held.value, fits[f], np.arange(low, high))
+                t.value[t.feature >= 0] = 0  # only leaves vote
                 cells = [(a, pa.int32()) for a in (t.root, t.feature)] + [(t.threshold, pa.float64())] + [(a, pa.int32()) for a in (t.left, t.right)] + [(t.value.ravel(), pa.float64())]
                 arrays = [pa.array([f], pa.int32()), pa.array([low], pa.int32()), *(pa.array([a], pa.list_(kind)) for a, kind in cells)]
                 yield pa.RecordBatch.from_arrays(arrays, ["fit", "low", "root", "feature", "threshold", "left", "right", "value"])
@@ -397,8 +405,67 @@ def _arrow_rows(blocks: DataFrame) -> Iterator[dict[str, pa.Array]]:
         yield {n: table[n][i].values for n in ("root", "feature", "threshold", "left", "right", "value")}
 
 
-#: Bytes of trees that are sent to all executors at a time.
+#: Bytes of trees, or of rows, that are sent to all executors at a time.
 SENT = 64 << 20
+PIECE = 1 << 10  # rows whose votes are added together
+
+
+def _trees_of(classes: int):
+    def read(batch: pa.RecordBatch) -> Iterator[Trees]:
+        for row in range(batch.num_rows):
+            yield from read_trees([{n: batch[n][row].values for n in ("root", "feature", "threshold", "left", "right", "value")}], classes)
+
+    return read
+
+
+def votes_in_place(trees: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Trees]], classes: int, rows: DataFrame, features: str, name: str) -> DataFrame:
+    """``rows`` with the sums of the class shares of ``trees``, which stay where they are written.
+
+    Rows are written once and sent to the trees in slices of ``SENT`` bytes; a
+    task holds a slice, its votes and the trees of one batch.
+    """
+    from .stored import written, written_in_slices
+
+    spark = rows.sparkSession
+    kept = written(rows.withColumn("_at", F.monotonically_increasing_id()), "voters")
+    x = F.col(features).cast("array<double>")
+    slices = max(1, -(-(kept.agg(F.sum(F.size(x) * 8)).first()[0] or 0) // SENT))
+    own = kept.select("_at", x.alias("_x"), F.pmod(F.xxhash64("_at"), F.lit(slices)).alias("_slice"))
+
+    def votes_of(number: int) -> Iterator[DataFrame]:
+        found = own.where(F.col("_slice") == number).select("_at", "_x").toArrow().combine_chunks()
+        n = found.num_rows
+        points = found["_x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
+        held = spark.sparkContext.broadcast((found["_at"].to_numpy(), points))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            votes = None
+            for batch in batches:
+                for some in read(batch):
+                    v = some.votes(held.value[1])
+                    votes = v if votes is None else votes + v
+            if votes is not None:
+                pieces = range(0, len(votes), PIECE)
+                yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.int32()), pa.array([votes[a : a + PIECE].tobytes() for a in pieces], pa.binary())], ["piece", "votes"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for a, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    v = np.frombuffer(raw.as_py())
+                    sums[a] = sums[a] + v if a in sums else v
+            for a, v in sums.items():
+                at = held.value[0][a : a + PIECE]
+                offsets = pa.array(np.arange(len(at) + 1) * classes, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.ListArray.from_arrays(offsets, pa.array(v))], ["_at", name])
+
+        few = trees.coalesce(4 * spark.sparkContext.defaultParallelism)
+        yield few.mapInArrow(run, "piece int, votes binary").repartition("piece").mapInArrow(add, f"_at long, `{name}` array<double>")
+        held.destroy()  # the votes are written by now
+
+    found = (df for number in range(slices) for df in votes_of(number))
+    votes = written_in_slices(found, "votes") if slices > 1 else [written(df, "votes") for df in found][0]
+    return kept.join(votes, "_at").select(*rows.columns, name)
 
 
 class ForestModel:
@@ -426,10 +493,13 @@ class ForestModel:
         return out
 
     def add_votes(self, rows: DataFrame, features: str, name: str = "_votes") -> DataFrame:
-        """``rows`` with the sums of the trees' class shares; rows stay where they are, trees are sent in groups."""
+        """``rows`` with the sums of the trees' class shares; few trees are sent to the rows, many stay where they are."""
         spark, k = rows.sparkSession, self.classes
+        groups = self._groups()
+        if len(groups) > 1:  # a chain of groups would have a Python process for each
+            return votes_in_place(self.trees, _trees_of(k), k, rows, features, name)
         out = rows.select(F.struct("*").alias("_row"), F.col(features).cast("array<double>").alias("_x"), F.array_repeat(F.lit(0.0), k).alias(name))
-        for group in self._groups():
+        for group in groups:
             held = spark.sparkContext.broadcast(read_trees(_arrow_rows(self.trees.where(F.col("low").isin(group)).orderBy("low")), k))
 
             def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:

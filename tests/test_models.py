@@ -196,3 +196,56 @@ def test_trees_are_read_as_arrow_arrays(spark):
     blocks = spark.createDataFrame([(0, low, [0], [1, -1, -1], [0.5, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [0.5, 0.5, 1.0, 0.0, 0.0, low / 40]) for low in (0, 20)], forests.SCHEMA).orderBy("low")
     for a, b in zip(forests.read_trees(forests._arrow_rows(blocks), 2), forests.read_trees(blocks.collect(), 2), strict=True):
         assert all((getattr(a, n) == getattr(b, n)).all() for n in ("root", "feature", "threshold", "left", "right", "value"))
+
+
+@pytest.mark.parametrize("sent", [1 << 26, 3000])
+def test_forests_of_large_tables_are_whole_and_exact(spark, monkeypatch, tmp_path, sent):
+    """The trees of a table that isn't sent at once, however rows and features are dealt; before, they had bins and 30 levels."""
+    from lexiloom.operators import deep
+
+    rows = made(spark, n=400).where("x is not null and y is not null")
+    params = {"max_features": 2, "min_samples_leaf": 1}
+    small = classify.Classifier(params, trees=30).fit(rows, "x", "y")
+    expected = {r["id"]: r["_votes"] for r in small.model.add_votes(rows, "x").collect()}
+    for name, value in (("SMALL", 0), ("SENT", sent)):
+        monkeypatch.setattr(forests, name, value)
+    for name, value in (("CHUNK", 8 * 400 * 2), ("ENTRIES", 1600)):
+        monkeypatch.setattr(deep, name, value)
+    large = classify.Classifier(params, trees=30).fit(rows.repartition(3), "x", "y")
+    large.save(spark, f"{tmp_path}/large")
+    for model in (large, classify.Classifier.load(spark, f"{tmp_path}/large")):
+        assert isinstance(model.model, deep.DeepForest) and sorted(r[0] for r in model.model.trees.select("number").collect()) == list(range(30))
+        voted = {r["id"]: r["_votes"] for r in model.model.add_votes(rows.repartition(2), "x").collect()}
+        assert voted.keys() == expected.keys() and all(np.allclose(voted[k], expected[k]) for k in expected)
+    said = [{r["id"]: r["predicted"] for r in m.predict(rows, "id").collect()} for m in (small, large)]
+    assert said[0] == said[1]
+
+
+def test_packed_trees_vote_alike_and_deep_ones_are_whole():
+    from lexiloom.operators import deep
+
+    n = 160
+    x = np.column_stack([np.arange(n, dtype=float), np.ones(n)])
+    table = forests.Table(x, np.arange(n) % 2, np.full(n, -1), np.arange(n), 3)
+    fit = forests.Fit(2, 1, 4)
+    columns = deep.Columns(table.y, table.keys, 3, 2)
+    for j in range(2):
+        columns.put(j, x[:, j])
+    block = forests.grow_block(columns, fit, np.arange(4))
+
+    def levels(at):
+        return 0 if block.feature[at] < 0 else 1 + max(levels(block.left[at]), levels(block.right[at]))
+
+    assert max(levels(root) for root in block.root) > 30
+    assert all(as_nested(block, block.root[t]) == plain_tree(table, fit, t) for t in range(4))
+    votes = sum(deep.unpack(raw).votes(x) for raw in deep.pack(block))
+    assert np.allclose(votes, block.votes(x))
+    assert all(as_nested(deep.unpack(raw), 0) == as_nested(block, root) for raw, root in zip(deep.pack(block), block.root))
+
+
+@pytest.mark.parametrize("rows", [0, 2])
+def test_large_tables_without_rows_or_of_several_widths_raise(spark, monkeypatch, rows):
+    monkeypatch.setattr(forests, "SMALL", 0)
+    ragged = spark.createDataFrame([([1.0], "a"), ([1.0, 2.0], "b")][:rows], "x array<double>, y string")
+    with pytest.raises(ValueError, match="no rows|1 to 2 features"):
+        classify.Classifier({"max_features": 1, "min_samples_leaf": 1}, trees=2).fit(ragged, "x", "y")
