@@ -4,14 +4,13 @@ The rows are written once.  The driver takes a few features at a time and sends
 them on, so it holds ``CHUNK`` bytes of them and no tree.  Each worker process
 keeps all features as files without a name, from which trees grow as in
 :mod:`.forests`: no limit of depth, no bins, and the same trees as there.
-Finished trees are written by the tasks that grew them, a packed row for each.
+Finished trees are written by the tasks that grew them, as in :mod:`.forests`.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,6 @@ from . import forests
 from .stored import written
 
 CHUNK = 16 << 20  # bytes of features that the driver holds at a time
-ENTRIES = 1 << 18  # rows of trees that grow side by side
 TASKS = 16  # of growth, for each core
 
 
@@ -114,58 +112,6 @@ def _loaded(held) -> np.ndarray:
     return held.load_from_path(path) if path else held.value
 
 
-def pack(trees: forests.Trees) -> list[bytes]:
-    """Each tree by itself: a leaf's shares are kept where they aren't 0, and inner nodes have none."""
-    out = []
-    owner = np.zeros(len(trees.feature), np.int64)
-    owner[trees.root] = np.arange(len(trees.root))
-    level = trees.root
-    while len(level):
-        level = level[trees.feature[level] >= 0]
-        below = trees.left[level], trees.right[level]
-        for side in below:
-            owner[side] = owner[level]
-        level = np.concatenate(below)
-    k = trees.value.shape[1]
-    for number in range(len(trees.root)):
-        own = np.flatnonzero(owner == number)
-        feature = trees.feature[own].astype(np.int32)
-        inner = feature >= 0
-        left = np.searchsorted(own, trees.left[own[inner]]).astype(np.int32)
-        value = np.where(inner[:, None], 0.0, trees.value[own]).ravel()
-        at = np.flatnonzero(value)
-        head = np.array([len(own), k, len(left), len(at)], np.int64)
-        parts = (head, feature, trees.threshold[own[inner]], left, at.astype(np.int64), value[at])
-        out.append(zlib.compress(b"".join(p.tobytes() for p in parts), 1))
-    return out
-
-
-def unpack(raw: bytes) -> forests.Trees:
-    raw, at = zlib.decompress(raw), 0
-
-    def take(kind, count: int) -> np.ndarray:
-        nonlocal at
-        found = np.frombuffer(raw, kind, count, at)
-        at += found.nbytes
-        return found
-
-    n, k, inner, shares = take(np.int64, 4).tolist()
-    feature = take(np.int32, n).astype(np.int64)
-    threshold, left, right, value = np.zeros(n), np.full(n, -1), np.full(n, -1), np.zeros(n * k)
-    own = np.flatnonzero(feature >= 0)
-    threshold[own] = take(np.float64, inner)
-    left[own] = take(np.int32, inner)
-    right[own] = left[own] + 1
-    where = take(np.int64, shares)
-    value[where] = take(np.float64, shares)
-    return forests.Trees(np.zeros(1, np.int64), feature, threshold, left, right, value.reshape(n, k))
-
-
-def _unpacked(batch: pa.RecordBatch) -> Iterator[forests.Trees]:
-    for raw in batch.column(batch.schema.get_field_index("tree")):
-        yield unpack(raw.as_py())
-
-
 class DeepForest:
     """A forest of a large table: a written table of packed trees."""
 
@@ -180,16 +126,14 @@ class DeepForest:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for low, high in zip(batch["low"].to_pylist(), batch["high"].to_pylist()):
-                    packed = pack(forests.grow_block(sent.here(), fit, np.arange(low, high)))
-                    yield pa.RecordBatch.from_arrays([pa.array(range(low, high), pa.int32()), pa.array(packed, pa.binary())], ["number", "tree"])
+                    yield forests.packed(0, low, forests.grow_block(sent.here(), fit, np.arange(low, high)))
 
-        units = forests._units(spark, [fit], sent.rows, ENTRIES, TASKS)
-        trees = written(units.mapInArrow(run, "number int, tree binary"), "forest")
+        trees = written(forests._units(spark, [fit], sent.rows, TASKS).mapInArrow(run, forests.PACKED), "forest")
         sent.destroy()
         return DeepForest(trees, classes)
 
     def add_votes(self, rows: DataFrame, features: str, name: str = "_votes") -> DataFrame:
-        return forests.votes_in_place(self.trees, _unpacked, self.classes, rows, features, name)
+        return forests.votes_in_place(self.trees, self.classes, rows, features, name)
 
     def save(self, path: str) -> None:
         self.trees.withColumn("classes", F.lit(self.classes)).write.mode("overwrite").parquet(path)

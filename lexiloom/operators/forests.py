@@ -16,7 +16,8 @@ of them are) and is split while it is impure and both sides keep
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SMALL = 32 << 20  # bytes of features that are sent to all executors
-BLOCK, ENTRIES = 20, 1 << 20  # trees that grow side by side, and rows of theirs
+BLOCK, ENTRIES = 20, 1 << 18  # trees that grow side by side, and rows of theirs
 SLICE = 1 << 14  # values sorted at a time, which stay in a core's cache
 BITS = 22  # of a place within a slice, and of a code; more where a node alone has more rows
 #: Chances of drawing a row at most 0, 1, 2, ... times, with a mean of 1.
@@ -329,9 +330,9 @@ def small_table(rows: DataFrame, classes: int, key: str | None = None) -> Table
     return Table(x[order], found["y"].to_numpy()[order].astype(np.int64), found["fold"].to_numpy()[order], keys, classes)
 
 
-def _units(spark: SparkSession, fits: list[Fit], rows: int, entries: int | None = None, each: int = 4) -> DataFrame:
+def _units(spark: SparkSession, fits: list[Fit], rows: int, each: int = 4) -> DataFrame:
     """``fit, low, high``: blocks of trees, dealt evenly over the tasks, of which each core gets ``each``."""
-    block = max(1, min(BLOCK, (entries or ENTRIES) // max(1, rows)))
+    block = max(1, min(BLOCK, ENTRIES // max(1, rows)))
     units = [(k, low, min(low + block, fit.trees)) for k, fit in enumerate(fits) for low in range(0, fit.trees, block)]
     tasks = max(1, min(len(units), each * spark.sparkContext.defaultParallelism))
     dealt = [u for t in range(tasks) for u in units[t::tasks]]
@@ -373,23 +374,78 @@ def score_many(spark: SparkSession, table: Table, fits: list[Fit]) -> np.ndarray
     return out
 
 
-SCHEMA = "fit int, low int, root array<int>, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>"
+def pack(trees: Trees) -> list[tuple[int, bytes]]:
+    """Each tree by itself, with its number of nodes: a leaf's shares are kept where they aren't 0, and inner nodes have none."""
+    out = []
+    owner = np.zeros(len(trees.feature), np.int64)
+    owner[trees.root] = np.arange(len(trees.root))
+    level = trees.root
+    while len(level):
+        level = level[trees.feature[level] >= 0]
+        below = trees.left[level], trees.right[level]
+        for side in below:
+            owner[side] = owner[level]
+        level = np.concatenate(below)
+    k = trees.value.shape[1]
+    for number in range(len(trees.root)):
+        own = np.flatnonzero(owner == number)
+        feature = trees.feature[own].astype(np.int32)
+        inner = feature >= 0
+        left = np.searchsorted(own, trees.left[own[inner]]).astype(np.int32)
+        value = np.where(inner[:, None], 0.0, trees.value[own]).ravel()
+        at = np.flatnonzero(value)
+        head = np.array([len(own), k, len(left), len(at)], np.int64)
+        parts = (head, feature, trees.threshold[own[inner]], left, at.astype(np.int64), value[at])
+        out.append((len(own), zlib.compress(b"".join(p.tobytes() for p in parts), 1)))
+    return out
+
+
+def unpack(raw: bytes) -> Trees:
+    raw, at = zlib.decompress(raw), 0
+
+    def take(kind, count: int) -> np.ndarray:
+        nonlocal at
+        found = np.frombuffer(raw, kind, count, at)
+        at += found.nbytes
+        return found
+
+    n, k, inner, shares = take(np.int64, 4).tolist()
+    feature = take(np.int32, n).astype(np.int64)
+    threshold, left, right, value = np.zeros(n), np.full(n, -1), np.full(n, -1), np.zeros(n * k)
+    own = np.flatnonzero(feature >= 0)
+    threshold[own] = take(np.float64, inner)
+    left[own] = take(np.int32, inner)
+    right[own] = left[own] + 1
+    where = take(np.int64, shares)
+    value[where] = take(np.float64, shares)
+    return Trees(np.zeros(1, np.int64), feature, threshold, left, right, value.reshape(n, k))
+
+
+PACKED = "fit int, number int, nodes int, tree binary"
+
+
+def packed(fit: int, low: int, trees: Trees) -> pa.RecordBatch:
+    """Rows of ``PACKED`` of the trees from number ``low`` on."""
+    found = pack(trees)
+    n = len(found)
+    arrays = [pa.array([fit] * n, pa.int32()), pa.array(range(low, low + n), pa.int32()), pa.array([c for c, _ in found], pa.int32()), pa.array([raw for _, raw in found], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["fit", "number", "nodes", "tree"])
 
 
 def grow_many(spark: SparkSession, table: Table, fits: list[Fit]) -> DataFrame:
-    """All trees of all fits, a row for each block of trees (``SCHEMA``); write it before it is read twice."""
+    """All trees of all fits, a row for each (``PACKED``); write it before it is read twice."""
     held = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for f, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                t = grow_block(held.value, fits[f], np.arange(low, high))
-                t.value[t.feature >= 0] = 0  # only leaves vote
-                cells = [(a, pa.int32()) for a in (t.root, t.feature)] + [(t.threshold, pa.float64())] + [(a, pa.int32()) for a in (t.left, t.right)] + [(t.value.ravel(), pa.float64())]
-                arrays = [pa.array([f], pa.int32()), pa.array([low], pa.int32()), *(pa.array([a], pa.list_(kind)) for a, kind in cells)]
-                yield pa.RecordBatch.from_arrays(arrays, ["fit", "low", "root", "feature", "threshold", "left", "right", "value"])
+                yield packed(f, low, grow_block(held.value, fits[f], np.arange(low, high)))
+
+    return _units(spark, fits, len(table.y)).mapInArrow(run, PACKED)
 
-    return _units(spark, fits, len(table.y)).mapInArrow(run, SCHEMA)
+
+#: Blocks of trees as forests were saved before.
+SCHEMA = "fit int, low int, root array<int>, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>"
 
 
 def read_trees(rows, classes: int) -> list[Trees]:
@@ -410,15 +466,7 @@ SENT = 64 << 20
 PIECE = 1 << 10  # rows whose votes are added together
 
 
-def _trees_of(classes: int):
-    def read(batch: pa.RecordBatch) -> Iterator[Trees]:
-        for row in range(batch.num_rows):
-            yield from read_trees([{n: batch[n][row].values for n in ("root", "feature", "threshold", "left", "right", "value")}], classes)
-
-    return read
-
-
-def votes_in_place(trees: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Trees]], classes: int, rows: DataFrame, features: str, name: str) -> DataFrame:
+def votes_in_place(trees: DataFrame, classes: int, rows: DataFrame, features: str, name: str) -> DataFrame:
     """``rows`` with the sums of the class shares of ``trees``, which stay where they are written.
 
     Rows are written once and sent to the trees in slices of ``SENT`` bytes; a
@@ -441,8 +489,8 @@ def votes_in_place(trees: DataFrame, read: Callable[[pa.RecordBatch], Iterator[T
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             votes = None
             for batch in batches:
-                for some in read(batch):
-                    v = some.votes(held.value[1])
+                for raw in batch.column(0):
+                    v = unpack(raw.as_py()).votes(held.value[1])
                     votes = v if votes is None else votes + v
             if votes is not None:
                 pieces = range(0, len(votes), PIECE)
@@ -459,7 +507,7 @@ def votes_in_place(trees: DataFrame, read: Callable[[pa.RecordBatch], Iterator[T
                 offsets = pa.array(np.arange(len(at) + 1) * classes, pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.ListArray.from_arrays(offsets, pa.array(v))], ["_at", name])
 
-        few = trees.coalesce(4 * spark.sparkContext.defaultParallelism)
+        few = trees.select("tree").coalesce(4 * spark.sparkContext.defaultParallelism)
         yield few.mapInArrow(run, "piece int, votes binary").repartition("piece").mapInArrow(add, f"_at long, `{name}` array<double>")
         held.destroy()  # the votes are written by now
 
@@ -469,7 +517,7 @@ def votes_in_place(trees: DataFrame, read: Callable[[pa.RecordBatch], Iterator[T
 
 
 class ForestModel:
-    """A grown forest: a written table of blocks of trees."""
+    """A grown forest: a written table of packed trees."""
 
     def __init__(self, trees: DataFrame, classes: int):
         self.trees, self.classes = trees, classes
@@ -481,14 +529,14 @@ class ForestModel:
         return ForestModel(written(grow_many(spark, table, [fit]), "forest"), table.classes)
 
     def _groups(self) -> list[list[int]]:
-        """Blocks that are sent together."""
-        sizes = self.trees.select("low", (F.size("feature") * (20 + 8 * self.classes)).alias("bytes")).orderBy("low").collect()
+        """Trees that are sent together."""
+        sizes = self.trees.select("number", (F.col("nodes") * (32 + 8 * self.classes)).alias("bytes")).orderBy("number").collect()
         out, total = [[]], 0
         for r in sizes:
             if out[-1] and total + r["bytes"] > SENT:
                 out.append([])
                 total = 0
-            out[-1].append(r["low"])
+            out[-1].append(r["number"])
             total += r["bytes"]
         return out
 
@@ -497,10 +545,11 @@ class ForestModel:
         spark, k = rows.sparkSession, self.classes
         groups = self._groups()
         if len(groups) > 1:  # a chain of groups would have a Python process for each
-            return votes_in_place(self.trees, _trees_of(k), k, rows, features, name)
+            return votes_in_place(self.trees, k, rows, features, name)
         out = rows.select(F.struct("*").alias("_row"), F.col(features).cast("array<double>").alias("_x"), F.array_repeat(F.lit(0.0), k).alias(name))
         for group in groups:
-            held = spark.sparkContext.broadcast(read_trees(_arrow_rows(self.trees.where(F.col("low").isin(group)).orderBy("low")), k))
+            found = self.trees.where(F.col("number").isin(group)).orderBy("number").select("tree").toArrow()["tree"]
+            held = spark.sparkContext.broadcast([unpack(raw.as_py()) for raw in found])
 
             def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
@@ -520,4 +569,21 @@ class ForestModel:
     @staticmethod
     def load(spark: SparkSession, path: str) -> ForestModel:
         trees = spark.read.parquet(path)
+        if "root" in trees.columns:
+            return _repacked(trees)
         return ForestModel(trees.drop("classes"), trees.first()["classes"])
+
+
+def _repacked(blocks: DataFrame) -> ForestModel:
+    """A forest that was saved as blocks of trees (``SCHEMA``)."""
+    from .stored import written
+
+    k = blocks.first()["classes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, low in enumerate(batch["low"].to_pylist()):
+                for trees in read_trees([{n: batch[n][row].values for n in ("root", "feature", "threshold", "left", "right", "value")}], k):
+                    yield packed(0, low, trees)
+
+    return ForestModel(written(blocks.drop("classes").mapInArrow(run, PACKED), "forest"), k)

@@ -207,10 +207,9 @@ def test_forests_of_large_tables_are_whole_and_exact(spark, monkeypatch, tmp_pat
     params = {"max_features": 2, "min_samples_leaf": 1}
     small = classify.Classifier(params, trees=30).fit(rows, "x", "y")
     expected = {r["id"]: r["_votes"] for r in small.model.add_votes(rows, "x").collect()}
-    for name, value in (("SMALL", 0), ("SENT", sent)):
+    for name, value in (("SMALL", 0), ("SENT", sent), ("ENTRIES", 1600)):
         monkeypatch.setattr(forests, name, value)
-    for name, value in (("CHUNK", 8 * 400 * 2), ("ENTRIES", 1600)):
-        monkeypatch.setattr(deep, name, value)
+    monkeypatch.setattr(deep, "CHUNK", 8 * 400 * 2)
     large = classify.Classifier(params, trees=30).fit(rows.repartition(3), "x", "y")
     large.save(spark, f"{tmp_path}/large")
     for model in (large, classify.Classifier.load(spark, f"{tmp_path}/large")):
@@ -238,9 +237,9 @@ def test_packed_trees_vote_alike_and_deep_ones_are_whole():
 
     assert max(levels(root) for root in block.root) > 30
     assert all(as_nested(block, block.root[t]) == plain_tree(table, fit, t) for t in range(4))
-    votes = sum(deep.unpack(raw).votes(x) for raw in deep.pack(block))
-    assert np.allclose(votes, block.votes(x))
-    assert all(as_nested(deep.unpack(raw), 0) == as_nested(block, root) for raw, root in zip(deep.pack(block), block.root))
+    packed = forests.pack(block)
+    assert np.allclose(sum(forests.unpack(raw).votes(x) for _, raw in packed), block.votes(x)) and sum(nodes for nodes, _ in packed) == len(block.feature)
+    assert all(as_nested(forests.unpack(raw), 0) == as_nested(block, root) for (_, raw), root in zip(packed, block.root))
 
 
 @pytest.mark.parametrize("rows", [0, 2])
@@ -249,3 +248,18 @@ def test_large_tables_without_rows_or_of_several_widths_raise(spark, monkeypatch
     ragged = spark.createDataFrame([([1.0], "a"), ([1.0, 2.0], "b")][:rows], "x array<double>, y string")
     with pytest.raises(ValueError, match="no rows|1 to 2 features"):
         classify.Classifier({"max_features": 1, "min_samples_leaf": 1}, trees=2).fit(ragged, "x", "y")
+
+
+def test_forests_are_kept_by_tree_and_old_ones_are_read(spark, tmp_path):
+    """A task wrote and read blocks of up to 20 trees at a time, tens of MB in a row."""
+    dealt, _ = many.deal(made(spark), "id", "x", "y", folds=3)
+    table = forests.small_table(dealt, 3, "id")
+    model = forests.ForestModel.fit(spark, table, forests.Fit(3, 1, 10))
+    assert sorted(r["number"] for r in model.trees.collect()) == list(range(10))
+    t = forests.grow_block(table, forests.Fit(3, 1, 10), np.arange(10))
+    row = (0, 0, *(a.tolist() for a in (t.root, t.feature, t.threshold, t.left, t.right)), t.value.ravel().tolist())
+    spark.createDataFrame([row], forests.SCHEMA).withColumn("classes", F.lit(3)).write.parquet(f"{tmp_path}/old")
+    model.save(f"{tmp_path}/new")
+    for path in ("old", "new"):
+        found = forests.ForestModel.load(spark, f"{tmp_path}/{path}")
+        assert all(np.allclose(r["_votes"], t.votes(np.array([r["x"]]))[0]) for r in found.add_votes(dealt, "x").collect())
